@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, packing, toxicity
+from . import audio, chat, decontam, jaccard, packing, toxicity
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.text_audio_digest(table(spark, sf_dir, "documents"))
 
@@ -29,12 +33,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_chat_formatting": op4_chat_formatting,
         "op5_toxicity": op5_toxicity,
+        "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_media_columns": op8_media_columns,
         "op9_packing": op9_packing,
+        "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
