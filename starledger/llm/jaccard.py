@@ -4,12 +4,15 @@ A document's set holds the distinct 5-word shingles of its whole text, as 64-bit
 exact on those sets:
 
 1. Documents with equal sets fall into one class (by the MD5 of the sorted set); only classes go on.
-2. Classes that can have no partner are dropped. Under one global order (the hash), sets of
-   similarity 0.8 share a computable number of their first tokens; a class too few of whose first
-   tokens occur elsewhere has no partner. Tokens met twice in a batch are counted there, and one row
-   a batch goes on, so a token of very many documents doesn't flood one task.
+2. Classes that can have no partner are dropped, first by a part and then by all of their tokens.
+   Under one global order (the hash), sets of similarity 0.8 share a computable number of their first
+   tokens; a class too few of whose first tokens occur elsewhere has no partner. Nor has a class
+   fewer than 0.8 of whose tokens occur in other classes left. Tokens met twice in a batch are counted
+   there, and one row a batch goes on, so a token of very many documents doesn't flood one task.
 3. Classes left that share one of their first ``n - ceil(0.8 n) + 1`` tokens fall into one block
-   (connected components over a linear number of edges). Links never cross blocks.
+   (connected components over a linear number of edges). Links never cross blocks. The order is now
+   by frequency, then hash, so passages of many documents don't tie blocks together; frequencies of a
+   bounded number of the most frequent tokens are known, all others count as rare. Any order is exact.
 4. A block is searched by T-occurrence (DivideSkip): inverted lists of its leaders, short lists
    merged by a heap, long ones probed by bisection. A class that links to a leader joins its ball;
    other balls are compared member by member only where the triangle inequality of the Jaccard
@@ -36,8 +39,10 @@ from .hashing import WHITE, shingle_hashes, word_hashes
 
 #: Similarity in hundredths.
 LINK = 80
-#: Rows of 8 bytes that may be broadcast.
+#: Rows of 8 bytes that may be broadcast, and the frequent tokens that are.
 BROADCAST_ROWS = 1 << 20
+#: Nodes from which on a token counts as frequent.
+FREQUENT = 8
 
 
 def least_overlap(n: int) -> int:
@@ -73,7 +78,7 @@ def _identity(tokens: np.ndarray) -> tuple[bytes | None, int]:
 
 
 def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
-    """Per document: doc_id, n (set size), key (null for an empty set), node, and the first tokens."""
+    """Per row: uid, doc_id, n (set size), key (null for an empty set), node, and the first tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -86,7 +91,7 @@ def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
                     ["doc_id", "n", "key", "node", "tokens"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, node long, tokens binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, node long, tokens binary").withColumn("uid", F.monotonically_increasing_id())
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,25 +100,41 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(values)))
 
 
-def _token_rows(classes: DataFrame, take, edges: bool) -> DataFrame:
+def _various(nodes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether each run of ``nodes`` has more than one."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    return np.maximum.reduceat(nodes, starts) != np.minimum.reduceat(nodes, starts)
+
+
+def _token_rows(classes: DataFrame, take, edges: bool, frequent=None) -> DataFrame:
     """Rows (token, node, mark) of each class's first ``take(n)`` tokens.
 
-    Where several classes of a batch have a token, only the first one's row goes on, with mark 1. What
-    the batch itself shows goes on in rows with a negative mark: with ``edges`` a pair (token, node)
-    of nodes, else how many tokens of ``node`` the batch has more than once.
+    ``frequent``: a broadcast pair of ascending tokens and their counts, which come last in the order.
+    Of several nodes of a batch that have a token, only the first one's row goes on, with their number
+    as mark. What the batch itself shows goes on in rows with a negative mark: with ``edges`` a pair
+    (token, node) of nodes, else how many tokens of ``node`` other nodes of the batch have too.
     """
 
+    def first_of(tokens: np.ndarray, n: int) -> np.ndarray:
+        if frequent is None or not len(frequent.value[0]):
+            return tokens[: take(n)]
+        known, counts = frequent.value
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        return tokens[np.argsort(np.where(known[at] == tokens, counts[at], 0), kind="stable")[: take(n)]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column("node").to_numpy(zero_copy_only=False)
-            lists = [np.frombuffer(t, "<u8")[: take(n)] for t, n in zip(batch.column("tokens").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+            lists = [first_of(np.frombuffer(t, "<u8"), n) for t, n in zip(batch.column("tokens").to_pylist(), batch.column("n").to_pylist(), strict=True)]
             token = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
             node = np.repeat(nodes, [len(x) for x in lists])
             order = np.argsort(token, kind="stable")
             token, node = token[order].view(np.int64), node[order]
             starts, sizes = _runs(token)
-            many = np.repeat(sizes > 1, sizes)
-            out = [(token[starts], node[starts], (sizes > 1).astype(np.int32))]
+            various = _various(node, starts)
+            many = np.repeat(various, sizes)
+            out = [(token[starts], node[starts], np.where(various, sizes, 1).astype(np.int32))]
             if edges:
                 leader = np.repeat(node[starts], sizes)
                 pairs = np.unique(np.stack([leader, node], axis=1)[many & (leader != node)], axis=0)
@@ -130,34 +151,57 @@ def _by_token(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token")
 
 
-def _shared_counts(rows: DataFrame) -> DataFrame:
-    """How many tokens of each node other nodes have too."""
+def _occurrences(rows: DataFrame) -> DataFrame:
+    """From token rows: (node, count, 0), how many tokens of a node other nodes have too (to be summed), and (token, count, 1) for each frequent token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))  # the last token's first row
+        none = np.zeros(0, np.int64)
+        held = (none, none, none, np.zeros(0, bool))  # of the last token so far: itself, a node, nodes met, whether that node is still to be counted
 
-        def counted(token, node, mark):
-            starts, sizes = _runs(token)
-            new = np.repeat(sizes > 1, sizes) & (mark == 0)
-            return node[new], np.ones(int(new.sum()), np.int64)
-
-        def out(nodes, counts):
+        def out(nodes, counts, tokens, met):
             named, at = np.unique(nodes, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(named), pa.array(np.bincount(at, counts, len(named)).astype(np.int64))], ["node", "shared"])
+            sums = np.bincount(at, counts, len(named)).astype(np.int64)
+            often = met >= FREQUENT
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([named, tokens[often]])), pa.array(np.concatenate([sums, met[often]])), pa.array(np.repeat(np.array([0, 1], np.int32), [len(named), int(often.sum())]))], ["id", "count", "kind"])
 
         for batch in batches:
-            token, node, mark = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "node", "mark"))
+            token, node, mark = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "node", "mark"))
             direct = mark < 0
-            own = (node[direct], -mark[direct].astype(np.int64))
-            token, node, mark = (np.concatenate([h, x[~direct]]) for h, x in zip(held, (token, node, mark), strict=True))
-            nodes, counts = counted(token, node, mark)
-            if len(token):
-                last = np.searchsorted(token, token[-1])
-                known = len(token) - last > 1
-                held = (token[last : last + 1], node[last : last + 1], np.ones(1, np.int32) if known else mark[last : last + 1])
-            yield out(np.concatenate([own[0], nodes]), np.concatenate([own[1], counts]))
-
-    return _by_token(rows).mapInArrow(run, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+            own = (node[direct], -mark[direct])
+            rest = (token[~direct], node[~direct], mark[~direct], mark[~direct] == 1)
+            token, node, mark, new = (np.concatenate([h, x]) for h, x in zip(held, rest, strict=True))
+            starts, sizes = _runs(token)
+            various = _various(node, starts)
+            met = np.add.reduceat(mark, starts) if len(starts) else none
+            count = np.repeat(various, sizes) & new
+            if len(starts):
+                last = starts[-1]
+                held = (token[last : last + 1], node[last : last + 1], met[-1:], np.array([bool(new[last]) and not various[-1]]))
+            yield out(np.concatenate([own[0], node[count]]), np.concatenate([own[1], np.ones(int(count.sum()), np.int64)]), token[starts[:-1]], met[:-1])
+        yield out(none, none, held[0], held[2])
+
+    return _by_token(rows).mapInArrow(run, "id long, count long, kind int")
+
+
+def _shared_counts(occurrences: DataFrame) -> DataFrame:
+    """(node, shared): how many tokens of each node other nodes have too, at least."""
+    return occurrences.where("kind = 0").groupBy(F.col("id").alias("node")).agg(F.sum("count").alias("shared"))
+
+
+def _frequent_tokens(occurrences: DataFrame):
+    """A broadcast of the most frequent tokens, BROADCAST_ROWS at most, and their counts."""
+    tokens = occurrences.where("kind = 1")
+    levels = {r["level"]: r["count"] for r in tokens.groupBy(F.floor(F.log2("count")).alias("level")).count().collect()}
+    total, least = 0, 64
+    for level in sorted(levels, reverse=True):
+        total += levels[level]
+        if total > BROADCAST_ROWS:
+            break
+        least = level
+    got = tokens.where(F.floor(F.log2("count")) >= least).select("id", "count").toPandas()
+    known = got["id"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return occurrences.sparkSession.sparkContext.broadcast((known[order], got["count"].to_numpy(np.int64)[order]))
 
 
 def _token_edges(rows: DataFrame) -> DataFrame:
@@ -236,7 +280,7 @@ class Block:
         self.parent: list[int] = []
         self.leaders: list[int] = []
         self.balls: list[list[tuple[int, float]]] = []  # by leader: position and distance
-        self.index: dict[int, list[int]] = {}
+        self.index: dict[int, int | list[int]] = {}
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
@@ -253,7 +297,7 @@ class Block:
         self.sets.append(tokens)
         self.parent.append(me)
         values = tokens.tolist()
-        lists = [x for x in map(self.index.get, values) if x]
+        lists = [x if isinstance(x, list) else [x] for x in map(self.index.get, values) if x is not None]
         near = []
         for at, both in divide_skip(lists, max(1, int(np.ceil(self.NEAR * n - 1e-9)))).items():
             union = n + len(self.sets[self.leaders[at]]) - both
@@ -274,7 +318,11 @@ class Block:
             self.balls[near[0][1]].append((me, near[0][0]))
         else:
             for v in values:
-                self.index.setdefault(v, []).append(len(self.leaders))
+                held = self.index.setdefault(v, len(self.leaders))
+                if isinstance(held, list):
+                    held.append(len(self.leaders))
+                elif held != len(self.leaders):
+                    self.index[v] = [held, len(self.leaders)]
             self.leaders.append(me)
             self.balls.append([])
 
@@ -319,24 +367,27 @@ def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
     a component has no other. Columns other than ``doc_id`` and ``text`` are ignored.
     """
     all_docs = checkpointed(sketches(docs, k))
-    classes = checkpointed(all_docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("tokens").alias("tokens")))
-    needed = F.floor(F.ceil(F.col("n") * LINK / 100) / 10) + 1
-    shared = checkpointed(_shared_counts(_token_rows(classes, kept_tokens, edges=False)))
-    likely = checkpointed(classes.join(shared, "node").where(F.col("shared") >= needed).select("node", "doc_id", "n", "tokens"))
-    edges = _token_edges(_token_rows(likely, lambda n: n - least_overlap(n) + 1, edges=True))
-    blocks = checkpointed(connected_components(edges).select("node", F.col("component").alias("block")))
-    members = likely.join(blocks, "node").select("doc_id", "node", "block")
-    count = blocks.count()
+    first = checkpointed(all_docs.where("key is not null").groupBy("key").agg(F.min("uid").alias("uid")).select("uid"))
+    classes = all_docs.join(broadcast_if_small(first, first.count(), BROADCAST_ROWS), "uid", "left_semi")
+    shared = _shared_counts(_occurrences(_token_rows(classes, kept_tokens, edges=False)))
+    likely = checkpointed(classes.select("node", "doc_id", "n").join(shared, "node").where(F.col("shared") >= F.floor(F.ceil(F.col("n") * LINK / 100) / 10) + 1).select("node", "doc_id"))
+    count = likely.count()
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = text_sets(batch.column("text"), k)
-                yield pa.RecordBatch.from_arrays([pa.array([_identity(s)[1] for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "tokens"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(members.select("doc_id").distinct(), count, BROADCAST_ROWS), "doc_id", "left_semi")
-    sets = texts.select("text").mapInArrow(whole_sets, "node long, tokens binary").join(broadcast_if_small(members.select("node", "block"), count, BROADCAST_ROWS), "node")
-    roots = checkpointed(_search_blocks(sets).groupBy("node").agg(F.min("root").alias("root")))
+                yield pa.RecordBatch.from_arrays([pa.array([_identity(s)[1] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "n", "tokens"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(likely.select("doc_id").distinct(), count, BROADCAST_ROWS), "doc_id", "left_semi")
+    sets = checkpointed(texts.select("text").mapInArrow(whole_sets, "node long, n long, tokens binary").join(broadcast_if_small(likely.select("node").distinct(), count, BROADCAST_ROWS), "node", "left_semi"))
+    occurrences = checkpointed(_occurrences(_token_rows(sets, lambda n: n, edges=False)))
+    covered = checkpointed(sets.select("node", "n").distinct().join(_shared_counts(occurrences), "node").where(F.col("shared") >= F.ceil(F.col("n") * LINK / 100)).select("node"))
+    left = sets.join(broadcast_if_small(covered, count, BROADCAST_ROWS), "node", "left_semi")
+    edges = _token_edges(_token_rows(left, lambda n: n - least_overlap(n) + 1, edges=True, frequent=_frequent_tokens(occurrences)))
+    blocks = checkpointed(connected_components(edges).select("node", F.col("component").alias("block")))
+    members = sets.join(broadcast_if_small(blocks, count, BROADCAST_ROWS), "node")
+    roots = checkpointed(_search_blocks(members).groupBy("node").agg(F.min("root").alias("root")))
 
     labelled = all_docs.select("doc_id", "n", "node", "key").join(broadcast_if_small(roots, count, BROADCAST_ROWS), "node", "left").select("doc_id", "n", F.when(F.col("key").isNotNull(), F.coalesce("root", "node")).alias("class"))
     least = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
