@@ -1,0 +1,77 @@
+import datetime as dt
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from starledger.llm import pii
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+@pytest.fixture(scope="module")
+def pseudonyms(spark):
+    def run(values, key="k"):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
+        return {r["doc_id"]: (r["text"], r["n_values"]) for r in pii.pseudonymise(df, key).collect()}
+
+    return run
+
+
+VALUES = ["4111111111111111", "4111 1111 1111 1111", "378282246310005", "john.doe.42@mail8.example.com", "+1 (386) 555-3733", "078-05-1120", "8.196.197.208", "2024-02-29", "31.12.1999", "02/28/2001", "28/02/2001", "GB82 WEST 1234 5698 7654 32", "0641917ea4e9feb9cda83477b57ac2654884f485"]
+
+
+def test_every_format_is_kept_and_valid(pseudonyms):
+    out = pseudonyms([f"a {v} b" for v in VALUES])
+    made = [out[i][0][2:-2] for i in range(len(VALUES))]
+    for i, (was, now) in enumerate(zip(VALUES, made)):
+        assert out[i][1] == 1 and now != was, was
+        if "." not in was:
+            assert [c.isdigit() for c in was] == [c.isdigit() for c in now] or was.startswith(("GB", "06")), (was, now)
+    assert all(luhn(re.sub(r"\D", "", m)) for m in made[:3]) and made[0] == made[1].replace(" ", "")
+    assert made[3].endswith("@mail8.example.com") and re.fullmatch(r"[a-z]{4}\.[a-z]{3}\.\d\d", made[3].split("@")[0])
+    assert re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", made[4])
+    assert all(0 <= int(x) <= 255 for x in made[6].split("."))
+    dt.date.fromisoformat(made[7])
+    dt.datetime.strptime(made[8], "%d.%m.%Y")
+    dt.datetime.strptime(made[9], "%m/%d/%Y")
+    assert dt.datetime.strptime(made[10], "%d/%m/%Y").day > 12
+    iban = made[11].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert re.fullmatch("[0-9a-f]{40}", made[12])
+
+
+def test_invalid_values_and_other_text_stay(pseudonyms):
+    texts = ["no 4111111111111112 card", "300.1.2.3", "2023-02-30", "99.99.2020", None, "", "x1.2.3.4.5", "666-12-1234", "plain text 12345"]
+    out = pseudonyms(texts)
+    assert [out[i][0] for i in range(len(texts))] == texts and all(n == 0 for _, n in out.values())
+
+
+def test_equal_values_stay_linked_and_keys_matter(pseudonyms):
+    out = pseudonyms(["card 4111111111111111, again 4111111111111111.", "4111111111111111"])
+    value = out[1][0]
+    assert out[0] == (f"card {value}, again {value}.", 2)
+    assert pseudonyms(["4111111111111111"], key="other")[0][0] != value
+
+
+def test_permutations_are_one_to_one(spark):
+    texts = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
+    assert texts.select(pii.permute_text(F.col("v"), "k", "t").alias("p")).distinct().count() == 1000
+    assert spark.range(256).select(pii.permute_text(F.lpad(F.lower(F.hex("id")), 2, "0"), "k", "t", True).alias("p")).distinct().count() == 256
+    pairs = spark.range(7 * 11).select(*pii.permute_pair(F.floor(F.col("id") / 11), F.col("id") % 11, 7, 11, "k", "t")).distinct()
+    assert pairs.count() == 77
+    days = spark.range(3000).select(F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("v"))
+    assert days.select(pii.pseudonym(F.col("v"), "k").alias("p")).distinct().count() == 3000
+
+
+def test_extra_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "x 8.8.8.8 y", "kept", 9)], "doc_id long, text string, _other string, n_values int")
+    row = pii.pseudonymise(df).first()
+    assert row["_other"] == "kept" and row["n_values"] == 1 and "8.8.8.8" not in row["text"]
+    assert pii.pseudonymise(df.limit(0)).count() == 0
