@@ -16,7 +16,7 @@ from ..functions.text import blank_as_none, nocase
 from ..schema import IMAGE_TYPES
 
 #: Answer of the equipment service: the fields that are read.
-FILTER_ANSWER = T.StructType.fromDDL("count int, results array<struct<id: int, brandName: string, name: string>>")
+FILTER_ANSWER = T.StructType([T.StructField("count", T.IntegerType()), T.StructField("results", T.ArrayType(T.StructType([T.StructField("id", T.IntegerType()), T.StructField("brandName", T.StringType()), T.StructField("name", T.StringType())])))])
 
 
 def equipment_filters(answers: DataFrame, column: str = "json") -> DataFrame:

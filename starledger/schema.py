@@ -9,8 +9,12 @@ IMAGE_TYPES = {"Unknown": 0, "Light": 1, "Flat": 2, "Dark": 3, "Bias": 4}
 IMAGE_KINDS = {"Unknown": 0, "Raw": 1, "Intermediate": 2, "Calibration": 3, "Master": 4, "Processed": 5}
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType()}
+
+
+def _struct(columns: str) -> T.StructType:
+    """Nullable columns of plain types, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
 
 
 #: What a file's header yields; every column may be null.
