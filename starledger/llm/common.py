@@ -34,6 +34,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc32_text(col) -> F.Column:
     """Unsigned crc32 of a value written as text."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import fresh, slices
 from .hashing import NOT_ALNUM, shingle_hashes, word_hashes
 
 #: Items sent to the workers at once.
@@ -178,5 +178,6 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: flo
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, radius: int = 23) -> DataFrame:
     """``docs`` without the documents that contain a benchmark item; all columns stay."""
-    hit = contaminations(docs, benchmark, k, least, radius).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")
+    (name,) = fresh(docs, "_hit")
+    hit = contaminations(docs, benchmark, k, least, radius).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, F.col("doc_id") == F.col(name), "left_anti")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed
+from .common import broadcast_if_small, checkpointed, fresh
 
 #: Boilerplate lines (8 bytes each) that may be broadcast.
 BROADCAST_LINES = 1 << 20
@@ -26,7 +26,7 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text",
     ``least_pages`` distinct pages must have a line, else a host of few pages would lose all its text.
     Null hosts are one host; null texts are no pages.
     """
-    pages = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("page"), F.array_distinct(F.transform(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), lambda x: F.xxhash64(x))).alias("lines"))
+    pages = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("page"), F.array_distinct(F.transform(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x))).alias("lines"))
     totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
     counts = pages.select("host", "page", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     return counts.join(totals, "host").where(F.col("pages") > ratio * F.col("total")).groupBy("host").agg(F.collect_set("line").alias("lines"))
@@ -40,22 +40,21 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """
     found = checkpointed(boilerplate_lines(docs, host, text, ratio, least_pages))
     count = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
-    side = broadcast_if_small(found.select(F.col("host").alias("_host"), F.col("lines").alias("_boilerplate")), count, BROADCAST_LINES)
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    lines = F.split(text, "\n")
-    hit = F.array_intersect(F.transform("_lines", lambda x: F.xxhash64(F.trim(x))), F.col("_boilerplate"))
-    kept = F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_hit", F.xxhash64(F.trim(x))))
+    site, known, all_lines, hit, kept = fresh(docs, "_host", "_boilerplate", "_lines", "_hit", "_kept")
+    side = broadcast_if_small(found.select(F.col("host").alias(site), F.col("lines").alias(known)), count, BROADCAST_LINES)
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    key = lambda x: F.xxhash64(F.trim(x))
     full = lambda c: F.size(F.filter(c, lambda x: F.trim(x) != ""))
     return (
         docs.select(*names)
-        .withColumn("_lines", lines)
-        .join(side, F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_host"), "left")
-        .withColumn("_hit", F.coalesce(hit, F.array().cast("array<bigint>")))
-        .withColumn("_kept", F.when(F.size("_hit") == 0, F.col("_lines")).otherwise(kept))
+        .withColumn(all_lines, F.split(text, "\n"))
+        .join(side, F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col(site), "left")
+        .withColumn(hit, F.coalesce(F.array_intersect(F.transform(all_lines, lambda x: key(x)), F.col(known)), F.array().cast("array<bigint>")))
+        .withColumn(kept, F.when(F.size(hit) == 0, F.col(all_lines)).otherwise(F.filter(all_lines, lambda x: (F.trim(x) == "") | ~F.array_contains(hit, key(x)))))
         .select(
-            *[F.when(F.size("_hit") == 0, F.col(text)).otherwise(F.array_join("_kept", "\n")).alias(text) if c == text else F.col(c) for c in names],
-            F.greatest(F.lit(0), F.coalesce(full("_lines"), F.lit(0))).cast("long").alias("n_lines"),
-            F.greatest(F.lit(0), F.coalesce(full("_lines") - full("_kept"), F.lit(0))).cast("long").alias("n_dropped"),
+            *[F.when(F.size(hit) == 0, F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(c) for c in names],
+            F.greatest(F.lit(0), F.coalesce(full(all_lines), F.lit(0))).cast("long").alias("n_lines"),
+            F.greatest(F.lit(0), F.coalesce(full(all_lines) - full(kept), F.lit(0))).cast("long").alias("n_dropped"),
         )
     )
 

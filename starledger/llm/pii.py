@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 8
 #: Days from 1900-01-01 that are permuted: 184 * 397 of them, to 2099-12-30.
 DAYS = (184, 397)
@@ -238,13 +240,14 @@ def pseudonym(value: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str = "a key of the corpus", text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``n_values`` (valid values replaced); an input column of that name is replaced."""
-    names = [c for c in docs.columns if c not in ("n_values",)]
-    found = F.regexp_extract_all(F.col(text), F.lit(_ANY), F.lit(0))
-    staged = docs.select(*names, F.when(F.col(text).rlike(_HINT), found).otherwise(F.array().cast("array<string>")).alias("_found"))
-    renamed = staged.withColumn("_made", F.transform("_found", lambda v: F.struct(pseudonym(v, key).alias("to"), kind_of(v).isNotNull().alias("valid"))))
+    names = [c for c in docs.columns if c.lower() != "n_values"]
+    found, made = fresh(docs, "_found", "_made")
+    matches = F.regexp_extract_all(F.col(text), F.lit(_ANY), F.lit(0))
+    staged = docs.select(*names, F.when(F.col(text).rlike(_HINT), matches).otherwise(F.array().cast("array<string>")).alias(found))
+    renamed = staged.withColumn(made, F.transform(found, lambda v: F.struct(pseudonym(v, key).alias("to"), kind_of(v).isNotNull().alias("valid"))))
     gaps = F.split(F.col(text), _ANY, -1)
-    rebuilt = F.array_join(F.zip_with(gaps, F.col("_made.to"), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    rebuilt = F.array_join(F.zip_with(gaps, F.col(f"{made}.to"), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
     return renamed.select(
-        *[F.when(F.size("_found") > 0, rebuilt).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in names],
-        F.coalesce(F.size(F.filter("_made", lambda m: m["valid"])), F.lit(0)).cast("long").alias("n_values"),
+        *[F.when(F.size(found) > 0, rebuilt).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in names],
+        F.coalesce(F.size(F.filter(made, lambda m: m["valid"])), F.lit(0)).cast("long").alias("n_values"),
     )

@@ -120,8 +120,10 @@ class Model:
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Calibrated probabilities; a thousandth of the uncalibrated one orders rows of one step."""
+        """Calibrated probabilities; a thousandth of the uncalibrated one orders rows of one step. Without trees, the share."""
         m = self.margin(x)
+        if len(self.raw) and not self.trees:
+            return np.full(len(x), self.share[0])
         p = 1 / (1 + np.exp(-m))
         return p if not len(self.raw) else 0.999 * np.interp(m, self.raw, self.share) + 0.001 * p
 

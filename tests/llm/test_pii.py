@@ -71,7 +71,7 @@ def test_permutations_are_one_to_one(spark):
 
 
 def test_extra_and_clashing_columns(spark):
-    df = spark.createDataFrame([(1, "x 8.8.8.8 y", "kept", 9)], "doc_id long, text string, _other string, n_values int")
+    df = spark.createDataFrame([(1, "x 8.8.8.8 y", "kept", 9)], "doc_id long, text string, _found string, n_values int")
     row = pii.pseudonymise(df).first()
-    assert row["_other"] == "kept" and row["n_values"] == 1 and "8.8.8.8" not in row["text"]
+    assert row["_found"] == "kept" and row["n_values"] == 1 and "8.8.8.8" not in row["text"]
     assert pii.pseudonymise(df.limit(0)).count() == 0
