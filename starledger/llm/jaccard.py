@@ -18,7 +18,12 @@ exact on those sets:
    other balls are compared member by member only where the triangle inequality of the Jaccard
    distance allows a link, and only until one is found. So groups of near copies cost no pairs.
 
-No cap, sample or prefix of a text is used. A block is held by one task; see README for its bound.
+5. Blocks of more than BLOCK_TOKENS tokens are not searched by one task. Their members are compared
+   with a few leaders where they lie; a member whose leader no member of another component is near to
+   needs no further comparison, which empties groups of near copies. What is left of a block is cut
+   into chunks of half the bound, and every two chunks are searched together.
+
+No cap, sample or prefix of a text is used.
 """
 
 from __future__ import annotations
@@ -43,6 +48,8 @@ LINK = 80
 BROADCAST_ROWS = 1 << 20
 #: Nodes from which on a token counts as frequent.
 FREQUENT = 8
+#: Tokens of a block that one task searches; leaders of a larger block in a round, and rounds.
+BLOCK_TOKENS, LEADERS, ROUNDS = 4_000_000, 8, 3
 
 
 def least_overlap(n: int) -> int:
@@ -359,6 +366,67 @@ def _search_blocks(members: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "node long, root long")
 
 
+def _near_leaders(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(node, leader, distance, linked) of members and the leaders of their block within distance 0.4."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for node, tokens, heads in zip(*(batch.column(c).to_pylist() for c in ("node", "tokens", "heads")), strict=True):
+                own = np.frombuffer(tokens, "<u8")
+                for head in heads:
+                    other = np.frombuffer(head["tokens"], "<u8")
+                    both = len(own) if node == head["node"] else len(np.intersect1d(own, other, assume_unique=True))
+                    union = len(own) + len(other) - both
+                    if both >= Block.NEAR * union - 1e-9:
+                        rows.append((node, head["node"], 1 - both / union, 100 * both >= LINK * union))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], ["node", "leader", "distance", "linked"])
+
+    return members.join(leaders, "block").select("node", "tokens", "heads").mapInArrow(run, "node long, leader long, distance double, linked boolean")
+
+
+def _leader_round(members: DataFrame, edges: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+    """New edges, and the members that links to other components may still involve.
+
+    A member y of a ball around leader l and a member x linked to it are at most ``distance(y, l) + 0.2``
+    from l. So y needs no search if no node of another component is as near to l as that.
+    """
+    order = F.xxhash64("node", F.lit(number))
+    slots = members.groupBy("block", F.pmod(F.shiftright(order, 8), F.lit(LEADERS)).alias("slot")).agg(F.min_by(F.struct("node", "tokens"), order).alias("head"))
+    leaders = slots.groupBy("block").agg(F.collect_list("head").alias("heads"))  # LEADERS at most
+    near = checkpointed(_near_leaders(members, leaders))
+    edges = edges.union(near.where("linked and node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    component = checkpointed(connected_components(edges))
+    of = lambda name, alias: component.select(F.col("node").alias(name), F.col("component").alias(alias))
+    placed = near.join(of("node", "c"), "node", "left").join(of("leader", "d"), "leader", "left").withColumn("foreign", F.coalesce("c", "node") != F.coalesce("d", "leader"))
+    nearest = placed.where("foreign").groupBy("leader").agg(F.min("distance").alias("foreign_distance"))
+    done = near.where("linked").join(nearest, "leader", "left").where(F.col("foreign_distance").isNull() | (F.col("foreign_distance") > F.col("distance") + 0.2 + 1e-9)).select("node").distinct()
+    return edges, checkpointed(members.join(done, "node", "left_anti"))
+
+
+def _block_links(members: DataFrame) -> DataFrame:
+    """(node, root) of the linked nodes of all blocks; ``members``: block, node, n, tokens."""
+    sizes = checkpointed(members.groupBy("block").agg(F.sum("n").alias("size")).where(F.col("size") > BLOCK_TOKENS).select("block"))
+    large = sizes.count()
+    if not large:
+        return _search_blocks(members).groupBy("node").agg(F.min("root").alias("root"))
+    side = broadcast_if_small(sizes, large, BROADCAST_ROWS)
+    rest = checkpointed(members.join(side, "block", "left_semi").select("block", "node", "n", "tokens"))
+    edges = members.sparkSession.createDataFrame([], "a long, b long")
+    for number in range(ROUNDS):
+        edges, rest = _leader_round(rest, edges, number)
+        if rest.groupBy("block").agg(F.sum("n").alias("size")).where(F.col("size") > BLOCK_TOKENS).isEmpty():
+            break
+    chunks = rest.groupBy("block").agg(F.ceil(2 * F.sum("n") / BLOCK_TOKENS).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    pairs = F.when(F.col("chunks") <= 2, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != own))
+    cut = rest.join(chunks, "block").withColumn("other", F.explode(pairs)).select(F.when(F.col("chunks") <= 2, F.col("block")).otherwise(F.xxhash64("block", F.least(own, "other"), F.greatest(own, "other"))).alias("block"), "node", "tokens")
+    found = _search_blocks(members.join(side, "block", "left_anti").select("block", "node", "tokens").unionByName(cut))
+    links = edges.union(found.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+    return connected_components(links).select("node", F.col("component").alias("root"))
+
+
 def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
@@ -387,7 +455,7 @@ def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
     edges = _token_edges(_token_rows(left, lambda n: n - least_overlap(n) + 1, edges=True, frequent=_frequent_tokens(occurrences)))
     blocks = checkpointed(connected_components(edges).select("node", F.col("component").alias("block")))
     members = sets.join(broadcast_if_small(blocks, count, BROADCAST_ROWS), "node")
-    roots = checkpointed(_search_blocks(members).groupBy("node").agg(F.min("root").alias("root")))
+    roots = checkpointed(_block_links(members))
 
     labelled = all_docs.select("doc_id", "n", "node", "key").join(broadcast_if_small(roots, count, BROADCAST_ROWS), "node", "left").select("doc_id", "n", F.when(F.col("key").isNotNull(), F.coalesce("root", "node")).alias("class"))
     least = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))

@@ -76,6 +76,26 @@ def test_large_group_of_near_copies(spark):
     assert result(frame(spark, rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("bound,rounds", [(20_000, 1), (4000, 3)])
+def test_large_blocks_are_split(spark, monkeypatch, bound, rounds):
+    """Groups of near copies, chains and mixtures, with so low a bound that blocks go through leader rounds and chunks."""
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", bound)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    rng = random.Random(7)
+    rows, base = [], [f"w{i}" for i in range(120)]
+    for i in range(250):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 8])):
+            words[rng.randrange(120)] = f"v{rng.randrange(1000)}"
+        rows.append((i, " ".join(words)))
+    chain = list(base)
+    for i in range(40):
+        chain[rng.randrange(120)] = f"z{i}"
+        rows.append((1000 + i, " ".join(chain)))
+    rows += [(2000 + i, t) for i, t in documents(6)]
+    assert result(frame(spark, rows)) == brute(rows)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 30), unique=True, min_size=1).map(sorted), min_size=1, max_size=12), st.integers(1, 12))
 def test_divide_skip_counts(lists, least):
