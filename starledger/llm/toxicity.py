@@ -33,7 +33,8 @@ SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch eu
 FEATURES = ("word_density", "stem_density", "hits", "kinds", "closest_hits", "second_person_nearness", "second_person_density", "capitals", "shouted_words", "punctuation", "exclamations", "symbols", "digits", "broken_words", "broken_hits")
 WORD = re.compile(r"[^\W\d_]+")
 BROKEN = re.compile(r"[^\W\d_]+(?:[0-9@$!*.+_-]+[^\W\d_]+)+")
-STEMS = (4, 5, 6)
+#: Lengths of word beginnings.
+STEMS = (3, 4, 5, 6, 7, 8)
 _LEET = str.maketrans("013457@$!+", "oieastasit", ".*_-")
 _KIND = np.zeros(256, np.uint8)
 _KIND[65:91] = 1
