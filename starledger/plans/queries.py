@@ -217,3 +217,81 @@ register("u1_unique_files", _unique, f"SELECT min(path) AS path, arg_min(file_si
 register("u2_matched_rows", lambda t: t.images.where("library_id = 1").select("id", "header_hash").join(_scan(t).select("header_hash").distinct(), "header_hash", "left_semi").select("id"), f"SELECT id FROM images WHERE library_id = 1 AND header_hash IN (SELECT header_hash FROM ({_SCAN}))")
 register("u3_ingest_anti_join", lambda t: _scan(t).join(t.images.where("library_id = 1").select("header_hash", text.nocase("path").alias("_path")), ["header_hash"], "left_anti").select("path"), f"SELECT path FROM ({_SCAN}) WHERE header_hash NOT IN (SELECT header_hash FROM images WHERE library_id = 1)")
 register("u3_new_files", lambda t: _scan(t).withColumn("_path", text.nocase("path")).join(t.images.where("library_id = 1").select("header_hash", text.nocase("path").alias("_path")), ["header_hash", "_path"], "left_anti").select("path", "header_hash"), f"SELECT path, header_hash FROM ({_SCAN}) s WHERE NOT EXISTS (SELECT 1 FROM images i WHERE library_id = 1 AND i.header_hash = s.header_hash AND lower(i.path) = lower(s.path))")
+
+# Headers: the type, kind and column rules, on headers that follow from an image's id.
+_PIX = " with PixInsight"
+HEADER_CASES: list[tuple[list[tuple[str, object, str]], str, int, int]] = [
+    ([], "xisf", 0, 5),
+    ([("IMAGETYP", "Master Light", "")], "xisf", 1, 4),
+    ([("IMAGETYP", "LIGHT", ""), ("HISTORY", "", "Debayer" + _PIX)], "xisf", 1, 2),
+    ([("IMAGETYP", "LIGHT", ""), ("HISTORY", "", "Debayer" + _PIX)], "fits", 1, 0),
+    ([("IMAGETYP", "LIGHT", ""), ("COMMENT", "", "Integration" + _PIX)], "xisf", 1, 0),
+    ([("IMAGETYP", "Light", ""), ("PCL:Signature:Registration", "x", "")], "xisf", 1, 2),
+    ([("IMAGETYP", "FlatDark", "")], "fits", 3, 3),
+    ([("IMAGETYP", 5, ""), ("FRAMETYP", "bias frame", "")], "fits", 4, 3),
+    ([("imagetyp", "Flat Field", "")], "fits", 2, 3),
+    ([("IMAGETYP", "Science", "")], "fits", 1, 1),
+    ([("IMAGETYP", "odd", "")], "fits", 0, 0),
+    ([("IMAGETYP", "Flat", ""), ("PROGRAM", "Siril 1.2", ""), ("STACKCNT", 12, "")], "fits", 2, 4),
+    ([("IMAGETYP", "Dark", ""), ("PROGRAM", "SIRIL", "")], "fits", 3, 3),
+    ([("PROGRAM", "siril", ""), ("STACKCNT", 12, "")], "fits", 0, 2),
+]
+
+
+def _items(pairs: list[tuple[str, object, str]]) -> list[dict]:
+    from ..sources.values import item
+
+    return [item(*p) for p in pairs]
+
+
+def _header_cases(t: Tables) -> DataFrame:
+    from pyspark.sql import types as T
+
+    from ..schema import HEADER_ITEM
+    from .headers import image_kind, image_type
+
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("ext", T.StringType()), T.StructField("items", T.ArrayType(HEADER_ITEM))])
+    cases = t.spark.createDataFrame([(k, ext, _items(pairs)) for k, (pairs, ext, _, _) in enumerate(HEADER_CASES)], schema)
+    files = t.images.select("id", (F.col("id") % len(HEADER_CASES)).alias("k")).join(F.broadcast(cases), "k")  # as many rows as cases
+    typed = files.select("id", F.concat(F.lit("a."), F.col("ext")).alias("path"), F.struct("items").alias("header")).withColumn("type", image_type())
+    return typed.select("id", "type", image_kind().alias("kind"))
+
+
+register("k1_k2_types_and_kinds", _header_cases, f"SELECT id, t AS type, k AS kind FROM images JOIN (VALUES {', '.join(f'({i}, {t}, {k})' for i, (_, _, t, k) in enumerate(HEADER_CASES))}) c(i, t, k) ON id % {len(HEADER_CASES)} = i")
+
+
+def _extracted(t: Tables) -> DataFrame:
+    from .headers import header_columns
+
+    def entry(keyword: str, kind: str, value: F.Column) -> F.Column:
+        types = {"s": "string", "b": "boolean", "i": "int", "d": "double"}
+        slot = {"string": "s", "bool": "b", "int": "i", "float": "d"}[kind]
+        return F.struct(F.lit(keyword).alias("keyword"), F.lit(kind).alias("kind"), *[(value if c == slot else F.lit(None)).cast(x).alias(c) for c, x in types.items()], F.lit(None).cast("string").alias("comment"))
+
+    i = F.col("id")
+    items = F.array(
+        F.when(i % 3 == 0, entry("EXPOSURE", "int", i % 300)).when(i % 3 == 1, entry("EXPOSURE", "float", F.col("exposure"))).otherwise(entry("EXPOSURE", "string", F.lit("x"))),
+        F.when(i % 5 != 0, entry("EXPTIME", "float", F.lit(7.5))), entry("FOCALLEN", "int", F.lit(800)), entry("XPIXSZ", "float", F.col("pixel_size")),
+        F.when(i % 2 == 0, entry("CCD-TEMP", "int", i % 20)).otherwise(entry("CCD-TEMP", "float", F.col("camera_temperature"))),
+        entry("CCD-GAIN", "int", F.col("camera_gain")), entry("XBINNING", "float", F.lit(2.9)), entry("OBJECT", "string", F.concat(F.lit(" "), F.col("object_name"), F.lit(" "))),
+        entry("FILTER", "bool", F.lit(True)), entry("FILTER", "string", F.lit("second")), entry("Telescop", "string", F.lit("Scope")), entry("DATE-OBS", "string", F.date_format("observation_timestamp_utc", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), entry("DATE-LOC", "string", F.lit("not a time")),
+    )
+    columns = header_columns()
+    chosen = ["exposure", "focal_length", "pixel_size", "camera_temperature", "camera_gain", "binning", "object_name", "filter_name", "telescope_name", "observation_timestamp_utc", "observation_timestamp_local", "airmass"]
+    return t.images.select("id", F.struct(items.alias("items")).alias("header")).select("id", *[columns[c].alias(c) for c in chosen])
+
+
+register("e1_e2_extraction", _extracted, "SELECT id, coalesce(CASE WHEN id % 3 = 1 THEN exposure END, CASE WHEN id % 5 <> 0 THEN 7.5::DOUBLE END, CASE WHEN id % 3 = 0 THEN CAST(id % 300 AS DOUBLE) END) AS exposure, NULL AS focal_length, pixel_size, CASE WHEN id % 2 = 0 THEN CAST(id % 20 AS DOUBLE) ELSE camera_temperature END AS camera_temperature, camera_gain, 2 AS binning, object_name, NULL AS filter_name, 'Scope' AS telescope_name, observation_timestamp_utc, NULL AS observation_timestamp_local, NULL AS airmass FROM images")
+
+
+def _numbers(t: Tables) -> DataFrame:
+    from ..functions.numbers import parsed_float, parsed_int
+
+    i = F.col("id")
+    raw = F.when(i % 7 == 0, i.cast("string")).when(i % 7 == 1, F.concat(F.lit("+"), i.cast("string"))).when(i % 7 == 2, F.concat(i.cast("string"), F.lit(".5D+02"))).when(i % 7 == 3, F.concat(i.cast("string"), F.lit("e-2"))).when(i % 7 == 4, F.concat(i.cast("string"), F.lit("f"))).when(i % 7 == 5, F.lit("3000000000")).otherwise("NOTANUMBER")
+    return t.images.select("id", raw.alias("raw")).select("id", parsed_int("raw").alias("as_int"), parsed_float("raw").alias("as_float"))
+
+
+register("p1_p2_numbers", _numbers, "SELECT id, CASE WHEN id % 7 IN (0, 1) THEN CAST(id AS INT) END AS as_int, CASE id % 7 WHEN 0 THEN CAST(id AS DOUBLE) WHEN 1 THEN CAST(id AS DOUBLE) WHEN 2 THEN (id + 0.5::DOUBLE) * 100 WHEN 3 THEN CAST(id AS DOUBLE) / 100 WHEN 5 THEN 3000000000::DOUBLE END AS as_float FROM images")
+register("s6_equipment_json", lambda t: export.equipment_filters(t.tags.select(F.format_string('{"count": 1, "results": [{"id": %d, "brandName": "Brand", "name": "%s"}]}', F.col("id"), F.col("name")).alias("json"))), "SELECT CAST(id AS INT) AS id, concat('Brand ', name) AS name FROM tags")
+register("u6_scan_summary", lambda t: _scan(t).join(t.images.where("library_id = 1").select("header_hash", F.col("file_size").alias("_size")).distinct(), "header_hash", "left").select(F.when(F.col("_size").isNull(), "added").when(F.col("_size") != F.col("file_size"), "updated").otherwise("skipped").alias("status")).groupBy("status").agg(F.count("*").alias("count")), f"SELECT CASE WHEN i.file_size IS NULL THEN 'added' WHEN i.file_size <> s.file_size THEN 'updated' ELSE 'skipped' END AS status, count(*) AS count FROM ({_SCAN}) s LEFT JOIN (SELECT DISTINCT header_hash, file_size FROM images WHERE library_id = 1) i ON i.header_hash = s.header_hash GROUP BY 1")
