@@ -56,7 +56,7 @@ class Lexicon:
         class Codes(dict):
             def __missing__(self, word: str) -> int:
                 code = 1 if word in words else 2 if any(word[:k] in stems for k in STEMS if len(word) >= k) else 4 if word in second else 0
-                if len(self) > 500_000:
+                if len(self) > 100_000:
                     self.clear()
                 self[word] = code
                 return code
@@ -165,11 +165,12 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: f
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: increasing margins and the rising share of ones there."""
-    order = np.argsort(raw, kind="stable")
+    """Pool adjacent violators over distinct margins: increasing mean margins and the rising share of ones there."""
+    values, at, rows = np.unique(raw, return_inverse=True, return_counts=True)
+    ones = np.bincount(at, y, len(values))
     blocks: list[list[float]] = []  # sum of y, rows, sum of margins
-    for m, v in zip(raw[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([v, 1, m])
+    for m, n, v in zip(values.tolist(), rows.tolist(), ones.tolist(), strict=True):
+        blocks.append([v, n, m * n])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
@@ -197,28 +198,37 @@ def _terms(words: list[str]) -> Iterator[tuple[str, int]]:
                 yield f"s:{w[:k]}", i
 
 
-def learn_lexicon(train: DataFrame, least_texts: int = 7, least_odds: float = 20.0, least_contexts: int = 6, most_terms: int = 20_000) -> Lexicon:
-    """Fixed insults and the terms that set toxic training texts apart. ``train``: text, toxic; bounded by the caller."""
+def learn_lexicon(train: DataFrame, least_texts: int = 7, least_odds: float = 20.0, least_contexts: int = 6, most_terms: int = 100_000) -> Lexicon:
+    """Fixed insults and the terms that set toxic training texts apart. ``train``: text, toxic; bounded by the caller.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            by = (Counter(), Counter())
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                by[toxic].update({t for t, _ in _terms(WORD.findall((text or "").lower()))})
-            terms = list(by[1])  # a term that no toxic text of the batch has still counts against
-            rest = [t for t in by[0] if t not in by[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(terms + rest), pa.array([by[1][t] for t in terms] + [0] * len(rest), pa.int64()), pa.array([by[0][t] for t in terms + rest], pa.int64())], ["term", "pos", "neg"])
+    Terms are counted in toxic texts first; only those in ``least_texts`` of them (the ``most_terms``
+    most frequent) are then counted in the others, so workers hold few terms at a time.
+    """
+
+    def count(known: frozenset | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(whole, "text", 1 << 20):
+                    texts = Counter()
+                    for text in batch.column("text").to_pylist():
+                        terms = {t for t, _ in _terms(WORD.findall((text or "").lower()))}
+                        texts.update(terms if known is None else terms & known)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.string()), pa.array(list(texts.values()), pa.int64())], ["term", "texts"])
+
+        return run
+
+    def counted(rows: DataFrame, known: frozenset | None = None) -> DataFrame:
+        return rows.mapInArrow(count(known), "term string, texts long").groupBy("term").agg(F.sum("texts").alias("texts"))
 
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Lexicon()
-    odds = ((F.col("pos") + 0.5) / (sizes[1] + 1)) / ((F.col("neg") + 0.5) / (sizes[0] + 1))
-    found = train.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = found.where((F.col("pos") >= least_texts) & (odds >= least_odds)).orderBy(F.desc("pos"), "term").limit(most_terms)
-    likely = frozenset(r["term"] for r in found.collect())
+    pos = {r["term"]: r["texts"] for r in counted(train.where("toxic = 1")).where(F.col("texts") >= least_texts).orderBy(F.desc("texts"), "term").limit(most_terms).collect()}
+    neg = {r["term"]: r["texts"] for r in counted(train.where("toxic = 0"), frozenset(pos)).collect()}
+    likely = frozenset(t for t, n in pos.items() if (n + 0.5) / (sizes[1] + 1) >= least_odds * (neg.get(t, 0) + 0.5) / (sizes[0] + 1))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 20)):
             seen = set()
             for text in batch.column("text").to_pylist():
                 words = WORD.findall((text or "").lower())
