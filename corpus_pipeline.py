@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starledger.llm import decontam, jaccard, line_dedup, packing, toxicity
-from starledger.llm.common import table
+from starledger.llm.common import broadcast_if_small, checkpointed, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -40,8 +40,8 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Equal ids stay together: of several rows of the smallest id, all do.
     """
     groups = jaccard.near_components(docs)
-    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.select(*COLUMNS).join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    dropped = checkpointed(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct())
+    return docs.select(*COLUMNS).join(broadcast_if_small(dropped, dropped.count(), jaccard.BROADCAST_ROWS), F.col("doc_id") == F.col("_dropped"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,12 +63,20 @@ STAGES = [
 ]
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written below the session's ``spark.checkpoint.dir``."""
+    """All stages over ``documents``; what each returns is written below the session's ``spark.checkpoint.dir`` and removed when the next one is done."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="starledger-pipeline-")
     folder = f"{base}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _remove(spark, before)
+        before = f"{folder}/{name}"
     return docs

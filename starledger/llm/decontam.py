@@ -24,11 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices
+from .common import broadcast_if_small, checkpointed, fresh, slices
 from .hashing import NOT_ALNUM, shingle_hashes, word_hashes
 
 #: Items sent to the workers at once.
 ITEM_BLOCK = 20_000
+#: Ids of contaminated documents that may be broadcast.
+BROADCAST_ROWS = 1 << 20
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -179,5 +181,5 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: flo
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, radius: int = 23) -> DataFrame:
     """``docs`` without the documents that contain a benchmark item; all columns stay."""
     (name,) = fresh(docs, "_hit")
-    hit = contaminations(docs, benchmark, k, least, radius).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col(name), "left_anti")
+    hit = checkpointed(contaminations(docs, benchmark, k, least, radius).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(broadcast_if_small(hit, hit.count(), BROADCAST_ROWS), F.col("doc_id") == F.col(name), "left_anti")
