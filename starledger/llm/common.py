@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows that one Arrow batch may hold; texts are long, so batches stay far below Spark's default.
 ARROW_ROWS = 1000
 #: Bytes of text that one vectorised step works on.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -208,7 +208,7 @@ def learn_lexicon(train: DataFrame, least_texts: int = 7, least_odds: float = 20
     def count(known: frozenset | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in slices(whole, "text", 1 << 20):
+                for batch in slices(whole, "text", 1 << 18):
                     texts = Counter()
                     for text in batch.column("text").to_pylist():
                         terms = {t for t, _ in _terms(WORD.findall((text or "").lower()))}
@@ -228,7 +228,7 @@ def learn_lexicon(train: DataFrame, least_texts: int = 7, least_odds: float = 20
     likely = frozenset(t for t, n in pos.items() if (n + 0.5) / (sizes[1] + 1) >= least_odds * (neg.get(t, 0) + 0.5) / (sizes[0] + 1))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 18)):
             seen = set()
             for text in batch.column("text").to_pylist():
                 words = WORD.findall((text or "").lower())
@@ -274,9 +274,6 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> tuple
     return lexicon, fit(x, got["toxic"].to_numpy(np.float64))
 
 
-SCORED = "doc_id long, score double"
-
-
 def score_texts(docs: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
     """``docs`` with a double column ``score``, one pass over whole texts."""
     schema = docs.drop("score").withColumn("score", F.lit(0.0)).schema
