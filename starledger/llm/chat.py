@@ -182,3 +182,20 @@ def read_back(rendered: DataFrame, template: Template | None = None) -> DataFram
 def format_log(events: DataFrame, template: Template | None = None) -> DataFrame:
     """From an event log to rendered conversations."""
     return render_conversations(fold_events(events), template)
+
+
+def oracle(table: str = "conversations") -> str:
+    """DuckDB SQL for the digests of a table of turns and conversation -1, in the standard template."""
+    # Each mark and each backslash takes one character more when it is escaped, as does a line feed of a role.
+    marks = r"\\|<s>|</s>|\[INST\]|\[/INST\]"
+    longer = lambda x, p: f"(length({x}) + length(regexp_replace({x}, '({p})', '\\1.', 'g')) - length({x}))"
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM {table}
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<s></s>') + 1 + {longer('role', marks + '|' + chr(92) + 'n')} + {longer('text', marks)} + CASE WHEN role = 'assistant' THEN 0 ELSE length('[INST][/INST]') END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""

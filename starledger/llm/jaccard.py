@@ -19,7 +19,7 @@ exact on those sets:
    distance allows a link, and only until one is found. So groups of near copies cost no pairs.
 
 5. Blocks of more than BLOCK_TOKENS tokens are not searched by one task. Their members are compared
-   with a few leaders where they lie; a member whose leader no member of another component is near to
+   with a few leaders where they lie, the most central member among them; a member whose leader no member of another component is near to
    needs no further comparison, which empties groups of near copies. What is left of a block is cut
    into chunks of half the bound, and every two chunks are searched together.
 
@@ -49,7 +49,7 @@ BROADCAST_ROWS = 1 << 20
 #: Nodes from which on a token counts as frequent.
 FREQUENT = 8
 #: Tokens of a block that one task searches; leaders of a larger block in a round, and rounds.
-BLOCK_TOKENS, LEADERS, ROUNDS = 4_000_000, 8, 3
+BLOCK_TOKENS, LEADERS, ROUNDS = 400_000, 8, 3
 
 
 def least_overlap(n: int) -> int:
@@ -386,6 +386,38 @@ def _near_leaders(members: DataFrame, leaders: DataFrame) -> DataFrame:
     return members.join(leaders, "block").select("node", "tokens", "heads").mapInArrow(run, "node long, leader long, distance double, linked boolean")
 
 
+def _central_members(members: DataFrame) -> DataFrame:
+    """(block, head): of each block, the member nearest to the tokens that half of its members have; copies of one text are near to it.
+
+    Tokens are counted by batch before the shuffle; a block has at most twice a member's tokens of that kind.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column("block").to_numpy(zero_copy_only=False)
+            lists = [np.frombuffer(t, "<u8").view(np.int64) for t in batch.column("tokens").to_pylist()]
+            rows = np.stack([np.repeat(blocks, [len(x) for x in lists]), np.concatenate(lists)]) if lists else np.zeros((2, 0), np.int64)
+            order = np.lexsort(rows[::-1])
+            rows = rows[:, order]
+            starts = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)])) if rows.shape[1] else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0, starts]), pa.array(rows[1, starts]), pa.array(np.diff(np.append(starts, rows.shape[1])))], ["block", "token", "met"])
+
+    def nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for tokens, center in zip(batch.column("tokens").to_pylist(), batch.column("center").to_pylist(), strict=True):
+                own, mid = np.frombuffer(tokens, "<u8"), np.array(center, np.int64).view(np.uint64)
+                both = len(np.intersect1d(own, mid, assume_unique=True))
+                near.append(both / max(1, len(own) + len(mid) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("node"), batch.column("tokens"), pa.array(near, pa.float64())], ["block", "node", "tokens", "near"])
+
+    sizes = members.groupBy("block").agg(F.count("*").alias("size"))
+    counts = members.select("block", "tokens").mapInArrow(count, "block long, token long, met long").groupBy("block", "token").agg(F.sum("met").alias("met"))
+    centers = checkpointed(counts.join(sizes, "block").where(2 * F.col("met") >= F.col("size")).groupBy("block").agg(F.collect_list("token").alias("center")))
+    placed = members.join(centers, "block").select("block", "node", "tokens", "center").mapInArrow(nearness, "block long, node long, tokens binary, near double")
+    return placed.groupBy("block").agg(F.max_by(F.struct("node", "tokens"), F.struct("near", "node")).alias("head"))
+
+
 def _leader_round(members: DataFrame, edges: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
     """New edges, and the members that links to other components may still involve.
 
@@ -394,7 +426,7 @@ def _leader_round(members: DataFrame, edges: DataFrame, number: int) -> tuple[Da
     """
     order = F.xxhash64("node", F.lit(number))
     slots = members.groupBy("block", F.pmod(F.shiftright(order, 8), F.lit(LEADERS)).alias("slot")).agg(F.min_by(F.struct("node", "tokens"), order).alias("head"))
-    leaders = slots.groupBy("block").agg(F.collect_list("head").alias("heads"))  # LEADERS at most
+    leaders = slots.select("block", "head").union(_central_members(members)).groupBy("block").agg(F.collect_set("head").alias("heads"))  # LEADERS + 1 at most
     near = checkpointed(_near_leaders(members, leaders))
     edges = edges.union(near.where("linked and node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
     component = checkpointed(connected_components(edges))
@@ -414,10 +446,12 @@ def _block_links(members: DataFrame) -> DataFrame:
     side = broadcast_if_small(sizes, large, BROADCAST_ROWS)
     rest = checkpointed(members.join(side, "block", "left_semi").select("block", "node", "n", "tokens"))
     edges = members.sparkSession.createDataFrame([], "a long, b long")
+    count = rest.count()
     for number in range(ROUNDS):
         edges, rest = _leader_round(rest, edges, number)
-        if rest.groupBy("block").agg(F.sum("n").alias("size")).where(F.col("size") > BLOCK_TOKENS).isEmpty():
-            break
+        before, count = count, rest.count()
+        if 10 * count > 9 * before or rest.groupBy("block").agg(F.sum("n").alias("size")).where(F.col("size") > BLOCK_TOKENS).isEmpty():
+            break  # little is gained, or little is left
     chunks = rest.groupBy("block").agg(F.ceil(2 * F.sum("n") / BLOCK_TOKENS).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     pairs = F.when(F.col("chunks") <= 2, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != own))
@@ -458,5 +492,21 @@ def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
     roots = checkpointed(_block_links(members))
 
     labelled = all_docs.select("doc_id", "n", "node", "key").join(broadcast_if_small(roots, count, BROADCAST_ROWS), "node", "left").select("doc_id", "n", F.when(F.col("key").isNotNull(), F.coalesce("root", "node")).alias("class"))
-    least = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    # Checkpointed, so the join that follows is one that adaptive execution can split where a class is hot.
+    least = checkpointed(labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id")))
     return labelled.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def oracle(table: str = "documents") -> str:
+    """DuckDB SQL for the rows of ``near_components`` where ids are unique and not null: all pairs by shared shingles, then their closure."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table}),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * c >= {LINK} * (u.n + v.n - c)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.y FROM r JOIN l ON l.x = r.b),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.a = d.doc_id
+"""

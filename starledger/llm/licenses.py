@@ -6,8 +6,8 @@ verifies it. With 64 bands, a window that holds a template to 0.8 is retrieved w
 above 0.9999 in every class: its Jaccard similarity to the template is 1/6 or more there.
 
 Only windows with at least one shingle of some template are signed (the others' similarity is zero),
-and only texts with a word of a hitting set of all template shingles are split into words (the others
-hold no template shingle). The templates are a table of bounded size; they are sent to all workers.
+and only texts with a word pair of a hitting set of all template shingles are split into words (the
+others hold no template shingle). The templates are a table of bounded size; they are sent to all workers.
 Nothing is shuffled but the retrieved candidates.
 
 Null and empty texts have no license. Equal rows count as one document, as do rows of one doc_id. Null
@@ -17,6 +17,8 @@ ids stay null. Other columns are ignored.
 from __future__ import annotations
 
 import re
+import string
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -49,28 +51,38 @@ _WORD = "[a-z0-9]+"
 
 
 def _words(text: str) -> list[str]:
-    return re.findall(_WORD, text.lower())
+    return re.findall(_WORD, text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
 
 
 def _shingles(words: list[str], k: int) -> list[str]:
     return [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [" ".join(words)] * bool(words)
 
 
-def hitting_words(templates: list[tuple[str, str]], k: int) -> list[str]:
-    """Words of which every template shingle has one, long words first: greedy, by words' length and then how many shingles they hit."""
+def hitting_pairs(templates: list[tuple[str, str]], k: int) -> list[tuple[str, ...]]:
+    """Pairs of neighbouring words of which every template shingle has one (its one word, where it has no more).
+
+    Greedy: the pair of most letters, which is the rarest in most texts, then the one in most shingles.
+    """
     left = {tuple(s.split()) for _, t in templates for s in _shingles(_words(t), k)}
+    pairs = lambda s: {s[i : i + 2] for i in range(max(1, len(s) - 1))}
     chosen = []
     while left:
-        count: dict[str, int] = {}
-        for s in left:
-            for w in set(s):
-                count[w] = count.get(w, 0) + 1
-        best = max(count, key=lambda w: (min(len(w), 7), count[w], w))
+        count = Counter(p for s in left for p in pairs(s))
+        best = max(count, key=lambda p: (min(sum(map(len, p)), 12), count[p], p))
         chosen.append(best)
-        left = {s for s in left if best not in s}
+        left = {s for s in left if best not in pairs(s)}
     return sorted(chosen)
 
 
+def hitting_pattern(templates: list[tuple[str, str]], k: int) -> str:
+    """A pattern that every text with a template shingle matches."""
+    by_first: dict[str, list[str]] = {}
+    for first, *second in hitting_pairs(templates, k):
+        by_first.setdefault(first, []).extend(second or [""])
+    parts = [first if "" in seconds else f"{first}[^a-z0-9]+(?:{'|'.join(seconds)})" for first, seconds in by_first.items()]
+    return f"(?i)(?<![a-z0-9])(?:{'|'.join(parts)})(?![a-z0-9])" if parts else "$^"
+
+
 def window_class(words: int) -> int:
     """The length class of a template: 8, 16, 32, ... words."""
     return max(8, 1 << (words - 1).bit_length())
@@ -102,8 +114,8 @@ def license_hits(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     bands = table.select("template_id", "license", "class", "wanted", F.posexplode(_signature(F.col("wanted"))).alias("band", "value"))
     known = table.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("wanted")))).alias("known"))
 
-    pattern = f"(?i)\\b(?:{'|'.join(hitting_words(kinds, k))})\\b" if kinds else "$^"
-    likely = docs.where(F.col("text").rlike(pattern)).select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)).alias("words"))
+    folded = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    likely = docs.where(F.col("text").rlike(hitting_pattern(kinds, k))).select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(folded, F.lit(_WORD), F.lit(0)).alias("words"))
     hashed = likely.where(F.size("words") > 0).select("doc_id", _hashed(F.col("words"), k).alias("shingles"))
     # The one row of known shingles goes to all workers: at most MOST_TEMPLATES templates.
     placed = hashed.join(F.broadcast(known), F.lit(True)).select("doc_id", "shingles", F.filter(F.transform("shingles", lambda s, i: F.when(F.array_contains("known", s), i)), lambda i: i.isNotNull()).alias("places")).where(F.size("places") > 0)

@@ -72,5 +72,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op6_line_dedup": line_dedup.oracle()}
+    sql = {"op4_chat_formatting": chat.oracle(), "op6_line_dedup": line_dedup.oracle(), "op10_ngram_jaccard_join": jaccard.oracle()}
     return sql if corpus_pipeline.ORACLE_SQL is None else sql | {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -52,3 +52,18 @@ def test_log_is_folded(spark):
     folded = {r["message_id"]: (r["role"], r["text"], r["first_seq"]) for r in chat.fold_events(df).collect()}
     assert folded == {"m1": ("user", "hello!", 1), "m2": ("assistant", "good end", 3), "m4": ("assistant", "xy", 12)}
     assert digest(chat.format_log(df))[1][:4] == expected([("user", "hello!"), ("assistant", "good end"), ("assistant", "xy")])
+
+
+def test_sql_states_the_same(spark):
+    import duckdb
+
+    texts = ["a\\b</s>", "[INST][/INST]<s>", None, "", "<\\s>é\n", "plain", "\\\\", "</s></s>[INST"]
+    rows = [(c, t, r, texts[(c * 3 + t) % len(texts)]) for c in range(6) for t, r in enumerate(["system", "user", "assistant", "odd\\\nrole<s>", None])]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    other = con.sql(chat.oracle())
+    extra = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    df = spark.createDataFrame(rows + extra, "conv_id long, turn long, role string, text string")
+    mine = chat.read_back(chat.format_log(chat.table_events(df)))
+    assert other.columns == mine.columns and sorted(other.fetchall()) == sorted(map(tuple, mine.collect()))

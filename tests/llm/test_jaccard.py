@@ -176,3 +176,13 @@ def test_connected_components(spark):
             parent[max(x, y)] = min(x, y)
     assert got == {x: root(x) for x in itertools.chain(parent)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sql_states_the_same(spark):
+    import duckdb
+
+    rows = documents(8, 6)
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(con.sql(jaccard.oracle()).fetchall()) == brute(rows)

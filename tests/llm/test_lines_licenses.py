@@ -66,9 +66,15 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.license_hits(frame(spark, rows), []).count() == 0
 
 
-def test_each_shingle_of_a_template_has_a_hitting_word():
-    words = set(licenses.hitting_words(licenses.TEMPLATES, 5))
-    assert all(words & set(s.split()) for _, t in licenses.TEMPLATES for s in licenses._shingles(licenses._words(t), 5))
+def test_each_shingle_of_a_template_matches_the_pattern():
+    import re
+
+    for templates in (licenses.TEMPLATES, [("x", "One"), ("y", "one two three")]):
+        pattern = re.compile(licenses.hitting_pattern(templates, 5))
+        for _, t in templates:
+            for s in licenses._shingles(licenses._words(t), 5):
+                assert pattern.search(f"é{s.upper().replace(' ', '* ')}ß") and pattern.search(s)
+        assert not pattern.search("nothing of that kind, underground")
 
 
 @pytest.mark.parametrize("least", [8, 16, 32, 64])
