@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -231,45 +232,51 @@ def _token_edges(rows: DataFrame) -> DataFrame:
     return _by_token(rows).mapInArrow(run, "a long, b long").distinct()
 
 
-def divide_skip(lists: list[list[int]], least: int, mu: float = 0.0085) -> dict[int, int]:
-    """Numbers that occur in at least ``least`` of the ascending ``lists``, with their counts.
+def divide_skip(lists: list[tuple[list[int], int]], least: int, mu: float = 0.0085) -> dict[int, int]:
+    """Numbers whose ascending lists weigh ``least`` or more together, with that weight; ``lists``: (list, weight).
 
     The longest lists are set aside; the others are merged by a heap that skips numbers which can't
     reach the rest of the threshold; what reaches it is looked up in the long lists by bisection.
     """
-    if len(lists) < least:
+    if sum(w for _, w in lists) < least:
         return {}
-    lists = sorted(lists, key=len, reverse=True)
-    long_ones = min(least - 1, int(least / (mu * max(1, len(lists[0])).bit_length() + 1)), len(lists) - 1)
-    apart, merged, need = lists[:long_ones], lists[long_ones:], least - long_ones
+    lists = sorted(lists, key=lambda x: len(x[0]), reverse=True)
+    bound = min(least - 1, int(least / (mu * max(1, len(lists[0][0])).bit_length() + 1)))
+    cut, aside = 0, 0
+    while cut < len(lists) - 1 and aside + lists[cut][1] <= bound:
+        aside += lists[cut][1]
+        cut += 1
+    apart, merged, need = lists[:cut], lists[cut:], least - aside
     found: dict[int, int] = {}
-    heap = [(x[0], i, 0) for i, x in enumerate(merged)]
+    heap = [(x[0], i, 0) for i, (x, _) in enumerate(merged)]
     heapq.heapify(heap)
-    while len(heap) >= need:
-        value = heap[0][0]
-        popped = []
+    while heap:
+        value, held, popped = heap[0][0], 0, []
         while heap and heap[0][0] == value:
             popped.append(heapq.heappop(heap))
-        if len(popped) >= need:
-            count, left = len(popped), len(apart)
-            for x in apart:
+            held += merged[popped[-1][1]][1]
+        if held >= need:
+            left = aside
+            for x, w in apart:
                 at = bisect_left(x, value)
-                count += at < len(x) and x[at] == value
-                left -= 1
-                if count + left < least:
+                if at < len(x) and x[at] == value:
+                    held += w
+                left -= w
+                if held + left < least:
                     break
             else:
-                if count >= least:
-                    found[value] = count
+                if held >= least:
+                    found[value] = held
             target = value + 1
         else:
-            while heap and len(popped) < need - 1:
+            while heap and held + merged[heap[0][1]][1] < need:  # these lists alone can't reach the threshold
                 popped.append(heapq.heappop(heap))
+                held += merged[popped[-1][1]][1]
             if not heap:
                 break
             target = heap[0][0]
         for _, i, at in popped:
-            x = merged[i]
+            x = merged[i][0]
             at = bisect_left(x, target, at)
             if at < len(x):
                 heapq.heappush(heap, (x[at], i, at))
@@ -277,7 +284,11 @@ def divide_skip(lists: list[list[int]], least: int, mu: float = 0.0085) -> dict[
 
 
 class Block:
-    """Links among the sets of one block, as a forest over their positions."""
+    """Links among the sets of one block, as a forest over their positions.
+
+    Tokens that the same leaders have share one inverted list, whose weight in a query is how many of
+    them the query has. So a group of near copies has few lists.
+    """
 
     #: Two steps of distance 0.2 from a leader.
     NEAR = 0.6
@@ -287,7 +298,9 @@ class Block:
         self.parent: list[int] = []
         self.leaders: list[int] = []
         self.balls: list[list[tuple[int, float]]] = []  # by leader: position and distance
-        self.index: dict[int, int | list[int]] = {}
+        self.group: dict[int, int] = {}  # by token: its list
+        self.lists: list[list[int]] = []
+        self.sizes: list[int] = []  # tokens of each list
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
@@ -304,7 +317,9 @@ class Block:
         self.sets.append(tokens)
         self.parent.append(me)
         values = tokens.tolist()
-        lists = [x if isinstance(x, list) else [x] for x in map(self.index.get, values) if x is not None]
+        weights = Counter(map(self.group.get, values))
+        new = weights.pop(None, 0)
+        lists = [(self.lists[g], w) for g, w in weights.items()]
         near = []
         for at, both in divide_skip(lists, max(1, int(np.ceil(self.NEAR * n - 1e-9)))).items():
             union = n + len(self.sets[self.leaders[at]]) - both
@@ -324,15 +339,31 @@ class Block:
         if near and near[0][2]:
             self.balls[near[0][1]].append((me, near[0][0]))
         else:
-            for v in values:
-                held = self.index.setdefault(v, len(self.leaders))
-                if isinstance(held, list):
-                    held.append(len(self.leaders))
-                elif held != len(self.leaders):
-                    self.index[v] = [held, len(self.leaders)]
+            self._enter(values, weights, new)
             self.leaders.append(me)
             self.balls.append([])
 
+    def _enter(self, values: list[int], weights: Counter, new: int) -> None:
+        """Put a new leader's tokens in the lists: a list whose tokens it has but in part is split."""
+        me, moved = len(self.leaders), {}
+        for g, w in weights.items():
+            if w == self.sizes[g]:
+                self.lists[g].append(me)
+            else:
+                moved[g] = len(self.lists)
+                self.lists.append([*self.lists[g], me])
+                self.sizes.append(w)
+                self.sizes[g] -= w
+        if new:
+            moved[None] = len(self.lists)
+            self.lists.append([me])
+            self.sizes.append(new)
+        if moved:
+            for v in values:
+                g = self.group.get(v)
+                if g in moved:
+                    self.group[v] = moved[g]
+
     @staticmethod
     def _linked(a: np.ndarray, b: np.ndarray) -> bool:
         if 100 * min(len(a), len(b)) < LINK * max(len(a), len(b)):

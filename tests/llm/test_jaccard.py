@@ -96,11 +96,13 @@ def test_large_blocks_are_split(spark, monkeypatch, bound, rounds):
     assert result(frame(spark, rows)) == brute(rows)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 30), unique=True, min_size=1).map(sorted), min_size=1, max_size=12), st.integers(1, 12))
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 30), unique=True, min_size=1).map(sorted), st.integers(1, 5)), min_size=1, max_size=12), st.integers(1, 30))
 def test_divide_skip_counts(lists, least):
-    expected = {v: n for v, n in Counter(v for x in lists for v in x).items() if n >= least}
-    assert jaccard.divide_skip(lists, least) == expected
+    total = Counter()
+    for x, w in lists:
+        total.update(dict.fromkeys(x, w))
+    assert jaccard.divide_skip(lists, least) == {v: n for v, n in total.items() if n >= least}
 
 
 @settings(max_examples=100, deadline=None)
