@@ -35,6 +35,7 @@ WORD = re.compile(r"[^\W\d_]+")
 BROKEN = re.compile(r"[^\W\d_]+(?:[0-9@$!*.+_-]+[^\W\d_]+)+")
 #: Lengths of word beginnings.
 STEMS = (3, 4, 5, 6, 7, 8)
+_SHOUTED = re.compile(r"\b[A-Z]{3,}\b")
 _LEET = str.maketrans("013457@$!+", "oieastasit", ".*_-")
 _KIND = np.zeros(256, np.uint8)
 _KIND[65:91] = 1
@@ -42,6 +43,9 @@ _KIND[[ord(c) for c in ".,;:?'\"()-"]] = 2
 _KIND[ord("!")] = 3
 _KIND[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]] = 4
 _KIND[48:58] = 5
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+_SIGN[[ord(c) for c in "0123456789@$!*.+_-"]] = True
 
 
 @dataclass
@@ -74,7 +78,10 @@ def features(text: str, codes: dict) -> np.ndarray:
     code = np.fromiter(map(codes.__getitem__, words), np.uint8, len(words))
     at = np.flatnonzero((code == 1) | (code == 2))
     second = np.flatnonzero(code == 4)
-    kinds = np.bincount(_KIND[np.frombuffer(text.encode(), np.uint8)], minlength=6)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    kind = _KIND[raw]
+    kinds = np.bincount(kind, minlength=6)
+    capital, letter, sign = kind == 1, _LETTER[raw], _SIGN[raw]
     size = max(1, len(text))
     out[0] = 100 * np.count_nonzero(code == 1) / n
     out[1] = 100 * np.count_nonzero(code == 2) / n
@@ -88,9 +95,10 @@ def features(text: str, codes: dict) -> np.ndarray:
         out[5] = 1 / gap.min()
     out[6] = 100 * len(second) / n
     out[7] = kinds[1] / size
-    out[8] = len(re.findall(r"\b[A-Z]{3,}\b", text)) / n
+    if (capital[2:] & capital[1:-1] & capital[:-2]).any():
+        out[8] = len(_SHOUTED.findall(text)) / n
     out[9], out[10], out[11], out[12] = (kinds[2:6] / size).tolist()
-    if kinds[4] or kinds[5] or kinds[3] or kinds[2]:
+    if (letter[:-1] & sign[1:]).any() and (sign[:-1] & letter[1:]).any():
         broken = BROKEN.findall(text)
         out[13] = len(broken) / n
         out[14] = sum(codes[x.lower().translate(_LEET)] in (1, 2) for x in broken)
