@@ -20,11 +20,12 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,62 +241,120 @@ def induce(pages: list[str]) -> dict:
     return {"region": list(region), "template": [t for t in template if t[: len(region)] == list(region)]}
 
 
+def _path_hash(above: int, label: str, known: dict[tuple[int, str], int]) -> int:
+    """The hash of a path of labels, from that of the path above; the same on every worker."""
+    key = (above, label)
+    if key not in known:
+        if len(known) > 100_000:
+            known.clear()
+        known[key] = xxhash.xxh3_64_intdigest(label.encode("utf-8", "surrogatepass"), above)
+    return known[key]
+
+
+_PATHS: dict[tuple[int, str], int] = {}
+ROOT = _path_hash(0, "#", _PATHS)
+
+
+def path_hash(labels: Iterable[str]) -> int:
+    at = 0
+    for label in labels:
+        at = _path_hash(at, label, _PATHS)
+    return at
+
+
+def _runs(top: Node, path: int) -> Iterator[tuple[int, str]]:
+    """(path hash, text) of each unbroken run of text below ``top``, without parts that are never main text."""
+    run: list[str] = []
+    todo: list[tuple] = [(p, path) for p in reversed(top.parts)]
+    at = path
+
+    def block() -> str:
+        text = _SPACE.sub(" ", "".join(run)).strip()
+        run.clear()
+        return text
+
+    while todo:
+        part, here = todo.pop()
+        if isinstance(part, str):
+            run.append(part)
+            continue
+        if part is None or part.tag != "span":
+            text = block()
+            if text:
+                yield at, text
+            at = here if part is None else at
+        if part is None or part.never:
+            continue
+        if part.tag == "span":
+            todo.extend((p, here) for p in reversed(part.parts))
+        else:
+            todo.append((None, at))
+            at = _path_hash(here, part.label, _PATHS)
+            todo.extend((p, at) for p in reversed(part.parts))
+    text = block()
+    if text:
+        yield at, text
+
+
+def mark(path: int, text: str) -> int:
+    """A signed 64-bit hash of a run of text at its path."""
+    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), path)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def marks_of(html: str) -> list[int]:
+    """The marks of all text of a page that may be main text, each once, in page order."""
+    return list(dict.fromkeys(mark(path, text) for path, text in _runs(parse(html), ROOT)))
+
+
 def extract(html: str, wrapper: dict | None = None) -> str:
-    """The main text of a page: the region's, or without one the outermost article or main element's, or else the whole page's.
+    """The main text of a page: that of its outermost article or main elements, else of the region, else of the whole page.
 
-    Inside an article or main element nothing is template: its own words may well recur.
+    Where the region lies in an article or main element and holds four fifths of its text, it stands for it.
+    Template is left out everywhere, also in articles. Article, main or region keep all if less than half
+    of their text is no template (then copies recur, not a frame), and a whole page if nothing else is left.
+    ``wrapper`` has ``region`` and ``template`` as from ``induce``, and perhaps ``marks``, the template's marks.
     """
     if not html:
         return ""
     root = parse(html)
     known = wrapper or {"region": [], "template": []}
-    region, template = tuple(known["region"]), {tuple(t) for t in known["template"]}
-    semantic: list[Node] = []
-    in_region: list[tuple[Node, tuple[str, ...]]] = []
-    todo = [(root, ("#",), False)]
+    region = path_hash(known["region"]) if known["region"] else None
+    template, marks = {path_hash(t) for t in known["template"]}, known.get("marks", ())
+    semantic: list[tuple[Node, int]] = []
+    in_region: list[tuple[Node, int]] = []
+    inside: list[tuple[Node, int]] = []
+    todo = [(root, ROOT, False)]
     while todo:
-        node, path, never = todo.pop()
-        never |= node.never
-        if never:
+        node, path, within = todo.pop()
+        if node.never:
             continue
-        if node.tag in ("article", "main"):
-            semantic.append(node)
-            continue
-        if region and path == region:
-            in_region.append((node, path))
-        todo.extend((c, (*path, c.label), never) for c in reversed(node.children))
-    if semantic:
-        tops = [(n, None) for n in semantic]
-    else:
-        tops = in_region or [(root, ("#",))]
-    blocks: list[str] = []
-
-    def flush(run: list[str]) -> None:
-        block = _SPACE.sub(" ", "".join(run)).strip()
-        if block:
-            blocks.append(block)
-        run.clear()
-
-    for top, path in tops:
-        run: list[str] = []
-        todo = [(p, path) for p in reversed(top.parts)]
-        while todo:
-            part, at = todo.pop()
-            if part is None:
-                flush(run)
-            elif isinstance(part, str):
-                run.append(part)
-            else:
-                below = (*at, part.label) if at is not None else None
-                if part.tag != "span":
-                    flush(run)
-                if part.never or below is not None and below in template:
-                    continue
-                if part.tag != "span":
-                    todo.append((None, None))
-                todo.extend((p, below) for p in reversed(part.parts))
-        flush(run)
-    return " ".join(blocks)
+        if not within and node.tag in ("article", "main"):
+            semantic.append((node, path))
+            within = True
+        if region is not None and path == region:
+            (inside if within else in_region).append((node, path))
+        if not within or region is not None:
+            todo.extend((c, _path_hash(path, c.label, _PATHS), within) for c in reversed(node.children))
+
+    def texts(tops: list[tuple[Node, int]]) -> tuple[list[str], list[str]]:
+        every, own = [], []
+        for top, path in tops:
+            for at, text in _runs(top, path):
+                every.append(text)
+                if at not in template and (not marks or mark(at, text) not in marks):
+                    own.append(text)
+        return every, own
+
+    every, own = texts(semantic or in_region or [(root, ROOT)])
+    if semantic or in_region:
+        if 2 * sum(map(len, own)) < sum(map(len, every)):
+            own = every
+        elif semantic and inside:
+            part = texts(inside)[1]
+            if 5 * sum(map(len, part)) >= 4 * sum(map(len, own)):
+                own = part
+    return " ".join(own or every)
 
 
 def host_of(url) -> F.Column:

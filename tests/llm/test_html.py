@@ -76,3 +76,18 @@ def test_deep_and_broken_pages(spark):
     df = frame(spark, [(1, "x")]).selectExpr("doc_id as page_id", "'http://d/' as url", "text as html").limit(0)
     two = spark.createDataFrame([(1, "http://d/", deep), (2, "http://d/", deep + "y")], df.schema)
     assert {r["page_id"]: r["text"] for r in html.main_text(two).collect()} == {1: "x", 2: "x y"}
+
+
+def test_template_inside_articles_goes(spark):
+    def page(i):
+        return f"<body><article><h1>Title {i}</h1><div class=by>From our own staff</div><div class=story><p>Words {i} of a story</p><p>{'more words ' * (i + 3)}</p></div><div class=tell>Tell a friend</div></article><div class=end>The end</div></body>"
+
+    body = [f"Title {i} Words {i} of a story {' '.join(['more words'] * (i + 3))}" for i in range(8)]
+    wrapper = html.induce([page(i) for i in range(4)])
+    assert html.extract(page(2), wrapper) == body[2]
+    assert "Tell a friend" in html.extract(page(2))  # nothing is known without other pages
+    # A region inside an article that doesn't hold nearly all of its text doesn't stand for it.
+    odd = "<body><article><h1>T</h1><p>Long words before a story that are not template at all</p><div class=story><p>w</p></div></article></body>"
+    assert html.extract(odd, {"region": ["#", "body", "article", "div.story"], "template": []}).startswith("T Long words")
+    got = html.main_text(spark.createDataFrame([(i, "http://h/", page(i)) for i in range(8)], "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == dict(enumerate(body))
