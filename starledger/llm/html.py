@@ -1,15 +1,21 @@
 """Main-text extraction by wrapper induction.
 
-For each host, the DOM trees of a few of its pages are aligned by simple tree matching. Nodes that
-keep their text over all aligned pages are template, varying ones are slots; the wrapper of the host
-names the region that holds the slots' text and the template nodes in it. A page's main text is what
-stands in the region, without template and without parts that are never main text (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts, styles).
-
-Scale: a host is represented by at most ``REFERENCES`` pages, chosen by an aggregate that keeps one
-page for each of so many hash classes (so a hot host is combined before the shuffle). Wrappers are a
-few hundred bytes; they are broadcast up to a counted number of hosts, else joined by host. Every
-page is parsed once, where it was read. Trees join equal siblings, and so stay small.
+Text that stands at one path of labels on TEMPLATE_SHARE of a host's pages is template; all pages
+count, each once by its text, and each item of a list by itself. Of a few of the host's pages the DOM
+trees, without template, are aligned by simple tree matching; the deepest element that holds the
+varying text is the host's region. A page's main text is what stands in its article or main element,
+which the region may narrow, else in the region, else on the whole page (see ``extract``), without
+template and without parts that are never main text (menus, headers, footers, sidebars, notices,
+adverts, forms, comments, scripts, styles).
+
+Hosts of fewer than LEAST_PAGES pages have no shares to judge by; there, template is what the aligned
+pages have in common.
+
+Scale: text is counted as 64-bit hashes of path and text, partly before the shuffle; a hot host is
+split over its pages, then over its hashes. A host has at most (texts a page / TEMPLATE_SHARE) template
+texts. The region needs at most ``REFERENCES`` pages, chosen by an aggregate that keeps one page for
+each of so many hash classes. Wrappers have no bound of their own; they are broadcast up to a counted
+number of bytes, else joined by host. Trees that are aligned join equal siblings, and so stay small.
 
 Null and empty html gives an empty text. Hosts are compared in lower case; a null or hostless url has
 the empty host. Equal rows give equal rows. Other columns are ignored.
@@ -33,10 +39,11 @@ from .common import broadcast_if_small, checkpointed, slices
 
 #: Pages of a host that are aligned.
 REFERENCES = 4
-#: Hosts whose wrappers may be broadcast (at most WRAPPER_CHARS characters each).
-BROADCAST_HOSTS = 20_000
-WRAPPER_CHARS = 2000
-#: Nodes and levels of a reference tree that are aligned; what lies later or deeper keeps its default role.
+#: Share of a host's pages that have a text of its template, and pages that a host must have to be judged by it.
+TEMPLATE_SHARE, LEAST_PAGES = 0.5, 3
+#: Bytes of wrappers that may be broadcast.
+BROADCAST_BYTES = 40_000_000
+#: Nodes and levels of a reference tree that are aligned; what lies later or deeper is text of the element around it.
 MOST_NODES, MOST_LEVELS = 2000, 100
 #: Open elements at once, as in browsers; deeper ones stand beside each other.
 MOST_OPEN = 512
@@ -156,7 +163,10 @@ def _close(stack: list[Node], tags: tuple[str, ...], within: tuple[str, ...]) ->
 
 
 def merged(node: Node, left: list[int] | None = None, level: int = 0) -> Node:
-    """A copy in which neighbouring siblings of one label are one node, of at most MOST_NODES nodes and MOST_LEVELS levels."""
+    """A copy in which neighbouring siblings of one label are one node, of at most MOST_NODES nodes and MOST_LEVELS levels.
+
+    What lies beyond them is text of the node around it.
+    """
     left = [MOST_NODES] if left is None else left
     out = Node(node.label, node.tag, node.never, [p for p in node.parts if isinstance(p, str)], node.many)
     for child in node.children:
@@ -167,6 +177,8 @@ def merged(node: Node, left: list[int] | None = None, level: int = 0) -> Node:
         elif left[0] > 0 and level < MOST_LEVELS:
             left[0] -= 1
             out.parts.append(merged(child, left, level + 1))
+        elif not child.never:
+            out.parts.append(" " + _all_text(child))
     return out
 
 
@@ -178,7 +190,7 @@ def _all_text(node: Node) -> str:
             out.append(x)
         else:
             out.append(" ")
-            todo.extend(reversed(x.parts))
+            todo.extend(p for p in reversed(x.parts) if isinstance(p, str) or not p.never)
     return "".join(out)
 
 
@@ -204,28 +216,59 @@ def tree_match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return best[-1][-1] + 1, pairs
 
 
-def induce(pages: list[str]) -> dict:
+def _without(root: Node, marks: set[int]) -> Node:
+    """``root``, with the text of its innermost elements gone where it is marked."""
+    todo = [(root, ROOT)] if marks else []
+    while todo:
+        node, path = todo.pop()
+        below = node.children
+        if not below and mark(path, node.own()) in marks:
+            node.parts = []
+        todo.extend((c, _path_hash(path, c.label, _PATHS)) for c in below)
+    return root
+
+
+def induce(pages: list[str], marks: set[int] | None = None) -> dict:
     """The wrapper of pages of one host: ``region`` (labels from the root) and ``template`` paths of constant single nodes.
 
-    The region is the deepest element that holds four fifths of the varying text, or the one around it
-    that adds nothing but a varying headline. With fewer than two different pages, or none that vary,
-    nothing is known and both are empty.
+    The region is the deepest element that holds four fifths of a page's varying text, or the one around
+    it that adds nothing but a varying headline; of the pages' regions, the one that most pages have, so
+    an odd page decides nothing. Text of ``marks`` is known to be template. With fewer than two different
+    pages, or none that vary, nothing is known and both are empty.
     """
-    trees = [merged(parse(p)) for p in dict.fromkeys(pages)]
+    trees = [merged(_without(parse(p), marks or set())) for p in dict.fromkeys(pages)]
     if len(trees) < 2:
         return {"region": [], "template": []}
     texts: dict[int, list[str]] = {}
-    for other in trees[1:]:
-        for x, y in tree_match(trees[0], other)[1]:
-            texts.setdefault(id(x), [x.own()]).append(y.own())
+    for i, one in enumerate(trees):
+        for other in trees[i + 1 :]:
+            for x, y in tree_match(one, other)[1]:
+                for own, its in ((x, y), (y, x)):
+                    texts.setdefault(id(own), [own.own()]).append(its.own())
+    paths = [set(_label_paths(t)) for t in trees]
+    found = [_region(t, texts, len(trees)) for t in trees]
+    region, template = max(found, key=lambda f: sum(f[0] in p for p in paths) if f[0] else 0)
+    return {"region": list(region), "template": [list(t) for t in template if t[: len(region)] == region]}
+
+
+def _label_paths(root: Node) -> Iterator[tuple[str, ...]]:
+    todo = [(root, (root.label,))]
+    while todo:
+        node, path = todo.pop()
+        yield path
+        todo.extend((c, (*path, c.label)) for c in node.children)
+
+
+def _region(tree: Node, texts: dict[int, list[str]], trees: int) -> tuple[tuple[str, ...], list[tuple[str, ...]]]:
+    """The region of one of the aligned trees, and the paths of its constant nodes; ``texts`` has each node's own and all matched texts."""
     template, weight, headed = [], Counter(), set()
 
     def walk(node: Node, path: tuple[str, ...], never: bool) -> int:
         never |= node.never
         here, seen = (*path, node.label), texts.get(id(node), [])
-        constant = len(seen) == len(trees) and len(set(seen)) == 1 and seen[0] and not node.many and not node.children
+        constant = len(seen) == trees and len(set(seen)) == 1 and seen[0] and not node.many and not node.children
         if constant and not never:
-            template.append(list(here))
+            template.append(here)
         held = 0 if never or constant else len(node.own())
         parts = [(c, walk(c, here, never)) for c in node.children]
         if not held and sum(n > 0 and not HEADLINE.match(c.tag) for c, n in parts) == 1 and any(n > 0 and HEADLINE.match(c.tag) for c, n in parts):
@@ -234,11 +277,9 @@ def induce(pages: list[str]) -> dict:
         weight[here] = max(weight[here], held)
         return held
 
-    total = walk(trees[0], (), False)
+    total = walk(tree, (), False)
     region = max((p for p, w in weight.items() if total and 5 * w >= 4 * total and not p[-1].split(".")[0] in ("p", "li")), key=len, default=())
-    if region[:-1] in headed:
-        region = region[:-1]
-    return {"region": list(region), "template": [t for t in template if t[: len(region)] == list(region)]}
+    return (region[:-1] if region[:-1] in headed else region), template
 
 
 def _path_hash(above: int, label: str, known: dict[tuple[int, str], int]) -> int:
@@ -361,40 +402,64 @@ def host_of(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def template_marks(pages: DataFrame) -> DataFrame:
+    """(host, total, marks): the number of a host's pages of different text, and the marks of its template."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "html"):
+                held = [marks_of(h) for h in batch.column("html").to_pylist()]
+                ids = [xxhash.xxh3_64_intdigest(b"".join(m.to_bytes(8, "little", signed=True) for m in page)) for page in held]
+                yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([i - (1 << 64) if i >> 63 else i for i in ids], pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["host", "page", "marks"])
+
+    read = pages.where("html is not null").select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, page long, marks array<long>")
+    different = checkpointed(read.where(F.size("marks") > 0).dropDuplicates(["host", "page"]))
+    totals = different.groupBy("host").agg(F.count("*").alias("total"))
+    counts = different.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    found = counts.join(totals, "host").where(F.col("pages") >= TEMPLATE_SHARE * F.col("total")).groupBy("host").agg(F.collect_list("mark").alias("marks"))
+    return totals.join(found, "host", "left")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): the wrapper of each host as JSON; hosts of which nothing is known are left out."""
+    """(host, wrapper, marks): of each host the region and template paths as JSON, and the marks of its template; hosts of which nothing is known are left out."""
+    known = checkpointed(template_marks(pages))
     chosen = pages.where("html is not null").select(host_of(F.col("url")).alias("host"), "html", F.xxhash64("html").alias("h")).groupBy("host", F.pmod(F.shiftright("h", 8), F.lit(REFERENCES)).alias("slot")).agg(F.min_by("html", "h").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, made = [], []
-            for host, texts in zip(batch.column("host").to_pylist(), batch.column("pages").to_pylist(), strict=True):
-                wrapper = json.dumps(induce(texts))
-                if '"region": []' not in wrapper and len(wrapper) <= WRAPPER_CHARS:
-                    hosts.append(host)
-                    made.append(wrapper)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(made, pa.string())], ["host", "wrapper"])
+            rows = []
+            for host, texts, total, marks in zip(*(batch.column(c).to_pylist() for c in ("host", "pages", "total", "marks")), strict=True):
+                wrapper = induce(texts, set(marks or ()))
+                if total >= LEAST_PAGES:
+                    wrapper["template"] = []  # the shares of all pages tell
+                if wrapper["region"] or marks:
+                    rows.append((host, json.dumps(wrapper), marks or []))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.list_(pa.int64())), strict=True)], ["host", "wrapper", "marks"])
 
     # At most REFERENCES pages are collected for each host.
-    return chosen.groupBy("host").agg(F.array_sort(F.collect_list("html")).alias("pages")).mapInArrow(run, "host string, wrapper string")
+    collected = chosen.groupBy("host").agg(F.array_sort(F.collect_list("html")).alias("pages"))
+    return collected.join(known, "host").select("host", "pages", "total", "marks").mapInArrow(run, "host string, wrapper string, marks array<long>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars (code points)."""
     known = checkpointed(wrappers(pages))
-    joined = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(broadcast_if_small(known, known.count(), BROADCAST_HOSTS), "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "wrapper")
+    size = known.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("wrapper") + 8 * F.size("marks")), F.lit(0))).first()[0]
+    joined = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(broadcast_if_small(known, size, BROADCAST_BYTES), "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "host", "wrapper", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read: dict[str, dict] = {}
         for whole in batches:
             for batch in slices(whole, "html"):
                 texts = []
-                for html, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-                    if wrapper and wrapper not in read:
+                for i, (html, host) in enumerate(zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True)):
+                    if host not in read:
                         if len(read) > 1000:
                             read.clear()
-                        read[wrapper] = json.loads(wrapper)
-                    texts.append(extract(html or "", read.get(wrapper)))
+                        wrapper = batch.column("wrapper")[i].as_py()
+                        read[host] = json.loads(wrapper) | {"marks": set(batch.column("marks")[i].as_py())} if wrapper else {"region": [], "template": []}
+                    texts.append(extract(html or "", read[host]))
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

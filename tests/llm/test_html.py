@@ -91,3 +91,36 @@ def test_template_inside_articles_goes(spark):
     assert html.extract(odd, {"region": ["#", "body", "article", "div.story"], "template": []}).startswith("T Long words")
     got = html.main_text(spark.createDataFrame([(i, "http://h/", page(i)) for i in range(8)], "page_id long, url string, html string")).collect()
     assert {r["page_id"]: r["text"] for r in got} == dict(enumerate(body))
+
+
+def rich(i):
+    """A page with many and long-named constant parts, without article or main; each list item ends in constant words."""
+    frame = "".join(f"<div class='part-with-a-rather-long-name-{c} and-another-long-name-{c}'><div class=inner-part-of-long-name>Constant words {c}</div></div>" for c in "abcdefghijklmnopqrstuvwxyz")
+    items = "".join(f"<div class=item><div class=what>Item {i} {j} has words</div><div class=tell>Tell a friend</div></div>" for j in range(i % 3 + 2))
+    return f"<body>{frame}<div class=list>{items}</div></body>"
+
+
+def test_many_constant_parts_and_an_odd_page(spark, monkeypatch):
+    rows = [(i, "http://rich/", rich(i)) for i in range(30)]
+    rows += [(100 + i, "http://rich/", f"<body><ul class=odd><li>Not found {i}</ul></body>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    assert all(first[i] == " ".join(f"Item {i} {j} has words" for j in range(i % 3 + 2)) for i in range(30))
+    assert all(first[100 + i] == f"Not found {i}" for i in range(8))
+    monkeypatch.setattr(html, "BROADCAST_BYTES", -1)
+    assert {r["page_id"]: r["text"] for r in html.main_text(df).collect()} == first
+
+
+def test_an_odd_reference_page_and_later_nodes(monkeypatch):
+    pages = [site(i, f"<p>Paragraph {i} with words</p>") for i in range(3)]
+    odd = "<body><ul class=all><li>One of a list of pages<li>Another one of a list of pages</ul></body>"
+    marks = set.intersection(*(set(html.marks_of(p)) for p in pages))
+    assert len(marks) == 3 and html.induce([odd, *pages], marks)["region"][-1] == "div.story"
+    monkeypatch.setattr(html, "MOST_NODES", 3)
+    assert html._all_text(html.merged(html.parse(pages[0]))).split() == html._all_text(html.parse(pages[0])).split()
+
+
+def test_a_copied_article_is_no_template(spark):
+    rows = [(i, "http://copies/", f"<article><p>The same long story on every page of this host</p><p>{i}</p></article>") for i in range(6)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"The same long story on every page of this host {r['page_id']}" for r in got)
