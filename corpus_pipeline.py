@@ -29,8 +29,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their sources' boilerplate lines; ``n_chars`` follows the text."""
-    cleaned = line_dedup.drop_boilerplate(docs.select(*COLUMNS))
+    """All documents, without their sources' boilerplate lines; ``n_chars`` follows the text.
+
+    A group of near copies counts as one page, so that its own lines aren't boilerplate.
+    """
+    cleaned = line_dedup.drop_boilerplate(docs.select(*COLUMNS), groups=line_dedup.near_copy_groups(docs))
     return cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -87,3 +87,17 @@ def test_every_operator_has_its_query():
 
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"] and set(queries.oracle_sql()) <= set(names)
+
+
+def test_near_copies_of_an_article_keep_its_lines(spark, sf_dir):
+    import random
+
+    from .fixtures import text
+
+    rng = random.Random(5)
+    lines = [text(rng, 20) for _ in range(10)]
+    rows = [(i, f"{text(rng, 40)}\nSite footer", "en", "s", 0) for i in range(60)]
+    rows += [(100 + i, "\n".join([*lines, f"{text(rng, 2)} copy {i}", "Site footer"]), "en", "s", 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in pipeline.drop_boilerplate(spark, docs, sf_dir).collect()}
+    assert got == {i: t.removesuffix("\nSite footer") for i, t, *_ in rows}
