@@ -500,7 +500,7 @@ def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
     a component has no other. Columns other than ``doc_id`` and ``text`` are ignored.
     """
     all_docs = checkpointed(sketches(docs, k))
-    first = checkpointed(all_docs.where("key is not null").groupBy("key").agg(F.min("uid").alias("uid")).select("uid"))
+    first = checkpointed(all_docs.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "uid")).getField("uid").alias("uid")).select("uid"))
     classes = all_docs.join(broadcast_if_small(first, first.count(), BROADCAST_ROWS), "uid", "left_semi")
     shared = _shared_counts(_occurrences(_token_rows(classes, kept_tokens, edges=False)))
     likely = checkpointed(classes.select("node", "doc_id", "n").join(shared, "node").where(F.col("shared") >= F.floor(F.ceil(F.col("n") * LINK / 100) / 10) + 1).select("node", "doc_id"))
@@ -512,7 +512,9 @@ def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
                 sets = text_sets(batch.column("text"), k)
                 yield pa.RecordBatch.from_arrays([pa.array([_identity(s)[1] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "n", "tokens"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(likely.select("doc_id").distinct(), count, BROADCAST_ROWS), "doc_id", "left_semi")
+    # A class is fetched by the id of one of its rows, by a null one only where it has no other.
+    wanted = likely.select(F.col("doc_id").alias("_wanted")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(wanted, count, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
     sets = checkpointed(texts.select("text").mapInArrow(whole_sets, "node long, n long, tokens binary").join(broadcast_if_small(likely.select("node").distinct(), count, BROADCAST_ROWS), "node", "left_semi"))
     occurrences = checkpointed(_occurrences(_token_rows(sets, lambda n: n, edges=False)))
     covered = checkpointed(sets.select("node", "n").distinct().join(_shared_counts(occurrences), "node").where(F.col("shared") >= F.ceil(F.col("n") * LINK / 100)).select("node"))

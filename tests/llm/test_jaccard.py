@@ -188,3 +188,13 @@ def test_sql_states_the_same(spark):
     con.sql("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     assert sorted(con.sql(jaccard.oracle()).fetchall()) == brute(rows)
+
+
+def test_null_ids_with_near_copies(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    whole, lone, far = " ".join(words), " ".join(f"u{i}" for i in range(60)), " ".join([*(f"u{i}" for i in range(59)), "other"])
+    rows = [(None, whole), (5, whole), (6, near), (None, lone), (7, far)]
+    for order in (rows, rows[::-1]):
+        got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.near_components(frame(spark, order)).collect()), key=str)
+        assert got == sorted([(None, 5), (5, 5), (6, 5), (None, 7), (7, 7)], key=str)
