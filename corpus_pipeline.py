@@ -38,13 +38,27 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of near copies; rows without an id stay.
+    """One row of each component of near copies: that of the smallest id, and among these of the smallest hash of its text.
 
-    Equal ids stay together: of several rows of the smallest id, all do.
+    Rows go by id and text, so ids may repeat; of rows that repeat both, one stays. A row without an id
+    stays only where its component has none with one. Rows without words are in no component and all stay.
     """
-    groups = jaccard.near_components(docs)
-    dropped = checkpointed(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct())
-    return docs.select(*COLUMNS).join(broadcast_if_small(dropped, dropped.count(), jaccard.BROADCAST_ROWS), F.col("doc_id") == F.col("_dropped"), "left_anti")
+    rows = jaccard.near_classes(docs).where("class is not null").groupBy("class", "doc_id", "text_key").agg(F.count("*").alias("met"))
+    pairs = checkpointed(rows)
+    best = pairs.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", "text_key")).alias("best"), F.sum("met").alias("size")).where("size > 1")
+    placed = checkpointed(pairs.join(best, "class").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "met", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))).alias("stays")))
+    dropped, repeated = placed.where("not stays").select("_id", "_text"), placed.where("stays and met > 1").select("_id", "_text")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
+
+    def side(keys: DataFrame, count: int) -> DataFrame:
+        return broadcast_if_small(keys, count, jaccard.BROADCAST_ROWS)
+
+    left = docs.select(*COLUMNS).join(side(dropped, dropped.count()), same, "left_anti")
+    again = repeated.count()
+    if not again:
+        return left
+    once = left.join(side(repeated, again), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(side(repeated, again), same, "left_anti").unionByName(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def _identity(tokens: np.ndarray) -> tuple[bytes | None, int]:
 
 
 def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
-    """Per row: uid, doc_id, n (set size), key (null for an empty set), node, and the first tokens."""
+    """Per row: uid, doc_id, text_key (hash of the text), n (set size), key (null for an empty set), node, and the first tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -95,11 +95,11 @@ def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
                 keys = [_identity(s) for s in sets]
                 shown = [s[: kept_tokens(len(s))].astype("<u8").tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in keys], pa.binary()), pa.array([x for _, x in keys], pa.int64()), pa.array(shown, pa.binary())],
-                    ["doc_id", "n", "key", "node", "tokens"],
+                    [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in keys], pa.binary()), pa.array([x for _, x in keys], pa.int64()), pa.array(shown, pa.binary())],
+                    ["doc_id", "text_key", "n", "key", "node", "tokens"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, node long, tokens binary").withColumn("uid", F.monotonically_increasing_id())
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n long, key binary, node long, tokens binary").withColumn("uid", F.monotonically_increasing_id())
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -492,13 +492,8 @@ def _block_links(members: DataFrame) -> DataFrame:
     return connected_components(links).select("node", F.col("component").alias("root"))
 
 
-def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
-
-    A document without words or text has no shingles and is linked with nothing; its component is its
-    own id. Rows with equal ids are documents of their own. Null ids are never a component's id, unless
-    a component has no other. Columns other than ``doc_id`` and ``text`` are ignored.
-    """
+def near_classes(docs: DataFrame, k: int = 5) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_key (xxhash64 of the text), n, and class, which linked rows share; null without shingles."""
     all_docs = checkpointed(sketches(docs, k))
     first = checkpointed(all_docs.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "uid")).getField("uid").alias("uid")).select("uid"))
     classes = all_docs.join(broadcast_if_small(first, first.count(), BROADCAST_ROWS), "uid", "left_semi")
@@ -524,7 +519,17 @@ def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
     members = sets.join(broadcast_if_small(blocks, count, BROADCAST_ROWS), "node")
     roots = checkpointed(_block_links(members))
 
-    labelled = all_docs.select("doc_id", "n", "node", "key").join(broadcast_if_small(roots, count, BROADCAST_ROWS), "node", "left").select("doc_id", "n", F.when(F.col("key").isNotNull(), F.coalesce("root", "node")).alias("class"))
+    return all_docs.select("doc_id", "text_key", "n", "node", "key").join(broadcast_if_small(roots, count, BROADCAST_ROWS), "node", "left").select("doc_id", "text_key", "n", F.when(F.col("key").isNotNull(), F.coalesce("root", "node")).alias("class"))
+
+
+def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    A document without words or text has no shingles and is linked with nothing; its component is its
+    own id. Rows with equal ids are documents of their own. Null ids are never a component's id, unless
+    a component has no other. Columns other than ``doc_id`` and ``text`` are ignored.
+    """
+    labelled = near_classes(docs, k)
     # Checkpointed, so the join that follows is one that adaptive execution can split where a class is hot.
     least = checkpointed(labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id")))
     return labelled.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

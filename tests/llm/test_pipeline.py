@@ -101,3 +101,12 @@ def test_near_copies_of_an_article_keep_its_lines(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in pipeline.drop_boilerplate(spark, docs, sf_dir).collect()}
     assert got == {i: t.removesuffix("\nSite footer") for i, t, *_ in rows}
+
+
+def test_one_row_of_each_component_stays_with_repeated_ids(spark, sf_dir):
+    words = [f"w{i}" for i in range(60)]
+    whole, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(1, whole), (1, whole), (2, near), (2, "a lone text of quite other words here"), (None, near), (3, ""), (3, ""), (4, "six words that stand here once"), (None, "text without an id that is alone"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in pipeline.keep_one_of_group(spark, docs, sf_dir).collect()), key=str)
+    assert got == sorted([rows[0], *rows[3:4], *rows[5:]], key=str)
