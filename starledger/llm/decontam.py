@@ -9,6 +9,9 @@ has a shingle of an item of that size; without one, the similarity is zero, so n
 Words are runs of letters and digits, lower-cased. Items are read in blocks of bounded number, each
 sent to the workers; documents are scanned where they are, without a shuffle.
 
+An item of fewer words than a shingle has is one shingle of its own width, and a longer document has no
+shingle of that width: such an item is found only where it is a document's whole text, never inside one.
+
 Null and empty texts and items contain nothing and are found nowhere. Equal rows give equal rows. An
 item id that several rows have is one of its own in each. Other columns are ignored.
 """

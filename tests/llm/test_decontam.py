@@ -86,3 +86,10 @@ def test_fingerprints_of_windows():
     for i in range(34):
         ones = [sum(int(x) >> b & 1 for x in s[i : i + 7]) for b in range(64)]
         assert int(got[i]) == sum(1 << b for b, n in enumerate(ones) if 2 * n > 7)
+
+
+def test_short_items_are_found_as_whole_documents_only(spark):
+    assert "never inside one" in decontam.__doc__
+    docs = [(1, "Three short words"), (2, "Here are three short words inside a longer document"), (3, "three short words more")]
+    bench = spark.createDataFrame([(7, "three short words")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.contaminations(frame(spark, docs), bench).collect()] == [(1, 7)]
