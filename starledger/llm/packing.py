@@ -11,16 +11,19 @@ and names its sequences by its partition, so a repeated task gives the same rows
 empty (one end id). Equal rows are documents of their own.
 
 Ids come from the byte-level BPE ranks file, which holds the same vocabulary as the JSON file; the
-tests hold it against the JSON file read by ``tokenizers``. Texts are encoded in parts cut before
+tests hold it against the JSON file read by ``tokenizers``. The strings of that file's added tokens
+stand for those tokens in a text, as in that library's default. Texts are encoded in parts cut before
 white space that follows a non-space, where no token of this vocabulary's pattern reaches across.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +52,21 @@ def load_encoder(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added, whole = {}, Path(path).with_suffix(".json")
+    if whole.exists():
+        added = {t["content"]: t["id"] for t in json.loads(whole.read_text(encoding="utf-8"))["added_tokens"]}
+    encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+    def ids(part: str) -> list[int]:
+        if any(t in part for t in added):
+            return encoding.encode(part, allowed_special="all")
+        return encoding.encode_ordinary(part)
 
     def encode(text: str) -> np.ndarray:
         out, at = [], 0
@@ -64,9 +74,9 @@ def load_encoder(path: str):
             cut = _CUT.search(text, at + _PART)
             if not cut:
                 break
-            out.append(np.array(encoding.encode_ordinary(text[at : cut.start()]), np.uint32))
+            out.append(np.array(ids(text[at : cut.start()]), np.uint32))
             at = cut.start()
-        out.append(np.array(encoding.encode_ordinary(text[at:] if at else text), np.uint32))
+        out.append(np.array(ids(text[at:] if at else text), np.uint32))
         return np.concatenate(out)
 
     return encode

@@ -74,3 +74,16 @@ def test_every_id_lies_in_one_piece(spark, encoders, pool):
             at += r.length
         assert at <= 1024
     assert packing.pack(frame(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", [None, 20])
+def test_strings_of_added_tokens_are_those_tokens(encoders, monkeypatch, part):
+    from tokenizers import Tokenizer
+
+    if part:
+        monkeypatch.setattr(packing, "_PART", part)
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "two  <|endoftext|>  \n lines", "<|endoftext|", "words and more words <|endoftext|> and words  <|endoftext|>\n\n" * 5]:
+        expected = plain.encode(text, add_special_tokens=False).ids
+        assert encoders[0](text).tolist() == encoders[1](text).tolist() == expected
+    assert 50256 in encoders[1]("a <|endoftext|> b")
