@@ -34,6 +34,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(df: DataFrame) -> None:
+    """Remove the files of a checkpointed table that nothing read later depends on."""
+    rdd = df._jdf.queryExecution().analyzed().rdd()
+    if rdd.getCheckpointFile().isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}

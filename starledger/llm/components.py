@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` of every node that an edge names; the component is its smallest node.
 
     ``a`` and ``b`` are long columns. Loops, repeated edges and nulls are ignored (a node with loops
@@ -33,10 +33,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     """
     now = checkpointed(edges.where(f"{a} is not null and {b} is not null and {a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:  # stars get larger in every round, and logarithmically many rounds settle them
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first()
         if state == before or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = state
         now = checkpointed(_small_star(_large_star(now)))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

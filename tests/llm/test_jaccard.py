@@ -80,6 +80,7 @@ def test_large_group_of_near_copies(spark):
 def test_large_blocks_are_split(spark, monkeypatch, bound, rounds):
     """Groups of near copies, chains and mixtures, with so low a bound that blocks go through leader rounds and chunks."""
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", bound)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 1 << 20 if rounds > 1 else 0)
     monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     rng = random.Random(7)
     rows, base = [], [f"w{i}" for i in range(120)]
@@ -102,7 +103,13 @@ def test_divide_skip_counts(lists, least):
     total = Counter()
     for x, w in lists:
         total.update(dict.fromkeys(x, w))
-    assert jaccard.divide_skip(lists, least) == {v: n for v, n in total.items() if n >= least}
+    expected = {v: n for v, n in total.items() if n >= least}
+    assert jaccard.divide_skip(lists, least) == expected
+    kept, jaccard.HEAP_NUMBERS = jaccard.HEAP_NUMBERS, 0
+    try:
+        assert jaccard.divide_skip(lists, least) == expected
+    finally:
+        jaccard.HEAP_NUMBERS = kept
 
 
 @settings(max_examples=100, deadline=None)
@@ -198,3 +205,32 @@ def test_null_ids_with_near_copies(spark):
     for order in (rows, rows[::-1]):
         got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.near_components(frame(spark, order)).collect()), key=str)
         assert got == sorted([(None, 5), (5, 5), (6, 5), (None, 7), (7, 7)], key=str)
+
+
+def test_packs_keep_their_numbers():
+    arrays = [np.array(x, np.uint64) for x in ([], [0, 0, 7], [2**63, 1, 2**64 - 1], [255, 256])]
+    assert [a.tolist() for a in jaccard._unpack(jaccard._pack(*arrays))] == [a.tolist() for a in arrays]
+
+
+@pytest.mark.parametrize("pack,bucket", [(1 << 20, 1 << 18), (40, 16)])
+def test_occurrences_count_shared_tokens(spark, monkeypatch, pack, bucket):
+    """Also with packs and buckets so small that a bucket is merged many times, and with a class on two rows."""
+    monkeypatch.setattr(jaccard, "PACK_TOKENS", pack)
+    monkeypatch.setattr(jaccard, "BUCKET_TOKENS", bucket)
+    rng = random.Random(4)
+    universe = [rng.getrandbits(64) for _ in range(60)]
+    sets = {uid: sorted(rng.sample(universe, rng.randrange(1, 20)) + [rng.getrandbits(64) for _ in range(5)]) for uid in range(30)}
+    rows = [(uid, bytearray(np.array(s, "<u8").tobytes())) for uid, s in sets.items()]
+    total = sum(map(len, sets.values()))
+    read = jaccard._occurrences(jaccard._token_packs(spark.createDataFrame(rows + rows[:1], "uid long, tokens binary").repartition(3), total), total)
+    met = Counter(t for s in sets.values() for t in s)
+    got = {r["uid"]: r["shared"] for r in jaccard._shared_counts(read).collect()}
+    for uid, s in sets.items():
+        least = sum(met[t] > 1 for t in s)
+        assert got.get(uid, 0) == least or uid == 0 and got.get(uid, 0) >= least
+    drop = jaccard._cuts(total)[1]
+    often = {t >> drop: n for t, n in met.items() if n >= jaccard.FREQUENT}
+    found = {r["id"] % 2**64: r["count"] for r in read.where("kind = 1").collect()}
+    assert set(often) <= set(found) and all(0 <= found[t] - n <= 1 for t, n in often.items())
+    empty = spark.createDataFrame([], "uid long, tokens binary")
+    assert jaccard._occurrences(jaccard._token_packs(empty, 0), 0).count() == 0
