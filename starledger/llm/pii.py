@@ -1,13 +1,17 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
 Values are found by pattern and validated: e-mail addresses, phone numbers, payment card numbers
-(Luhn), IBANs (mod 97), US social security numbers, IPv4 addresses, calendar dates and secret tokens.
-Each valid one is replaced by a keyed Feistel permutation within its format: digits stay digits, card
-numbers stay valid card numbers, addresses stay addresses, dates stay dates written alike. The same
-value gets the same pseudonym in every document, and different values get different ones.
-
-One pass, no shuffle, nothing collected. Null texts stay null, empty ones empty; text outside valid
-values stays as it is. Equal rows give equal rows; other columns pass through.
+(Luhn), IBANs (mod 97), US social security numbers, IPv4 and full IPv6 addresses, calendar dates,
+hexadecimal tokens and access keys. Each valid one is replaced by a keyed Feistel permutation within its
+format: digits stay digits, card numbers stay valid card numbers, addresses stay addresses, dates stay
+dates written alike. The same value gets the same pseudonym in every document, however it is written
+(a card with or without spaces, a date in any order, a phone number with or without signs), and
+different values get different ones. Who knows the key can undo it, so it has no default.
+
+One pass of the patterns, no shuffle, nothing collected; every pattern matches a bounded number of
+characters, so time is linear in a text's length and very long texts are whole texts like others. Null
+texts stay null, empty ones empty; text outside valid values stays as it is. Equal rows give equal rows,
+an empty table an empty one; other columns pass through.
 
 The permutations are Feistel networks of 8 rounds whose round function is SHA-256 over key, kind,
 round and the other half. Character formats add a keystream to one half, position by position within
@@ -16,35 +20,48 @@ its class (digits, small letters, capitals); dates and addresses run over a prod
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh
 
 ROUNDS = 8
-#: Days from 1900-01-01 that are permuted: 184 * 397 of them, to 2099-12-30.
-DAYS = (184, 397)
 
-# The patterns, in the order in which they are tried at a place.
+# The patterns, in the order in which they are tried at a place; country calling codes of
+# one or two digits (all others have three); the days after the 28th that every year has.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,8}\.[A-Za-z]{2,63}",
+    "key": r"\b(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{16}\b",
     "token": r"\b(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
+    "ip6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "card": r"(?<![\w-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w-])",
 }
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+LATE_DAYS = [100 * m + d for m in (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12) for d in (29, 30, 31) if d < 31 or m in (1, 3, 5, 7, 8, 10, 12)]
 # End of fixed values.
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds none of the values.
-_HINT = r"@|\d"
+_HINT = r"@|\d|[0-9A-Fa-f]:"
+#: Stands before and after each found value; in the text itself it and its escape are escaped.
+_MARK, _ESCAPE, _OTHER = "\ue000", "\ue001", "\ue002"
 
 
-def _prf(key: str, kind: str, r: int, half: Column) -> Column:
+def _prf(key: str, kind: str | Column, r: Column, half: Column) -> Column:
     """SHA-256 of key, kind, round and half, in hexadecimal."""
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lit(str(r)), half), 256)
+    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), half), 256)
+
+
+def _rounds(state: Column, first: Callable[[Column, Column], Column], second: Callable[[Column, Column], Column]) -> Column:
+    """The state (a, b) after all rounds: even ones give a new a, odd ones a new b, each from state and round."""
+    keep = lambda s, a, b: F.struct(a.alias("a"), b.alias("b"))
+    return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), state, lambda s, r: F.when(r % 2 == 1, keep(s, s["a"], second(s, r))).otherwise(keep(s, first(s, r), s["b"])))
 
 
 def _number(hexadecimal: Column) -> Column:
@@ -56,15 +73,11 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def permute_pair(a: Column, b: Column, na: int, nb: int, key: str, kind: str) -> tuple[Column, Column]:
-    """A permutation of pairs in [0, na) x [0, nb); the result is one struct column's two fields."""
+def permute_pair(a: Column, b: Column, na: int | Column, nb: int | Column, key: str, kind: str | Column) -> Column:
+    """A permutation of pairs in [0, na) x [0, nb), as a struct (a, b)."""
     state = F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
-    for r in range(ROUNDS):
-        if r % 2:
-            state = _let(state, lambda s, r=r: F.struct(s["a"].alias("a"), ((s["b"] + _number(_prf(key, kind, r, s["a"].cast("string")))) % nb).alias("b")))
-        else:
-            state = _let(state, lambda s, r=r: F.struct(((s["a"] + _number(_prf(key, kind, r, s["b"].cast("string")))) % na).alias("a"), s["b"].alias("b")))
-    return state["a"], state["b"]
+    add = lambda own, other, n, r: (own + _number(_prf(key, kind, r, other.cast("string")))) % n
+    return _rounds(state, lambda s, r: add(s["a"], s["b"], na, r), lambda s, r: add(s["b"], s["a"], nb, r))
 
 
 def _shift(half: Column, stream: Column, hexadecimal: bool = False) -> Column:
@@ -85,12 +98,8 @@ def permute_text(value: Column, key: str, kind: str, hexadecimal: bool = False)
     """A permutation of all strings of one pattern of digits, small letters, capitals and signs, or of all hexadecimal ones of one length."""
     cut = F.floor(F.length(value) / 2).cast("int")
     state = F.struct(F.substr(value, F.lit(1), cut).alias("a"), F.substr(value, cut + 1, F.length(value)).alias("b"))
-    for r in range(ROUNDS):
-        if r % 2:
-            state = _let(state, lambda s, r=r: F.struct(s["a"].alias("a"), _shift(s["b"], _prf(key, kind, r, s["a"]), hexadecimal).alias("b")))
-        else:
-            state = _let(state, lambda s, r=r: F.struct(_shift(s["a"], _prf(key, kind, r, s["b"]), hexadecimal).alias("a"), s["b"].alias("b")))
-    return F.concat(state["a"], state["b"])
+    state = _rounds(state, lambda s, r: _shift(s["a"], _prf(key, kind, r, s["b"]), hexadecimal), lambda s, r: _shift(s["b"], _prf(key, kind, r, s["a"]), hexadecimal))
+    return _let(state, lambda s: F.concat(s["a"], s["b"]))
 
 
 def _digits(value: Column) -> Column:
@@ -145,60 +154,112 @@ def _iban(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    """Country code and layout stay; the other digits are permuted. A number of three digits, three and four keeps both first digits in 2 to 9, as the numbering plan asks."""
-    country = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
-    rest = F.substr(value, F.length(country) + 1, F.length(value))
+    """The country's code, after a plus sign, and the layout stay; the other digits are permuted. A number of three digits, three and four keeps both first digits in 2 to 9, as the numbering plan asks."""
+    country = F.when(value.startswith("+"), F.regexp_extract(_digits(value), COUNTRY, 0)).otherwise("")
 
     def made(d: Column) -> Column:
         first, second = (F.substr(d, F.lit(i), F.lit(1)).cast("int") for i in (1, 4))
-        a, b = permute_pair(F.pmod(first - 2, F.lit(8)) * 8 + F.pmod(second - 2, F.lit(8)), F.concat(F.substr(d, F.lit(2), F.lit(2)), F.substr(d, F.lit(5), F.lit(6))).cast("bigint"), 64, 10**8, key, "phone")
-        plan = _let(F.struct(a.alias("a"), F.lpad(b.cast("string"), 8, "0").alias("b")), lambda s: F.concat((F.floor(s["a"] / 8) + 2).cast("string"), F.substr(s["b"], F.lit(1), F.lit(2)), (s["a"] % 8 + 2).cast("string"), F.substr(s["b"], F.lit(3), F.lit(6))))
+        moved = permute_pair(F.pmod(first - 2, F.lit(8)) * 8 + F.pmod(second - 2, F.lit(8)), F.concat(F.substr(d, F.lit(2), F.lit(2)), F.substr(d, F.lit(5), F.lit(6))).cast("bigint"), 64, 10**8, key, "phone")
+        plan = _let(_let(moved, lambda s: F.struct(s["a"].alias("a"), F.lpad(s["b"].cast("string"), 8, "0").alias("b"))), lambda s: F.concat((F.floor(s["a"] / 8) + 2).cast("string"), F.substr(s["b"], F.lit(1), F.lit(2)), (s["a"] % 8 + 2).cast("string"), F.substr(s["b"], F.lit(3), F.lit(6))))
         return F.when(d.rlike("^[2-9]\\d\\d[2-9]\\d{6}$"), plan).otherwise(permute_text(d, key, "phone"))
 
-    return _let(_digits(rest), lambda d: F.concat(country, _refill(rest, made(d), "[0-9]")))
+    return _let(country, lambda c: _refill(value, F.concat(c, _let(F.substr(_digits(value), F.length(c) + 1, F.length(value)), made)), "[0-9]"))
 
 
 def _ssn(value: Column, key: str) -> Column:
     """Area 001 to 665 or 667 to 899, group 01 to 99, serial 0001 to 9999, permuted among such numbers."""
     area, group, serial = (F.substring(value, i, n).cast("int") for i, n in ((1, 3), (5, 2), (8, 4)))
-    a, b = permute_pair(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
-    return _let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.concat_ws("-", F.lpad((s["a"] + F.when(s["a"] >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((F.floor(s["b"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((s["b"] % 9999 + 1).cast("string"), 4, "0")))
+    moved = permute_pair(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
+    return _let(moved, lambda s: F.concat_ws("-", F.lpad((s["a"] + F.when(s["a"] >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((F.floor(s["b"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((s["b"] % 9999 + 1).cast("string"), 4, "0")))
 
 
 def _ip(value: Column, key: str) -> Column:
     octet = F.transform(F.split(value, r"\."), lambda x: x.cast("int"))
 
     def made(o: Column) -> Column:
-        a, b = permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
-        return _let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.concat_ws(".", F.floor(s["a"] / 256).cast("string"), (s["a"] % 256).cast("string"), F.floor(s["b"] / 256).cast("string"), (s["b"] % 256).cast("string")))
+        pair = permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
+        return _let(pair, lambda s: F.concat_ws(".", F.floor(s["a"] / 256).cast("string"), (s["a"] % 256).cast("string"), F.floor(s["b"] / 256).cast("string"), (s["b"] % 256).cast("string")))
 
     return _let(octet, made)
 
 
-def _day(value: Column) -> Column:
-    """The date that a value of pattern ``date`` writes, or null. Slashes: month first, unless that is no date; points: day first."""
-    us, eu = F.to_date(F.try_to_timestamp(value, F.lit("MM/dd/yyyy"))), F.to_date(F.try_to_timestamp(value, F.lit("dd/MM/yyyy")))
-    return F.when(value.contains("-"), F.to_date(F.try_to_timestamp(value, F.lit("yyyy-MM-dd")))).when(value.contains("/"), F.coalesce(us, eu)).otherwise(F.to_date(F.try_to_timestamp(value, F.lit("dd.MM.yyyy"))))
+def _ip6(value: Column, key: str) -> Column:
+    """Eight groups of four small hexadecimal digits."""
+    full = F.array_join(F.transform(F.split(F.lower(value), ":"), lambda g: F.lpad(g, 4, "0")), "")
+    return F.regexp_replace(permute_text(full, key, "ip6", hexadecimal=True), "(.{4})(?!$)", "$1:")
+
+
+def _access_key(value: Column, key: str) -> Column:
+    return F.concat(F.substr(value, F.lit(1), F.lit(4)), permute_text(F.substr(value, F.lit(5), F.lit(16)), key, "key"))
 
 
-def _date_index(value: Column) -> Column:
-    return F.datediff(_day(value), F.lit("1900-01-01").cast("date"))
+def _leap(y: Column) -> Column:
+    return (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+
+
+def _real_day(y: Column, m: Column, d: Column) -> Column:
+    last = F.when(m == 2, F.when(_leap(y), 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    return (y >= 1) & m.between(1, 12) & (d >= 1) & (d <= last)
+
+
+def _date_of(value: Column) -> Column:
+    """Year, month and day that a value of pattern ``date`` writes, or null. Slashes: month first, unless that is no date; points: day first."""
+    number = lambda i, n: F.substr(value, F.lit(i), F.lit(n)).cast("int")
+    day = lambda y, m, d: F.when(_real_day(y, m, d), F.struct(y.alias("y"), m.alias("m"), d.alias("d")))
+    iso, month_first, day_first = day(number(1, 4), number(6, 2), number(9, 2)), day(number(7, 4), number(1, 2), number(4, 2)), day(number(7, 4), number(4, 2), number(1, 2))
+    return F.when(value.substr(5, 1) == "-", iso).when(value.contains("/"), F.coalesce(month_first, day_first)).otherwise(day_first)
 
 
 def _date(value: Column, key: str) -> Column:
-    """A day of the same range, written in the same order. A day above 12 before a month in slashes stays such a day, by walking on in the permutation, so no two values meet."""
-    month_first = F.try_to_timestamp(value, F.lit("MM/dd/yyyy")).isNotNull()
-    day = lambda i: F.date_add(F.lit("1900-01-01").cast("date"), i.cast("int"))
+    """A day of the same two centuries (1900 to 2099 and so on), written in the same order.
+
+    Days to the 12th, from the 13th to the 28th, later ones, and leap days are permuted among themselves.
+    So a day that shows which number in slashes is the month becomes another such day.
+    """
 
-    def moved(i: Column) -> Column:
-        a, b = permute_pair(F.floor(i / DAYS[1]), i % DAYS[1], *DAYS, key, "date")
-        return _let(F.struct(a.alias("a"), b.alias("b")), lambda s: s["a"] * DAYS[1] + s["b"])
+    days = F.array(*[F.lit(x) for x in LATE_DAYS])
 
-    # Two of five days are below 13: 64 steps fall short once in 10^25.
-    walked = lambda i: F.aggregate(F.sequence(F.lit(1), F.lit(64)), i, lambda x, _: F.when(F.dayofmonth(day(x)) > 12, x).otherwise(moved(x)))
-    form = F.when(value.contains("-"), "yyyy-MM-dd").when(value.contains("."), "dd.MM.yyyy").when(month_first, "MM/dd/yyyy").otherwise("dd/MM/yyyy")
-    index = _let(moved(_date_index(value).cast("bigint")), lambda i: F.when(form == "dd/MM/yyyy", walked(i)).otherwise(i))
-    return _let(day(index), lambda d: F.when(form == "yyyy-MM-dd", F.date_format(d, "yyyy-MM-dd")).when(form == "dd.MM.yyyy", F.date_format(d, "dd.MM.yyyy")).when(form == "MM/dd/yyyy", F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy")))
+    def place(t: Column) -> Column:
+        """The kind of day, its place (a, b) among the na x nb of its kind, and the first year of the two centuries."""
+        y, m, d = t["y"], t["m"], t["d"]
+        century = 1900 + 200 * F.floor((y - 1900) / 200)
+        first, last = F.greatest(F.lit(1), century), F.least(F.lit(9999), century + 199)
+        years, month = last - first + 1, (y - first) * 12 + m - 1
+        # The first year of two centuries is never a leap year; the hundredth is one in each fourth century.
+        number = (y - century) / 4
+        leap = F.when(century < 0, number - 26).when((number > 25) & ((century + 100) % 400 != 0), number - 2).otherwise(number - 1)
+        rows, columns = (F.when(years < 200, x).when((century + 100) % 400 == 0, 7).otherwise(z) for x, z in ((4, 6), (6, 8)))
+
+        def of(kind: str, a: Column, b: Column, na: Column, nb: Column) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), *[x.cast("bigint").alias(n) for x, n in ((a, "a"), (b, "b"), (na, "na"), (nb, "nb"), (first, "first"), (century, "century"))])
+
+        return (
+            F.when(d <= 12, of("date.early", month, d - 1, years * 12, F.lit(12)))
+            .when(d <= 28, of("date.middle", month, d - 13, years * 12, F.lit(16)))
+            .when(m == 2, of("date.leap", F.floor(leap / columns), leap % columns, rows, columns))
+            .otherwise(of("date.late", y - first, F.array_position(days, 100 * m + d) - 1, years, F.lit(len(LATE_DAYS))))
+        )
+
+    def moved(p: Column) -> Column:
+        return _let(permute_pair(p["a"], p["b"], p["na"], p["nb"], key, p["kind"]), lambda s: day(p, s["a"], s["b"]))
+
+    def day(p: Column, a: Column, b: Column) -> Column:
+        kind, index = p["kind"], a * p["nb"] + b
+        number = F.when(p["century"] < 0, index + 26).when((index >= 24) & (p["nb"] == 8), index + 2).otherwise(index + 1)
+        late = F.element_at(days, F.when(kind == "date.late", b + 1).otherwise(1).cast("int"))
+        y = F.when(kind == "date.leap", p["century"] + 4 * number).when(kind == "date.late", p["first"] + a).otherwise(p["first"] + F.floor(a / 12))
+        m = F.when(kind == "date.leap", 2).when(kind == "date.late", F.floor(late / 100)).otherwise(a % 12 + 1)
+        d = F.when(kind == "date.leap", 29).when(kind == "date.late", late % 100).when(kind == "date.early", b + 1).otherwise(b + 13)
+        return F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+
+    text = lambda c, n: F.lpad(c.cast("string"), n, "0")
+
+    def written(t: Column) -> Column:
+        y, m, d = text(t["y"], 4), text(t["m"], 2), text(t["d"], 2)
+        month_first = _real_day(*(F.substr(value, F.lit(i), F.lit(n)).cast("int") for i, n in ((7, 4), (1, 2), (4, 2))))
+        return F.when(value.substr(5, 1) == "-", F.concat_ws("-", y, m, d)).when(value.contains("."), F.concat_ws(".", d, m, y)).when(month_first, F.concat_ws("/", m, d, y)).otherwise(F.concat_ws("/", d, m, y))
+
+    return _let(_let(_let(_date_of(value), place), moved), written)
 
 
 def _email(value: Column, key: str) -> Column:
@@ -214,40 +275,44 @@ def kind_of(value: Column) -> Column:
     area = F.substring(value, 1, 3)
     return (
         F.when(is_a("email"), "email")
+        .when(is_a("key"), "key")
         .when(is_a("token"), "token")
         .when(is_a("iban"), F.when(_mod97(F.regexp_replace(value, " ", "")) == 1, "iban"))
         .when(is_a("phone"), F.when(F.length(_digits(value)).between(7, 15), "phone"))
         .when(is_a("ssn"), F.when(~area.isin("000", "666") & (area < "900") & (F.substring(value, 5, 2) != "00") & (F.substring(value, 8, 4) != "0000"), "ssn"))
-        .when(is_a("date"), F.when(_date_index(value).between(0, DAYS[0] * DAYS[1] - 1), "date"))
+        .when(is_a("date"), F.when(_date_of(value).isNotNull(), "date"))
         .when(is_a("ip"), F.when(octets_valid, "ip"))
+        .when(is_a("ip6"), "ip6")
         .when(is_a("card"), F.when(_luhn_valid(value), "card"))
     )
 
 
-def pseudonym(value: Column, key: str) -> Column:
-    """A found value's pseudonym; the value itself where it is not valid."""
-    kind = kind_of(value)
-    made = {"email": _email, "iban": _iban, "phone": _phone, "ssn": _ssn, "date": _date, "ip": _ip, "card": _card, "token": lambda v, k: permute_text(v, k, "token", hexadecimal=True)}
+def _made(value: Column, kind: Column, key: str) -> Column:
+    made = {"email": _email, "iban": _iban, "phone": _phone, "ssn": _ssn, "date": _date, "ip": _ip, "ip6": _ip6, "card": _card, "key": _access_key, "token": lambda v, k: permute_text(v, k, "token", hexadecimal=True)}
+    out = F.when(kind.isNull(), value)
+    for name, f in made.items():
+        out = out.when(kind == name, f(value, key))
+    return out
 
-    def by(k: Column) -> Column:
-        out = F.when(F.lit(False), value)
-        for name, f in made.items():
-            out = out.when(k == name, f(value, key))
-        return out.otherwise(value)
 
-    return _let(kind, by)
+def pseudonym(value: Column, key: str) -> Column:
+    """A found value's pseudonym; the value itself where it is not valid."""
+    return _let(kind_of(value), lambda k: _made(value, k, key))
 
 
-def pseudonymise(docs: DataFrame, key: str = "a key of the corpus", text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``n_values`` (valid values replaced); an input column of that name is replaced."""
     names = [c for c in docs.columns if c.lower() != "n_values"]
-    found, made = fresh(docs, "_found", "_made")
-    matches = F.regexp_extract_all(F.col(text), F.lit(_ANY), F.lit(0))
-    staged = docs.select(*names, F.when(F.col(text).rlike(_HINT), matches).otherwise(F.array().cast("array<string>")).alias(found))
-    renamed = staged.withColumn(made, F.transform(found, lambda v: F.struct(pseudonym(v, key).alias("to"), kind_of(v).isNotNull().alias("valid"))))
-    gaps = F.split(F.col(text), _ANY, -1)
-    rebuilt = F.array_join(F.zip_with(gaps, F.col(f"{made}.to"), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    parts, made = fresh(docs, "_parts", "_made")
+    escaped = F.replace(F.replace(F.col(text), F.lit(_ESCAPE), F.lit(_ESCAPE + _OTHER)), F.lit(_MARK), F.lit(_ESCAPE + _ESCAPE))
+    marked = F.regexp_replace(escaped, _ANY, f"{_MARK}$0{_MARK}")
+    # Every second part is a found value.
+    staged = docs.select(*names, F.when(F.col(text).rlike(_HINT), F.split(marked, _MARK, -1)).alias(parts))
+    kinds = staged.withColumn(parts, F.when(F.size(parts) > 1, F.transform(parts, lambda p, i: F.struct(p.alias("said"), F.when(i % 2 == 1, kind_of(p)).alias("kind")))))
+    renamed = kinds.withColumn(made, F.transform(parts, lambda x: _made(x["said"], x["kind"], key)))
+    joined = F.array_join(F.col(made), "")
+    rebuilt = F.replace(F.replace(joined, F.lit(_ESCAPE + _ESCAPE), F.lit(_MARK)), F.lit(_ESCAPE + _OTHER), F.lit(_ESCAPE))
     return renamed.select(
-        *[F.when(F.size(found) > 0, rebuilt).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in names],
-        F.coalesce(F.size(F.filter(made, lambda m: m["valid"])), F.lit(0)).cast("long").alias("n_values"),
+        *[F.when(F.col(made).isNotNull(), rebuilt).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in names],
+        F.coalesce(F.size(F.filter(parts, lambda x: x["kind"].isNotNull())), F.lit(0)).cast("long").alias("n_values"),
     )

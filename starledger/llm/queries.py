@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,10 @@ from . import audio, chat, decontam, html, jaccard, licenses, line_dedup, packin
 from .common import table
 
 
+#: Setting of the key of pseudonyms. Spark hides settings of such names in its logs.
+PII_KEY = "spark.starledger.pii.secret"
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
@@ -22,7 +27,10 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The key is the session's ``PII_KEY`` setting; where it is unset, a random one of this session."""
+    if not spark.conf.get(PII_KEY, None):
+        spark.conf.set(PII_KEY, secrets.token_hex(32))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(PII_KEY))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
