@@ -206,11 +206,11 @@ def _terms(words: list[str]) -> Iterator[tuple[str, int]]:
                 yield f"s:{w[:k]}", i
 
 
-def learn_lexicon(train: DataFrame, least_texts: int = 7, least_odds: float = 20.0, least_contexts: int = 6, most_terms: int = 100_000) -> Lexicon:
+def learn_lexicon(train: DataFrame, least_texts: int = 7, least_odds: float = 20.0, least_contexts: int = 6) -> Lexicon:
     """Fixed insults and the terms that set toxic training texts apart. ``train``: text, toxic; bounded by the caller.
 
-    Terms are counted in toxic texts first; only those in ``least_texts`` of them (the ``most_terms``
-    most frequent) are then counted in the others, so workers hold few terms at a time.
+    Terms are counted in toxic texts first; only those in ``least_texts`` of them are then
+    counted in the others, so workers hold few terms at a time. Their number is bounded by the sample's.
     """
 
     def count(known: frozenset | None):
@@ -231,7 +231,7 @@ def learn_lexicon(train: DataFrame, least_texts: int = 7, least_odds: float = 20
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Lexicon()
-    pos = {r["term"]: r["texts"] for r in counted(train.where("toxic = 1")).where(F.col("texts") >= least_texts).orderBy(F.desc("texts"), "term").limit(most_terms).collect()}
+    pos = {r["term"]: r["texts"] for r in counted(train.where("toxic = 1")).where(F.col("texts") >= least_texts).collect()}
     neg = {r["term"]: r["texts"] for r in counted(train.where("toxic = 0"), frozenset(pos)).collect()}
     likely = frozenset(t for t, n in pos.items() if (n + 0.5) / (sizes[1] + 1) >= least_odds * (neg.get(t, 0) + 0.5) / (sizes[0] + 1))
 
@@ -251,7 +251,7 @@ def learn_lexicon(train: DataFrame, least_texts: int = 7, least_odds: float = 20
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """At most ``train_rows`` labelled texts outside the held-out fold, equal texts once: doc_id, text, toxic."""
+    """At most ``train_rows`` labelled texts outside the held-out fold, equal texts once, by their smallest id: doc_id, text, toxic."""
     chosen = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -261,7 +261,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFr
         .limit(train_rows)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text", "toxic"])  # at most train_rows rows of 12 bytes are sent
+    found = texts.join(F.broadcast(chosen), "doc_id")  # at most train_rows rows of 12 bytes are sent
+    return found.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> tuple[Lexicon, Model]:
@@ -277,7 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> tuple
             x = [features(t, codes).tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "toxic", "x"])
 
-    got = rows.mapInArrow(measure, "doc_id long, toxic int, x array<float>").orderBy(F.xxhash64("doc_id"), "toxic").toPandas()
+    # Rows in an order of their own, so neither files nor partitions decide which are set apart for calibration.
+    got = rows.mapInArrow(measure, "doc_id long, toxic int, x array<float>").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "x").toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(FEATURES))
     return lexicon, fit(x, got["toxic"].to_numpy(np.float64))
 

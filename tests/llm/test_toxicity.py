@@ -1,10 +1,13 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from starledger.llm import toxicity
 
@@ -90,3 +93,54 @@ def test_copies_of_one_text_teach_no_words(spark):
     train = spark.createDataFrame([(t, int(i < 100)) for i, t in rows], "text string, toxic int")
     lexicon = toxicity.learn_lexicon(train)
     assert not lexicon.words & set(shared.split()) and not lexicon.stems & {w[:4] for w in shared.split()}
+
+
+def test_scores_follow_from_rows_not_from_files(spark):
+    """Order, partitions and repeated runs change nothing, also with copies of which some are labelled."""
+    docs, labels, _ = corpus(spark, 400)
+    copies = docs.where("doc_id < 60").withColumn("doc_id", F.col("doc_id") + 5000)
+    docs, labels = docs.union(copies), labels.union(labels.where("doc_id < 60").withColumn("doc_id", F.col("doc_id") + 5000))
+    runs = [toxicity.toxicity(d, x).collect() for d, x in ((docs, labels), (docs.repartition(7), labels.orderBy(F.desc("doc_id"))), (docs.orderBy(F.rand(3)).coalesce(1), labels.repartition(5)))]
+    first, *others = (sorted((str(r["doc_id"]), r["score"]) for r in run) for run in runs)
+    assert all(o == first for o in others)
+
+
+def plain_features(t, lexicon):
+    """The features again, word by word and character by character."""
+    n = lambda x: 100 * x / max(1, len(words))
+    words = toxicity.WORD.findall(t.lower())
+    code = lambda w: 1 if w in lexicon.words else 2 if any(w.startswith(x) for x in lexicon.stems if len(x) in toxicity.STEMS) else 4 if w in toxicity.SECOND_PERSON else 0
+    codes = [code(w) for w in words]
+    at = [i for i, c in enumerate(codes) if c in (1, 2)]
+    second = [i for i, c in enumerate(codes) if c == 4]
+    share = lambda chars: sum(c in chars for c in t) / max(1, len(t))
+    broken = toxicity.BROKEN.findall(t)
+    return [
+        n(codes.count(1)), n(codes.count(2)), np.log1p(len(at)), len({words[i] for i in at}),
+        max((1 / (b - a) for a, b in zip(at, at[1:])), default=0), max((1 / abs(i - j) for i in at for j in second), default=0), n(len(second)),
+        share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), len(re.findall(r"\b[A-Z]{3,}\b", t)) / max(1, len(words)), share(".,;:?'\"()-"), share("!"), share("#$%&*+/<=>@[\\]^_`{|}~"), share("0123456789"),
+        len(broken) / max(1, len(words)), sum(code(b.lower().translate(toxicity._LEET)) in (1, 2) for b in broken),
+    ]
+
+
+def test_scores_equal_a_plain_walk_of_the_trees(spark):
+    """The query's scores against features, trees and calibration taken one text, node and step at a time."""
+    docs, labels, _ = corpus(spark, 400)
+    docs = docs.union(frame(spark, [(9000, "YOU are an 1d10t, you st.u.pid MORON!!! #1 [x]"), (9001, "stupid " * 200_000)]))
+    lexicon, model = toxicity.train(docs, labels)
+    for r in toxicity.toxicity(docs, labels).join(docs.select("doc_id", "text"), "doc_id").collect():
+        x = np.array(plain_features(r["text"] or "", lexicon), np.float32).astype(float) if r["doc_id"] != 9001 else toxicity.features(r["text"], lexicon.codes()).astype(float)
+        margin = model.base
+        for split, cut, leaf in model.trees:
+            node = 0
+            for _ in range(model.depth):
+                f = split[node]
+                node = 2 * node + 1 + (sum(e < x[f] for e in model.edges[f]) > cut[node])
+            margin += leaf[node - len(split)]
+        p = 1 / (1 + math.exp(-margin))
+        if len(model.raw):
+            i = sum(m <= margin for m in model.raw)
+            low, high = max(0, i - 1), min(i, len(model.raw) - 1)
+            part = (margin - model.raw[low]) / (model.raw[high] - model.raw[low]) if 0 < i < len(model.raw) else 0
+            p = 0.999 * (model.share[low] + part * (model.share[high] - model.share[low])) + 0.001 * p
+        assert abs(p - r["score"]) < 1e-9, (r["doc_id"], p, r["score"])
