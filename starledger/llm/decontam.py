@@ -1,19 +1,23 @@
 """Benchmark decontamination: passages of benchmark items inside documents.
 
 Item-sized windows of a document are fingerprinted by SimHash over weighted word shingles (weight:
-occurrences). A multi-index over Hamming blocks finds every item fingerprint within the radius: of
-``radius + 1`` bit blocks one at least is equal. Candidates are verified by exact weighted-shingle
-similarity (sum of lesser weights over sum of greater ones). Windows are laid wherever the document
-has a shingle of an item of that size; without one, the similarity is zero, so none is missed.
+occurrences). A multi-index over Hamming blocks finds every item fingerprint within the radius: of four
+blocks of 16 bits, one at least differs in no more than a fourth of the radius, and all items whose block
+does so are looked up. Candidates are verified by exact weighted-shingle similarity (sum of lesser
+weights over sum of greater ones). Windows are laid wherever the document has a shingle of an item of
+that size, and candidates without a shingle there are left out; without one, the similarity is zero, so
+none is missed.
 
 Words are runs of letters and digits, lower-cased. Items are read in blocks of bounded number, each
-sent to the workers; documents are scanned where they are, without a shuffle.
+sent to the workers; documents are scanned where they are, without a shuffle. Windows are searched in
+runs of bounded number, so a very long text takes time by its length and memory for one text.
 
 An item of fewer words than a shingle has is one shingle of its own width, and a longer document has no
 shingle of that width: such an item is found only where it is a document's whole text, never inside one.
 
-Null and empty texts and items contain nothing and are found nowhere. Equal rows give equal rows. An
-item id that several rows have is one of its own in each. Other columns are ignored.
+Null and empty texts and items contain nothing and are found nowhere; empty tables give no rows. Equal
+rows give equal rows. An item id that several rows have is one of its own in each. Of windows equally
+similar to an item, the first one counts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +35,9 @@ from .common import broadcast_if_small, checkpointed, fresh, slices
 from .hashing import NOT_ALNUM, shingle_hashes, word_hashes
 
 #: Items sent to the workers at once.
-ITEM_BLOCK = 20_000
+ITEM_BLOCK = 100_000
+#: Pairs of windows and block values that are looked at in one step.
+STEP_PAIRS = 1 << 21
 #: Ids of contaminated documents that may be broadcast.
 BROADCAST_ROWS = 1 << 20
 _BITS = np.arange(64, dtype=np.uint64)
@@ -49,31 +55,47 @@ def window_fingerprints(shingles: np.ndarray, size: int) -> np.ndarray:
 
 
 class HammingIndex:
-    """Fingerprints under ``radius + 1`` bit blocks."""
+    """Fingerprints under four blocks of 16 bits, each looked up within a fourth of the radius."""
+
+    BLOCKS, WIDTH = 4, 16
 
     def __init__(self, prints: np.ndarray, radius: int) -> None:
-        self.prints, self.radius = prints, radius
-        cuts = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        self.prints, self.radius, self.near = prints, radius, radius // self.BLOCKS
         self.tables = []
-        for shift, mask in self.blocks:
-            table = defaultdict(list)
-            for i, v in enumerate(((prints >> shift) & mask).tolist()):
-                table[v].append(i)
-            self.tables.append({v: np.array(x) for v, x in table.items()})
+        for values in self._cut(prints):
+            order = np.argsort(values, kind="stable")
+            known, first = np.unique(values[order], return_index=True)
+            self.tables.append((known, order, np.append(first, len(order))))
+        every = np.arange(1 << self.WIDTH, dtype=np.uint16)
+        self.ball = every[np.bitwise_count(every) <= self.near]
+
+    def _cut(self, prints: np.ndarray) -> list[np.ndarray]:
+        return [((prints >> np.uint64(self.WIDTH * i)) & np.uint64((1 << self.WIDTH) - 1)).astype(np.uint16) for i in range(self.BLOCKS)]
+
+    def _probed(self, wanted: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``wanted`` and ``known`` of values that are near, by looking at all known values or at the whole ball, whichever is less."""
+        if len(known) <= len(self.ball):
+            return np.nonzero(np.bitwise_count(wanted[:, None] ^ known[None, :]) <= self.near)
+        probes = wanted[:, None] ^ self.ball[None, :]
+        at = np.minimum(np.searchsorted(known, probes), len(known) - 1)
+        row, column = np.nonzero(known[at] == probes)
+        return row, at[row, column]
 
     def within(self, wanted: np.ndarray) -> Iterator[tuple[int, int]]:
         """(position in ``wanted``, item) of all pairs within the radius."""
-        hit = np.zeros((len(wanted), len(self.prints)), bool)
-        for (shift, mask), table in zip(self.blocks, self.tables, strict=True):
-            values = (wanted >> shift) & mask
-            for v, items in table.items():
-                rows = np.flatnonzero(values == np.uint64(v))
-                if len(rows):
-                    hit[rows[:, None], items[None, :]] = True
-        at, item = np.nonzero(hit)
-        close = np.bitwise_count(wanted[at] ^ self.prints[item]) <= self.radius
-        yield from zip(at[close].tolist(), item[close].tolist(), strict=True)
+        step = max(1, STEP_PAIRS // max(1, len(self.prints), min(len(self.ball), len(self.prints))))
+        for start in range(0, len(wanted), step):
+            part, pairs = wanted[start : start + step], []
+            for values, (known, order, first) in zip(self._cut(part), self.tables, strict=True):
+                row, value = self._probed(values, known)
+                size = first[value + 1] - first[value]
+                place = np.arange(int(size.sum())) - np.repeat(size.cumsum() - size, size) + np.repeat(first[value], size)
+                item = order[place]
+                row = np.repeat(row, size)
+                close = np.bitwise_count(part[row] ^ self.prints[item]) <= self.radius
+                pairs.append(row[close] * len(self.prints) + item[close])
+            for pair in np.unique(np.concatenate(pairs)).tolist():
+                yield start + pair // len(self.prints), pair % len(self.prints)
 
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -88,20 +110,21 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
 class Items:
     """What a worker needs of a block of items."""
 
-    def __init__(self, ids: list, shingles: list[np.ndarray], radius: int) -> None:
-        self.ids, self.shingles = ids, shingles
-        owners = defaultdict(set)
-        by_size = defaultdict(list)
-        for i, s in enumerate(shingles):
-            if len(s):
-                by_size[len(s)].append(i)
-                for v in s.tolist():
-                    owners[v].add(len(s))
-        self.tokens = np.array(sorted(owners), np.uint64)
-        self.sizes = [sorted(owners[v]) for v in self.tokens.tolist()]
+    def __init__(self, shingles: list[np.ndarray], radius: int) -> None:
+        self.shingles = shingles
+        sizes = np.array([len(s) for s in shingles], np.int64)
+        owner = np.repeat(np.arange(len(shingles)), sizes)
+        tokens = np.concatenate([*shingles, np.zeros(0, np.uint64)])
+        order = np.argsort(tokens, kind="stable")
+        self.owner, self.size_of = owner[order], sizes
+        self.tokens, first = np.unique(tokens[order], return_index=True)
+        self.first = np.append(first, len(order))
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.tokens & np.uint64((1 << 20) - 1)] = True
-        self.by_size = {n: (x, HammingIndex(np.concatenate([window_fingerprints(shingles[i], n) for i in x]), radius)) for n, x in by_size.items()}
+        self.by_size = {}
+        for n in np.unique(sizes[sizes > 0]).tolist():
+            held = np.flatnonzero(sizes == n)
+            self.by_size[n] = held.tolist(), HammingIndex(np.concatenate([window_fingerprints(shingles[i], n) for i in held.tolist()]), radius)
 
     def find(self, doc: np.ndarray, least: float, at_once: int = 8192) -> dict[int, tuple[float, int]]:
         """Item -> (best similarity, first shingle of the earliest such window) of a document's shingles."""
@@ -113,15 +136,15 @@ class Items:
             return best
         index = np.minimum(np.searchsorted(self.tokens, doc[places]), len(self.tokens) - 1)
         same = self.tokens[index] == doc[places]
-        anchors = defaultdict(list)
+        anchors: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for place, i in zip(places[same].tolist(), index[same].tolist(), strict=True):
-            for n in self.sizes[i]:
-                anchors[n].append(place)
+            for item in set(self.owner[self.first[i] : self.first[i + 1]].tolist()):
+                anchors[int(self.size_of[item])].append((place, item))
         for n, held in anchors.items():
             items, hamming = self.by_size[n]
             last = max(0, len(doc) - n)
             steps = np.zeros(last + 2, np.int32)
-            p = np.array(held)
+            p, own = (np.array(x) for x in zip(*held, strict=True))
             np.add.at(steps, np.minimum(np.maximum(p - n + 1, 0), last), 1)
             np.add.at(steps, np.minimum(p, last) + 1, -1)
             starts = np.flatnonzero(steps[:-1].cumsum() > 0)
@@ -129,8 +152,11 @@ class Items:
                 for a in range(0, len(run), at_once):
                     part = run[a : a + at_once]
                     text = doc[part[0] : part[-1] + n]
+                    known = set(own[(p >= part[0]) & (p < part[-1] + n)].tolist())
                     for i, k in hamming.within(window_fingerprints(text, min(n, len(text)))):
                         start, item = int(part[i]), items[k]
+                        if item not in known:
+                            continue
                         similarity = weighted_similarity(doc[start : start + n], self.shingles[item])
                         if similarity >= least and similarity > best.get(item, (0.0, 0))[0]:
                             best[item] = (similarity, start)
@@ -154,10 +180,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: flo
         words, first = _words(pa.array([r["text"] for r in block], pa.large_string()))
         shingles = [shingle_hashes(words[a:b], k) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         ids = [r["item_id"] for r in block]
-        lengths = np.diff(first).tolist()
+        sent = docs.sparkSession.sparkContext.broadcast((ids, np.diff(first).tolist(), shingles))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = Items(ids, shingles, radius)
+            ids, lengths, shingles = sent.value
+            held = Items(shingles, radius)
             for whole in batches:
                 rows = []
                 for batch in slices(whole, "text"):

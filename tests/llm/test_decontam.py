@@ -93,3 +93,54 @@ def test_short_items_are_found_as_whole_documents_only(spark):
     docs = [(1, "Three short words"), (2, "Here are three short words inside a longer document"), (3, "three short words more")]
     bench = spark.createDataFrame([(7, "three short words")], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"]) for r in decontam.contaminations(frame(spark, docs), bench).collect()] == [(1, 7)]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 900))
+def test_large_indexes_and_small_steps(seed, count):
+    """More block values than the ball holds (697 here) are looked up by the ball; a step of few pairs changes nothing."""
+    rng = np.random.default_rng(seed)
+    prints, wanted = rng.integers(0, 2**64, count, np.uint64), rng.integers(0, 2**64, 30, np.uint64)
+    index = decontam.HammingIndex(prints, 12)
+    scanned = list(index.within(wanted))
+    expected = {(i, j) for i, x in enumerate(wanted.tolist()) for j, y in enumerate(prints.tolist()) if (x ^ y).bit_count() <= 12}
+    assert set(scanned) == expected
+    kept, decontam.STEP_PAIRS = decontam.STEP_PAIRS, 7
+    try:
+        assert list(index.within(wanted)) == scanned
+    finally:
+        decontam.STEP_PAIRS = kept
+
+
+def test_block_index_is_selective():
+    rng = np.random.default_rng(5)
+    prints, wanted = rng.integers(0, 2**64, 500, np.uint64), rng.integers(0, 2**64, 500, np.uint64)
+    index = decontam.HammingIndex(prints, 23)
+    near = np.zeros((500, 500), bool)
+    for values, (known, order, first) in zip(index._cut(wanted), index.tables):
+        for row, value in zip(*index._probed(values, known)):
+            near[row, order[first[value] : first[value + 1]]] = True
+    assert 0.2 < near.mean() < 0.45
+
+
+def test_recall_on_a_table(spark):
+    """Every window of every document that shares a shingle with an item, without fingerprints."""
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text").collect()]
+    sets = {k: shingles(x) for k, x in items}
+    owners: dict = {}
+    for k, x in sets.items():
+        for g in set(x):
+            owners.setdefault(g, []).append(k)
+    expected = {}
+    for i, t in docs:
+        s = shingles(t)
+        for k in {k for g in s for k in owners.get(g, ())}:
+            c, n = Counter(sets[k]), len(sets[k])
+            for a in {max(0, min(p - j, len(s) - n)) for p, g in enumerate(s) if g in c for j in range(n)}:
+                w = Counter(s[a : a + n])
+                both = sum((w & c).values())
+                expected[i, k] = max(expected.get((i, k), 0), both / (n + sum(w.values()) - both))
+    expected = {x for x, v in expected.items() if v >= 0.8}
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminations(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")).collect()}
+    assert got <= expected and len(got) >= 0.99 * len(expected) and len(expected) > 20
