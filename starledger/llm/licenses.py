@@ -7,11 +7,12 @@ above 0.9999 in every class: its Jaccard similarity to the template is 1/6 or mo
 
 Only windows with at least one shingle of some template are signed (the others' similarity is zero),
 and only texts with a word pair of a hitting set of all template shingles are split into words (the
-others hold no template shingle). The templates are a table of bounded size; they are sent to all workers.
-Nothing is shuffled but the retrieved candidates.
+others hold no template shingle). Templates are sent to all workers, MOST_TEMPLATES at once; more are
+scanned for in further passes. Nothing is shuffled but the retrieved candidates. A text is one row with
+its words and shingles at once, so a very long one takes memory by its length.
 
-Null and empty texts have no license. Equal rows count as one document, as do rows of one doc_id. Null
-ids stay null. Other columns are ignored.
+Null and empty texts have no license; empty tables give no rows. Equal rows count as one document, as do
+rows of one doc_id. Null ids stay null. Templates that tie are all reported. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,9 +43,16 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 # End of fixed values.
-#: Templates that may be sent to the workers.
+#: Templates that are sent to the workers at once.
 MOST_TEMPLATES = 2000
 BANDS = 64
 _WORD = "[a-z0-9]+"
@@ -95,8 +103,8 @@ def _signature(shingles: Column) -> Column:
 def _hashed(words: Column, k: int) -> Column:
     """Hashes of the word shingles of an array of words, in order."""
     n = F.size(words)
-    width = F.least(F.lit(k), n)
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " "))))
+    shingle = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]))  # noqa: E731  places beyond the end are null and left out
+    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), shingle))
 
 
 def license_hits(docs: DataFrame, templates: list[tuple[str, str]] | None = None, k: int = 5, least: float = 0.8) -> DataFrame:
@@ -105,20 +113,23 @@ def license_hits(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     ``containment`` is the best window's share of the template's distinct shingles.
     """
     kinds = TEMPLATES if templates is None else templates
-    kinds = [(name, text) for name, text in kinds if _words(text)]
-    if len(kinds) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    kinds = [(i, name, text) for i, (name, text) in enumerate(kinds) if _words(text)]
+    return reduce(DataFrame.unionByName, [_hits(docs, kinds[a : a + MOST_TEMPLATES], k, least) for a in range(0, max(1, len(kinds)), MOST_TEMPLATES)])
+
+
+def _hits(docs: DataFrame, kinds: list[tuple[int, str, str]], k: int, least: float) -> DataFrame:
     spark = docs.sparkSession
-    rows = [(i, name, _words(text), window_class(len(_words(text)))) for i, (name, text) in enumerate(kinds)]
+    rows = [(i, name, _words(text), window_class(len(_words(text)))) for i, name, text in kinds]
     table = spark.createDataFrame(rows, "template_id int, license string, words array<string>, class int").withColumn("wanted", F.array_distinct(_hashed(F.col("words"), k)))
-    bands = table.select("template_id", "license", "class", "wanted", F.posexplode(_signature(F.col("wanted"))).alias("band", "value"))
+    bands = table.withColumn("all", _signature(F.col("wanted"))).select("template_id", "license", "class", "wanted", "all", F.posexplode("all").alias("band", "value"))
     known = table.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("wanted")))).alias("known"))
 
     folded = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
-    likely = docs.where(F.col("text").rlike(hitting_pattern(kinds, k))).select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(folded, F.lit(_WORD), F.lit(0)).alias("words"))
+    likely = docs.where(F.col("text").rlike(hitting_pattern([(name, text) for _, name, text in kinds], k))).select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(folded, F.lit(_WORD), F.lit(0)).alias("words"))
     hashed = likely.where(F.size("words") > 0).select("doc_id", _hashed(F.col("words"), k).alias("shingles"))
-    # The one row of known shingles goes to all workers: at most MOST_TEMPLATES templates.
-    placed = hashed.join(F.broadcast(known), F.lit(True)).select("doc_id", "shingles", F.filter(F.transform("shingles", lambda s, i: F.when(F.array_contains("known", s), i)), lambda i: i.isNotNull()).alias("places")).where(F.size("places") > 0)
+    # The one row of known shingles goes to all workers: at most MOST_TEMPLATES templates. A text is met with them by one hash set (bound as an array of one, so once); then only its own hits are looked for.
+    met = F.transform(F.array(F.array_intersect("shingles", "known")), lambda m: F.filter(F.transform("shingles", lambda s, i: F.when(F.array_contains(m, s), i)), lambda i: i.isNotNull()))[0]
+    placed = hashed.join(F.broadcast(known), F.lit(True)).select("doc_id", "shingles", met.alias("places")).where(F.size("places") > 0)
 
     def windows(size: int) -> Column:
         step, length = size // 4, size + size // 4 - k + 1
@@ -126,11 +137,12 @@ def license_hits(docs: DataFrame, templates: list[tuple[str, str]] | None = None
         last = F.greatest(F.lit(0), F.ceil((n - length) / step).cast("int"))
         # windows j that hold a place p: j * step <= p < j * step + length
         near = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.least(last, F.greatest(F.lit(0), F.floor((p - length) / step).cast("int") + 1)), F.least(last, F.floor(p / step).cast("int"))))))
-        return F.transform(near, lambda j: F.struct(F.lit(size).alias("class"), (j * step).alias("start"), F.array_distinct(F.slice("shingles", j * step + 1, F.lit(length))).alias("held")))
+        return F.transform(near, lambda j: F.struct(F.lit(size).alias("class"), (j * step).alias("start"), F.array_distinct(F.transform(F.sequence(j * step, F.least(j * step + length, n) - 1), lambda x: F.get("shingles", x))).alias("held")))
 
     classes = sorted({r[3] for r in rows}) or [8]
     cut = placed.select("doc_id", F.inline(reduce(F.concat, [windows(c) for c in classes])))
-    signed = cut.select("doc_id", "class", "start", "held", F.posexplode(_signature(F.col("held"))).alias("band", "value"))
-    # Candidates of one window and template are equal in all bands: one each is kept before verification.
-    found = signed.join(F.broadcast(bands), ["class", "band", "value"]).select("doc_id", "license", "template_id", (F.size(F.array_intersect("held", "wanted")) / F.size("wanted")).alias("containment"))
+    signed = cut.withColumn("own", _signature(F.col("held"))).select("doc_id", "class", "start", "held", "own", F.posexplode("own").alias("band", "value"))
+    # A window and template may agree in many bands: the first one stands for all, so each pair is verified once.
+    candidates = signed.join(F.broadcast(bands), ["class", "band", "value"]).where(F.array_position(F.zip_with("own", "all", lambda x, y: x == y), True) == F.col("band") + 1)
+    found = candidates.select("doc_id", "license", "template_id", (F.size(F.array_intersect("held", "wanted")) / F.size("wanted")).alias("containment"))
     return found.where(F.col("containment") >= least).groupBy("doc_id", "license", "template_id").agg(F.max("containment").alias("containment"))

@@ -66,6 +66,21 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.license_hits(frame(spark, rows), []).count() == 0
 
 
+def test_templates_in_blocks_and_long_texts(spark, monkeypatch):
+    rows = license_rows()[:20] + [(300, "filler words here " * 100_000 + licenses.TEMPLATES[16][1] + " tail" * 1000)]
+    whole = sorted(map(tuple, licenses.license_hits(frame(spark, rows)).collect()))
+    assert {(r[0], r[2]): r[3] for r in whole} == brute(rows, licenses.TEMPLATES)
+    monkeypatch.setattr(licenses, "MOST_TEMPLATES", 5)
+    assert sorted(map(tuple, licenses.license_hits(frame(spark, rows)).collect())) == whole
+
+
+def test_recall_on_a_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    expected = brute([tuple(r) for r in docs.select("doc_id", "text").collect()], licenses.TEMPLATES)
+    got = {(r["doc_id"], r["template_id"]): r["containment"] for r in licenses.license_hits(docs).collect()}
+    assert got == expected and expected
+
+
 def test_each_shingle_of_a_template_matches_the_pattern():
     import re
 
