@@ -5,7 +5,8 @@ before, a regeneration discards it, a deletion removes the message), messages ar
 conversation, and each turn is rendered with escaped control strings. The loss mask covers exactly
 the assistant texts.
 
-Scale: the fold groups by message, so a hot conversation's events spread over many tasks. Rendering
+Scale: the fold deals events by message, so a hot conversation's events spread over many tasks, and
+streams each message's events in order, holding its text only. Rendering
 needs a conversation in order and streams it: a worker holds one part (``part_chars``), never a
 whole conversation; longer conversations continue in further parts.
 
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Event kinds: ``delta`` appends text, ``edit`` sets it, ``regenerate`` clears it, ``delete`` removes the message.
 KINDS = ("delta", "edit", "regenerate", "delete")
@@ -67,24 +69,42 @@ class Template:
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, message_id, first_seq, role, text) of a log (conv_id, message_id, seq, kind, role, text).
 
-    ``seq`` may have any orderable type. Unknown or null kinds count as ``delta``.
+    ``seq`` may have any orderable type. Unknown or null kinds count as ``delta``. Events are sorted and
+    folded as they come: a task holds what one message says, not its log.
     """
-    log = F.array_sort(F.collect_list(F.struct("seq", "kind", "text", "role")))
-    last = F.array_max(F.transform("log", lambda e, i: F.when(e["kind"].isin("edit", "regenerate"), i).otherwise(F.lit(0))))
-    said = F.transform(F.filter("log", lambda e, i: i >= F.col("last")), lambda e: F.when(e["kind"].isin("regenerate", "delete"), "").otherwise(F.coalesce(e["text"], F.lit(""))))
-    return (
-        events.groupBy("conv_id", "message_id")
-        .agg(log.alias("log"))
-        .where(~F.coalesce(F.element_at("log", -1)["kind"], F.lit("")).eqNullSafe("delete"))
-        .withColumn("last", last)
-        .select(
-            "conv_id",
-            "message_id",
-            F.col("log")[0]["seq"].alias("first_seq"),
-            F.coalesce(F.get(F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull()), F.lit(0)), F.lit("")).alias("role"),
-            F.array_join(said, "").alias("text"),
-        )
-    )
+    columns = ["conv_id", "message_id", "seq", "kind", "text", "role"]
+    types = {f.name: f.dataType for f in events.schema.fields}
+    out = StructType([StructField(n, types[m]) for n, m in (("conv_id", "conv_id"), ("message_id", "message_id"), ("first_seq", "seq"))] + [StructField("role", StringType()), StructField("text", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, row, said, role, kind = None, None, [], None, None
+
+        def close() -> list:
+            return [] if row is None or kind == "delete" else [(*row, role or "", "".join(said))]
+
+        for batch in batches:
+            done = []
+            for *key, seq, event, text, by in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if row is None or key != now:
+                    done += close()
+                    now, row, said, role = key, (*key, seq), [], None
+                kind = event
+                role = by if role is None else role
+                if event in ("edit", "regenerate"):
+                    said = []
+                if event not in ("regenerate", "delete"):
+                    said.append(text or "")
+            if done:
+                yield messages(done, batch.schema)
+            schema = batch.schema
+        if close():
+            yield messages(close(), schema)
+
+    def messages(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+        kinds = [schema.field(c).type for c in columns[:3]] + [pa.string()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], out.names)
+
+    return events.select(*columns).repartition("conv_id", "message_id").sortWithinPartitions(*columns).mapInArrow(run, out)
 
 
 def table_events(conversations: DataFrame) -> DataFrame:
