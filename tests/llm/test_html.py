@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from starledger.llm import html
 
@@ -124,3 +126,32 @@ def test_a_copied_article_is_no_template(spark):
     rows = [(i, "http://copies/", f"<article><p>The same long story on every page of this host</p><p>{i}</p></article>") for i in range(6)]
     got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r["text"] == f"The same long story on every page of this host {r['page_id']}" for r in got)
+
+
+def plain_match(a, b):
+    """The size of the largest order-keeping match of two trees, tried in every way."""
+    if a.label != b.label:
+        return 0
+
+    def best(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max(best(xs[1:], ys), *(plain_match(xs[0], y) + best(xs[1:], ys[j + 1 :]) for j, y in enumerate(ys)))
+
+    return 1 + best(a.children, b.children)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.recursive(st.sampled_from(["<p>x</p>", "<h2>y</h2>"]), lambda inner: st.tuples(st.sampled_from(["div", "ul", "section"]), st.lists(inner, max_size=4)).map(lambda t: f"<{t[0]}>{''.join(t[1])}</{t[0]}>"), max_leaves=8), st.data())
+def test_tree_match_equals_every_way(first, data):
+    second = data.draw(st.sampled_from([first, first.replace("<h2>y</h2>", ""), "<div>" + first + "</div>", first + "<p>z</p>"]))
+    a, b = html.parse(first), html.parse(second)
+    size, pairs = html.tree_match(a, b)
+    assert size == plain_match(a, b) == len(pairs) and all(x.label == y.label for x, y in pairs)
+
+
+def test_a_very_long_page(spark):
+    long = "<body><article>" + "".join(f"<p>Paragraph {i} of very many</p>" for i in range(100_000)) + "</article></body>"
+    rows = [(1, "http://long/", long), (2, "http://long/", "<article><p>short</p></article>")]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: " ".join(f"Paragraph {i} of very many" for i in range(100_000)), 2: "short"}
