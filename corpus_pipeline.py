@@ -7,14 +7,13 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starledger.llm import decontam, jaccard, line_dedup, packing, toxicity
-from starledger.llm.common import broadcast_if_small, checkpointed, table
+from starledger.llm.common import broadcast_if_small, checkpointed, shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -86,9 +85,11 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written below the session's ``spark.checkpoint.dir`` and removed when the next one is done."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="starledger-pipeline-")
-    folder = f"{base}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; what each returns is written below the cluster's shared folder and removed when the next one is done.
+
+    The last stage's files are what the result reads; they are the caller's to remove.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
