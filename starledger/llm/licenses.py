@@ -82,13 +82,23 @@ def hitting_pairs(templates: list[tuple[str, str]], k: int) -> list[tuple[str, .
     return sorted(chosen)
 
 
+def _branches(words: dict[str, str]) -> str:
+    """A pattern of words, each with what follows it, that parts by first letters, so few branches are tried at a place."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for word, rest in words.items():
+        if word:
+            by_letter.setdefault(word[0], {})[word[1:]] = rest
+    parts = [letter + _branches(more) for letter, more in sorted(by_letter.items())] + [words[""]] * ("" in words)
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def hitting_pattern(templates: list[tuple[str, str]], k: int) -> str:
     """A pattern that every text with a template shingle matches."""
     by_first: dict[str, list[str]] = {}
     for first, *second in hitting_pairs(templates, k):
         by_first.setdefault(first, []).extend(second or [""])
-    parts = [first if "" in seconds else f"{first}[^a-z0-9]+(?:{'|'.join(seconds)})" for first, seconds in by_first.items()]
-    return f"(?i)(?<![a-z0-9])(?:{'|'.join(parts)})(?![a-z0-9])" if parts else "$^"
+    rest = {first: "" if "" in seconds else f"[^a-z0-9]+{_branches(dict.fromkeys(seconds, ''))}" for first, seconds in by_first.items()}
+    return f"(?i)(?<![a-z0-9]){_branches(rest)}(?![a-z0-9])" if rest else "$^"
 
 
 def window_class(words: int) -> int:
