@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sky import night
@@ -25,21 +25,29 @@ def plotted(images: DataFrame, use_intermediate: bool = False, library_id: int |
     return df
 
 
-def _by_bucket(images: DataFrame, fmt: str, start: str, end: str, **selection) -> DataFrame:
-    """The bucket and hours of each bucket from start to end; hours are null where no exposure is known."""
+def _observed_between(low: dt.date, high: dt.date) -> Column:
+    """Whether an image was taken from noon of ``low`` to noon of ``high``, on time columns themselves, so that files and row groups of other times are not read."""
+    a, b = (F.lit(f"{d.isoformat()} 12:00:00").cast("timestamp_ntz") for d in (low, high))
+    local, utc = F.col("observation_timestamp_local"), F.col("observation_timestamp_utc")
+    return ((local >= a) & (local < b)) | (local.isNull() & (utc >= a) & (utc < b))
+
+
+def _by_bucket(images: DataFrame, fmt: str, start: str, end: str, low: dt.date, high: dt.date, **selection) -> DataFrame:
+    """The bucket and hours of each bucket from start to end, which lie between two noons; hours are null where no exposure is known."""
     bucket = night(fmt)
-    df = plotted(images, **selection).withColumn("bucket", bucket).where(F.col("bucket").between(start, end))
+    df = plotted(images, **selection).where(_observed_between(low, high)).withColumn("bucket", bucket).where(F.col("bucket").between(start, end))
     return df.groupBy("bucket").agg((F.sum("exposure") / 3600).alias("hours")).orderBy("bucket")
 
 
 def integration_by_month(images: DataFrame, start: dt.date, end: dt.date, **selection) -> DataFrame:
     """(bucket 'yyyy-MM', hours) of the months from ``start``'s to ``end``'s, in order; nights count to the day they begin."""
-    return _by_bucket(images, "yyyy-MM", f"{start:%Y-%m}", f"{end:%Y-%m}", **selection)
+    after = dt.date(end.year + end.month // 12, end.month % 12 + 1, 1)
+    return _by_bucket(images, "yyyy-MM", f"{start:%Y-%m}", f"{end:%Y-%m}", start.replace(day=1), after, **selection)
 
 
 def integration_by_night(images: DataFrame, start: dt.date, end: dt.date, **selection) -> DataFrame:
     """(bucket 'yyyy-MM-dd', hours) of the nights from ``start`` to ``end``, in order."""
-    return _by_bucket(images, "yyyy-MM-dd", f"{start:%Y-%m-%d}", f"{end:%Y-%m-%d}", **selection)
+    return _by_bucket(images, "yyyy-MM-dd", f"{start:%Y-%m-%d}", f"{end:%Y-%m-%d}", start, end + dt.timedelta(1), **selection)
 
 
 def night_grid(images: DataFrame, start: dt.date, end: dt.date, **selection) -> DataFrame:

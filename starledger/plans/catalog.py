@@ -46,7 +46,9 @@ class Catalog:
         version = (self.versions(name) or [0])[-1] + 1
         out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields])
         if name == "image_files":
-            laid = out.repartition("library_id", F.floor(F.coalesce("declination", F.lit(91.0)) / 10)).sortWithinPartitions("library_id", F.floor("declination"), "right_ascension", "observation_timestamp_utc")
+            # By sky band; images without coordinates (flats, darks, bias) and those of one busy band are dealt on by their paths.
+            place = F.when(F.col("declination").isNull(), F.pmod(F.xxhash64("path"), F.lit(64))).otherwise(F.pmod(F.xxhash64("path"), F.lit(8)))
+            laid = out.repartition("library_id", F.floor(F.col("declination") / 10), place).sortWithinPartitions("library_id", F.floor("declination"), "right_ascension", "observation_timestamp_utc")
             laid.write.mode("overwrite").partitionBy("library_id").parquet(f"{self.root}/{name}/v{version}")
         else:
             out.write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")

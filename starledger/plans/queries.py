@@ -295,3 +295,117 @@ def _numbers(t: Tables) -> DataFrame:
 register("p1_p2_numbers", _numbers, "SELECT id, CASE WHEN id % 7 IN (0, 1) THEN CAST(id AS INT) END AS as_int, CASE id % 7 WHEN 0 THEN CAST(id AS DOUBLE) WHEN 1 THEN CAST(id AS DOUBLE) WHEN 2 THEN (id + 0.5::DOUBLE) * 100 WHEN 3 THEN CAST(id AS DOUBLE) / 100 WHEN 5 THEN 3000000000::DOUBLE END AS as_float FROM images")
 register("s6_equipment_json", lambda t: export.equipment_filters(t.tags.select(F.format_string('{"count": 1, "results": [{"id": %d, "brandName": "Brand", "name": "%s"}]}', F.col("id"), F.col("name")).alias("json"))), "SELECT CAST(id AS INT) AS id, concat('Brand ', name) AS name FROM tags")
 register("u6_scan_summary", lambda t: _scan(t).join(t.images.where("library_id = 1").select("header_hash", F.col("file_size").alias("_size")).distinct(), "header_hash", "left").select(F.when(F.col("_size").isNull(), "added").when(F.col("_size") != F.col("file_size"), "updated").otherwise("skipped").alias("status")).groupBy("status").agg(F.count("*").alias("count")), f"SELECT CASE WHEN i.file_size IS NULL THEN 'added' WHEN i.file_size <> s.file_size THEN 'updated' ELSE 'skipped' END AS status, count(*) AS count FROM ({_SCAN}) s LEFT JOIN (SELECT DISTINCT header_hash, file_size FROM images WHERE library_id = 1) i ON i.header_hash = s.header_hash GROUP BY 1")
+
+
+# The scan as the header source gives it, planned by ``ingest``: some files have errors, all have a small header.
+_SCANNED = f"SELECT path, file_size, CASE WHEN file_size % 13 = 0 THEN NULL ELSE header_hash END AS header_hash, CASE WHEN file_size % 13 = 0 THEN 'broken' END AS error FROM ({_SCAN})"
+
+
+def _ingest(t: Tables):
+    from ..schema import HEADER, SCANNED
+    from .ingest import ingest
+
+    broken = F.col("file_size") % 13 == 0
+    entry = lambda keyword, kind, s, d: F.struct(F.lit(keyword).alias("keyword"), F.lit(kind).alias("kind"), s.cast("string").alias("s"), F.lit(None).cast("boolean").alias("b"), F.lit(None).cast("int").alias("i"), d.cast("double").alias("d"), F.lit(None).cast("string").alias("comment"))
+    items = F.array(entry("IMAGETYP", "string", F.lit("Light"), F.lit(None)), entry("EXPOSURE", "float", F.lit(None), F.col("file_size") % 600))
+    header = F.struct(F.lit(10).alias("width"), F.lit(20).alias("height"), F.lit(".fits").alias("file_extension"), items.alias("items"))
+    rows = _scan(t).select("path", "file_size", F.lit(None).cast("timestamp_ntz").alias("modified"), F.lit(None).cast("timestamp_ntz").alias("created"), F.when(~broken, F.col("header_hash")).alias("header_hash"), F.when(~broken, header).cast(HEADER).alias("header"), F.when(broken, "broken").alias("error"))
+    return ingest(t.images.select(*IMAGE_FILES.names), rows.select(*SCANNED.names), 1, NOW)
+
+
+_INGEST = (
+    f", scanned AS ({_SCANNED}), good AS (SELECT * FROM scanned WHERE error IS NULL AND header_hash IS NOT NULL), sizes AS (SELECT header_hash, arg_min(file_size, path) AS size FROM good GROUP BY header_hash), "
+    "own AS (SELECT * FROM images WHERE library_id = 1), fresh AS (SELECT * FROM good g WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.header_hash = g.header_hash AND lower(own.path) = lower(g.path)))"
+)
+_STATUSES = "SELECT path, CASE WHEN file_size IS DISTINCT FROM size THEN 'updated' ELSE 'skipped' END AS status FROM own JOIN sizes USING (header_hash) UNION ALL SELECT path, 'added' FROM fresh UNION ALL SELECT path, 'error' FROM scanned WHERE error IS NOT NULL OR header_hash IS NULL"
+
+
+def _chained(ctes: str, sql: str) -> str:
+    """SQL whose tables follow those of the catalogue."""
+    return f"{ctes} {sql}"
+
+
+register("u2_ingest_statuses", lambda t: _ingest(t).statuses, _chained(_INGEST, _STATUSES))
+register("u3_ingest_added", lambda t: _ingest(t).added.select("path", "header_hash", "library_id", "type", "exposure", "file_size"), _chained(_INGEST, "SELECT path, header_hash, 1 AS library_id, 1 AS type, CAST(file_size % 600 AS DOUBLE) AS exposure, file_size FROM fresh"))
+register("u4_ingest_images", lambda t: _ingest(t).images.select("path", "library_id", "header_hash", "file_size", F.col("updated_on").isNotNull().alias("updated")), _chained(_INGEST, "SELECT path, library_id, header_hash, file_size, updated_on IS NOT NULL AS updated FROM images WHERE library_id <> 1 UNION ALL SELECT path, library_id, header_hash, coalesce(size, file_size) AS file_size, (size IS NOT NULL AND size <> file_size) AS updated FROM own LEFT JOIN sizes USING (header_hash) UNION ALL SELECT path, 1, header_hash, file_size, false FROM fresh"))
+register("u6_ingest_summary", lambda t: _ingest(t).summary(), _chained(_INGEST, f"SELECT status, count(*) AS count FROM ({_STATUSES}) GROUP BY status"))
+
+
+def _known_scan(t: Tables) -> DataFrame:
+    from .ingest import scanned_at
+
+    return scanned_at(_with_times(t.libraries, ["created_on", "updated_on", "last_scan"]), 2, NOW).select("id", "name", "last_scan")
+
+
+def _with_times(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumns({n: F.lit(None).cast("timestamp_ntz") for n in names})
+
+
+register("u5_last_scan", _known_scan, "SELECT id, name, CASE WHEN id = 2 THEN TIMESTAMP '2024-01-31 00:00:00' END AS last_scan FROM libraries")
+
+# Rows made and changed: libraries, tags, aliases, export filters, settings.
+register("m3_add_library", lambda t: edit.add_library(_with_times(t.libraries, ["created_on", "updated_on", "last_scan"]), NOW, "Garden", "/data/garden").select(F.col("id").cast("bigint").alias("id"), "name", "path"), "SELECT id, name, path FROM libraries UNION ALL SELECT max(id) + 1, 'Garden', '/data/garden' FROM libraries")
+register("m3_edit_library", lambda t: edit.edit_library(_with_times(t.libraries, ["updated_on"]), 2, NOW, name="Roof").select("id", "name", "path", "updated_on"), "SELECT id, CASE WHEN id = 2 THEN 'Roof' ELSE name END AS name, path, CASE WHEN id = 2 THEN TIMESTAMP '2024-01-31 00:00:00' END AS updated_on FROM libraries")
+register("m4_add_tag", lambda t: edit.add_tag(_with_times(t.tags, ["created_on", "updated_on"]), NOW, "to do", "#ff0000ff").select(F.col("id").cast("bigint").alias("id"), "name", "color"), "SELECT id, name, color FROM tags UNION ALL SELECT max(id) + 1, 'to do', '#ff0000ff' FROM tags")
+register("m4_edit_tag", lambda t: edit.edit_tag(_with_times(t.tags, ["updated_on"]), 3, NOW, color="#00ff00ff").select("id", "name", "color"), "SELECT id, name, CASE WHEN id = 3 THEN '#00ff00ff' ELSE color END AS color FROM tags")
+register("m8_add_alias", lambda t: edit.add_alias(edit.add_alias(t.aliases, " M 31 ", " Andromeda "), " ", "nothing").select(F.col("id").cast("bigint").alias("id"), "object_name", "alias"), "SELECT id, object_name, alias FROM aliases UNION ALL SELECT max(id) + 1, 'M 31', 'Andromeda' FROM aliases")
+register("m8_delete_alias", lambda t: edit.delete_alias(t.aliases, 4), "SELECT id, object_name, alias FROM aliases WHERE id <> 4")
+
+
+def _export_filters(t: Tables) -> DataFrame:
+    return t.tags.select(F.col("id").cast("int").alias("id"), F.lit(1).alias("app_settings_id"), F.col("id").cast("int").alias("astrobin_id"), "name")
+
+
+register("m10_export_filters", lambda t: edit.remove_export_filter(edit.add_export_filter(edit.add_export_filter(_export_filters(t), 1, "had already"), 1_000_000, "new"), 2).select("astrobin_id", "name"), "SELECT CAST(id AS INT) AS astrobin_id, name FROM tags WHERE id <> 2 UNION ALL SELECT 1000000, 'new'")
+
+
+def _settings(t: Tables) -> DataFrame:
+    settings = t.libraries.where("id = 1").select(F.lit(1).alias("id"), F.lit(True).alias("persist_filters_on_exit"), F.lit(False).alias("use_intermediate_frames_for_plots"), F.lit(False).alias("full_screen"))
+    saved = t.aliases.select("id", F.lit(1).alias("app_settings_id"), F.col("object_name").alias("name"), F.col("alias").alias("data"))
+    changed, kept = edit.set_settings(settings, saved, use_intermediate_frames_for_plots=True)
+    _, gone = edit.set_settings(settings, saved, persist_filters_on_exit=False)
+    return changed.crossJoin(F.broadcast(kept.agg(F.count("*").alias("kept")))).crossJoin(F.broadcast(gone.agg(F.count("*").alias("gone"))))  # three tables of one row
+
+
+register("m11_settings", _settings, "SELECT 1 AS id, true AS persist_filters_on_exit, true AS use_intermediate_frames_for_plots, false AS full_screen, (SELECT count(*) FROM aliases) AS kept, 0::BIGINT AS gone")
+
+# Texts and orders.
+_SUMS = "SELECT coalesce(filter_name, 'None') AS f, count(*) AS n, sum(coalesce(exposure, 0)) AS s FROM images WHERE type = 1 AND library_id = 2 GROUP BY filter_name"
+_HOURS = "CASE WHEN {0} < 1 THEN printf('%.2f', {0}) ELSE printf('%.1f', {0}) END"
+
+
+def _summary(t: Tables, markdown: bool) -> DataFrame:
+    """The lines of a summary, each with its number; the filters' lines are in no order of their own."""
+    made = (export.summary_markdown if markdown else export.summary_text)(stats.integration_by_filter(t.images.where("library_id = 2")))
+    return t.spark.createDataFrame([(line,) for line in made.split("\n")], "line string")
+
+
+register("x3_text_summary", lambda t: _summary(t, False), f", sums AS ({_SUMS}) SELECT concat('Total Integration: ', {_HOURS.format('(SELECT sum(s) / 3600 FROM sums)')}, ' hr') AS line UNION ALL SELECT concat(f, ': ', {_HOURS.format('(s / 3600)')}, ' hr') FROM sums")
+register(
+    "x4_markdown_summary",
+    lambda t: _summary(t, True),
+    f", sums AS ({_SUMS}), cells AS (SELECT f, CAST(n AS VARCHAR) AS n, concat({_HOURS.format('(s / 3600)')}, ' hr') AS h FROM sums), total AS (SELECT concat(printf('%.1f', sum(s) / 3600), ' hr') AS h FROM sums), "
+    "wide AS (SELECT greatest(6, max(length(f))) AS a, greatest(9, max(length(n))) AS b, greatest(11, max(length(h) - 3), max((SELECT length(h) FROM total))) AS c FROM cells) "
+    "SELECT concat('| ', rpad(f, CAST(a AS INT), ' '), ' | ', lpad(n, CAST(b AS INT), ' '), ' | ', lpad(h, CAST(greatest(c, length(h)) AS INT), ' '), ' |') AS line FROM (SELECT f, n, h FROM cells UNION ALL SELECT 'Filter', 'Exposures', 'Integration' UNION ALL SELECT 'Total', '', h FROM total), wide "
+    "UNION ALL SELECT concat('|', repeat('-', a + 2), '|', repeat('-', b + 1), ':|', repeat('-', c + 1), ':|') FROM wide",
+)
+register("f8_humanised", lambda t: t.images.select("id", text.humanised(F.concat(F.lit("focuser_name-of"), F.lit("Camera"), F.col("id").cast("string"))).alias("title")), "SELECT id, concat('Focuser Name Of Camera', id) AS title FROM images")
+register("o2_images_in_order", lambda t: t.images.where("library_id = 3").orderBy(F.asc_nulls_last("object_name"), "exposure", "id").limit(40).select("id", "object_name", "exposure"), "SELECT id, object_name, exposure FROM images WHERE library_id = 3 ORDER BY object_name ASC NULLS LAST, exposure ASC NULLS FIRST, id LIMIT 40")
+register("f15_exact_decimals", lambda t: t.images.select("id", F.col("exposure").cast("decimal(18, 4)").cast("string").alias("exposure")), "SELECT id, CAST(CAST(exposure AS DECIMAL(18, 4)) AS VARCHAR) AS exposure FROM images")
+
+# FITS headers as bytes.
+_CARDS = ["'SIMPLE  =                    T'", "concat('NAXIS1  = ', CAST(event_id % 5000 AS STRING), ' / width')", "concat('NAXIS2  = ', CAST(event_id % 300 AS STRING))", "concat('EXPTIME = ', CAST(event_id % 100 AS STRING), '.5D+01 / seconds')", "concat('OBJECT  = ''M ''''', CAST(user_id % 40 AS STRING), '  ''')", "'COMMENT written by hand'", "concat('BIG     = 99999999999', CAST(event_id AS STRING))"]
+_HEADER_TEXT = f"concat({', '.join(f'rpad({c}, 80, chr(32))' for c in _CARDS)})"
+
+
+def _fits(t: Tables) -> DataFrame:
+    from ..sources.headers import read_bytes
+    from .headers import first_item
+
+    files = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").selectExpr("event_id AS id", f"CASE WHEN event_id % 17 = 0 THEN encode({_HEADER_TEXT}, 'US-ASCII') ELSE encode(rpad(concat({_HEADER_TEXT}, 'END'), 2880, chr(32)), 'US-ASCII') END AS content")
+    header = read_bytes(files).select("id", "header_hash", "error", "header")
+    item = lambda keyword: first_item(keyword)
+    return header.select("id", "header_hash", F.col("header.width").alias("width"), F.col("header.height").alias("height"), F.size("header.items").alias("items"), item("EXPTIME")["d"].alias("seconds"), item("OBJECT")["s"].alias("object"), item("EXPTIME")["comment"].alias("unit"), F.col("error").isNotNull().alias("broken"))
+
+
+register("s1_h1_fits_headers", _fits, f"SELECT event_id AS id, CASE WHEN event_id % 17 <> 0 THEN sha1({_HEADER_TEXT}) END AS header_hash, CASE WHEN event_id % 17 <> 0 THEN CAST(event_id % 5000 AS INT) END AS width, CASE WHEN event_id % 17 <> 0 THEN CAST(event_id % 300 AS INT) END AS height, CASE WHEN event_id % 17 <> 0 THEN 5 + (CASE WHEN TRY_CAST(concat('99999999999', event_id) AS INT) IS NULL THEN 0 ELSE 1 END) END AS items, CASE WHEN event_id % 17 <> 0 THEN (event_id % 100 + 0.5::DOUBLE) * 10 END AS seconds, CASE WHEN event_id % 17 <> 0 THEN concat('M ''', user_id % 40) END AS object, CASE WHEN event_id % 17 <> 0 THEN 'seconds' END AS unit, event_id % 17 = 0 AS broken FROM events")

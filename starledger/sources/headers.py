@@ -8,15 +8,19 @@ reads its own; only header bytes are read. A file that can't be read is a row wi
 from __future__ import annotations
 
 import datetime as dt
+import io
+import json
 import os
 import time
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..schema import SCANNED
+from ..schema import HEADER, SCANNED
 from . import fits, listing, xisf
 
 
@@ -93,3 +97,28 @@ def register(spark: SparkSession) -> None:
 def estimated_count(root: str) -> int:
     """Files that a full scan would find."""
     return sum(1 for path, deep in listing.folders(root) for _ in listing.walk(path, deep)) if os.path.isdir(root) else 0
+
+
+def read_bytes(df: DataFrame, content: str = "content", form: str = "fits") -> DataFrame:
+    """``df`` with header_hash, header and error read from a binary column that holds files or their first bytes.
+
+    For stores that the header source's paths don't reach, as after ``spark.read.format("binaryFile")``.
+    """
+    reader = {"fits": fits.read_header, "xisf": xisf.read_header}[form]
+    made = ("header_hash", "header", "error")
+    schema = StructType([*df.drop(*made).schema.fields, *[StructField(n, StringType()) for n in made]])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for data in batch.column(content).to_pylist():
+                try:
+                    header, digest = reader(io.BytesIO(data or b""))
+                    rows.append((digest, json.dumps(header), None))
+                except Exception as e:  # any broken file is a row with its error
+                    rows.append((None, None, f"{type(e).__name__}: {e}"))
+            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in made]
+            read = [pa.array([r[i] for r in rows], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([c for _, c in kept] + read, [n for n, _ in kept] + list(made))
+
+    return df.drop(*made).mapInArrow(run, schema).withColumn("header", F.from_json("header", HEADER))
