@@ -1,8 +1,8 @@
 """The data source ``image_headers``: one row per image file with its header, in batches and streams.
 
 ``spark.read.format("image_headers").load(root)``; options: ``since`` (seconds, the incremental scan's
-cutoff), ``compat_xisf_hash``. The folders of a tree are divided over tasks, each of which lists and
-reads its own; only header bytes are read. A file that can't be read is a row with an error.
+cutoff), ``compat_xisf_hash``. The folders of a tree are divided over tasks, and the files of a folder of
+many among several; each task lists and reads its own; only header bytes are read. A file that can't be read is a row with an error.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from . import fits, listing, xisf
 
 
 class Folder(InputPartition):
-    def __init__(self, path: str, deep: bool, since: float | None = None, until: float | None = None) -> None:
-        self.path, self.deep, self.since, self.until = path, deep, since, until
+    def __init__(self, path: str, deep: bool, share: tuple[int, int], since: float | None = None, until: float | None = None) -> None:
+        self.path, self.deep, self.share, self.since, self.until = path, deep, share, since, until
 
 
 def scan_file(found: listing.Found, compat_xisf_hash: bool = False) -> tuple:
@@ -67,10 +67,10 @@ class HeaderReader(DataSourceReader):
         self.compat = str(options.get("compat_xisf_hash", "false")).lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [Folder(path, deep, self.since) for path, deep in listing.folders(self.root)]
+        return [Folder(path, deep, (k, shares), self.since) for path, deep, shares in listing.folders(self.root) for k in range(shares)]
 
     def read(self, partition: Folder) -> Iterator[tuple]:
-        for found in listing.walk(partition.path, partition.deep, partition.since, partition.until):
+        for found in listing.walk(partition.path, partition.deep, partition.since, partition.until, partition.share):
             yield scan_file(found, self.compat)
 
 
@@ -84,7 +84,7 @@ class HeaderStreamReader(HeaderReader, DataSourceStreamReader):
         return {"time": time.time()}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [Folder(path, deep, start["time"], end["time"]) for path, deep in listing.folders(self.root)]
+        return [Folder(path, deep, (k, shares), start["time"], end["time"]) for path, deep, shares in listing.folders(self.root) for k in range(shares)]
 
     def commit(self, end: dict) -> None:
         pass
@@ -96,7 +96,7 @@ def register(spark: SparkSession) -> None:
 
 def estimated_count(root: str) -> int:
     """Files that a full scan would find."""
-    return sum(1 for path, deep in listing.folders(root) for _ in listing.walk(path, deep)) if os.path.isdir(root) else 0
+    return sum(1 for path, deep, _ in listing.folders(root) for _ in listing.walk(path, deep)) if os.path.isdir(root) else 0
 
 
 def read_bytes(df: DataFrame, content: str = "content", form: str = "fits") -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 EXTENSIONS = (".fit", ".fits", ".xisf")
 SKIPPED = ("site-packages",)
+#: Files that a task reads of a folder whose files are counted, and the tasks that share a tree that isn't.
+SHARE_FILES, TREE_SHARES = 1000, 4
 
 
 @dataclass(frozen=True)
@@ -27,26 +30,34 @@ def wanted_file(name: str) -> bool:
     return os.path.splitext(name)[1].lower() in EXTENSIONS
 
 
-def folders(root: str, depth: int = 2) -> list[tuple[str, bool]]:
-    """Parts of a tree to be walked apart: (folder, whether with all below it), down to ``depth`` levels."""
+def folders(root: str, depth: int = 2) -> list[tuple[str, bool, int]]:
+    """Parts of a tree to be walked apart, down to ``depth`` levels: (folder, whether with all below it, among how many tasks its files are shared)."""
     if not wanted_folder(os.path.basename(os.path.normpath(root)), True):
         return []
     parts, level = [], [root]
     for _ in range(depth):
         below = []
         for folder in level:
-            parts.append((folder, False))
+            files = 0
             try:
                 with os.scandir(folder) as entries:
-                    below += [e.path for e in entries if e.is_dir(follow_symlinks=False) and wanted_folder(e.name)]
+                    for e in entries:
+                        if not e.is_dir(follow_symlinks=False):
+                            files += wanted_file(e.name)
+                        elif wanted_folder(e.name):
+                            below.append(e.path)
             except OSError:
-                continue
+                pass
+            parts.append((folder, False, files // SHARE_FILES + 1))
         level = sorted(below)
-    return parts + [(folder, True) for folder in level]
+    return parts + [(folder, True, TREE_SHARES) for folder in level]
+
 
+def walk(folder: str, deep: bool = True, since: float | None = None, until: float | None = None, share: tuple[int, int] = (0, 1)) -> Iterator[Found]:
+    """Image files in a folder, in no set order; with ``since``, those modified or created at that time or later.
 
-def walk(folder: str, deep: bool = True, since: float | None = None, until: float | None = None) -> Iterator[Found]:
-    """Image files in a folder, in no set order; with ``since``, those modified or created at that time or later."""
+    ``share``: of (k, n), only the files whose path's checksum leaves k of n; others aren't even looked at.
+    """
     todo = [folder]
     while todo:
         try:
@@ -58,7 +69,7 @@ def walk(folder: str, deep: bool = True, since: float | None = None, until: floa
                 if e.is_dir(follow_symlinks=False):
                     if deep and wanted_folder(e.name):
                         todo.append(e.path)
-                elif wanted_file(e.name):
+                elif wanted_file(e.name) and zlib.crc32(os.fsencode(e.path)) % share[1] == share[0]:
                     s = e.stat()
                     newest = max(s.st_mtime, s.st_ctime)
                     if (since is None or newest >= since) and (until is None or newest < until):

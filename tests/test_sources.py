@@ -128,7 +128,7 @@ def test_types_and_kinds(tmp_path, spark):
 def test_walk(tmp_path):
     for name in (".git/hidden.fits", "normal/visible.fits", "normal/deep/er/still/x.FIT", "$RECYCLE.BIN/a.fits", "site-packages/b.fits", "c.fitz", "d.xisf", "e.txt"):
         put(tmp_path, name, b"x")
-    names = lambda root: sorted(os.path.relpath(f.path, root) for p, deep in listing.folders(str(root)) for f in listing.walk(p, deep))
+    names = lambda root: sorted(os.path.relpath(f.path, root) for p, deep, shares in listing.folders(str(root)) for k in range(shares) for f in listing.walk(p, deep, share=(k, shares)))
     assert names(tmp_path) == ["d.xisf", "normal/deep/er/still/x.FIT", "normal/visible.fits"]
     put(tmp_path, ".astrophotos/in.fits", b"x")
     assert names(tmp_path / ".astrophotos") == ["in.fits"]
@@ -206,3 +206,14 @@ def test_header_columns_are_the_schema(spark):
     kinds = {f.name: f.dataType for f in IMAGE_FILES.fields}
     assert {f.name: f.dataType for f in columns.schema.fields} == {c: kinds[c] for c in columns.columns}
     assert columns.select(F.count("*")).first()[0] == 0
+
+
+def test_files_of_a_folder_are_shared_among_tasks(tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "SHARE_FILES", 10)
+    for i in range(45):
+        (tmp_path / f"{i}.fits").write_bytes(b"")
+    [(folder, deep, shares)] = listing.folders(str(tmp_path))
+    assert (folder, deep, shares) == (str(tmp_path), False, 5)
+    parts = [[f.path for f in listing.walk(folder, deep, share=(k, shares))] for k in range(shares)]
+    assert sorted(sum(parts, [])) == sorted(str(p) for p in tmp_path.iterdir())
+    assert max(map(len, parts)) < 30
