@@ -88,7 +88,7 @@ def _branches(words: dict[str, str]) -> str:
     for word, rest in words.items():
         if word:
             by_letter.setdefault(word[0], {})[word[1:]] = rest
-    parts = [letter + _branches(more) for letter, more in sorted(by_letter.items())] + [words[""]] * ("" in words)
+    parts = [letter + _branches(more) for letter, more in sorted(by_letter.items())] + ([words[""]] if "" in words else [])
     return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
 
