@@ -44,8 +44,9 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     rows = jaccard.near_classes(docs).where("class is not null").groupBy("class", "doc_id", "text_key").agg(F.count("*").alias("met"))
     pairs = checkpointed(rows)
-    best = pairs.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", "text_key")).alias("best"), F.sum("met").alias("size")).where("size > 1")
-    placed = checkpointed(pairs.join(best, "class").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "met", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))).alias("stays")))
+    # One row for each group, sent to all workers if they are few; checkpointed, so that adaptive execution can split a hot class of the join otherwise.
+    best = checkpointed(pairs.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", "text_key")).alias("best"), F.sum("met").alias("size")).where("size > 1"))
+    placed = checkpointed(pairs.join(broadcast_if_small(best, best.count(), jaccard.BROADCAST_ROWS), "class").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "met", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))).alias("stays")))
     dropped, repeated = placed.where("not stays").select("_id", "_text"), placed.where("stays and met > 1").select("_id", "_text")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
 
