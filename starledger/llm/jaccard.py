@@ -20,11 +20,11 @@ exact on those sets:
    other balls are compared member by member, all at once, only where the triangle inequality of the
    Jaccard distance allows a link. So groups of near copies cost no pairs.
 
-5. Blocks of more than BLOCK_TOKENS tokens are thinned out before they reach one task. Their members are
+5. Blocks of more than THIN_TOKENS tokens are thinned out before they reach one task. Their members are
    compared with a few leaders where they lie, the most central member among them; a member whose leader
    no member of another component is near to needs no further comparison, which empties groups of near
-   copies. What is left of such a block is cut into chunks of half the bound, and every two chunks are
-   searched together.
+   copies. What is left of a block is searched by one task up to BLOCK_TOKENS tokens; beyond, it is cut
+   into chunks of half that bound, and every two chunks are searched together.
 
 No cap, sample or prefix of a text is used.
 """
@@ -54,8 +54,10 @@ LINK = 80
 BROADCAST_ROWS = 1 << 20
 #: Nodes from which on a token counts as frequent.
 FREQUENT = 8
-#: Tokens of a block that one task searches; leaders of a larger block in a round, and rounds.
-BLOCK_TOKENS, LEADERS, ROUNDS = 1 << 20, 8, 3
+#: Tokens of a block above which it is thinned out (which takes time by its length), and that one task searches at most.
+THIN_TOKENS, BLOCK_TOKENS = 1 << 17, 1 << 20
+#: Leaders of a block in a round of thinning, and rounds.
+LEADERS, ROUNDS = 8, 3
 #: Numbers that a heap merges at most; more are counted in one step.
 HEAP_NUMBERS = 1000
 #: Tokens that a task packs at once, and that a bucket of tokens has on average at most.
@@ -622,9 +624,9 @@ def _central_members(members: DataFrame) -> DataFrame:
                 near.append(both / max(1, len(own) + len(mid) - both))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("node"), batch.column("tokens"), pa.array(near, pa.float64())], ["block", "node", "tokens", "near"])
 
-    sizes = members.groupBy("block").agg(F.count("*").alias("size"))
+    sizes = checkpointed(members.groupBy("block").agg(F.count("*").alias("size")))
     counts = members.select("block", "tokens").mapInArrow(count, "block long, token long, met long").groupBy("block", "token").agg(F.sum("met").alias("met"))
-    centers = checkpointed(counts.join(sizes, "block").where(2 * F.col("met") >= F.col("size")).groupBy("block").agg(F.collect_list("token").alias("center")))
+    centers = checkpointed(counts.join(broadcast_if_small(sizes, sizes.count(), BROADCAST_ROWS), "block").where(2 * F.col("met") >= F.col("size")).groupBy("block").agg(F.collect_list("token").alias("center")))
     tokens = centers.agg(F.coalesce(F.sum(F.size("center")), F.lit(0))).first()[0]
     placed = members.join(broadcast_if_small(centers, tokens, BROADCAST_ROWS), "block").select("block", "node", "tokens", "center").mapInArrow(nearness, "block long, node long, tokens binary, near double")
     return placed.groupBy("block").agg(F.max_by(F.struct("node", "tokens"), F.struct("near", "node")).alias("head"))
@@ -717,7 +719,8 @@ def _leader_round(members: DataFrame, number: int) -> tuple[DataFrame, DataFrame
 
 def _block_links(members: DataFrame) -> DataFrame:
     """(node, root) of the linked nodes of all blocks; ``members``: block, node, n, tokens."""
-    sizes = checkpointed(members.groupBy("block").agg(F.sum("n").alias("size")).where(F.col("size") > BLOCK_TOKENS).select("block"))
+    most = min(THIN_TOKENS, BLOCK_TOKENS)
+    sizes = checkpointed(members.groupBy("block").agg(F.sum("n").alias("size")).where(F.col("size") > most).select("block"))
     large = sizes.count()
     if not large:
         return _search_blocks(members).groupBy("node").agg(F.min("root").alias("root"))
@@ -731,7 +734,7 @@ def _block_links(members: DataFrame) -> DataFrame:
         released(rest)
         rest, before = left, count
         count = rest.count()
-        if 10 * count > 9 * before or rest.groupBy("block").agg(F.sum("n").alias("size")).where(F.col("size") > BLOCK_TOKENS).isEmpty():
+        if 10 * count > 9 * before or rest.groupBy("block").agg(F.sum("n").alias("size")).where(F.col("size") > most).isEmpty():
             break  # little is gained, or little is left
     chunks = rest.groupBy("block").agg(F.ceil(2 * F.sum("n") / BLOCK_TOKENS).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
