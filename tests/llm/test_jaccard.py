@@ -97,22 +97,6 @@ def test_large_blocks_are_split(spark, monkeypatch, bound, rounds):
     assert result(frame(spark, rows)) == brute(rows)
 
 
-def test_thinned_blocks_are_searched_whole(spark, monkeypatch):
-    """Blocks above the lower bound only: members left after the leader rounds go to one search, uncut."""
-    monkeypatch.setattr(jaccard, "THIN_TOKENS", 2000)
-    rng = random.Random(11)
-    rows = []
-    for group in range(3):
-        base = [f"g{group}w{i}" for i in range(100)]
-        for i in range(60):
-            words = list(base)
-            for _ in range(rng.choice([0, 1, 2, 4, 7])):
-                words[rng.randrange(100)] = f"v{rng.randrange(500)}"
-            rows.append((1000 * group + i, " ".join(words)))
-    rows += [(5000, None), (5001, ""), (5002, " ".join(f"g0w{i}" for i in range(100)) + " " + " ".join(f"g1w{i}" for i in range(100)))]
-    assert result(frame(spark, rows)) == brute(rows)
-
-
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.tuples(st.lists(st.integers(0, 30), unique=True, min_size=1).map(sorted), st.integers(1, 5)), min_size=1, max_size=12), st.integers(1, 30))
 def test_divide_skip_counts(lists, least):
