@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch may hold; texts are long, so batches stay far below Spark's default.
@@ -87,3 +87,15 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint for a side of ``rows`` counted rows, but only up to ``limit`` of them."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def ranked(df: DataFrame, order: list[F.Column], name: str) -> DataFrame:
+    """``df`` with each row's place, from 0, in a total order: a range-partitioned sort, and the sizes of the partitions before.
+
+    No task holds more than its range of the rows; only one number for each partition is gathered.
+    """
+    part, at = fresh(df, "_part", "_at")
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
+    before = sizes.select(F.col(part), F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(name))
+    return placed.join(F.broadcast(before), part).withColumn(name, F.col(name) + F.col(at)).drop(part, at)

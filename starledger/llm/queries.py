@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import audio, chat, decontam, html, jaccard, licenses, line_dedup, packing, pii, toxicity
+from . import audio, chat, decontam, filter_audit, html, importance, jaccard, licenses, line_dedup, mixing, packing, pii, toxicity
 from .common import table
 
 
@@ -63,6 +63,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.quality_weights(table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -75,10 +87,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": op8_media_columns,
         "op9_packing": op9_packing,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_filter_interaction_audit": op12_filter_interaction_audit,
+        "op13_source_mixing": op13_source_mixing,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op4_chat_formatting": chat.oracle(), "op6_line_dedup": line_dedup.oracle(), "op10_ngram_jaccard_join": jaccard.oracle()}
+    sql = {"op4_chat_formatting": chat.oracle(), "op6_line_dedup": line_dedup.oracle(), "op10_ngram_jaccard_join": jaccard.oracle(), "op11_importance_resampling": importance.oracle(), "op12_filter_interaction_audit": filter_audit.oracle(), "op13_source_mixing": mixing.oracle()}
     return sql if corpus_pipeline.ORACLE_SQL is None else sql | {"pipeline": corpus_pipeline.ORACLE_SQL}
