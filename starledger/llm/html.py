@@ -1,24 +1,29 @@
 """Main-text extraction by wrapper induction.
 
-Text that stands at one path of labels on TEMPLATE_SHARE of a host's pages is template; all pages
-count, each once by its text, and each item of a list by itself. Of a few of the host's pages the DOM
-trees, without template, are aligned by simple tree matching; the deepest element that holds the
-varying text is the host's region. A page's main text is what stands in its article or main element,
-which the region may narrow, else in the region, else on the whole page (see ``extract``), without
-template and without parts that are never main text (menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts, styles).
-
-Hosts of fewer than LEAST_PAGES pages have no shares to judge by; there, template is what the aligned
-pages have in common.
+Simple tree matching aligns only nodes of equal labels from the root down, so a constant node is a text
+that recurs at one path of labels. On every host, what more than TEMPLATE_SHARE of its different pages
+have there, and LEAST_PAGES of them at least, is template; all pages count, and each item of a list by
+itself. Pages are different if a text that holds a letter differs: copies, also with other counters or
+dates, count once. Of a few of the host's pages the DOM trees, without template, are aligned by simple
+tree matching; the deepest element that holds the varying text is the host's region. A page's main text
+is what stands in its article or main element, which the region may narrow, else in the region, else on
+the whole page (see ``extract``), without template and without parts that are never main text (menus,
+headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles).
+
+A part that a class or id tells to stand beside the main text is judged by what it holds (see ``settle``),
+so no name blanks a page.
 
 Scale: text is counted as 64-bit hashes of path and text, partly before the shuffle; a hot host is
 split over its pages, then over its hashes. A host has at most (texts a page / TEMPLATE_SHARE) template
 texts. The region needs at most ``REFERENCES`` pages, chosen by an aggregate that keeps one page for
 each of so many hash classes. Wrappers have no bound of their own; they are broadcast up to a counted
-number of bytes, else joined by host. Trees that are aligned join equal siblings, and so stay small.
+number of bytes, else joined by host. Trees that are aligned join neighbouring siblings of one label, and
+subtrees of one shape are compared once; siblings between an equal beginning and end are aligned row by
+row in memory that grows with their number. Trees of any depth and number of nodes are whole trees.
 
 Null and empty html gives an empty text. Hosts are compared in lower case; a null or hostless url has
-the empty host. Equal rows give equal rows. Other columns are ignored.
+the empty host. Equal rows give equal rows. Other columns are ignored. An empty table gives no rows. A
+very long page costs one task its tree.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,14 +45,12 @@ from .common import broadcast_if_small, checkpointed, slices
 
 #: Pages of a host that are aligned.
 REFERENCES = 4
-#: Share of a host's pages that have a text of its template, and pages that a host must have to be judged by it.
+#: More than this share of a host's different pages have a text of its template, and so many of them at least: two may be near copies.
 TEMPLATE_SHARE, LEAST_PAGES = 0.5, 3
 #: Bytes of wrappers that may be broadcast.
 BROADCAST_BYTES = 40_000_000
-#: Nodes and levels of a reference tree that are aligned; what lies later or deeper is text of the element around it.
-MOST_NODES, MOST_LEVELS = 2000, 100
-#: Open elements at once, as in browsers; deeper ones stand beside each other.
-MOST_OPEN = 512
+#: Cells of the table by which two rows of siblings are aligned at once; longer rows are halved.
+TABLE_CELLS = 1 << 22
 
 # The HTML standard's element groups, and names that sites give to parts beside the main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +60,8 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 NEVER_TEXT = frozenset("script style noscript template iframe object svg math canvas audio video head title nav header footer aside form button select textarea input option menu dialog".split())
 NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NEVER_NAMED = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar".split())
+COMMENT_NAMED = frozenset("comment commentlist comments discussion disqus replies respond responses".split())
+STATES = frozenset("has have hide is no not show with without".split())
 NEVER_NAMED_ALONE = NEVER_NAMED | frozenset("alert discussion header login masthead page-header replies respond responses search site-header skip widget widgets".split())
 # End of fixed values.
 
@@ -65,6 +71,11 @@ _SPACE = re.compile(r"\s+")
 HEADLINE = re.compile("h[1-3]$")
 
 
+#: What a name tells of an element: by a piece of it, or by the whole name.
+PART, COMMENT_PART, WHOLE, COMMENT_WHOLE = 1, 2, 3, 4
+COMMENTS = (COMMENT_PART, COMMENT_WHOLE)
+
+
 @dataclass
 class Node:
     """An element of block level: label, own text by place among the children, children, whether it is never main text."""
@@ -74,6 +85,7 @@ class Node:
     never: bool = False
     parts: list = field(default_factory=list)  # str or Node, in page order
     many: bool = False  # stands for several equal siblings
+    beside: int = 0  # above 0 if a name tells that it stands beside the main text
 
     @property
     def children(self) -> list[Node]:
@@ -83,103 +95,180 @@ class Node:
         return _SPACE.sub(" ", "".join(p for p in self.parts if isinstance(p, str))).strip()
 
 
-def _named(attributes: str) -> tuple[str, bool, bool]:
-    """The class and id part of a label, and whether a name or a part of one, or a whole name, is of something beside the main text."""
-    marks, part, alone = [], False, False
+def _named(attributes: str) -> tuple[str, int, bool]:
+    """The class and id part of a label, whether a name (or a part of one) is of something beside the main text, and whether role or state hide it.
+
+    A name with a word such as "has" or "no" tells of a state, not of what the element is.
+    """
+    marks, beside, hidden = [], 0, False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        words = value.split()
         if name in ("class", "id"):
+            words = value.split()
             marks += [w for w in words if not re.search(r"\d", w)]
-            alone |= any(w in NEVER_NAMED_ALONE for w in words)
-            part |= any(p in NEVER_NAMED for w in words for p in re.split(r"[-_]+", w))
+            for w in words:
+                parts = re.split(r"[-_]+", w)
+                if w in COMMENT_NAMED:
+                    beside = COMMENT_WHOLE
+                elif w in NEVER_NAMED_ALONE:
+                    beside = max(beside, WHOLE)
+                elif any(p in NEVER_NAMED for p in parts) and not STATES & set(parts):
+                    beside = max(beside, COMMENT_PART if COMMENT_NAMED & set(parts) else PART)
         elif name == "role":
-            alone |= value in NEVER_ROLE
+            hidden |= value in NEVER_ROLE
         elif name == "hidden" or value == "true":
-            alone = True
-    return "".join(f".{w}" for w in sorted(set(marks))[:3]), part or alone, alone
+            hidden = True
+    return "".join(f".{w}" for w in sorted(set(marks))[:3]), beside, hidden
+
+
+class _Open:
+    """The open elements; an inline element lies within the block that is open when it begins."""
+
+    def __init__(self) -> None:
+        self.root = Node("#", "#")
+        self.stack, self.count = [self.root], Counter()
+        self.inline: list[tuple[str, int, bool]] = []  # tag, open elements around it, whether it is a node itself
+        self.inline_count = Counter()
+
+    def push(self, node: Node) -> None:
+        self.stack[-1].parts.append(node)
+        self.stack.append(node)
+        self.count[node.tag] += 1
+
+    def cut(self, size: int) -> None:
+        for node in self.stack[size:]:
+            self.count[node.tag] -= 1
+        del self.stack[size:]
+        while self.inline and self.inline[-1][1] > size:
+            self.inline_count[self.inline.pop()[0]] -= 1
+
+    def close(self, tags: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
+        """End the innermost element of ``tags``, and all within it, unless one of ``within`` lies around them."""
+        if not any(self.count[t] for t in tags):
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag in within:
+                return
+            if self.stack[i].tag in tags:
+                return self.cut(i)
+
+    def begin_inline(self, tag: str, node: Node | None) -> None:
+        self.inline.append((tag, len(self.stack), node is not None))
+        self.inline_count[tag] += 1
+        if node:
+            self.push(node)
+
+    def end_inline(self, tag: str) -> None:
+        """End the innermost inline element of this tag, and those within it."""
+        name = None
+        while self.inline_count[tag] and name != tag:
+            name, size, is_node = self.inline.pop()
+            self.inline_count[name] -= 1
+            if is_node:
+                self.cut(size)
 
 
 def parse(html: str) -> Node:
-    """The tree of block-level elements; inline elements leave their text only. Unclosed and crossed tags are borne."""
-    root = Node("#", "#")
-    stack = [root]
+    """The tree of block-level elements; inline elements leave their text only, unless hidden or told to stand beside. Unclosed and crossed tags are borne."""
+    opened = _Open()
     at = 0
 
     def text(raw: str) -> None:
         if raw:
-            stack[-1].parts.append(unescape(raw))
+            opened.stack[-1].parts.append(unescape(raw))
 
     while True:
         m = _TAG.search(html, at)
         if not m:
             text(html[at:])
-            return root
+            return settle(opened.root)
         text(html[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag not in INLINE:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
+            if tag in INLINE:
+                opened.end_inline(tag)
+            else:
+                opened.close((tag,))
             continue
         if tag == "br" or tag == "hr":
-            stack[-1].parts.append(" ")
+            opened.stack[-1].parts.append(" ")
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        if tag in VOID or tag in INLINE and not (tag == "span" and "class" in m[3] and _named(m[3])[1]):
+        if tag in VOID:
+            continue
+        marks, beside, hidden = _named(m[3]) if m[3] else ("", 0, False)
+        if tag in INLINE:
+            told = hidden or tag == "span" and beside > 0
+            opened.begin_inline(tag, Node("span" + marks, "span", hidden, beside=beside) if told else None)
             continue
         if tag in CLOSES_P:
-            _close(stack, ("p",), ("table", "button"))
+            opened.close(("p",), ("table", "button"))
         if tag == "li":
-            _close(stack, ("li",), ("ul", "ol"))
+            opened.close(("li",), ("ul", "ol"))
         elif tag in ("dt", "dd"):
-            _close(stack, ("dt", "dd"), ("dl",))
+            opened.close(("dt", "dd"), ("dl",))
         elif tag in ("tr", "td", "th"):
-            _close(stack, ("td", "th") if tag != "tr" else ("tr",), ("table",) if tag == "tr" else ("tr",))
-        marks, never, alone = _named(m[3])
-        # A page's article may be styled by what stands beside it; only its own name counts.
-        never = tag in NEVER_TEXT or (alone if tag == "article" else never and tag not in ("html", "body", "main"))
-        node = Node(tag + marks, tag, never)
-        if len(stack) >= MOST_OPEN:
-            stack.pop()
-        stack[-1].parts.append(node)
-        stack.append(node)
-
-
-def _close(stack: list[Node], tags: tuple[str, ...], within: tuple[str, ...]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in within:
-            return
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
+            opened.close(("td", "th") if tag != "tr" else ("tr",), ("table",) if tag == "tr" else ("tr",))
+        if tag in ("html", "body", "main"):
+            beside, hidden = 0, False
+        elif tag == "article" and beside < WHOLE:
+            beside = 0  # a page's article may be styled by what stands beside it; only a whole name counts
+        opened.push(Node(tag + marks, tag, tag in NEVER_TEXT or hidden, beside=beside))
 
 
-def merged(node: Node, left: list[int] | None = None, level: int = 0) -> Node:
-    """A copy in which neighbouring siblings of one label are one node, of at most MOST_NODES nodes and MOST_LEVELS levels.
+def settle(root: Node) -> Node:
+    """Decide which told parts stand beside the main text.
 
-    What lies beyond them is text of the node around it.
+    A part with all of the page's article and main elements isn't beside them, unless it holds comments. A part
+    of which only a piece of a name tells isn't if it has half of the page's text. All others are.
     """
-    left = [MOST_NODES] if left is None else left
-    out = Node(node.label, node.tag, node.never, [p for p in node.parts if isinstance(p, str)], node.many)
-    for child in node.children:
-        last = out.parts[-1] if out.parts and isinstance(out.parts[-1], Node) else None
-        if last is not None and last.label == child.label:
-            last.many = True
-            last.parts.append(" " + _all_text(child))
-        elif left[0] > 0 and level < MOST_LEVELS:
-            left[0] -= 1
-            out.parts.append(merged(child, left, level + 1))
-        elif not child.never:
-            out.parts.append(" " + _all_text(child))
-    return out
+    order = [root]
+    for node in order:
+        if not node.never:
+            order.extend(node.children)
+    if not any(n.beside for n in order):
+        return root
+    held, articles = {}, {}
+    for node in reversed(order):
+        if node.never:
+            held[id(node)] = articles[id(node)] = 0
+            continue
+        below = node.children
+        held[id(node)] = sum(len(p.strip()) for p in node.parts if isinstance(p, str)) + sum(held[id(c)] for c in below if c.beside not in COMMENTS)
+        articles[id(node)] = sum(articles[id(c)] for c in below if c.beside not in COMMENTS) + (node.tag in ("article", "main") and not node.beside)
+    size, count = held[id(root)], articles[id(root)]
+    for node in order:
+        if node.beside and not node.never:
+            holds = count and articles[id(node)] == count or node.beside == PART and not count and 2 * held[id(node)] >= size
+            node.never = node.beside in COMMENTS or not holds
+    return root
+
+
+def merged(root: Node) -> Node:
+    """A copy in which neighbouring siblings of one label are one node."""
+    top = Node(root.label, root.tag, root.never)
+    todo = [(root, top)]
+    while todo:
+        node, out = todo.pop()
+        out.many = node.many
+        for part in node.parts:
+            last = out.parts[-1] if out.parts and isinstance(out.parts[-1], Node) else None
+            if isinstance(part, str):
+                if last is None or part.strip():
+                    out.parts.append(part)
+            elif last is not None and last.label == part.label:
+                last.many = True
+                last.parts.append(" " + _all_text(part))
+            else:
+                copy = Node(part.label, part.tag, part.never)
+                out.parts.append(copy)
+                todo.append((part, copy))
+    return top
 
 
 def _all_text(node: Node) -> str:
@@ -194,26 +283,117 @@ def _all_text(node: Node) -> str:
     return "".join(out)
 
 
-def tree_match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+class _Shapes:
+    """Numbers for trees of equal labels, and the sizes of the largest matches of two such."""
+
+    def __init__(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.of: list[tuple[str, tuple[int, ...]]] = []
+        self.size: dict[tuple[int, int], int] = {}
+
+    def add(self, root: Node) -> dict[int, int]:
+        """The shape of each node of a tree, by the node's identity."""
+        order, out = [root], {}
+        for node in order:
+            order.extend(node.children)
+        for node in reversed(order):
+            key = (node.label, tuple(out[id(c)] for c in node.children))
+            if key not in self.number:
+                self.number[key] = len(self.of)
+                self.of.append(key)
+            out[id(node)] = self.number[key]
+        return out
+
+    def match(self, a: int, b: int) -> int:
+        """The size of the largest order-keeping match of two shapes; those below are done first."""
+        todo = [(a, b)]
+        while todo:
+            pair = todo[-1]
+            if pair in self.size:
+                todo.pop()
+                continue
+            xs, ys = self.of[pair[0]][1], self.of[pair[1]][1]
+            if self.of[pair[0]][0] != self.of[pair[1]][0]:
+                self.size[pair] = 0
+                continue
+            labelled: dict[str, list[int]] = {}
+            for y in set(ys):
+                labelled.setdefault(self.of[y][0], []).append(y)
+            below = [(x, y) for x in set(xs) for y in labelled.get(self.of[x][0], ()) if (x, y) not in self.size]
+            if below:
+                todo.extend(below)
+            else:
+                self.size[pair] = 1 + sum(self.size.get((xs[i], ys[j]), 0) for i, j in self.align(xs, ys))
+        return self.size[a, b]
+
+    def align(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        """The places of an order-keeping match of two rows of shapes that is largest. Equal beginnings and ends match as they are."""
+        first = 0
+        while first < min(len(xs), len(ys)) and xs[first] == ys[first]:
+            first += 1
+        last = 0
+        while last < min(len(xs), len(ys)) - first and xs[-1 - last] == ys[-1 - last]:
+            last += 1
+        pairs = [(i, i) for i in range(first)] + [(len(xs) - 1 - i, len(ys) - 1 - i) for i in range(last)]
+        todo = [(first, len(xs) - last, first, len(ys) - last)]
+        rows: dict[int, np.ndarray] = {}
+        inner = np.array(ys[first : len(ys) - last], np.int64)
+        kinds, at = np.unique(inner, return_inverse=True)
+
+        def weights(i: int) -> np.ndarray:
+            if xs[i] not in rows:
+                rows[xs[i]] = np.array([self.size.get((xs[i], int(k)), 0) for k in kinds], np.int64)
+            return rows[xs[i]][at]
+
+        def step(before: np.ndarray, w: np.ndarray) -> np.ndarray:
+            out = before.copy()
+            np.maximum(out[1:], before[:-1] + w, out=out[1:])
+            return np.maximum.accumulate(out)
+
+        while todo:
+            i0, i1, j0, j1 = todo.pop()
+            if i0 == i1 or j0 == j1:
+                continue
+            a, b = j0 - first, j1 - first
+            if i1 - i0 > 1 and (i1 - i0) * (j1 - j0) > TABLE_CELLS:
+                mid, ahead, behind = (i0 + i1) // 2, np.zeros(b - a + 1, np.int64), np.zeros(b - a + 1, np.int64)
+                for i in range(i0, mid):
+                    ahead = step(ahead, weights(i)[a:b])
+                for i in range(i1 - 1, mid - 1, -1):
+                    behind = step(behind, weights(i)[a:b][::-1])
+                cut = j0 + int((ahead + behind[::-1]).argmax())
+                todo += [(i0, mid, j0, cut), (mid, i1, cut, j1)]
+                continue
+            best = [np.zeros(b - a + 1, np.int64)]
+            for i in range(i0, i1):
+                best.append(step(best[-1], weights(i)[a:b]))
+            i, j = i1 - i0, b - a
+            while i and j:
+                if best[i][j] == best[i - 1][j]:
+                    i -= 1
+                elif best[i][j] == best[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    pairs.append((i0 + i, j0 + j))
+        return pairs
+
+
+def tree_match(a: Node, b: Node, shapes: _Shapes | None = None) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the size of the largest order-keeping match of equal labels, and its pairs."""
-    if a.label != b.label:
-        return 0, []
-    xs, ys = a.children, b.children
-    found = [[tree_match(x, y) if x.label == y.label else (0, []) for y in ys] for x in xs]
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i in range(len(xs)):
-        for j in range(len(ys)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + found[i][j][0])
-    pairs, i, j = [(a, b)], len(xs), len(ys)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs += found[i][j][1]
-    return best[-1][-1] + 1, pairs
+    shapes = shapes or _Shapes()
+    known = shapes.add(a) | shapes.add(b)
+    size = shapes.match(known[id(a)], known[id(b)])
+    pairs, todo = [], [(a, b)] if size else []
+    while todo:
+        x, y = todo.pop()
+        pairs.append((x, y))
+        xs, ys = x.children, y.children
+        rows = [tuple(known[id(c)] for c in row) for row in (xs, ys)]
+        for p in {(p, q) for p in set(rows[0]) for q in set(rows[1]) if shapes.of[p][0] == shapes.of[q][0]}:
+            shapes.match(*p)
+        todo.extend((xs[i], ys[j]) for i, j in shapes.align(*rows))
+    return size, pairs
 
 
 def _without(root: Node, marks: set[int]) -> Node:
@@ -229,7 +409,7 @@ def _without(root: Node, marks: set[int]) -> Node:
 
 
 def induce(pages: list[str], marks: set[int] | None = None) -> dict:
-    """The wrapper of pages of one host: ``region`` (labels from the root) and ``template`` paths of constant single nodes.
+    """The wrapper of pages of one host: ``region`` (labels from the root) and ``template``, the path hashes of its constant single nodes.
 
     The region is the deepest element that holds four fifths of a page's varying text, or the one around
     it that adds nothing but a varying headline; of the pages' regions, the one that most pages have, so
@@ -240,46 +420,50 @@ def induce(pages: list[str], marks: set[int] | None = None) -> dict:
     if len(trees) < 2:
         return {"region": [], "template": []}
     texts: dict[int, list[str]] = {}
+    shapes = _Shapes()
     for i, one in enumerate(trees):
         for other in trees[i + 1 :]:
-            for x, y in tree_match(one, other)[1]:
+            for x, y in tree_match(one, other, shapes)[1]:
                 for own, its in ((x, y), (y, x)):
                     texts.setdefault(id(own), [own.own()]).append(its.own())
-    paths = [set(_label_paths(t)) for t in trees]
-    found = [_region(t, texts, len(trees)) for t in trees]
-    region, template = max(found, key=lambda f: sum(f[0] in p for p in paths) if f[0] else 0)
-    return {"region": list(region), "template": [list(t) for t in template if t[: len(region)] == region]}
-
-
-def _label_paths(root: Node) -> Iterator[tuple[str, ...]]:
-    todo = [(root, (root.label,))]
-    while todo:
-        node, path = todo.pop()
-        yield path
-        todo.extend((c, (*path, c.label)) for c in node.children)
-
-
-def _region(tree: Node, texts: dict[int, list[str]], trees: int) -> tuple[tuple[str, ...], list[tuple[str, ...]]]:
-    """The region of one of the aligned trees, and the paths of its constant nodes; ``texts`` has each node's own and all matched texts."""
-    template, weight, headed = [], Counter(), set()
-
-    def walk(node: Node, path: tuple[str, ...], never: bool) -> int:
-        never |= node.never
-        here, seen = (*path, node.label), texts.get(id(node), [])
+    found, paths = zip(*(_region(t, texts, len(trees)) for t in trees), strict=True)
+    region, template = max(found, key=lambda f: sum(path_hash(f[0]) in p for p in paths) if f[0] else 0)
+    return {"region": region, "template": template}
+
+
+def _region(tree: Node, texts: dict[int, list[str]], trees: int) -> tuple[tuple[list[str], list[int]], set[int]]:
+    """The region of one of the aligned trees with the path hashes of its constant nodes, and all path hashes; ``texts`` has each node's own and all matched texts."""
+    weight, headed, constants = Counter(), set(), []
+    order: list[tuple[Node, int, int, int, bool]] = [(tree, -1, 1, ROOT, tree.never)]  # node, place of its parent, level, path, never
+    for at, (node, _, level, path, never) in enumerate(order):
+        order.extend((c, at, level + 1, _path_hash(path, c.label, _PATHS), never or c.never) for c in node.children)
+    held_by: dict[int, int] = {}
+    for at in range(len(order) - 1, -1, -1):
+        node, _, _, path, never = order[at]
+        seen = texts.get(id(node), [])
         constant = len(seen) == trees and len(set(seen)) == 1 and seen[0] and not node.many and not node.children
         if constant and not never:
-            template.append(here)
+            constants.append(at)
         held = 0 if never or constant else len(node.own())
-        parts = [(c, walk(c, here, never)) for c in node.children]
+        parts = [(c, held_by[id(c)]) for c in node.children]
         if not held and sum(n > 0 and not HEADLINE.match(c.tag) for c, n in parts) == 1 and any(n > 0 and HEADLINE.match(c.tag) for c, n in parts):
-            headed.add(here)
-        held += sum(n for _, n in parts)
-        weight[here] = max(weight[here], held)
-        return held
-
-    total = walk(tree, (), False)
-    region = max((p for p, w in weight.items() if total and 5 * w >= 4 * total and not p[-1].split(".")[0] in ("p", "li")), key=len, default=())
-    return (region[:-1] if region[:-1] in headed else region), template
+            headed.add(path)
+        held_by[id(node)] = held = held + sum(n for _, n in parts)
+        weight[path] = max(weight[path], held)
+    total, known = held_by[id(tree)], {path for _, _, _, path, _ in order}
+    deepest = max((at for at, (node, _, _, path, _) in enumerate(order) if total and 5 * weight[path] >= 4 * total and node.tag not in ("p", "li")), key=lambda at: order[at][2], default=-1)
+    if deepest < 0:
+        return ([], []), known
+    if order[deepest][1] >= 0 and order[order[deepest][1]][3] in headed:
+        deepest = order[deepest][1]
+    top, labels, at = order[deepest][3], [], deepest
+    while at >= 0:
+        labels.append(order[at][0].label)
+        at = order[at][1]
+    inside: list[bool] = []
+    for _, parent, _, path, _ in order:
+        inside.append(path == top or parent >= 0 and inside[parent])
+    return (labels[::-1], [order[at][3] for at in constants if inside[at]]), known
 
 
 def _path_hash(above: int, label: str, known: dict[tuple[int, str], int]) -> int:
@@ -343,17 +527,16 @@ def mark(path: int, text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def marks_of(html: str) -> list[int]:
-    """The marks of all text of a page that may be main text, each once, in page order."""
-    return list(dict.fromkeys(mark(path, text) for path, text in _runs(parse(html), ROOT)))
+def marks_of(html: str) -> dict[int, bool]:
+    """The marks of all text of a page that may be main text, in page order, and whether it holds a letter."""
+    return {mark(path, text): any(map(str.isalpha, text)) for path, text in _runs(parse(html), ROOT)}
 
 
 def extract(html: str, wrapper: dict | None = None) -> str:
     """The main text of a page: that of its outermost article or main elements, else of the region, else of the whole page.
 
     Where the region lies in an article or main element and holds four fifths of its text, it stands for it.
-    Template is left out everywhere, also in articles. Article, main or region keep all if less than half
-    of their text is no template (then copies recur, not a frame), and a whole page if nothing else is left.
+    Template is left out everywhere, also in articles, unless nothing else is left.
     ``wrapper`` has ``region`` and ``template`` as from ``induce``, and perhaps ``marks``, the template's marks.
     """
     if not html:
@@ -361,7 +544,7 @@ def extract(html: str, wrapper: dict | None = None) -> str:
     root = parse(html)
     known = wrapper or {"region": [], "template": []}
     region = path_hash(known["region"]) if known["region"] else None
-    template, marks = {path_hash(t) for t in known["template"]}, known.get("marks", ())
+    template, marks = set(known["template"]), known.get("marks", ())
     semantic: list[tuple[Node, int]] = []
     in_region: list[tuple[Node, int]] = []
     inside: list[tuple[Node, int]] = []
@@ -388,13 +571,10 @@ def extract(html: str, wrapper: dict | None = None) -> str:
         return every, own
 
     every, own = texts(semantic or in_region or [(root, ROOT)])
-    if semantic or in_region:
-        if 2 * sum(map(len, own)) < sum(map(len, every)):
-            own = every
-        elif semantic and inside:
-            part = texts(inside)[1]
-            if 5 * sum(map(len, part)) >= 4 * sum(map(len, own)):
-                own = part
+    if semantic and inside:
+        part = texts(inside)[1]
+        if 5 * sum(map(len, part)) >= 4 * sum(map(len, own)):
+            own = part
     return " ".join(own or every)
 
 
@@ -409,14 +589,14 @@ def template_marks(pages: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "html"):
                 held = [marks_of(h) for h in batch.column("html").to_pylist()]
-                ids = [xxhash.xxh3_64_intdigest(b"".join(m.to_bytes(8, "little", signed=True) for m in page)) for page in held]
-                yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([i - (1 << 64) if i >> 63 else i for i in ids], pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["host", "page", "marks"])
+                ids = [xxhash.xxh3_64_intdigest(b"".join(m.to_bytes(8, "little", signed=True) for m, lettered in page.items() if lettered)) for page in held]
+                yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([i - (1 << 64) if i >> 63 else i for i in ids], pa.int64()), pa.array([list(page) for page in held], pa.list_(pa.int64()))], ["host", "page", "marks"])
 
     read = pages.where("html is not null").select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, page long, marks array<long>")
     different = checkpointed(read.where(F.size("marks") > 0).dropDuplicates(["host", "page"]))
     totals = different.groupBy("host").agg(F.count("*").alias("total"))
     counts = different.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    found = counts.join(totals, "host").where(F.col("pages") >= TEMPLATE_SHARE * F.col("total")).groupBy("host").agg(F.collect_list("mark").alias("marks"))
+    found = counts.join(totals, "host").where(F.col("pages") > TEMPLATE_SHARE * F.col("total")).groupBy("host").agg(F.collect_list("mark").alias("marks"))
     return totals.join(found, "host", "left")
 
 
@@ -428,10 +608,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for host, texts, total, marks in zip(*(batch.column(c).to_pylist() for c in ("host", "pages", "total", "marks")), strict=True):
-                wrapper = induce(texts, set(marks or ()))
-                if total >= LEAST_PAGES:
-                    wrapper["template"] = []  # the shares of all pages tell
+            for host, texts, marks in zip(*(batch.column(c).to_pylist() for c in ("host", "pages", "marks")), strict=True):
+                wrapper = induce(texts, set(marks or ())) | {"template": []}  # of constant nodes, those count that all pages confirm
                 if wrapper["region"] or marks:
                     rows.append((host, json.dumps(wrapper), marks or []))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
@@ -439,7 +617,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     # At most REFERENCES pages are collected for each host.
     collected = chosen.groupBy("host").agg(F.array_sort(F.collect_list("html")).alias("pages"))
-    return collected.join(known, "host").select("host", "pages", "total", "marks").mapInArrow(run, "host string, wrapper string, marks array<long>")
+    return collected.join(known, "host").select("host", "pages", "marks").mapInArrow(run, "host string, wrapper string, marks array<long>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -113,12 +113,11 @@ def test_many_constant_parts_and_an_odd_page(spark, monkeypatch):
     assert {r["page_id"]: r["text"] for r in html.main_text(df).collect()} == first
 
 
-def test_an_odd_reference_page_and_later_nodes(monkeypatch):
+def test_an_odd_reference_page():
     pages = [site(i, f"<p>Paragraph {i} with words</p>") for i in range(3)]
     odd = "<body><ul class=all><li>One of a list of pages<li>Another one of a list of pages</ul></body>"
     marks = set.intersection(*(set(html.marks_of(p)) for p in pages))
     assert len(marks) == 3 and html.induce([odd, *pages], marks)["region"][-1] == "div.story"
-    monkeypatch.setattr(html, "MOST_NODES", 3)
     assert html._all_text(html.merged(html.parse(pages[0]))).split() == html._all_text(html.parse(pages[0])).split()
 
 
@@ -155,3 +154,59 @@ def test_a_very_long_page(spark):
     rows = [(1, "http://long/", long), (2, "http://long/", "<article><p>short</p></article>")]
     got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: " ".join(f"Paragraph {i} of very many" for i in range(100_000)), 2: "short"}
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<p>Hello <span class='ad'>x</span> world</p><p>Next</p>", "Hello world Next"),
+    ("<article>Intro <span class=related>r <span>s</span> t</span> tail text <p>para one</p><p>two</p></article>", "Intro tail text para one two"),
+    ("<p>a <b><span class=ad>x</b> b</p><p>c <span class=ad>never ended</p><p>d", "a b c d"),
+    ("<p>seen <span hidden>not</span><b hidden>nor <i>this</i></b> again</p>", "seen again"),
+    ("<div class='layout has-sidebar'><article><p>Story</p></article></div>", "Story"),
+    ("<div class='content no-sidebar'><p>Story</p></div>", "Story"),
+    ("<div class='promo-wrap'><article><p>Story</p></article><div class=x>Much more text than the story has</div></div>", "Story"),
+    ("<div class='share-box'>s</div><div class=nav-page><p>Nearly all of the text of a page</p></div>", "Nearly all of the text of a page"),
+    ("<div class=sidebar><article><p>Story</p></article></div>", "Story"),
+    ("<div class=text><p>Story</p></div><section id=comments><article><p>a reader's long words, much longer than it</p></article></section>", "Story"),
+    ("<div class=text><p>Story</p></div><section class=post-comments><article><p>a reader's long words, much longer than it</p></article></section>", "Story"),
+    ("<article><p>Story</p><div class=promo><p>Buy</p></div></article>", "Story"),
+    ("<div>" * 600 + "<nav><ul><li>Menu</ul></nav><p>Story</p>", "Story"),
+])
+def test_telling_names_and_spans(page, text):
+    assert html.extract(page) == text
+
+
+def test_template_goes_even_where_it_is_most_of_an_article(spark):
+    rows = [(i, "http://h/", f"<article><p>The own words {'abcdefgh'[i]} of it</p><p>A long sentence that stands on every page here</p><p>And another one that stands on every page</p></article>") for i in range(8)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"The own words {'abcdefgh'[i]} of it" for i in range(8)}
+    two = html.main_text(spark.createDataFrame(rows[:2], "page_id long, url string, html string")).collect()
+    assert all(r["text"].endswith("on every page") for r in two)  # two pages may be near copies
+
+
+def test_many_blocks_are_aligned_quickly():
+    import time
+
+    def page(i, n):
+        return "<body><div class=story>" + "".join(f"<h3>Head {i} {j}</h3><p>Words {i} {j}</p>" for j in range(n)) + "</div><div class=end>The end</div></body>"
+
+    began = time.perf_counter()
+    assert html.induce([page(i, 900 + i) for i in range(4)])["region"][-1] == "div.story"
+    assert time.perf_counter() - began < 2
+
+
+@pytest.mark.parametrize("cells", [1, 6, 40])
+def test_halved_rows_match_as_well(cells, monkeypatch):
+    import random
+
+    monkeypatch.setattr(html, "TABLE_CELLS", cells)
+    rng = random.Random(cells)
+    for _ in range(60):
+        a, b = (html.parse("<div>" + "".join(rng.choice(["<p>x</p>", "<h2>y</h2>", "<ul><li>1<li>2</ul>", "<ul><li>1</ul>"]) for _ in range(rng.randrange(7))) + "</div>") for _ in range(2))
+        size, pairs = html.tree_match(a, b)
+        assert size == plain_match(a, b) == len(pairs)
+
+
+def test_pages_of_any_depth():
+    deep = "<div>" * 200_000 + "x" + "<p>y"
+    assert html.extract(deep) == "x y"
+    assert html.induce(["<div>" * 50_000 + f"<p>word {c}" for c in "ab"])["region"] == ["#"] + ["div"] * 50_000
