@@ -185,13 +185,17 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
+def _one_class(y: np.ndarray) -> bool:
+    return not len(y) or y.min() == y.max()
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    """Trees on four fifths of the rows; calibration on the other fifth. One class only: a constant model."""
-    if not len(y) or y.min() == y.max():
+    """Trees on four fifths of the rows; calibration on the other fifth, if both have both classes. No rows or one class only: a constant model."""
+    if _one_class(y):
         share = float(y.mean()) if len(y) else 0.0
         return Model([np.zeros(1)] * x.shape[1], 0.0, raw=np.zeros(1), share=np.full(1, share))
     apart = np.arange(len(y)) % 5 == 4
-    if y[apart].min() == y[apart].max() or y[~apart].min() == y[~apart].max():
+    if _one_class(y[apart]) or _one_class(y[~apart]):
         return boost(x, y)
     model = boost(x[~apart], y[~apart])
     model.raw, model.share = isotonic(model.margin(x[apart]), y[apart])

@@ -86,7 +86,7 @@ def test_every_operator_has_its_query():
     from starledger.llm import queries
 
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"] and set(queries.oracle_sql()) <= set(names)
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"] and set(queries.oracle_sql()) <= set(names)
 
 
 def test_near_copies_of_an_article_keep_its_lines(spark, sf_dir):

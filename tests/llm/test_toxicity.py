@@ -144,3 +144,21 @@ def test_scores_equal_a_plain_walk_of_the_trees(spark):
             part = (margin - model.raw[low]) / (model.raw[high] - model.raw[low]) if 0 < i < len(model.raw) else 0
             p = 0.999 * (model.share[low] + part * (model.share[high] - model.share[low])) + 0.001 * p
         assert abs(p - r["score"]) < 1e-9, (r["doc_id"], p, r["score"])
+
+
+@pytest.mark.parametrize("rows", range(7))
+def test_any_number_of_training_rows(spark, sf_dir, rows):
+    import corpus_pipeline
+
+    keys = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][:rows]
+    docs = frame(spark, [(i, f"some words of text {i}") for i in range(100)])
+    labels = spark.createDataFrame([(k, i % 2) for i, k in enumerate(keys)] or [(None, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 100 and all(0 <= r["score"] <= 1 for r in got)
+    y = np.array([i % 2 for i in range(rows)], float)
+    score = toxicity.fit(np.arange(rows * 2.0).reshape(rows, 2), y).score(np.ones((3, 2)))
+    assert ((0 <= score) & (score <= 1)).all()
+    if rows == 3:
+        folder = str(spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")).removeprefix("file:") + f"/labels-{rows}"
+        labels.write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, folder).columns == list(corpus_pipeline.COLUMNS)
