@@ -33,6 +33,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -95,6 +96,7 @@ class Node:
         return _SPACE.sub(" ", "".join(p for p in self.parts if isinstance(p, str))).strip()
 
 
+@lru_cache(1 << 14)
 def _named(attributes: str) -> tuple[str, int, bool]:
     """The class and id part of a label, whether a name (or a part of one) is of something beside the main text, and whether role or state hide it.
 
@@ -144,7 +146,11 @@ class _Open:
 
     def close(self, tags: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
         """End the innermost element of ``tags``, and all within it, unless one of ``within`` lies around them."""
-        if not any(self.count[t] for t in tags):
+        count = self.count
+        for t in tags:
+            if count[t]:
+                break
+        else:
             return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in within:

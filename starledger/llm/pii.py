@@ -1,11 +1,12 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
 Values are found by pattern and validated: e-mail addresses, phone numbers, payment card numbers
-(Luhn), IBANs (mod 97), US social security numbers, IPv4 and full IPv6 addresses, calendar dates,
-hexadecimal tokens and access keys. Each valid one is replaced by a keyed Feistel permutation within its
+(Luhn), IBANs (mod 97, by their country's length), US social security numbers, IPv4 and IPv6 addresses,
+calendar dates (also before a time of day), hexadecimal tokens and access keys. A phone number behind a
+calling code takes no more digits than that country's numbers have, so what follows stays outside. Each valid one is replaced by a keyed Feistel permutation within its
 format: digits stay digits, card numbers stay valid card numbers, addresses stay addresses, dates stay
 dates written alike. The same value gets the same pseudonym in every document, however it is written
-(a card with or without spaces, a date in any order, a phone number with or without signs), and
+(a card with or without spaces, a date in any order, a phone number with or without signs, a mail name in any case, an IPv6 address with or without a gap), and
 different values get different ones. Who knows the key can undo it, so it has no default.
 
 One pass of the patterns, no shuffle, nothing collected; every pattern matches a bounded number of
@@ -29,19 +30,31 @@ from .common import fresh
 
 ROUNDS = 8
 
+# Lengths of account numbers by country, and of phone numbers behind a calling code (the longest).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+PHONE_LENGTHS = {"1": 10, "7": 10, "31": 9, "32": 9, "33": 9, "34": 9, "36": 9, "39": 11, "41": 9, "43": 13, "44": 10, "45": 8, "46": 9, "47": 8, "48": 9, "49": 11, "52": 10, "55": 11, "61": 9, "81": 10, "82": 10, "86": 11, "90": 10, "91": 10}
 # The patterns, in the order in which they are tried at a place; country calling codes of
 # one or two digits (all others have three); the days after the 28th that every year has.
+_GROUPS = "|".join(rf"(?:{country.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, country in IBAN_LENGTHS.items())
+_ACCOUNT = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+_SIGNS = "[ .()-]{0,2}"
+_CALL = "|".join(rf"{code}(?:{_SIGNS}\d){{{10 if code == '1' else 6},{n}}}" for code, n in PHONE_LENGTHS.items())
+_HEX = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,8}\.[A-Za-z]{2,63}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}",
     "key": r"\b(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{16}\b",
     "token": r"\b(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})\b",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)",
+    "iban": rf"\b(?:{_GROUPS}|(?!{_ACCOUNT})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)\b",
+    "phone": rf"(?<![\w+])\+(?:{_CALL}|(?!1)\d(?:{_SIGNS}\d){{6,14}})(?!\d)|(?<!\w)(?<!\d[.-])\(?\d{{3}}\)?[ .-]\d{{3}}[ .-]\d{{4}}(?!\w|-\d)|(?<![\w+])(?<!\d[.-])0[1-9]\d{{1,3}}[ /-](?:\d{{5,8}}|\d{{3,4}}[ -]\d{{3,5}}|\d{{3}}[ -]\d{{2}}[ -]\d{{2}})(?!\w|[.-]\d)",
+    "ssn": r"(?<!\w)(?<!\d-)\d{3}-\d{2}-\d{4}(?!\w|-\d)",
+    "date": r"(?<!\w)(?<!\d[./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?:(?=T\d{2}:)|(?!\w|[./-]\d))",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "ip6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
-    "card": r"(?<![\w-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w-])",
+    "ip6": rf"(?<![\w:])(?:(?:{_HEX}:){{7}}{_HEX}|{_HEX}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\w:])",
+    "card": r"(?<!\w)(?<!\d-)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\w|-\d)",
 }
 COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 LATE_DAYS = [100 * m + d for m in (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12) for d in (29, 30, 31) if d < 31 or m in (1, 3, 5, 7, 8, 10, 12)]
@@ -183,9 +196,16 @@ def _ip(value: Column, key: str) -> Column:
     return _let(octet, made)
 
 
+def _groups6(value: Column) -> Column:
+    """The written groups of an IPv6 address, before and behind the gap for zeros."""
+    return F.filter(F.split(value, ":"), lambda g: g != "")
+
+
 def _ip6(value: Column, key: str) -> Column:
-    """Eight groups of four small hexadecimal digits."""
-    full = F.array_join(F.transform(F.split(F.lower(value), ":"), lambda g: F.lpad(g, 4, "0")), "")
+    """Eight groups of four small hexadecimal digits, also for an address written with a gap."""
+    zeros = F.array_join(F.array_repeat(F.lit("0:"), F.lit(8) - F.size(_groups6(value))), "")
+    whole = F.when(value.contains("::"), F.replace(value, F.lit("::"), F.concat(F.lit(":"), zeros))).otherwise(value)
+    full = F.array_join(F.transform(_groups6(F.lower(whole)), lambda g: F.lpad(g, 4, "0")), "")
     return F.regexp_replace(permute_text(full, key, "ip6", hexadecimal=True), "(.{4})(?!$)", "$1:")
 
 
@@ -263,9 +283,15 @@ def _date(value: Column, key: str) -> Column:
 
 
 def _email(value: Column, key: str) -> Column:
-    """The name is permuted, the domain stays, signs of the name stay in place."""
-    name = F.regexp_extract(value, "^[^@]+", 0)
-    return F.concat(permute_text(name, key, "email"), F.substr(value, F.length(name) + 1, F.length(value)))
+    """The name is permuted in small letters and gets its capitals again where they were; the domain and signs of the name stay in place."""
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+
+    def made(name: Column) -> Column:
+        moved = permute_text(F.lower(name), key, "email")
+        cased = _let(moved, lambda m: F.array_join(F.zip_with(letters(name), letters(m), lambda was, now: F.when(was.rlike("[A-Z]"), F.upper(now)).otherwise(now)), ""))
+        return F.concat(F.when(name.rlike("[A-Z]"), cased).otherwise(moved), F.substr(value, F.length(name) + 1, F.length(value)))
+
+    return _let(F.regexp_extract(value, "^[^@]+", 0), made)
 
 
 def kind_of(value: Column) -> Column:
@@ -282,7 +308,7 @@ def kind_of(value: Column) -> Column:
         .when(is_a("ssn"), F.when(~area.isin("000", "666") & (area < "900") & (F.substring(value, 5, 2) != "00") & (F.substring(value, 8, 4) != "0000"), "ssn"))
         .when(is_a("date"), F.when(_date_of(value).isNotNull(), "date"))
         .when(is_a("ip"), F.when(octets_valid, "ip"))
-        .when(is_a("ip6"), "ip6")
+        .when(is_a("ip6"), F.when(~value.contains("::") | value.rlike("[0-9]") & (F.size(_groups6(value)).between(2, 7)), "ip6"))
         .when(is_a("card"), F.when(_luhn_valid(value), "card"))
     )
 
