@@ -5,14 +5,13 @@ from __future__ import annotations
 import os
 import shutil
 from collections.abc import Iterator
-from decimal import ROUND_HALF_UP, Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import blank_as_none, nocase
+from ..functions.text import blank_as_none, filename, hours_text, nocase
 from ..schema import IMAGE_TYPES
 
 #: Answer of the equipment service: the fields that are read.
@@ -55,32 +54,41 @@ def acquisition_csv(groups: list[tuple[int, float, int | None]]) -> str:
     return "\n".join(lines) + "\n"
 
 
-def _fixed(x: float, places: int) -> str:
-    return str(Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+def summary_lines(statistics: DataFrame) -> DataFrame:
+    """(line) of the integration summary of ``stats.integration_by_filter``: the total, then the filters, most seconds first."""
+    hours = lambda: F.concat(hours_text(F.col("seconds") / 3600), F.lit(" hr"))
+    total = statistics.agg(F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds")).select(F.lit(0).alias("part"), "seconds", F.lit("").alias("filter"), F.concat(F.lit("Total Integration: "), hours()).alias("line"))
+    each = statistics.select(F.lit(1).alias("part"), "seconds", "filter", F.concat(F.col("filter"), F.lit(": "), hours()).alias("line"))
+    return total.unionByName(each).orderBy("part", F.desc("seconds"), "filter").select("line")
 
 
-def hours_display(hours: float) -> str:
-    """Two decimals below an hour, else one."""
-    return _fixed(hours, 2 if hours < 1 else 1)
+def markdown_lines(statistics: DataFrame) -> DataFrame:
+    """(line) of the same as a Markdown table with a total, which always has one decimal; the columns' widths are one row."""
+    cells = statistics.select(F.lit(2).alias("part"), "seconds", "filter", F.col("count").cast("string").alias("n"), hours_text(F.col("seconds") / 3600).alias("hours"))
+    total = statistics.agg(F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds")).select(F.lit(3).alias("part"), "seconds", F.lit("Total").alias("filter"), F.lit("").alias("n"), F.concat(F.format_string("%.1f", F.col("seconds") / 3600), F.lit(" hr")).alias("hours"))
+    width = lambda name, least: F.greatest(F.lit(least), F.coalesce(F.max(F.length(name)), F.lit(0)))
+    widths = cells.unionByName(total).agg(width("filter", len("Filter")).alias("a"), width("n", len("Exposures")).alias("b"), width("hours", len("Integration")).alias("c"))
+    titles = widths.select(F.lit(0).alias("part"), F.lit(0.0).alias("seconds"), F.lit("Filter").alias("filter"), F.lit("Exposures").alias("n"), F.lit("Integration").alias("hours"))
+    a, b, c = (F.col(x) for x in "abc")
+    # An hours text is measured without its unit, so it can be wider than its column.
+    shown = F.when(F.col("part") == 2, F.concat("hours", F.lit(" hr"))).otherwise(F.col("hours"))
+    row = F.concat(F.lit("| "), F.rpad("filter", a, F.lit(" ")), F.lit(" | "), F.lpad("n", b, F.lit(" ")), F.lit(" | "), F.lpad(shown, F.greatest(c, F.length(shown)), F.lit(" ")), F.lit(" |"))
+    rows = titles.unionByName(cells).unionByName(total).join(F.broadcast(widths), F.lit(True)).select("part", "seconds", "filter", row.alias("line"))
+    dashes = lambda n: F.repeat(F.lit("-"), n)
+    rule = widths.select(F.lit(1).alias("part"), F.lit(0.0).alias("seconds"), F.lit("").alias("filter"), F.concat(F.lit("|"), dashes(a + 2), F.lit("|"), dashes(b + 1), F.lit(":|"), dashes(c + 1), F.lit(":|")).alias("line"))
+    return rows.unionByName(rule).orderBy("part", F.desc("seconds"), "filter").select("line")
 
 
-def summary_text(statistics: DataFrame) -> str:
-    """The integration summary of ``stats.integration_by_filter``, a small table."""
-    rows = statistics.collect()
-    total = hours_display(sum(r["seconds"] for r in rows) / 3600)
-    return "\n".join([f"Total Integration: {total} hr", *[f"{r['filter']}: {hours_display(r['seconds'] / 3600)} hr" for r in rows]])
+def copy_plan(paths: DataFrame, taken: DataFrame | None = None, overwrite: bool = False) -> DataFrame:
+    """(path, name, copies): the file name that each path gets in a flat folder, and whether it is copied.
 
-
-def summary_markdown(statistics: DataFrame) -> str:
-    """The same as a Markdown table with a total, which always has one decimal."""
-    rows = [(r["filter"], str(r["count"]), hours_display(r["seconds"] / 3600), r["seconds"]) for r in statistics.collect()]
-    total = _fixed(sum(r[3] for r in rows) / 3600, 1) + " hr"
-    a = max([len("Filter"), *[len(r[0]) for r in rows]])
-    b = max([len("Exposures"), *[len(r[1]) for r in rows]])
-    c = max([len("Integration"), len(total), *[len(r[2]) for r in rows]])
-    line = lambda x, y, z: f"| {x:<{a}} | {y:>{b}} | {z:>{c}} |"
-    rule = f"|{'-' * (a + 2)}|{'-' * (b + 1)}:|{'-' * (c + 1)}:|"
-    return "\n".join([line("Filter", "Exposures", "Integration"), rule, *[line(f, n, h + " hr") for f, n, h, _ in rows], line("Total", "", total)])
+    Of equal names the least path is; names in ``taken`` (name) are left as they are unless ``overwrite``.
+    """
+    named = paths.where("path is not null").select("path", filename("path").alias("name")).distinct()
+    least = named.groupBy("name").agg(F.min("path").alias("_least"))
+    if taken is not None and not overwrite:
+        least = least.join(taken.select("name").distinct(), "name", "left_anti")
+    return named.join(least, "name", "left").select("path", "name", F.coalesce(F.col("path") == F.col("_least"), F.lit(False)).alias("copies"))
 
 
 def copy_files(paths: DataFrame, target: str, overwrite: bool = False, buffer: int = 2 << 20) -> DataFrame:
@@ -90,9 +98,7 @@ def copy_files(paths: DataFrame, target: str, overwrite: bool = False, buffer: i
     export the least path is copied. A copy is made beside its target and renamed, so a repeated task
     leaves no half file.
     """
-    from ..functions.text import filename
-
-    chosen = paths.where("path is not null").groupBy(filename("path").alias("name")).agg(F.min("path").alias("path"))
+    chosen = copy_plan(paths).where("copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(target, exist_ok=True)

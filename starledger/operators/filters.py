@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sky import end_of_day
+from ..functions.sky import cell_ranges, end_of_day
 from ..functions.text import contains, nocase, nocase_text
 from ..schema import IMAGE_KINDS, IMAGE_TYPES
 
@@ -42,6 +42,14 @@ class Filter:
         p = self.predicate()
         return images if p is None else images.where(p)
 
+    def exact_names(self) -> dict[str, set[str]]:
+        """Columns that must have one of some folded names, for a scan that can skip others."""
+        return {}
+
+    def sky_ranges(self, most: int) -> list[tuple[int, int]] | None:
+        """At most so many ranges of sky cells outside of which nothing passes, or None."""
+        return None
+
     def data(self) -> str | None:
         raise NotImplementedError
 
@@ -109,6 +117,7 @@ class RangeFilter(Filter):
         return None if self.low is None and self.high is None else f"{_text(self.low)}|{_text(self.high)}"
 
 
+# Names under which filters are persisted, and their columns (here, in CONTAINED and in DATES).
 #: Circular ranges: column, and the bounds that count where one is missing.
 CIRCLES = {"Azimuth": ("azimuth", 0.0, float("inf")), "RotatorPosition": ("rotator_position", float("-inf"), float("inf"))}
 
@@ -175,6 +184,9 @@ class FilterNameFilter(Filter):
     def predicate(self) -> Column | None:
         return nocase("filter_name").isin([nocase_text(x) for x in self.text.split("|")]) if self.text else None
 
+    def exact_names(self) -> dict[str, set[str]]:
+        return {"filter_name": {nocase_text(x) for x in self.text.split("|")}} if self.text else {}
+
     def data(self) -> str | None:
         return self.text or None
 
@@ -189,7 +201,7 @@ class ObjectNameFilter(Filter):
     def apply(self, context: Context, images: DataFrame) -> DataFrame:
         if not self.text:
             return images
-        if len(self.text) > 1 and self.text[0] == self.text[-1] == '"':
+        if self._quoted():
             return images.where(nocase("object_name") == nocase_text(self.text[1:-1]))
         # A row's own name is tested in place; only names that aliases add need a join.
         own = (nocase("object_name") == nocase_text(self.text)) | contains("object_name", self.text)
@@ -199,6 +211,12 @@ class ObjectNameFilter(Filter):
         kept = images.join(added, nocase(F.col("object_name")) == F.col("_alias_of"), "left").where(own | F.col("_alias_of").isNotNull())
         return kept.drop("_alias_of")
 
+    def _quoted(self) -> bool:
+        return bool(self.text) and len(self.text) > 1 and self.text[0] == self.text[-1] == '"'
+
+    def exact_names(self) -> dict[str, set[str]]:
+        return {"object_name": {nocase_text(self.text[1:-1])}} if self._quoted() else {}
+
     def data(self) -> str | None:
         return self.text or None
 
@@ -294,10 +312,22 @@ class CoordinateFilter(Filter):
     mode: str = "box"
     name: str = "Coordinate"
 
-    def predicate(self) -> Column | None:
+    def _circle(self) -> tuple[float, float, float] | None:
+        """Right ascension in degrees, declination and radius, within their limits."""
         if self.right_ascension is None or self.declination is None or self.radius is None:
             return None
-        ra, dec, r = min(360.0, max(0.0, self.right_ascension * 15)), min(90.0, max(-90.0, self.declination)), max(0.0, self.radius)
+        return min(360.0, max(0.0, self.right_ascension * 15)), min(90.0, max(-90.0, self.declination)), max(0.0, self.radius)
+
+    def sky_ranges(self, most: int) -> list[tuple[int, int]] | None:
+        if (circle := self._circle()) is None:
+            return None
+        ra, dec, r = circle
+        return cell_ranges((ra - r, ra + r) if self.mode == "box" else (0.0, 360.0), (dec - r, dec + r), most)
+
+    def predicate(self) -> Column | None:
+        if (circle := self._circle()) is None:
+            return None
+        ra, dec, r = circle
         x, y = F.col("right_ascension"), F.col("declination")
         if self.mode == "box":
             return x.between(ra - r, ra + r) & y.between(dec - r, dec + r)

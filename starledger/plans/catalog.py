@@ -1,61 +1,208 @@
 """A catalogue as Parquet tables in versions.
 
-A table's version is a folder; a reader takes the newest finished one. A change writes the next version
-whole and never touches older ones, so readers keep what they read and a failed write leaves nothing
-that counts. Images are laid out by library and sorted by sky position and time within files, which is
-what searches are pruned by.
+A change writes new files and then a small manifest with the next number, which says which files count; a
+reader takes the newest manifest, so readers keep what they read and a failed write leaves nothing that counts.
+A manifest is made only if its number is free, so two writers never take one version.
+
+Images are written in batches, each a folder by library and sky zone, and the manifest lists for each library
+its batches. So a scan's new files are one batch more, a library whose rows change gets one batch instead of
+its others, and other libraries' files are never written again. A manifest keeps the number of each stream's last
+batch: a repeated one changes nothing.
+
+Within a zone files are sorted by a finer cell of the sky (Z-order) and time, which is what searches are pruned
+by; folded names are stored beside the names, with bloom filters, for exact searches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+from collections.abc import Iterable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.sky import CELL_BITS, ZONE_BITS, sky_cell, sky_zone
+from ..functions.text import nocase
+from ..operators.filters import Filter
+from ..schema import IMAGE_FILES, TABLES
 
-from ..schema import TABLES
+#: Names that are searched exactly: the folded form of each is stored as ``<name>_key``.
+KEYED = ("filter_name", "object_name")
+STORED = T.StructType([*IMAGE_FILES.fields, T.StructField("sky_cell", T.IntegerType()), *[T.StructField(f"{c}_key", T.StringType()) for c in KEYED], T.StructField("batch", T.StringType()), T.StructField("sky_zone", T.IntegerType())])
+#: Ranges of cells that a search asks for; a box of more is covered by coarser ones.
+RANGES = 16
+
+
+class Conflict(RuntimeError):
+    """Another writer changed the same library since it was read."""
 
 
 class Catalog:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _folder(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def _path(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _names(self, *parts: str) -> list[str]:
+        fs, path = self._path(*parts)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def manifest(self, name: str, version: int) -> dict:
+        """What counts of a version; empty where its writer hasn't finished."""
+        fs, path = self._path(name, "_log", f"v{version}.json")
+        stream = fs.open(path)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text) if text.endswith("}\n") else {}
+
     def versions(self, name: str) -> list[int]:
         """Finished versions, in order."""
-        fs, path = self._folder(name)
-        if not fs.exists(path):
-            return []
-        out = []
-        for s in fs.listStatus(path):
-            label = s.getPath().getName()
-            if label.startswith("v") and label[1:].isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-                out.append(int(label[1:]))
-        return sorted(out)
-
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        """A table's newest or a given version; an empty table where none was written."""
+        found = sorted(int(n[1:-5]) for n in self._names(name, "_log") if n.startswith("v") and n.endswith(".json") and n[1:-5].isdigit())
+        return [v for v in found if self.manifest(name, v)] if found else []
+
+    def _newest(self, name: str) -> tuple[int, dict]:
         known = self.versions(name)
-        if not known:
+        return (known[-1], self.manifest(name, known[-1])) if known else (0, {"batches": {}, "streams": {}, "top": 0})
+
+    def _publish(self, name: str, version: int, manifest: dict) -> bool:
+        """Write a manifest if its number is free."""
+        fs, path = self._path(name, "_log", f"v{version}.json")
+        try:
+            stream = fs.create(path, False)
+        except Exception as e:  # what the store says of a file that is there
+            if fs.exists(path):
+                return False
+            raise e
+        try:
+            stream.write(bytearray((json.dumps(manifest, sort_keys=True) + "\n").encode()))
+        finally:
+            stream.close()
+        return True
+
+    def read(self, name: str, version: int | None = None, libraries: Iterable[int] | None = None, filters: Iterable[Filter] = ()) -> DataFrame:
+        """A table's newest or a given version; an empty table where none was written.
+
+        ``libraries``: only their images. ``filters``: only files and row groups that can pass are read; they still
+        have to be applied.
+        """
+        manifest = self._newest(name)[1] if version is None else self.manifest(name, version)
+        wanted = None if libraries is None else {_label(x) for x in libraries}
+        paths = [f"{self.root}/{name}/batch={b}/library_id={lib}" if name == "image_files" else f"{self.root}/{name}/batch={b}" for lib, batches in sorted(manifest.get("batches", {}).items()) if wanted is None or lib in wanted for b in batches]
+        if not paths:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/v{known[-1] if version is None else version}").select(*TABLES[name].names)
+        schema = STORED if name == "image_files" else TABLES[name]
+        df = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*paths)
+        if name == "image_files":
+            df = reduce(lambda d, f: d if (p := pruned(f)) is None else d.where(p), filters, df)
+        return df.select(*TABLES[name].names)
+
+    def _write_images(self, df: DataFrame) -> tuple[str, list[str], int]:
+        """Write rows as a batch: its name, the libraries it has, and its largest id."""
+        batch = uuid.uuid4().hex
+        out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in IMAGE_FILES.fields])
+        out = out.withColumns({"sky_cell": sky_cell(F.col("right_ascension"), F.col("declination")), **{f"{c}_key": nocase(c) for c in KEYED}})
+        out = out.withColumn("sky_zone", sky_zone(F.col("sky_cell")))
+        # Images without coordinates (flats, darks, bias) and those of one busy zone are dealt on by their paths.
+        place = F.when(F.col("sky_zone") < 0, F.pmod(F.xxhash64("path"), F.lit(64))).otherwise(F.pmod(F.xxhash64("path"), F.lit(8)))
+        laid = out.repartition("library_id", "sky_zone", place).sortWithinPartitions("library_id", "sky_zone", "sky_cell", "observation_timestamp_utc")
+        writer = laid.write.partitionBy("library_id", "sky_zone").option("parquet.bloom.filter.adaptive.enabled", "true")  # as large as a file's names need
+        for c in KEYED:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}_key", "true").option(f"parquet.bloom.filter.candidates.number#{c}_key", "14")
+        writer.parquet(f"{self.root}/image_files/batch={batch}")
+        found = [n.partition("=")[2] for n in self._names("image_files", f"batch={batch}") if n.startswith("library_id=")]
+        top = self.spark.read.schema(STORED).parquet(f"{self.root}/image_files/batch={batch}").agg(F.max("id")).first()[0] if found else None
+        return batch, found, top or 0
 
     def write(self, name: str, df: DataFrame) -> int:
-        """``df`` as the table's next version; returns its number. ``df`` may read older ones."""
-        version = (self.versions(name) or [0])[-1] + 1
-        out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields])
+        """``df`` as the table's next version, whole; returns its number. ``df`` may read older ones."""
         if name == "image_files":
-            # By sky band; images without coordinates (flats, darks, bias) and those of one busy band are dealt on by their paths.
-            place = F.when(F.col("declination").isNull(), F.pmod(F.xxhash64("path"), F.lit(64))).otherwise(F.pmod(F.xxhash64("path"), F.lit(8)))
-            laid = out.repartition("library_id", F.floor(F.col("declination") / 10), place).sortWithinPartitions("library_id", F.floor("declination"), "right_ascension", "observation_timestamp_utc")
-            laid.write.mode("overwrite").partitionBy("library_id").parquet(f"{self.root}/{name}/v{version}")
+            batch, found, top = self._write_images(df)
+            batches = {lib: [batch] for lib in found}
         else:
-            out.write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
-        return version
+            batch, top = uuid.uuid4().hex, 0
+            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]).write.parquet(f"{self.root}/{name}/batch={batch}")
+            batches = {"": [batch]}
+        while True:
+            version, old = self._newest(name)
+            if self._publish(name, version + 1, {"batches": batches, "streams": old["streams"], "top": max(top, old["top"])}):
+                return version + 1
+
+    def top_id(self) -> int:
+        """The largest id that an image has or had."""
+        return self._newest("image_files")[1]["top"]
+
+    def taken(self, stream: str) -> int:
+        """The number of a stream's last batch, or -1."""
+        return self._newest("image_files")[1]["streams"].get(stream, -1)
+
+    def add_images(self, added: DataFrame, library_id: int, kept: DataFrame | None = None, since: int | None = None, stream: str | None = None, number: int = 0) -> int:
+        """The next version with ``added`` rows of one library, and with ``kept`` instead of its rows where given; returns its number.
+
+        What is written follows these rows, not the catalogue. ``since``: the version that ``kept`` was made from; if
+        another writer has changed the library after it, ``Conflict`` is raised and nothing counts. A batch ``number``
+        of ``stream`` that is taken already, or a later one, changes nothing.
+        """
+        label = _label(library_id)
+        rows = added if kept is None else kept.unionByName(added)
+        batch, found, top = self._write_images(rows.where(F.col("library_id") == library_id))
+        while True:
+            version, old = self._newest("image_files")
+            if stream is not None and old["streams"].get(stream, -1) >= number:
+                self._remove("image_files", f"batch={batch}")
+                return version
+            before = old["batches"].get(label, [])
+            if kept is not None and since is not None and since != version and self.manifest("image_files", since).get("batches", {}).get(label, []) != before:
+                self._remove("image_files", f"batch={batch}")
+                raise Conflict(f"library {library_id} was changed after version {since}")
+            now = ([] if kept is not None else before) + ([batch] if found else [])
+            batches = {k: v for k, v in {**old["batches"], label: now}.items() if v}
+            streams = old["streams"] if stream is None else {**old["streams"], stream: number}
+            if self._publish("image_files", version + 1, {"batches": batches, "streams": streams, "top": max(top, old["top"])}):
+                return version + 1
+
+    def compact(self, library_id: int) -> int:
+        """The next version with a library's batches as one."""
+        version = self._newest("image_files")[0]
+        rows = self.read("image_files", version, [library_id])
+        return self.add_images(rows.limit(0), library_id, kept=rows, since=version)
+
+    def _remove(self, *parts: str) -> None:
+        fs, path = self._path(*parts)
+        fs.delete(path, True)
 
     def drop_before(self, name: str, keep: int = 2) -> None:
-        """Remove all but the newest ``keep`` versions."""
-        fs, _ = self._folder(name)
-        for v in self.versions(name)[:-keep]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v{v}"), True)
+        """Remove all but the newest ``keep`` versions, and the batches that no version left has."""
+        known = self.versions(name)
+        held = [self.manifest(name, v)["batches"] for v in known[-keep:]]
+        used = {(lib, b) for m in held for lib, batches in m.items() for b in batches}
+        for v in known[:-keep]:
+            for lib, batches in self.manifest(name, v)["batches"].items():
+                for b in batches:
+                    if (lib, b) not in used:
+                        self._remove(name, f"batch={b}", *([f"library_id={lib}"] if name == "image_files" else []))
+        for v in known[:-keep]:
+            self._remove(name, "_log", f"v{v}.json")
+
+
+def _label(library_id: int | None) -> str:
+    return "__HIVE_DEFAULT_PARTITION__" if library_id is None else str(library_id)
+
+
+def pruned(f: Filter) -> Column | None:
+    """What a filter says of the stored columns: sky zones and cells of a coordinate search, folded names of an exact one."""
+    names = f.exact_names()
+    if names:
+        return reduce(lambda a, b: a & b, [F.col(f"{c}_key").isin(*sorted(keys)) for c, keys in names.items() if c in KEYED])
+    ranges = f.sky_ranges(RANGES)
+    if ranges is None:
+        return None
+    shift = 2 * (CELL_BITS - ZONE_BITS)
+    zones = sorted({z for low, high in ranges for z in range(low >> shift, (high >> shift) + 1)})
+    return F.col("sky_zone").isin(*zones) & reduce(lambda a, b: a | b, [F.col("sky_cell").between(low, high) for low, high in ranges])

@@ -27,11 +27,26 @@ def first_of_kind(keyword: str, kind: str) -> Column:
 
 
 _SLOT = {"string": "s", "bool": "b", "int": "i", "float": "d"}
+#: Column of the first items by keyword, while header columns are made.
+FIRST = "_first"
+
+
+def first_items(*keywords: str) -> Column:
+    """A map of the first item of each of these keywords, and of the first of each kind as ``keyword|kind``, in one walk over all items."""
+    of_use = F.transform(F.filter(_items(), lambda e: F.upper(e["keyword"]).isin(*keywords)), lambda e: F.struct(F.upper(e["keyword"]).alias("key"), e.alias("item")))
+    both = F.flatten(F.array(of_use, F.transform(of_use, lambda x: F.struct(F.concat(x["key"], F.lit("|"), x["item"]["kind"]).alias("key"), x["item"].alias("item")))))
+    # What is left is at most these keywords and their repeats.
+    seen = F.transform(F.array(both), lambda all_: F.filter(all_, lambda x, i: F.array_position(F.transform(all_, lambda y: y["key"]), x["key"]) == i + 1))
+    return F.map_from_entries(F.coalesce(F.get(seen, F.lit(0)), F.slice(both, 1, 0)))
+
+
+def _first(keyword: str) -> Column:
+    return F.try_element_at(F.col(FIRST), F.lit(keyword))
 
 
 def value_of(keyword: str, kind: str) -> Column:
     """The value of the first item of a keyword, if it is of the kind."""
-    one = first_item(keyword)
+    one = _first(keyword)
     return F.when(one["kind"] == kind, one[_SLOT[kind]])
 
 
@@ -54,7 +69,7 @@ STEPS = ("Calibration", "CosmeticCorrection", "Registration", "Debayer", "LocalN
 
 def image_type() -> Column:
     """IMAGETYP, or FRAMETYP where no IMAGETYP is a text."""
-    told = F.coalesce(first_of_kind("IMAGETYP", "string")["s"], first_of_kind("FRAMETYP", "string")["s"])
+    told = F.coalesce(_first("IMAGETYP|string")["s"], _first("FRAMETYP|string")["s"])
     word = F.replace(F.lower(told), F.lit(" "), F.lit(""))
     return reduce(lambda c, t: c.when(word.isin(*TYPE_WORDS[t]), IMAGE_TYPES[t]), list(TYPE_WORDS)[1:], F.when(word.isin(*TYPE_WORDS["Light"]), IMAGE_TYPES["Light"])).otherwise(IMAGE_TYPES["Unknown"])
 
@@ -66,9 +81,9 @@ def image_kind(type_column: str = "type", path_column: str = "path") -> Column:
     history = lambda *starts: F.exists(_items(), lambda e: e["keyword"].isin("HISTORY", "COMMENT") & reduce(lambda a, b: a | b, [F.coalesce(e["comment"], F.lit("")).startswith(f"{s} with PixInsight") for s in starts]))
     step, integrated = history(*STEPS), history("Integration")
     signed = F.exists(_items(), lambda e: e["keyword"].isin(*[f"PCL:Signature:{s}" for s in STEPS]))
-    told = F.coalesce(first_of_kind("IMAGETYP", "string")["s"], F.lit(""))
-    siril = F.coalesce(first_of_kind("PROGRAM", "string")["s"], F.lit("")).rlike("(?i)siril")
-    stacked = first_of_kind("STACKCNT", "int").isNotNull()
+    told = F.coalesce(_first("IMAGETYP|string")["s"], F.lit(""))
+    siril = F.coalesce(_first("PROGRAM|string")["s"], F.lit("")).rlike("(?i)siril")
+    stacked = _first("STACKCNT|int").isNotNull()
     calibrating = t.isin(IMAGE_TYPES["Flat"], IMAGE_TYPES["Dark"], IMAGE_TYPES["Bias"])
     k = IMAGE_KINDS
     return (
@@ -93,8 +108,17 @@ def _timestamp(keyword: str) -> Column:
     return F.try_to_timestamp(first_value("string", keyword)).cast("timestamp_ntz")
 
 
+# The keywords that a header's columns are read from, and those of its type and kind.
+KEYWORDS = (
+    "IMAGETYP FRAMETYP PROGRAM STACKCNT INSTRUME EXPOSURE EXPTIME SET-TEMP CCD-TSET CCD-TEMP GAIN CCD-GAIN EGAIN OFFSET XBINNING CCDXBIN XPIXSZ READOUTM "
+    "FOCNAME FOCUSER FOCPOS FOCUSPOS FOCTEMP ROTNAME ROTATOR ROTATANG FWHEEL FILTER RA DEC CENTALT OBJCTALT CENTAZ OBJCTAZ TELESCOP FOCALLEN AIRMASS DATE-OBS DATE-LOC "
+    "OBJECT SITELAT OBSLAT SITELONG SITELON OBSLONG SITEELEV SITEELV DEWPOINT HUMIDITY PRESSURE AMBTEMP"
+).split()
+
+
+# Which keywords give which column, in order.
 def header_columns() -> dict[str, Column]:
-    """The columns that a header gives. The session's time zone should be UTC.
+    """The columns that a header gives, from the map of first items. The session's time zone should be UTC.
 
     Only exposure, both camera temperatures and binning take integers and reals; the other columns take
     one kind, and a value of the other leaves them null.
@@ -139,6 +163,9 @@ def header_columns() -> dict[str, Column]:
 
 
 def with_header_columns(scanned: DataFrame) -> DataFrame:
-    """``scanned`` with type, kind and the header columns."""
-    typed = scanned.withColumn("type", image_type())
-    return typed.withColumn("kind", image_kind()).withColumns(header_columns())
+    """``scanned`` with type, kind and the header columns; a header's items are folded to a map of first items once."""
+    typed = scanned.withColumn(FIRST, first_items(*KEYWORDS)).withColumn("type", image_type())
+    return typed.withColumn("kind", image_kind()).withColumns(header_columns()).drop(FIRST)
+
+
+# End of fixed values.

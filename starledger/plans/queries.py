@@ -248,12 +248,12 @@ def _header_cases(t: Tables) -> DataFrame:
     from pyspark.sql import types as T
 
     from ..schema import HEADER_ITEM
-    from .headers import image_kind, image_type
+    from .headers import FIRST, KEYWORDS, first_items, image_kind, image_type
 
     schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("ext", T.StringType()), T.StructField("items", T.ArrayType(HEADER_ITEM))])
     cases = t.spark.createDataFrame([(k, ext, _items(pairs)) for k, (pairs, ext, _, _) in enumerate(HEADER_CASES)], schema)
     files = t.images.select("id", (F.col("id") % len(HEADER_CASES)).alias("k")).join(F.broadcast(cases), "k")  # as many rows as cases
-    typed = files.select("id", F.concat(F.lit("a."), F.col("ext")).alias("path"), F.struct("items").alias("header")).withColumn("type", image_type())
+    typed = files.select("id", F.concat(F.lit("a."), F.col("ext")).alias("path"), F.struct("items").alias("header")).withColumn(FIRST, first_items(*KEYWORDS)).withColumn("type", image_type())
     return typed.select("id", "type", image_kind().alias("kind"))
 
 
@@ -261,7 +261,7 @@ register("k1_k2_types_and_kinds", _header_cases, f"SELECT id, t AS type, k AS ki
 
 
 def _extracted(t: Tables) -> DataFrame:
-    from .headers import header_columns
+    from .headers import FIRST, KEYWORDS, first_items, header_columns
 
     def entry(keyword: str, kind: str, value: F.Column) -> F.Column:
         types = {"s": "string", "b": "boolean", "i": "int", "d": "double"}
@@ -278,7 +278,7 @@ def _extracted(t: Tables) -> DataFrame:
     )
     columns = header_columns()
     chosen = ["exposure", "focal_length", "pixel_size", "camera_temperature", "camera_gain", "binning", "object_name", "filter_name", "telescope_name", "observation_timestamp_utc", "observation_timestamp_local", "airmass"]
-    return t.images.select("id", F.struct(items.alias("items")).alias("header")).select("id", *[columns[c].alias(c) for c in chosen])
+    return t.images.select("id", F.struct(items.alias("items")).alias("header")).withColumn(FIRST, first_items(*KEYWORDS)).select("id", *[columns[c].alias(c) for c in chosen])
 
 
 register("e1_e2_extraction", _extracted, "SELECT id, coalesce(CASE WHEN id % 3 = 1 THEN exposure END, CASE WHEN id % 5 <> 0 THEN 7.5::DOUBLE END, CASE WHEN id % 3 = 0 THEN CAST(id % 300 AS DOUBLE) END) AS exposure, NULL AS focal_length, pixel_size, CASE WHEN id % 2 = 0 THEN CAST(id % 20 AS DOUBLE) ELSE camera_temperature END AS camera_temperature, camera_gain, 2 AS binning, object_name, NULL AS filter_name, 'Scope' AS telescope_name, observation_timestamp_utc, NULL AS observation_timestamp_local, NULL AS airmass FROM images")
@@ -374,16 +374,14 @@ _SUMS = "SELECT coalesce(filter_name, 'None') AS f, count(*) AS n, sum(coalesce(
 _HOURS = "CASE WHEN {0} < 1 THEN printf('%.2f', {0}) ELSE printf('%.1f', {0}) END"
 
 
-def _summary(t: Tables, markdown: bool) -> DataFrame:
-    """The lines of a summary, each with its number; the filters' lines are in no order of their own."""
-    made = (export.summary_markdown if markdown else export.summary_text)(stats.integration_by_filter(t.images.where("library_id = 2")))
-    return t.spark.createDataFrame([(line,) for line in made.split("\n")], "line string")
+def _statistics(t: Tables) -> DataFrame:
+    return stats.integration_by_filter(t.images.where("library_id = 2"))
 
 
-register("x3_text_summary", lambda t: _summary(t, False), f", sums AS ({_SUMS}) SELECT concat('Total Integration: ', {_HOURS.format('(SELECT sum(s) / 3600 FROM sums)')}, ' hr') AS line UNION ALL SELECT concat(f, ': ', {_HOURS.format('(s / 3600)')}, ' hr') FROM sums")
+register("x3_text_summary", lambda t: export.summary_lines(_statistics(t)), f", sums AS ({_SUMS}) SELECT concat('Total Integration: ', {_HOURS.format('(SELECT sum(s) / 3600 FROM sums)')}, ' hr') AS line UNION ALL SELECT concat(f, ': ', {_HOURS.format('(s / 3600)')}, ' hr') FROM sums")
 register(
     "x4_markdown_summary",
-    lambda t: _summary(t, True),
+    lambda t: export.markdown_lines(_statistics(t)),
     f", sums AS ({_SUMS}), cells AS (SELECT f, CAST(n AS VARCHAR) AS n, concat({_HOURS.format('(s / 3600)')}, ' hr') AS h FROM sums), total AS (SELECT concat(printf('%.1f', sum(s) / 3600), ' hr') AS h FROM sums), "
     "wide AS (SELECT greatest(6, max(length(f))) AS a, greatest(9, max(length(n))) AS b, greatest(11, max(length(h) - 3), max((SELECT length(h) FROM total))) AS c FROM cells) "
     "SELECT concat('| ', rpad(f, CAST(a AS INT), ' '), ' | ', lpad(n, CAST(b AS INT), ' '), ' | ', lpad(h, CAST(greatest(c, length(h)) AS INT), ' '), ' |') AS line FROM (SELECT f, n, h FROM cells UNION ALL SELECT 'Filter', 'Exposures', 'Integration' UNION ALL SELECT 'Total', '', h FROM total), wide "
@@ -409,3 +407,110 @@ def _fits(t: Tables) -> DataFrame:
 
 
 register("s1_h1_fits_headers", _fits, f"SELECT event_id AS id, CASE WHEN event_id % 17 <> 0 THEN sha1({_HEADER_TEXT}) END AS header_hash, CASE WHEN event_id % 17 <> 0 THEN CAST(event_id % 5000 AS INT) END AS width, CASE WHEN event_id % 17 <> 0 THEN CAST(event_id % 300 AS INT) END AS height, CASE WHEN event_id % 17 <> 0 THEN 5 + (CASE WHEN TRY_CAST(concat('99999999999', event_id) AS INT) IS NULL THEN 0 ELSE 1 END) END AS items, CASE WHEN event_id % 17 <> 0 THEN (event_id % 100 + 0.5::DOUBLE) * 10 END AS seconds, CASE WHEN event_id % 17 <> 0 THEN concat('M ''', user_id % 40) END AS object, CASE WHEN event_id % 17 <> 0 THEN 'seconds' END AS unit, event_id % 17 = 0 AS broken FROM events")
+
+
+# Walks of a library's folder: the paths that the rules allow, and how many a scan since a time would find.
+_TREE = "SELECT event_id AS id, concat('/data/lib', CAST(user_id % 4 AS STRING)) AS root, concat('/data/lib', CAST(user_id % 4 AS STRING), CASE event_id % 8 WHEN 0 THEN '/night' WHEN 1 THEN '/.git/objects' WHEN 2 THEN '/$RECYCLE.BIN' WHEN 3 THEN '/py/site-packages/x' WHEN 4 THEN '/deep/er/.hidden/more' WHEN 5 THEN '/deep/er/still' WHEN 6 THEN '/cash$' ELSE '' END, '/', CASE event_id % 6 WHEN 0 THEN 'a.fits' WHEN 1 THEN 'B.FIT' WHEN 2 THEN 'c.fitz' WHEN 3 THEN '_d.xisf' WHEN 4 THEN 'notes.txt' ELSE '.fits' END) AS path, CAST(event_id % 1000 AS DOUBLE) AS modified, CAST(event_id * 7 % 1000 AS DOUBLE) AS created FROM events"
+_WALKED = f"SELECT id, root, path, modified, created FROM ({_TREE}) WHERE id % 8 IN (0, 5, 6, 7) AND id % 6 IN (0, 1, 3)"
+
+
+def _walked(t: Tables) -> DataFrame:
+    from ..sources.listing import walks_path
+
+    files = t.spark.read.parquet(f"{t.sf_dir}/events.parquet")
+    select, _, _ = _TREE.removeprefix("SELECT ").rpartition(" FROM events")
+    tree = files.selectExpr(*_expressions(select))
+    return tree.where(walks_path(F.col("path"), F.col("root")))
+
+
+def _expressions(select: str) -> list[str]:
+    """The expressions of a select list, cut at the commas outside brackets."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(select):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(select[start:i])
+            start = i + 1
+    return [*out, select[start:]]
+
+
+def _since(t: Tables) -> DataFrame:
+    from ..sources.listing import changed_since
+
+    return _walked(t).where(changed_since(F.lit(900.0))).groupBy("root").agg(F.count("*").alias("files"))
+
+
+register("s3_walk_rules", lambda t: _walked(t).select("id", "path"), f"SELECT id, path FROM ({_WALKED})")
+register("s7_estimated_count", lambda t: _walked(t).groupBy("root").agg(F.count("*").alias("files")), f"SELECT root, count(*) AS files FROM ({_WALKED}) GROUP BY root")
+register("s3_walk_since", _since, f"SELECT root, count(*) AS files FROM ({_WALKED}) WHERE modified >= 900 OR created >= 900 GROUP BY root")
+
+# XISF files as bytes: keywords and properties of each kind, every seventh with a header of more than one chunk, every nineteenth broken.
+_RAW = "CASE event_id % 9 WHEN 0 THEN 'T' WHEN 1 THEN 'f' WHEN 2 THEN CAST(event_id AS STRING) WHEN 3 THEN concat(CAST(event_id AS STRING), '.5') WHEN 4 THEN '1.5D+02' WHEN 5 THEN '(1,2)' WHEN 6 THEN '''it''''s''' WHEN 7 THEN 'Ha' ELSE '3000000000' END"
+_PROPERTY = "CASE event_id % 5 WHEN 0 THEN 'type=\"Boolean\" value=\"1\"/>' WHEN 1 THEN concat('type=\"Int32\" value=\"', CAST(event_id AS STRING), '\"/>') WHEN 2 THEN 'type=\"Float64\" value=\"2.5\"/>' WHEN 3 THEN 'type=\"String\">some text</Property>' ELSE 'type=\"F64Vector\" value=\"1\"/>' END"
+_XML_TEXT = f"""concat('<xisf version=\"1.0\"><Image geometry=\"', CAST(event_id % 5000 AS STRING), ':', CAST(event_id % 300 AS STRING), ':1\"><FITSKeyword name=\"RAW\" value=\"', {_RAW}, '\" comment=\"c', CAST(event_id % 3 AS STRING), '\"/><FITSKeyword name=\"HISTORY\" value=\"\" comment=\"', repeat('x', CAST(CASE WHEN event_id % 7 = 0 THEN 9000 ELSE 10 END AS INT)), '\"/><Property id=\"P\" ', {_PROPERTY}, '</Image></xisf>')"""
+_XISF = f"SELECT event_id AS id, event_id % 19 = 0 AS broken, {_XML_TEXT} AS xml, repeat('z', CAST(event_id % 40 * 500 AS INT)) AS tail FROM events"
+
+
+def _xisf_files(t: Tables) -> DataFrame:
+    made = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").selectExpr("event_id AS id", "event_id % 19 = 0 AS broken", f"{_XML_TEXT} AS xml", "repeat('z', CAST(event_id % 40 * 500 AS INT)) AS tail")
+    size = F.lpad(F.hex(F.length("xml")), 8, "0")
+    little = F.unhex(F.concat(*[F.substring(size, i, 2) for i in (7, 5, 3, 1)]))
+    magic = F.when(F.col("broken"), F.lit("XISF0200")).otherwise(F.lit("XISF0100"))
+    bytes_of = lambda c: F.encode(c, "UTF-8")
+    return made.select("id", F.concat(bytes_of(magic), little, F.unhex(F.lit("00000000")), bytes_of(F.concat("xml", "tail"))).alias("content"))
+
+
+def _xisf_headers(t: Tables) -> DataFrame:
+    from .xisf import header_hash, read_xisf
+
+    read = read_xisf(_xisf_files(t))
+    return read.select("id", "header_hash", F.when(F.col("error").isNull(), header_hash(F.col("content"), True)).alias("compat_hash"), F.col("header.width").alias("width"), F.col("header.height").alias("height"), F.col("error").isNotNull().alias("broken"))
+
+
+def _xisf_items(t: Tables) -> DataFrame:
+    from .xisf import read_xisf
+
+    return read_xisf(_xisf_files(t)).select("id", F.inline("header.items")).select("id", "keyword", "kind", "s", "b", "i", F.col("d").alias("real"), F.length("comment").alias("comment_length"))
+
+
+_GOOD_XISF = f"SELECT id, xml, concat(xml, tail) AS data, length(xml) AS n, (length(xml) - 1) // 8192 * 8192 AS before FROM ({_XISF}) WHERE NOT broken"
+register("s2_h2_xisf_headers", _xisf_headers, f", good AS ({_GOOD_XISF}) SELECT x.id, sha1(good.xml) AS header_hash, CASE WHEN NOT broken THEN sha1(concat(substr(data, 1, CAST(before + 8192 AS INT)), substr(data, CAST(before + 1 AS INT), CAST(n - before AS INT)))) END AS compat_hash, CASE WHEN NOT broken THEN CAST(x.id % 5000 AS INT) END AS width, CASE WHEN NOT broken THEN CAST(x.id % 300 AS INT) END AS height, broken FROM ({_XISF}) x LEFT JOIN good ON good.id = x.id")
+register(
+    "p3_p4_values",
+    _xisf_items,
+    f", good AS ({_GOOD_XISF}) SELECT id, 'RAW' AS keyword, CASE WHEN id % 9 < 2 THEN 'bool' WHEN id % 9 = 2 THEN 'int' WHEN id % 9 IN (3, 4, 8) THEN 'float' ELSE 'string' END AS kind, CASE id % 9 WHEN 6 THEN 'it''s' WHEN 7 THEN 'Ha' END AS s, CASE id % 9 WHEN 0 THEN true WHEN 1 THEN false END AS b, CASE WHEN id % 9 = 2 THEN CAST(id AS INT) END AS i, CASE id % 9 WHEN 3 THEN id + 0.5::DOUBLE WHEN 4 THEN 150::DOUBLE WHEN 8 THEN 3000000000::DOUBLE END AS real, 2 AS comment_length FROM good WHERE id % 9 <> 5 "
+    "UNION ALL SELECT id, 'HISTORY', 'string', '', NULL, NULL, NULL, CASE WHEN id % 7 = 0 THEN 9000 ELSE 10 END FROM good "
+    "UNION ALL SELECT id, 'P', CASE id % 5 WHEN 0 THEN 'bool' WHEN 1 THEN 'int' WHEN 2 THEN 'float' ELSE 'string' END, CASE WHEN id % 5 = 3 THEN 'some text' END, CASE WHEN id % 5 = 0 THEN true END, CASE WHEN id % 5 = 1 THEN CAST(id AS INT) END, CASE WHEN id % 5 = 2 THEN 2.5::DOUBLE END, NULL FROM good WHERE id % 5 <> 4",
+)
+register("o4_grid_sort", lambda t: t.images.where("library_id = 4").select("id", "camera_gain", "exposure").orderBy(F.desc_nulls_last("camera_gain"), "id").limit(60), "SELECT id, camera_gain, exposure FROM images WHERE library_id = 4 ORDER BY camera_gain DESC NULLS LAST, id LIMIT 60")
+register("f9_seconds_and_spans", lambda t: t.images.select("id", sky.seconds_of_interval(sky.interval_of_seconds(F.col("exposure").cast("decimal(18, 6)"))).alias("seconds"), sky.interval_of_seconds(F.floor("exposure").cast("decimal(18, 6)")).cast("string").alias("span")), "SELECT id, exposure AS seconds, CASE WHEN exposure IS NOT NULL THEN printf('INTERVAL ''%d %02d:%02d:%02d'' DAY TO SECOND', CAST(floor(exposure) AS BIGINT) // 86400, CAST(floor(exposure) AS BIGINT) // 3600 % 24, CAST(floor(exposure) AS BIGINT) // 60 % 60, CAST(floor(exposure) AS BIGINT) % 60) END AS span FROM images")
+register("x2_copy_plan", lambda t: export.copy_plan(_copied(t).select("path"), _copied(t).where("library_id = 3").select(text.filename("path").alias("name"))), ", files AS (SELECT concat('/lib', library_id, '/IMG_', id // 3 % 500, '.fits') AS path, concat('IMG_', id // 3 % 500, '.fits') AS name, library_id FROM images) SELECT path, name, path = (SELECT min(path) FROM files g WHERE g.name = f.name) AND name NOT IN (SELECT name FROM files WHERE library_id = 3) AS copies FROM (SELECT DISTINCT path, name FROM files) f")
+
+
+def _copied(t: Tables) -> DataFrame:
+    return t.images.select("library_id", F.concat(F.lit("/lib"), F.col("library_id").cast("string"), F.lit("/IMG_"), (F.floor(F.col("id") / 3) % 500).cast("string"), F.lit(".fits")).alias("path"))
+
+
+# Rollups kept by changes: of all images but a library's, after that library came and another went.
+def _changed(t: Tables, rows) -> DataFrame:
+    from . import rollup
+
+    first = rollup.summed(rows(t.images.where("library_id <> 2")))
+    return rollup.changed(first, rows, t.images.where("library_id = 3"), t.images.where("library_id = 2"))
+
+
+def _nights(t: Tables) -> DataFrame:
+    from . import rollup
+
+    return rollup.integration_by_night(_changed(t, rollup.integration_rows), dt.date(2024, 1, 3), dt.date(2024, 1, 20)).select("bucket", F.round("hours", 6).alias("hours"))
+
+
+def _named(t: Tables) -> DataFrame:
+    from . import rollup
+
+    return _changed(t, rollup.name_rows).select("column", "value", "n")
+
+
+_NIGHT = "strftime(coalesce(observation_timestamp_local, observation_timestamp_utc) - INTERVAL '12' HOUR, '%Y-%m-%d')"
+register("a5_nights_of_rollup", _nights, f"SELECT {_NIGHT} AS bucket, round(sum(exposure) / 3600, 6) AS hours FROM images WHERE library_id <> 3 AND type = 1 AND kind = 1 AND {_NIGHT} BETWEEN '2024-01-03' AND '2024-01-20' GROUP BY 1")
+register("o1_dictionary_of_names", _named, " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM images WHERE library_id <> 3 AND {c} <> '' GROUP BY {c}" for c in ["object_name", "camera_name", "filter_name", "filter_wheel_name", "focuser_name", "rotator_name", "telescope_name"]))

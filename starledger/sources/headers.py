@@ -1,8 +1,9 @@
-"""The data source ``image_headers``: one row per image file with its header, in batches and streams.
+"""Headers of image files: one row per file, as a table of a tree in any store, and as the data source ``image_headers``.
 
-``spark.read.format("image_headers").load(root)``; options: ``since`` (seconds, the incremental scan's
-cutoff), ``compat_xisf_hash``. The folders of a tree are divided over tasks, and the files of a folder of
-many among several; each task lists and reads its own; only header bytes are read. A file that can't be read is a row with an error.
+``scan_headers`` lists a tree level by level and deals its files out to tasks, which read header bytes only.
+``spark.readStream.format("image_headers").load(root)`` is the stream of files that change (and ``spark.read``
+the same in one batch); options: ``since`` (seconds, the incremental scan's cutoff), ``compat_xisf_hash``. A file that
+can't be read is a row with an error.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 import datetime as dt
 import io
 import json
-import os
 import time
 from collections.abc import Iterator
 
@@ -21,7 +21,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schema import HEADER, SCANNED
+from ..shared import checkpointed
 from . import fits, listing, xisf
+from .store import opened
+
+#: Files whose headers one task reads.
+TASK_FILES = 256
 
 
 class Folder(InputPartition):
@@ -29,18 +34,20 @@ class Folder(InputPartition):
         self.path, self.deep, self.share, self.since, self.until = path, deep, share, since, until
 
 
+def read_file(path: str, compat_xisf_hash: bool = False) -> tuple[str | None, dict | None, str | None]:
+    """Hash and header of a file, or what is wrong with it."""
+    try:
+        with opened(path) as stream:
+            header, digest = xisf.read_header(stream, compat_xisf_hash) if path.lower().endswith(".xisf") else fits.read_header(stream)
+        return digest, header, None
+    except (OSError, ValueError) as e:
+        return None, None, f"{type(e).__name__}: {e}"
+
+
 def scan_file(found: listing.Found, compat_xisf_hash: bool = False) -> tuple:
     """A row of the source."""
     moment = lambda t: dt.datetime.fromtimestamp(t, dt.UTC).replace(tzinfo=None)
-    header, digest, error = None, None, None
-    try:
-        with open(found.path, "rb") as stream:
-            if found.path.lower().endswith(".xisf"):
-                header, digest = xisf.read_header(stream, compat_xisf_hash)
-            else:
-                header, digest = fits.read_header(stream)
-    except (OSError, ValueError) as e:
-        error = f"{type(e).__name__}: {e}"
+    digest, header, error = read_file(found.path, compat_xisf_hash)
     row = header and (header["width"], header["height"], header["file_extension"], [tuple(i[k] for k in ("keyword", "kind", "s", "b", "i", "d", "comment")) for i in header["items"]])
     return found.path, found.size, moment(found.modified), moment(found.created), digest, row, error
 
@@ -94,9 +101,31 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(HeaderSource)
 
 
-def estimated_count(root: str) -> int:
-    """Files that a full scan would find."""
-    return sum(1 for path, deep, _ in listing.folders(root) for _ in listing.walk(path, deep)) if os.path.isdir(root) else 0
+def estimated_count(spark: SparkSession, root: str) -> int:
+    """Files that a full scan would find: an aggregate of the distributed listing."""
+    return listing.walk_tree(spark, root).count()
+
+
+def scan_headers(spark: SparkSession, root: str, since: float | None = None, until: float | None = None, compat_xisf_hash: bool = False) -> DataFrame:
+    """The rows of the data source for a tree in any store, listed and read by as many tasks as it has work for.
+
+    A file's own task reads its header by ranges from the front; files of one folder go to different tasks.
+    """
+    files = checkpointed(listing.walk_tree(spark, root, since, until))
+    tasks = max(1, -(-files.count() // TASK_FILES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, size, modified, created in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                digest, header, error = read_file(path, compat_xisf_hash)
+                rows.append((path, size, round(modified * 1e6), round(created * 1e6), digest, header and json.dumps(header), error))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], SCANNED.names)
+
+    read = files.repartition(tasks, "path").mapInArrow(run, "path string, file_size long, modified long, created long, header_hash string, header string, error string")
+    moment = lambda c: F.expr(f"TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(CAST({c} AS DECIMAL(20, 0)) / 1000000 AS DECIMAL(18, 6)))")
+    return read.withColumns({"modified": moment("modified"), "created": moment("created"), "header": F.from_json("header", HEADER)})
 
 
 def read_bytes(df: DataFrame, content: str = "content", form: str = "fits") -> DataFrame:

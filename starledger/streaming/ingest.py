@@ -1,7 +1,8 @@
 """Continuous ingest: files that change below a library's folder become catalogue versions.
 
-Each micro-batch of the ``image_headers`` stream is planned like a scan and written as the next version.
-A repeated batch finds its files in the catalogue and adds nothing.
+Each micro-batch of the ``image_headers`` stream is planned like a scan against its library's rows. New files
+are written as one more batch of the library; its other rows are written again only if some of them changed, other
+libraries' never. The catalogue knows the number of the stream's last batch, so a repeated one changes nothing.
 """
 
 from __future__ import annotations
@@ -22,12 +23,24 @@ def ingest_stream(spark: SparkSession, catalog: Catalog, library_id: int, root:
     reader = spark.readStream.format("image_headers")
     headers = (reader.option("since", str(since)) if since is not None else reader).load(root)
 
+    stream = f"{library_id} {checkpoint}"
+
     def step(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
+        if catalog.taken(stream) >= number:
             return
+        files = batch.persist()
+        try:
+            if not files.isEmpty():
+                take(files, number)
+        finally:
+            files.unpersist()
+
+    def take(files: DataFrame, number: int) -> None:
         now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
-        plan = ingest(catalog.read("image_files"), batch, library_id, now)
-        catalog.write("image_files", plan.images)
+        version = (catalog.versions("image_files") or [None])[-1]
+        plan = ingest(catalog.read("image_files", version, [library_id]), files, library_id, now, catalog.top_id())
+        kept = None if plan.changed.isEmpty() else plan.kept
+        catalog.add_images(plan.added, library_id, kept, version, stream, number)
         catalog.write("libraries", scanned_at(catalog.read("libraries"), library_id, now))
 
     writer = headers.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

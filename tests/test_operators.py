@@ -186,8 +186,9 @@ def test_groups_and_mapping(make, spark):
 
 def test_summaries(make):
     table = stats.integration_by_filter(make([{"filter_name": "Ha", "exposure": 3600.0 * 12}, {"filter_name": "L", "exposure": 900.0}]))
-    assert export.summary_text(table) == "Total Integration: 12.3 hr\nHa: 12.0 hr\nL: 0.25 hr"
-    assert export.summary_markdown(table).splitlines() == ["| Filter | Exposures | Integration |", "|--------|----------:|------------:|", "| Ha     |         1 |     12.0 hr |", "| L      |         1 |     0.25 hr |", "| Total  |           |     12.3 hr |"]
+    lines = lambda df: [r["line"] for r in df.collect()]
+    assert "\n".join(lines(export.summary_lines(table))) == "Total Integration: 12.3 hr\nHa: 12.0 hr\nL: 0.25 hr"
+    assert lines(export.markdown_lines(table)) == ["| Filter | Exposures | Integration |", "|--------|----------:|------------:|", "| Ha     |         1 |     12.0 hr |", "| L      |         1 |     0.25 hr |", "| Total  |           |     12.3 hr |"]
 
 
 def test_scalars(spark):
@@ -196,3 +197,22 @@ def test_scalars(spark):
     assert list(r) == ["b.fits", "ab...", "...", "Library Name", dt.datetime(2024, 7, 1, 14), dt.datetime(2024, 7, 1, 10), 90.0]
     common = stats.common_values(spark.createDataFrame([(1, "a", None), (1, None, None)], "x int, y string, z string"), ["x", "y", "z"]).first()
     assert list(common) == ["1", "<Multiple Values>", None]
+
+
+def test_summaries_of_nothing_and_of_wide_names(spark):
+    lines = lambda df: [r["line"] for r in df.collect()]
+    none = spark.createDataFrame([], "filter string, count long, seconds double")
+    assert lines(export.summary_lines(none)) == ["Total Integration: 0.00 hr"]
+    assert lines(export.markdown_lines(none))[-1] == "| Total  |           |      0.0 hr |"
+    wide = spark.createDataFrame([("a very long filter name", 12345678901, 3.6e12)], "filter string, count long, seconds double")
+    made = lines(export.markdown_lines(wide))
+    assert made[2] == "| a very long filter name | 12345678901 | 1000000000.0 hr |" and made[1] == "|-------------------------|------------:|----------------:|"
+    assert len({len(x) for x in made}) == 1
+
+
+def test_plan_of_copies(spark):
+    paths = spark.createDataFrame([("/b/x.fits",), ("/a/x.fits",), ("/a/x.fits",), ("/a/y.fits",), (None,)], "path string")
+    taken = spark.createDataFrame([("y.fits",)], "name string")
+    plan = lambda **k: sorted(tuple(r) for r in export.copy_plan(paths, taken, **k).collect())
+    assert plan() == [("/a/x.fits", "x.fits", True), ("/a/y.fits", "y.fits", False), ("/b/x.fits", "x.fits", False)]
+    assert ("/a/y.fits", "y.fits", True) in plan(overwrite=True)

@@ -125,14 +125,14 @@ def test_types_and_kinds(tmp_path, spark):
     assert [(r["type"], r["kind"]) for r in parsed(spark, *paths)] == [e for _, _, e in KINDS] + [(1, 2)]
 
 
-def test_walk(tmp_path):
+def test_walk(tmp_path, spark):
     for name in (".git/hidden.fits", "normal/visible.fits", "normal/deep/er/still/x.FIT", "$RECYCLE.BIN/a.fits", "site-packages/b.fits", "c.fitz", "d.xisf", "e.txt"):
         put(tmp_path, name, b"x")
     names = lambda root: sorted(os.path.relpath(f.path, root) for p, deep, shares in listing.folders(str(root)) for k in range(shares) for f in listing.walk(p, deep, share=(k, shares)))
     assert names(tmp_path) == ["d.xisf", "normal/deep/er/still/x.FIT", "normal/visible.fits"]
     put(tmp_path, ".astrophotos/in.fits", b"x")
     assert names(tmp_path / ".astrophotos") == ["in.fits"]
-    assert estimated_count(str(tmp_path)) == 3 and estimated_count(str(tmp_path / "nowhere")) == 0
+    assert estimated_count(spark, str(tmp_path)) == 3 and estimated_count(spark, str(tmp_path / "nowhere")) == 0
     assert names(tmp_path / "$RECYCLE.BIN") == []
 
 
