@@ -108,13 +108,26 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Items:
-    """What a worker needs of a block of items."""
+    """What a worker needs of a block of items.
 
-    def __init__(self, shingles: list[np.ndarray], radius: int) -> None:
+    A window of similarity ``least`` holds that share of an item's shingles, so any few more of them than the
+    rest have one that it holds. The rarest of an item, by how many items have them, are those that it is looked
+    for by; a phrase that many items share leads to none of them.
+    """
+
+    def __init__(self, shingles: list[np.ndarray], radius: int, least: float = 0.8) -> None:
         self.shingles = shingles
         sizes = np.array([len(s) for s in shingles], np.int64)
         owner = np.repeat(np.arange(len(shingles)), sizes)
         tokens = np.concatenate([*shingles, np.zeros(0, np.uint64)])
+        _, same = np.unique(tokens, return_inverse=True)
+        pairs = np.unique(same * np.int64(max(1, len(shingles))) + owner)
+        items_with = np.bincount(pairs // max(1, len(shingles)), minlength=len(same))[same]
+        rarest = np.lexsort((tokens, items_with, owner))
+        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)[: len(sizes)]
+        enough = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
+        kept = rarest[np.arange(len(tokens)) - np.repeat(begins, sizes) < np.repeat(enough, sizes)]
+        owner, tokens = owner[kept], tokens[kept]
         order = np.argsort(tokens, kind="stable")
         self.owner, self.size_of = owner[order], sizes
         self.tokens, first = np.unique(tokens[order], return_index=True)
@@ -184,7 +197,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: flo
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, lengths, shingles = sent.value
-            held = Items(shingles, radius)
+            held = Items(shingles, radius, least)
             for whole in batches:
                 rows = []
                 for batch in slices(whole, "text"):

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -144,3 +145,32 @@ def test_recall_on_a_table(spark):
     expected = {x for x, v in expected.items() if v >= 0.8}
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminations(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")).collect()}
     assert got <= expected and len(got) >= 0.99 * len(expected) and len(expected) > 20
+
+
+def test_a_phrase_of_many_items_costs_little():
+    """2,000 items begin with one phrase; a document that has it 400 times holds none of them but one."""
+    import time
+
+    rng = np.random.default_rng(3)
+    phrase = rng.integers(0, 2**63, 4).astype(np.uint64)
+    items = [np.concatenate([phrase, rng.integers(0, 2**63, 14).astype(np.uint64)]) for _ in range(2000)]
+    held = decontam.Items(items, 23)
+    doc = np.concatenate([np.concatenate([phrase, rng.integers(0, 2**63, 30).astype(np.uint64)]) for _ in range(400)] + [items[7], items[9][:-1]])
+    began = time.perf_counter()
+    assert held.find(doc, 0.8) == {7: (1.0, 400 * 34), 9: (17 / 19, 400 * 34 + 17)}
+    assert time.perf_counter() - began < 1
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_rare_shingles_lead_to_all_windows(seed):
+    rng = np.random.default_rng(seed)
+    items = [rng.integers(0, 12, n).astype(np.uint64) for n in rng.integers(1, 20, 30)]
+    doc = np.concatenate([rng.integers(0, 12, 60).astype(np.uint64), *(x for x in items[:10] for x in (x, rng.integers(0, 12, 3).astype(np.uint64)))])
+    for text in (doc, items[3][:-1], doc[:5]):
+        expected = {}
+        for i, x in enumerate(items):
+            windows = [(decontam.weighted_similarity(text[a : a + len(x)], x), -a) for a in range(max(1, len(text) - len(x) + 1))]
+            best = max(windows)
+            if best[0] >= 0.8:
+                expected[i] = (best[0], -best[1])
+        assert decontam.Items(items, 64).find(text, 0.8) == expected
