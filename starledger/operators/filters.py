@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sky import cell_ranges, end_of_day
 from ..functions.text import contains, nocase, nocase_text
+from ..plans.names import INDEXED, NameIndex
 from ..schema import IMAGE_KINDS, IMAGE_TYPES
 
 
@@ -28,6 +29,7 @@ class Context:
     images: DataFrame | None = None
     aliases: DataFrame | None = None
     image_tags: DataFrame | None = None
+    names: NameIndex | None = None  # where there is one, contained texts are looked up in it
 
 
 class Filter:
@@ -42,8 +44,8 @@ class Filter:
         p = self.predicate()
         return images if p is None else images.where(p)
 
-    def exact_names(self) -> dict[str, set[str]]:
-        """Columns that must have one of some folded names, for a scan that can skip others."""
+    def exact_names(self, names: NameIndex | None = None) -> dict[str, set[str]]:
+        """Columns that must have one of some folded names, for a scan that can skip others; ``names`` knows those that contain a text."""
         return {}
 
     def sky_ranges(self, most: int) -> list[tuple[int, int]] | None:
@@ -170,6 +172,16 @@ class ContainsFilter(Filter):
     def predicate(self) -> Column | None:
         return contains(CONTAINED[self.name], self.text) if self.text else None
 
+    def apply(self, context: Context, images: DataFrame) -> DataFrame:
+        if self.text and context.names is not None and CONTAINED[self.name] in INDEXED:
+            return context.names.kept(images, CONTAINED[self.name], self.text)
+        return super().apply(context, images)
+
+    def exact_names(self, names: NameIndex | None = None) -> dict[str, set[str]]:
+        column = CONTAINED[self.name]
+        found = names.listed(column, self.text) if self.text and names is not None and column in INDEXED else None
+        return {} if found is None else {column: set(found)}
+
     def data(self) -> str | None:
         return self.text or None
 
@@ -184,7 +196,7 @@ class FilterNameFilter(Filter):
     def predicate(self) -> Column | None:
         return nocase("filter_name").isin([nocase_text(x) for x in self.text.split("|")]) if self.text else None
 
-    def exact_names(self) -> dict[str, set[str]]:
+    def exact_names(self, names: NameIndex | None = None) -> dict[str, set[str]]:
         return {"filter_name": {nocase_text(x) for x in self.text.split("|")}} if self.text else {}
 
     def data(self) -> str | None:
@@ -204,7 +216,9 @@ class ObjectNameFilter(Filter):
         if self._quoted():
             return images.where(nocase("object_name") == nocase_text(self.text[1:-1]))
         # A row's own name is tested in place; only names that aliases add need a join.
-        own = (nocase("object_name") == nocase_text(self.text)) | contains("object_name", self.text)
+        found = context.names.listed("object_name", self.text) if context.names is not None else None
+        exact = nocase("object_name") == nocase_text(self.text)
+        own = exact | contains("object_name", self.text) if found is None else nocase("object_name").isin(nocase_text(self.text), *found)
         if context.aliases is None:
             return images.where(own)
         added = context.aliases.where(contains("alias", self.text)).select(nocase("object_name").alias("_alias_of")).where("_alias_of is not null").distinct()
@@ -214,7 +228,7 @@ class ObjectNameFilter(Filter):
     def _quoted(self) -> bool:
         return bool(self.text) and len(self.text) > 1 and self.text[0] == self.text[-1] == '"'
 
-    def exact_names(self) -> dict[str, set[str]]:
+    def exact_names(self, names: NameIndex | None = None) -> dict[str, set[str]]:
         return {"object_name": {nocase_text(self.text[1:-1])}} if self._quoted() else {}
 
     def data(self) -> str | None:

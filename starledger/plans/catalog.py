@@ -28,9 +28,10 @@ from ..functions.sky import CELL_BITS, ZONE_BITS, sky_cell, sky_zone
 from ..functions.text import nocase
 from ..operators.filters import Filter
 from ..schema import IMAGE_FILES, TABLES
+from .names import INDEXED, NameIndex
 
-#: Names that are searched exactly: the folded form of each is stored as ``<name>_key``.
-KEYED = ("filter_name", "object_name")
+#: Names whose folded form is stored as ``<name>_key``.
+KEYED = INDEXED
 STORED = T.StructType([*IMAGE_FILES.fields, T.StructField("sky_cell", T.IntegerType()), *[T.StructField(f"{c}_key", T.StringType()) for c in KEYED], T.StructField("batch", T.StringType()), T.StructField("sky_zone", T.IntegerType())])
 #: Ranges of cells that a search asks for; a box of more is covered by coarser ones.
 RANGES = 16
@@ -86,11 +87,11 @@ class Catalog:
             stream.close()
         return True
 
-    def read(self, name: str, version: int | None = None, libraries: Iterable[int] | None = None, filters: Iterable[Filter] = ()) -> DataFrame:
+    def read(self, name: str, version: int | None = None, libraries: Iterable[int] | None = None, filters: Iterable[Filter] = (), names: NameIndex | None = None) -> DataFrame:
         """A table's newest or a given version; an empty table where none was written.
 
-        ``libraries``: only their images. ``filters``: only files and row groups that can pass are read; they still
-        have to be applied.
+        ``libraries``: only their images. ``filters``: only files and row groups that can pass are read (also by
+        the names that ``names`` finds to contain a text); they still have to be applied.
         """
         manifest = self._newest(name)[1] if version is None else self.manifest(name, version)
         wanted = None if libraries is None else {_label(x) for x in libraries}
@@ -100,7 +101,7 @@ class Catalog:
         schema = STORED if name == "image_files" else TABLES[name]
         df = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*paths)
         if name == "image_files":
-            df = reduce(lambda d, f: d if (p := pruned(f)) is None else d.where(p), filters, df)
+            df = reduce(lambda d, f: d if (p := pruned(f, names)) is None else d.where(p), filters, df)
         return df.select(*TABLES[name].names)
 
     def _write_images(self, df: DataFrame) -> tuple[str, list[str], int]:
@@ -195,11 +196,11 @@ def _label(library_id: int | None) -> str:
     return "__HIVE_DEFAULT_PARTITION__" if library_id is None else str(library_id)
 
 
-def pruned(f: Filter) -> Column | None:
-    """What a filter says of the stored columns: sky zones and cells of a coordinate search, folded names of an exact one."""
-    names = f.exact_names()
-    if names:
-        return reduce(lambda a, b: a & b, [F.col(f"{c}_key").isin(*sorted(keys)) for c, keys in names.items() if c in KEYED])
+def pruned(f: Filter, names: NameIndex | None = None) -> Column | None:
+    """What a filter says of the stored columns: sky zones and cells of a coordinate search, folded names of others."""
+    known = f.exact_names(names)
+    if known:
+        return reduce(lambda a, b: a & b, [F.col(f"{c}_key").isin(*sorted(keys)) if keys else F.lit(False) for c, keys in known.items()])
     ranges = f.sky_ranges(RANGES)
     if ranges is None:
         return None

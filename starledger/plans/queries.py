@@ -514,3 +514,15 @@ def _named(t: Tables) -> DataFrame:
 _NIGHT = "strftime(coalesce(observation_timestamp_local, observation_timestamp_utc) - INTERVAL '12' HOUR, '%Y-%m-%d')"
 register("a5_nights_of_rollup", _nights, f"SELECT {_NIGHT} AS bucket, round(sum(exposure) / 3600, 6) AS hours FROM images WHERE library_id <> 3 AND type = 1 AND kind = 1 AND {_NIGHT} BETWEEN '2024-01-03' AND '2024-01-20' GROUP BY 1")
 register("o1_dictionary_of_names", _named, " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM images WHERE library_id <> 3 AND {c} <> '' GROUP BY {c}" for c in ["object_name", "camera_name", "filter_name", "filter_wheel_name", "focuser_name", "rotator_name", "telescope_name"]))
+
+
+# Searches of contained texts through the index of names.
+def _indexed(f: Filter) -> Callable[[Tables], DataFrame]:
+    from .names import NameIndex
+
+    return lambda t: apply_filters([f], Context(t.images, t.aliases, names=NameIndex.of(t.images)), t.images)
+
+
+register("l07_telescope_name_indexed", lambda t: _indexed(ContainsFilter("TelescopeName", "NEWTON"))(t).select("id", "telescope_name"), "SELECT id, telescope_name FROM images WHERE telescope_name ILIKE '%newton%'")
+register("l01_camera_name_indexed", lambda t: _indexed(ContainsFilter("CameraName", "AM_a 1%0"))(t).select("id", "camera_name"), "SELECT id, camera_name FROM images WHERE camera_name ILIKE '%AM_a 1%0%'")
+register("q3_object_name_indexed", lambda t: _indexed(ObjectNameFilter("m 1"))(t).select("id", "object_name"), "SELECT id, object_name FROM images WHERE object_name ILIKE '%m 1%'")

@@ -11,10 +11,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from starledger.functions import sky
-from starledger.operators.filters import Context, CoordinateFilter, FilterNameFilter, ObjectNameFilter, apply_filters
+from starledger.functions.text import contains
+from starledger.functions.text import nocase as F_nocase
 from starledger.operators import stats, suggest, timeline
+from starledger.operators.filters import ContainsFilter, Context, CoordinateFilter, FilterNameFilter, ObjectNameFilter, apply_filters
 from starledger.plans import rollup
 from starledger.plans.catalog import Catalog, Conflict
+from starledger.plans.names import INDEXED, NameIndex, grams_of_pattern
 from starledger.schema import IMAGE_FILES, LIBRARIES
 from starledger.sources.headers import register
 from starledger.streaming.ingest import ingest_stream
@@ -184,3 +187,44 @@ def test_rollups_equal_recounting_after_any_changes(spark):
         found = rollup.suggestions(names, ["object_name", "filter_name"], text)
         assert found.collect() == suggest.suggestions([(now, "object_name"), (now, "filter_name")], text).collect()
     assert [r[0] for r in rollup.starting_with(names, "object_name", "m").collect()] == ["M 31"]
+
+
+@pytest.fixture(scope="module")
+def names(spark, tmp_path_factory):
+    rng = random.Random(8)
+    values = ["".join(rng.choice("abAB%_ \\éÉ1") for _ in range(rng.randrange(9))) for _ in range(300)] + ["", "ab", "aba", None]
+    df = images(spark, [{"id": i, "library_id": 1, "path": f"/{i}", "camera_name": v, "object_name": v and v[::-1]} for i, v in enumerate(values)]).cache()
+    path = str(tmp_path_factory.mktemp("names"))
+    NameIndex.of(df).write(path)
+    return df, NameIndex.read(spark, path)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.text("abAB%_ \\éÉ1", max_size=7))
+def test_looked_up_texts_equal_the_plain_search(names, text):
+    df, index = names
+    expected = sorted({r[0] for r in df.where(contains("camera_name", text)).select(F_nocase("camera_name")).collect()})
+    assert sorted(r["key"] for r in index.containing("camera_name", text).collect()) == expected
+
+
+@pytest.mark.parametrize("listed", [0, 1000])
+def test_filters_use_the_index(names, listed, monkeypatch, spark):
+    from starledger.plans import names as module
+
+    monkeypatch.setattr(module, "LISTED_NAMES", listed)
+    df, index = names
+    aliases = spark.createDataFrame([(1, "AB", "ab1"), (2, "b", "xx")], "id int, object_name string, alias string")
+    for f in (ContainsFilter("CameraName", "ab%1"), ContainsFilter("CameraName", "B"), ContainsFilter("CameraName", "zzz"), ObjectNameFilter("b1"), ObjectNameFilter('"AB"'), ContainsFilter("Path", "1")):
+        with_index, without = (apply_filters([f], Context(df, aliases, names=n), df) for n in (index, None))
+        assert ids(with_index) == ids(without)
+
+
+def test_the_scan_gets_the_names_found(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    catalog.write("image_files", images(spark, [{"id": i, "library_id": 1, "path": f"/{i}", "telescope_name": f"Tel {i % 50}"} for i in range(500)]))
+    index, f = NameIndex.of(catalog.read("image_files")), ContainsFilter("TelescopeName", "EL 4")
+    read = apply_filters([f], Context(names=index), catalog.read("image_files", filters=[f], names=index))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "tel 4" in plan.split("PushedFilters:")[1].split("ReadSchema")[0]
+    assert ids(read) == ids(catalog.read("image_files").where("telescope_name like 'Tel 4%'")) and len(ids(read)) == 110
+    assert grams_of_pattern("aB%cdeF_") == ["cde", "def"] and "path" not in INDEXED
