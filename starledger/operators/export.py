@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import shutil
+import time
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import blank_as_none, filename, hours_text, nocase
 from ..schema import IMAGE_TYPES
+from ..sources.store import copy_named, file_state, remove_folder
+
+#: Folder below an export's target where files are copied before they get their names.
+STAGING = "_staged"
 
 #: Answer of the equipment service: the fields that are read.
 FILTER_ANSWER = T.StructType([T.StructField("count", T.IntegerType()), T.StructField("results", T.ArrayType(T.StructType([T.StructField("id", T.IntegerType()), T.StructField("brandName", T.StringType()), T.StructField("name", T.StringType())])))])
@@ -92,32 +97,39 @@ def copy_plan(paths: DataFrame, taken: DataFrame | None = None, overwrite: bool
 
 
 def copy_files(paths: DataFrame, target: str, overwrite: bool = False, buffer: int = 2 << 20) -> DataFrame:
-    """(path, copied, error): each file copied flat into ``target``, a folder that all workers share.
+    """(path, copied, error): each file copied flat into ``target``, a folder of a store that all workers reach.
 
     Missing files are skipped, as are names that are there unless ``overwrite``; of equal names in one
-    export the least path is copied. A copy is made beside its target and renamed, so a repeated task
-    leaves no half file.
+    export the least path is copied. A task copies a file into a staging folder of its own attempt and then gives
+    it its name, so a lost task leaves no half file under a name; a file that an earlier attempt of the
+    export has named counts as copied and isn't copied again. ``remove_staged`` clears what lost tasks left.
     """
     chosen = copy_plan(paths).where("copies")
+    export, began = uuid.uuid4().hex, time.time()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(target, exist_ok=True)
+        task = TaskContext.get()
+        staging = f"{target}/{STAGING}/{export}-{task.partitionId()}-{task.taskAttemptId()}"
         for batch in batches:
             rows = []
             for path, name in zip(batch.column("path").to_pylist(), batch.column("name").to_pylist(), strict=True):
-                to = os.path.join(target, name)
                 copied, error = False, None
-                if os.path.isfile(path) and (overwrite or not os.path.exists(to)):
-                    try:
-                        part = f"{to}.{os.getpid()}.part"
-                        with open(path, "rb") as a, open(part, "wb") as b:
-                            shutil.copyfileobj(a, b, buffer)
-                        os.replace(part, to)
+                try:
+                    size, there = file_state(path), file_state(f"{target}/{name}")
+                    if size is not None and there is not None and there[0] == size[0] and there[1] >= began:
                         copied = True
-                    except OSError as e:
-                        error = str(e)
+                    elif size is not None and (overwrite or there is None):
+                        copied = copy_named(path, f"{staging}/{name}", f"{target}/{name}", overwrite, buffer)
+                except OSError as e:
+                    error = str(e)
                 rows.append((path, copied, error))
             a, b, c = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.bool_()), pa.array(c, pa.string())], ["path", "copied", "error"])
+        remove_folder(staging)
 
     return chosen.select("path", "name").mapInArrow(run, "path string, copied boolean, error string")
+
+
+def remove_staged(target: str) -> None:
+    """Remove what lost tasks of finished exports left below ``target``."""
+    remove_folder(f"{target}/{STAGING}")

@@ -23,11 +23,10 @@ def tags_by_image(image_tags: DataFrame, tags: DataFrame) -> DataFrame:
 def search(images: DataFrame, libraries: DataFrame, tags: DataFrame, image_tags: DataFrame, aliases: DataFrame | None = None, filters: Iterable[Filter] = ()) -> DataFrame:
     """The images that pass all filters, with library_name and tags; not ordered and not limited.
 
-    Only tags of found images are nested, before they meet the images, so an image stays one row.
+    Tags are nested before they meet the images, so an image stays one row, and images are read once and dealt out by id once.
     """
     found = apply_filters(filters, Context(images, aliases, image_tags), images)
     named = found.join(libraries.select(F.col("id").alias("library_id"), F.col("name").alias("library_name")), "library_id")
-    own = image_tags.join(named.select(F.col("id").alias("_id")), F.col("image_id") == F.col("_id"), "left_semi")
-    tagged = named.join(tags_by_image(own, tags).withColumnRenamed("image_id", "id"), "id", "left")
+    tagged = named.join(tags_by_image(image_tags, tags).withColumnRenamed("image_id", "id"), "id", "left")
     empty = F.array().cast(tagged.schema["tags"].dataType)
     return tagged.select(*[c for c in IMAGE_FILES.names if c not in HIDDEN and c in images.columns], "library_name", F.coalesce("tags", empty).alias("tags"))

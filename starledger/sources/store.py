@@ -9,6 +9,8 @@ from __future__ import annotations
 import io
 import os
 import re
+import shutil
+import stat
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,3 +68,57 @@ def opened(path: str) -> io.BufferedIOBase:
     """A file to read from the front; only what is asked for is fetched, ``BUFFER`` bytes at a time."""
     store, inner, _ = located(path)
     return open(inner, "rb", BUFFER) if store is None else io.BufferedReader(store.open_input_file(inner), BUFFER)
+
+
+def file_state(path: str) -> tuple[int, float] | None:
+    """Size and time of change of a file; None where there is none."""
+    store, inner, _ = located(path)
+    if store is None:
+        try:
+            s = os.stat(inner)
+        except (FileNotFoundError, NotADirectoryError):
+            return None
+        return (s.st_size, s.st_ctime) if stat.S_ISREG(s.st_mode) else None
+    i = store.get_file_info(inner)
+    return (i.size, (i.mtime_ns or 0) / 1e9) if i.type == fs.FileType.File else None
+
+
+def copy_named(path: str, staged: str, target: str, overwrite: bool, buffer: int) -> bool:
+    """Copy a file to ``staged`` and then give it the name ``target``; False where that name was taken meanwhile."""
+    store, inner, _ = located(target)
+    staged_inner = located(staged)[1]
+    if store is None:
+        os.makedirs(os.path.dirname(staged_inner), exist_ok=True)
+    else:
+        store.create_dir(os.path.dirname(staged_inner))
+    with opened(path) as a, open(staged_inner, "wb") if store is None else store.open_output_stream(staged_inner) as b:
+        while data := a.read(buffer):
+            b.write(data)
+    if overwrite:
+        os.replace(staged_inner, inner) if store is None else store.move(staged_inner, inner)
+        return True
+    if store is None:
+        try:
+            os.link(staged_inner, inner)  # unlike a rename, it fails where the name is taken
+        except FileExistsError:
+            return False
+        except OSError:  # a file system without links
+            if os.path.exists(inner):
+                return False
+            os.rename(staged_inner, inner)
+            return True
+        os.unlink(staged_inner)
+        return True
+    if file_state(target) is not None:
+        return False
+    store.move(staged_inner, inner)
+    return True
+
+
+def remove_folder(path: str) -> None:
+    """Remove a folder with all it holds, if it is there."""
+    store, inner, _ = located(path)
+    if store is None:
+        shutil.rmtree(inner, ignore_errors=True)
+    elif store.get_file_info(inner).type == fs.FileType.Directory:
+        store.delete_dir(inner)

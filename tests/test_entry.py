@@ -55,3 +55,15 @@ def test_entry_stands_alone(tmp_path):
     code = "import __spark_entry__ as e; print(len(e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert out.returncode == 0 and int(out.stdout) == len(queries.QUERIES), out.stderr
+
+
+def test_rest_stands_without_the_folders_of_training_data_operators(tmp_path):
+    """In a copy without both folders and the pipeline, all other tests are collected, and the SQL of every query is there."""
+    names = ["starledger", "tests", "__spark_entry__.py", "bench.py"]
+    subprocess.run(["cp", "-r", *(str(ROOT / n) for n in names), str(tmp_path)], check=True)
+    subprocess.run(["rm", "-rf", str(tmp_path / "starledger/llm"), str(tmp_path / "tests/llm")], check=True)
+    run = lambda *a: subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *a], cwd=tmp_path, capture_output=True, text=True)
+    listed = run("--collect-only", "tests")
+    assert listed.returncode == 0 and "error" not in listed.stdout.lower(), listed.stdout
+    done = run("tests/test_entry.py", "-k", "has_sql or flagship or s4_catalogue")
+    assert done.returncode == 0 and "3 passed" in done.stdout, done.stdout

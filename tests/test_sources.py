@@ -199,6 +199,37 @@ def test_copies(tmp_path, spark):
     assert open(tmp_path / "out/x.fits", "rb").read() == b"1" and open(tmp_path / "out/y.fits", "rb").read() == b"old"
     export.copy_files(df, str(tmp_path / "out"), overwrite=True).collect()
     assert open(tmp_path / "out/y.fits", "rb").read() == b"3"
+    (tmp_path / "out/_staged/lost-0-1").mkdir(parents=True)
+    (tmp_path / "out/_staged/lost-0-1/x.fits").write_bytes(b"half")
+    export.remove_staged(str(tmp_path / "out"))
+    assert sorted(os.listdir(tmp_path / "out")) == ["x.fits", "y.fits"]
+
+
+def test_a_lost_task_leaves_no_half_file_and_no_second_copy(tmp_path, spark):
+    """A task that dies while it copies, and one that dies after it has given names: the export run again has each file once."""
+    paths = [put(tmp_path, f"a/{i}.fits", b"x" * 1000) for i in range(6)]
+    df, target = spark.createDataFrame([(p,) for p in paths], "path string").coalesce(1), str(tmp_path / "out")
+    os.makedirs(target)
+    plan = export.copy_files(df, target)
+    marker = str(tmp_path / "died")
+
+    def dies(rows):
+        for n, row in enumerate(rows):
+            if n == 3 and not os.path.exists(marker):
+                open(marker, "w").close()
+                raise RuntimeError("lost")
+            yield row
+
+    with pytest.raises(Exception, match="lost"):
+        plan.rdd.mapPartitions(dies).collect()
+    os.makedirs(os.path.join(target, "_staged/x"))
+    open(os.path.join(target, "_staged/x/5.fits"), "wb").write(b"half")
+    assert all(open(os.path.join(target, n), "rb").read() == b"x" * 1000 for n in os.listdir(target) if n != "_staged")
+    stamps = {n: os.stat(os.path.join(target, n)).st_ino for n in os.listdir(target) if n != "_staged"}
+    assert sorted(r["copied"] for r in plan.collect()) == [True] * 6
+    export.remove_staged(target)
+    assert sorted(os.listdir(target)) == sorted(os.path.basename(p) for p in paths)
+    assert all(os.stat(os.path.join(target, n)).st_ino == i for n, i in stamps.items())
 
 
 def test_header_columns_are_the_schema(spark):
