@@ -21,8 +21,9 @@ import re
 import string
 from collections import Counter
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # License notices as commonly written.
@@ -127,6 +128,15 @@ def license_hits(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     return reduce(DataFrame.unionByName, [_hits(docs, kinds[a : a + MOST_TEMPLATES], k, least) for a in range(0, max(1, len(kinds)), MOST_TEMPLATES)])
 
 
+def templates_of(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(license, text) of the files in a folder of whole license texts, named after their licenses, for ``license_hits(templates=TEMPLATES + ...)``.
+
+    Any folder that Spark can read; its files are templates, so they go to all workers and pass the driver.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]*)$", 1).alias("name"), "value")
+    return sorted((unquote(r["name"]), r["value"]) for r in files.collect() if r["value"])
+
+
 def _hits(docs: DataFrame, kinds: list[tuple[int, str, str]], k: int, least: float) -> DataFrame:
     spark = docs.sparkSession
     rows = [(i, name, _words(text), window_class(len(_words(text)))) for i, name, text in kinds]

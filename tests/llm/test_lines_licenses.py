@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -101,3 +103,21 @@ def test_bands_retrieve_nearly_always(least):
         held = -(-8 * n // 10)
         low = min(low, held / (m + n - held))
     assert 1 - (1 - low) ** licenses.BANDS > 0.9999
+
+
+def test_whole_license_texts_from_a_folder(spark, tmp_path):
+    """Texts of thousands of words are found in longer documents, also with a tenth of their words in other places changed."""
+    rng = random.Random(11)
+    vocabulary = [f"{a}{b}" for a in "licens copyr permit distrib warrant work sourc".split() for b in "e ed es ing ion or able".split()]
+    whole = {name: " ".join(rng.choice(vocabulary) for _ in range(n)) for name, n in (("LONG-1.0", 5600), ("LONG-2.0", 2900), ("SHORT-1.0", 40))}
+    for name, text_ in whole.items():
+        (tmp_path / name).write_text(text_)
+    templates = licenses.templates_of(spark, str(tmp_path))
+    assert templates == sorted(whole.items())
+    words = whole["LONG-1.0"].split()
+    for i in range(0, len(words), 60):
+        words[i] = "other"
+    docs = [(1, "before " * 50 + whole["LONG-1.0"] + " after" * 70), (2, " ".join(words)), (3, whole["LONG-2.0"][: len(whole["LONG-2.0"]) // 2]), (4, whole["SHORT-1.0"].upper() + "\n" + whole["LONG-2.0"])]
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.license_hits(frame(spark, docs), licenses.TEMPLATES + templates).collect()}
+    assert set(got) == {(1, "LONG-1.0"), (2, "LONG-1.0"), (4, "SHORT-1.0"), (4, "LONG-2.0")}
+    assert got[1, "LONG-1.0"] == 1 and 0.8 <= got[2, "LONG-1.0"] < 1
