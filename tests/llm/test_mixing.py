@@ -55,7 +55,7 @@ def test_mix_equals_plain_sampler(spark, seed):
     rng = random.Random(seed)
     names = ["b", "a", "é", "z", "Z", "", None, "tiny", "blank"][: 4 + seed * 2]
     rows = [(i, rng.choice(names + names[:1] * 6), text(rng, rng.choice([0, 1, 5, 30, 200]))) for i in range(150)]
-    rows += [(900, "tiny", "one two"), (901, "blank", None), (902, "blank", " \t\n"), (903, "b", "x" * 5000)]
+    rows += [(900, "tiny", "one two"), (901, "blank", None), (902, "blank", " \t\n"), (903, "b", "x" * 5000), (904, "a", text(rng, 50_000)), (905, "b", "x" * 300_000)]
     quality = {i: rng.choice([0.5, 2.0]) for i, _, _ in rows[::3]}
     weights = spark.createDataFrame(list(quality.items()), "doc_id long, weight double")
     got = mixing.mix(frame(spark, rows), weights)
