@@ -228,3 +228,9 @@ def test_the_scan_gets_the_names_found(spark, tmp_path):
     assert "tel 4" in plan.split("PushedFilters:")[1].split("ReadSchema")[0]
     assert ids(read) == ids(catalog.read("image_files").where("telescope_name like 'Tel 4%'")) and len(ids(read)) == 110
     assert grams_of_pattern("aB%cdeF_") == ["cde", "def"] and "path" not in INDEXED
+
+
+def test_time_ranges_of_plots_reach_the_scan(skyful):
+    plot = timeline.integration_by_month(skyful.read("image_files"), dt.date(2024, 1, 1), dt.date(2024, 3, 1))
+    pushed = plot._jdf.queryExecution().executedPlan().toString().split("PushedFilters:")[1].split("ReadSchema")[0]
+    assert "GreaterThanOrEqual(observation_timestamp_local" in pushed and "LessThan(observation_timestamp_utc" in pushed and "EqualTo(type,1)" in pushed
