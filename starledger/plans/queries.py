@@ -470,7 +470,8 @@ def _xisf_headers(t: Tables) -> DataFrame:
 def _xisf_items(t: Tables) -> DataFrame:
     from .xisf import read_xisf
 
-    return read_xisf(_xisf_files(t)).select("id", F.inline("header.items")).select("id", "keyword", "kind", "s", "b", "i", F.col("d").alias("real"), F.length("comment").alias("comment_length"))
+    items = read_xisf(_xisf_files(t)).select("id", F.inline_outer("header.items")).where("kind is not null")  # an inner one would parse each file for its filter too
+    return items.select("id", "keyword", "kind", "s", "b", "i", F.col("d").alias("real"), F.length("comment").alias("comment_length"))
 
 
 _GOOD_XISF = f"SELECT id, xml, concat(xml, tail) AS data, length(xml) AS n, (length(xml) - 1) // 8192 * 8192 AS before FROM ({_XISF}) WHERE NOT broken"

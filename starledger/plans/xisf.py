@@ -78,23 +78,32 @@ def xisf_header(content: Column) -> Column:
     text = F.decode(F.substr(content, F.lit(PREAMBLE + 1), header_length(content)), "UTF-8")
     xml = F.rtrim(F.translate(text, "\0", " "))
     schema = _XML.replace("_VALUE", "_TEXT")
-    image = F.get(F.from_xml(xml, schema, _XML_OPTIONS)["Image"], F.lit(0))
+    parsed = F.from_xml(xml, schema, _XML_OPTIONS)["Image"]
+    return F.transform(F.array(parsed), lambda images: _header_of(F.get(images, F.lit(0))))[0]  # so that the text is parsed once
+
+
+def _header_of(image: Column) -> Column:
     shape = F.split(image["_geometry"], ":")
     side = lambda i: F.when(F.size(shape) == 3, parsed_int(F.get(shape, F.lit(i))))
 
     def keyword(e: Column) -> Column:
         empty = lambda c: F.coalesce(c, F.lit(""))
         value = F.when(empty(e["_name"]).isin("COMMENT", "HISTORY"), _typed("string", s=F.lit(""))).otherwise(typed_value(empty(e["_value"])))
-        return _item(e["_name"], value, empty(e["_comment"]))
+        return _bound(value, lambda v: _item(e["_name"], v, empty(e["_comment"])))
 
     def prop(e: Column) -> Column:
-        return _item(e["_id"], typed_property(e["_type"], e["_value"], e["_TEXT"]), F.lit(None))
+        return _bound(typed_property(e["_type"], e["_value"], e["_TEXT"]), lambda v: _item(e["_id"], v, F.lit(None)))
 
     none = F.array().cast(HEADER["items"].dataType)
     every = F.concat(*[F.coalesce(F.transform(image[c], f).cast(HEADER["items"].dataType), none) for c, f in (("FITSKeyword", keyword), ("Property", prop))])
     return F.struct(side(0).alias("width"), side(1).alias("height"), F.lit(".xisf").alias("file_extension"), F.filter(every, lambda e: e["kind"].isNotNull()).alias("items"))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(x)`` with x worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def read_xisf(df: DataFrame, content: str = "content", compat: bool = False) -> DataFrame:
     """``df`` with header_hash, header and error of a column of XISF files; other columns of these names are replaced."""
     c = F.col(content)
