@@ -16,6 +16,7 @@ by; folded names are stored beside the names, with bloom filters, for exact sear
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterable
 from functools import reduce
@@ -35,6 +36,8 @@ KEYED = INDEXED
 STORED = T.StructType([*IMAGE_FILES.fields, T.StructField("sky_cell", T.IntegerType()), *[T.StructField(f"{c}_key", T.StringType()) for c in KEYED], T.StructField("batch", T.StringType()), T.StructField("sky_zone", T.IntegerType())])
 #: Ranges of cells that a search asks for; a box of more is covered by coarser ones.
 RANGES = 16
+#: A manifest is a file of some kilobytes; a writer that takes longer is lost.
+WRITER_SECONDS = 60
 
 
 class Conflict(RuntimeError):
@@ -63,14 +66,36 @@ class Catalog:
             stream.close()
         return json.loads(text) if text.endswith("}\n") else {}
 
+    def _numbers(self, name: str) -> list[int]:
+        return sorted(int(n[1:-5]) for n in self._names(name, "_log") if n.startswith("v") and n.endswith(".json") and n[1:-5].isdigit())
+
     def versions(self, name: str) -> list[int]:
-        """Finished versions, in order."""
-        found = sorted(int(n[1:-5]) for n in self._names(name, "_log") if n.startswith("v") and n.endswith(".json") and n[1:-5].isdigit())
-        return [v for v in found if self.manifest(name, v)] if found else []
+        """Finished versions, in order; each one's manifest is read."""
+        return [v for v in self._numbers(name) if self.manifest(name, v)]
+
+    def version(self, name: str) -> int:
+        """The newest finished version, 0 where there is none."""
+        return self._newest(name)[0]
 
     def _newest(self, name: str) -> tuple[int, dict]:
-        known = self.versions(name)
-        return (known[-1], self.manifest(name, known[-1])) if known else (0, {"batches": {}, "streams": {}, "top": 0})
+        for v in reversed(self._numbers(name)):
+            if manifest := self.manifest(name, v):
+                return v, manifest
+        return 0, {"batches": {}, "streams": {}, "top": 0}
+
+    def _free(self, name: str, version: int) -> int | None:
+        """The number after the newest finished version; None while another writer may be at the next one.
+
+        A manifest that stays unfinished for ``WRITER_SECONDS`` has lost its writer, and its number is passed over.
+        """
+        later = [v for v in self._numbers(name) if v > version]
+        if not later:
+            return version + 1
+        fs, path = self._path(name, "_log", f"v{later[-1]}.json")
+        if time.time() - fs.getFileStatus(path).getModificationTime() / 1000 < WRITER_SECONDS:
+            time.sleep(0.1)
+            return None
+        return later[-1] + 1
 
     def _publish(self, name: str, version: int, manifest: dict) -> bool:
         """Write a manifest if its number is free."""
@@ -132,8 +157,9 @@ class Catalog:
             batches = {"": [batch]}
         while True:
             version, old = self._newest(name)
-            if self._publish(name, version + 1, {"batches": batches, "streams": old["streams"], "top": max(top, old["top"])}):
-                return version + 1
+            number = self._free(name, version)
+            if number and self._publish(name, number, {"batches": batches, "streams": old["streams"], "top": max(top, old["top"])}):
+                return number
 
     def top_id(self) -> int:
         """The largest id that an image has or had."""
@@ -165,8 +191,9 @@ class Catalog:
             now = ([] if kept is not None else before) + ([batch] if found else [])
             batches = {k: v for k, v in {**old["batches"], label: now}.items() if v}
             streams = old["streams"] if stream is None else {**old["streams"], stream: number}
-            if self._publish("image_files", version + 1, {"batches": batches, "streams": streams, "top": max(top, old["top"])}):
-                return version + 1
+            free = self._free("image_files", version)
+            if free and self._publish("image_files", free, {"batches": batches, "streams": streams, "top": max(top, old["top"])}):
+                return free
 
     def compact(self, library_id: int) -> int:
         """The next version with a library's batches as one."""

@@ -37,7 +37,7 @@ def ingest_stream(spark: SparkSession, catalog: Catalog, library_id: int, root:
 
     def take(files: DataFrame, number: int) -> None:
         now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
-        version = (catalog.versions("image_files") or [None])[-1]
+        version = catalog.version("image_files") or None
         plan = ingest(catalog.read("image_files", version, [library_id]), files, library_id, now, catalog.top_id())
         kept = None if plan.changed.isEmpty() else plan.kept
         catalog.add_images(plan.added, library_id, kept, version, stream, number)
