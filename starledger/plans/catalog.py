@@ -11,6 +11,10 @@ batch: a repeated one changes nothing.
 
 Within a zone files are sorted by a finer cell of the sky (Z-order) and time, which is what searches are pruned
 by; folded names are stored beside the names, with bloom filters, for exact searches.
+
+Each batch also has its summaries: integration sums by night, and names with their numbers (``plans/rollup.py``). A
+version's summary is the sum of its batches', so it changes with the manifest, at once and for no more than what is
+written, and plots, suggestions and the index of names don't read images.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from ..functions.sky import CELL_BITS, ZONE_BITS, sky_cell, sky_zone
 from ..functions.text import nocase
 from ..operators.filters import Filter
 from ..schema import IMAGE_FILES, TABLES
+from . import rollup
 from .names import INDEXED, NameIndex
 
 #: Names whose folded form is stored as ``<name>_key``.
@@ -36,6 +41,8 @@ KEYED = INDEXED
 STORED = T.StructType([*IMAGE_FILES.fields, T.StructField("sky_cell", T.IntegerType()), *[T.StructField(f"{c}_key", T.StringType()) for c in KEYED], T.StructField("batch", T.StringType()), T.StructField("sky_zone", T.IntegerType())])
 #: Ranges of cells that a search asks for; a box of more is covered by coarser ones.
 RANGES = 16
+#: What is kept of each batch of images: the rows of one image, and the order in which their sums are stored.
+SUMMARIES = {"integration": (rollup.integration_rows, ["night"]), "names": (rollup.library_name_rows, ["column", "key"])}
 #: A manifest is a file of some kilobytes; a writer that takes longer is lost.
 WRITER_SECONDS = 60
 
@@ -118,9 +125,7 @@ class Catalog:
         ``libraries``: only their images. ``filters``: only files and row groups that can pass are read (also by
         the names that ``names`` finds to contain a text); they still have to be applied.
         """
-        manifest = self._newest(name)[1] if version is None else self.manifest(name, version)
-        wanted = None if libraries is None else {_label(x) for x in libraries}
-        paths = [f"{self.root}/{name}/batch={b}/library_id={lib}" if name == "image_files" else f"{self.root}/{name}/batch={b}" for lib, batches in sorted(manifest.get("batches", {}).items()) if wanted is None or lib in wanted for b in batches]
+        paths = [f"{self.root}/{name}/batch={b}/library_id={lib}" if name == "image_files" else f"{self.root}/{name}/batch={b}" for lib, batches in self._counted(name, version, libraries) for b in batches]
         if not paths:
             return self.spark.createDataFrame([], TABLES[name])
         schema = STORED if name == "image_files" else TABLES[name]
@@ -143,8 +148,45 @@ class Catalog:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}_key", "true").option(f"parquet.bloom.filter.candidates.number#{c}_key", "14")
         writer.parquet(f"{self.root}/image_files/batch={batch}")
         found = [n.partition("=")[2] for n in self._names("image_files", f"batch={batch}") if n.startswith("library_id=")]
-        top = self.spark.read.schema(STORED).parquet(f"{self.root}/image_files/batch={batch}").agg(F.max("id")).first()[0] if found else None
-        return batch, found, top or 0
+        if not found:
+            return batch, found, 0
+        stored = self.spark.read.schema(STORED).parquet(f"{self.root}/image_files/batch={batch}")
+        for kind, (rows, order) in SUMMARIES.items():
+            # A library's sums lie together: small ones in one file, large ones cut where the session's partition size says.
+            laid = rollup.summed(rows(stored)).hint("rebalance", "library_id").sortWithinPartitions("library_id", *order)
+            laid.write.partitionBy("library_id").parquet(f"{self.root}/{kind}/batch={batch}")
+        return batch, found, stored.agg(F.max("id")).first()[0] or 0
+
+    def summary(self, kind: str, version: int | None = None, libraries: Iterable[int] | None = None) -> DataFrame:
+        """``integration`` or ``names`` of the images of the newest or a given version: what ``plans/rollup.py`` plots and suggests from.
+
+        Batches from before summaries were kept are summed from their images.
+        """
+        rows = SUMMARIES[kind][0]
+        schema = rows(self.spark.createDataFrame([], IMAGE_FILES)).schema
+        kept = {n.partition("=")[2] for n in self._names(kind)}
+        parts = [(b, lib) for lib, batches in self._counted("image_files", version, libraries) for b in batches]
+        stored = [f"{self.root}/{kind}/batch={b}/library_id={lib}" for b, lib in parts if b in kept]
+        out = self.spark.read.schema(schema).option("basePath", f"{self.root}/{kind}").parquet(*stored).select(*schema.names) if stored else self.spark.createDataFrame([], schema)
+        older = [f"{self.root}/image_files/batch={b}/library_id={lib}" for b, lib in parts if b not in kept]
+        if older:
+            out = out.unionByName(rows(self.spark.read.schema(STORED).option("basePath", f"{self.root}/image_files").parquet(*older)))
+        return rollup.summed(out)
+
+    def names(self, version: int | None = None, libraries: Iterable[int] | None = None) -> DataFrame:
+        """(column, key, value, n) of the names that can be suggested."""
+        every = self.summary("names", version, libraries).where(F.col("column").isin(*rollup.SUGGESTED) & (F.col("value") != ""))
+        return rollup.summed(every.drop("library_id"))
+
+    def name_index(self, version: int | None = None, libraries: Iterable[int] | None = None) -> NameIndex:
+        """Where contained names are looked up; made from the distinct names, not from images."""
+        return NameIndex.of_values(self.summary("names", version, libraries).where("column <> ''").select("column", nocase("value").alias("key")))
+
+    def _counted(self, name: str, version: int | None, libraries: Iterable[int] | None) -> list[tuple[str, list[str]]]:
+        """The libraries of a version and their batches."""
+        manifest = self._newest(name)[1] if version is None else self.manifest(name, version)
+        wanted = None if libraries is None else {_label(x) for x in libraries}
+        return [(lib, batches) for lib, batches in sorted(manifest.get("batches", {}).items()) if wanted is None or lib in wanted]
 
     def write(self, name: str, df: DataFrame) -> int:
         """``df`` as the table's next version, whole; returns its number. ``df`` may read older ones."""
@@ -182,11 +224,11 @@ class Catalog:
         while True:
             version, old = self._newest("image_files")
             if stream is not None and old["streams"].get(stream, -1) >= number:
-                self._remove("image_files", f"batch={batch}")
+                self._discard(batch)
                 return version
             before = old["batches"].get(label, [])
             if kept is not None and since is not None and since != version and self.manifest("image_files", since).get("batches", {}).get(label, []) != before:
-                self._remove("image_files", f"batch={batch}")
+                self._discard(batch)
                 raise Conflict(f"library {library_id} was changed after version {since}")
             now = ([] if kept is not None else before) + ([batch] if found else [])
             batches = {k: v for k, v in {**old["batches"], label: now}.items() if v}
@@ -205,6 +247,10 @@ class Catalog:
         fs, path = self._path(*parts)
         fs.delete(path, True)
 
+    def _discard(self, batch: str) -> None:
+        for name in ("image_files", *SUMMARIES):
+            self._remove(name, f"batch={batch}")
+
     def drop_before(self, name: str, keep: int = 2) -> None:
         """Remove all but the newest ``keep`` versions, and the batches that no version left has."""
         known = self.versions(name)
@@ -214,7 +260,8 @@ class Catalog:
             for lib, batches in self.manifest(name, v)["batches"].items():
                 for b in batches:
                     if (lib, b) not in used:
-                        self._remove(name, f"batch={b}", *([f"library_id={lib}"] if name == "image_files" else []))
+                        for part in (name, *(SUMMARIES if name == "image_files" else [])):
+                            self._remove(part, f"batch={b}", *([f"library_id={lib}"] if name == "image_files" else []))
         for v in known[:-keep]:
             self._remove(name, "_log", f"v{v}.json")
 

@@ -8,12 +8,14 @@ Seconds are decimals, so that taking off gives back just what was there.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sky import night
 from ..functions.text import contains_pattern, nocase, nocase_text
+from .names import INDEXED
 
 #: Exact seconds: what doubles of exposures and their sums keep.
 SECONDS = "decimal(38, 12)"
@@ -27,12 +29,23 @@ def integration_rows(images: DataFrame) -> DataFrame:
     return images.withColumn("night", night("yyyy-MM-dd")).select(*INTEGRATION, F.lit(1).cast("long").alias("n"), F.col("exposure").isNotNull().cast("long").alias("known"), F.coalesce("exposure", F.lit(0.0)).cast(SECONDS).alias("seconds"))
 
 
+def _names(columns: Iterable[str]) -> Column:
+    """(column, value) of an image's names that are known."""
+    return F.filter(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]), lambda x: x["value"].isNotNull())
+
+
 def name_rows(images: DataFrame) -> DataFrame:
     """(column, key, value, n) of each name of an image that can be suggested; ``key`` is the folded value."""
-    names = F.filter(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in SUGGESTED]), lambda x: x["value"].isNotNull() & (x["value"] != ""))
+    names = F.filter(_names(SUGGESTED), lambda x: x["value"] != "")
     return images.select(F.inline(names)).select("column", F.lower("value").alias("key"), "value", F.lit(1).cast("long").alias("n"))
 
 
+def library_name_rows(images: DataFrame) -> DataFrame:
+    """(library_id, column, key, value, n) of each name of an image, blank ones too, and one of column '' for the image itself."""
+    own = F.array(F.struct(F.lit("").alias("column"), F.lit(None).cast("string").alias("value")))
+    return images.select("library_id", F.inline(F.concat(own, _names(INDEXED)))).select("library_id", "column", F.lower("value").alias("key"), "value", F.lit(1).cast("long").alias("n"))
+
+
 def summed(rows: DataFrame) -> DataFrame:
     """Rows of equal keys as one; those that no image is left of go."""
     sums = [c for c in ("n", "known", "seconds") if c in rows.columns]
@@ -78,7 +91,7 @@ def library_counts(rollup: DataFrame) -> DataFrame:
 
 
 def suggestions(names: DataFrame, columns: list[str], text: str | None, most: int = 25) -> DataFrame:
-    """Up to ``most`` values of some columns that contain the text, once without case, in order; blank text gives none."""
+    """From a rollup of names: up to ``most`` values of some columns that contain the text, once without case, in order; blank text gives none."""
     if not text or not text.strip():
         return names.limit(0).select("value")
     found = names.where(F.col("column").isin(*columns) & nocase("value").like(contains_pattern(text)))

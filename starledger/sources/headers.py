@@ -1,6 +1,7 @@
 """Headers of image files: one row per file, as a table of a tree in any store, and as the data source ``image_headers``.
 
-``scan_headers`` lists a tree level by level and deals its files out to tasks, which read header bytes only.
+``scan_headers`` lists a tree level by level and deals its files out to tasks, which read header bytes only. The stream
+``scan_times`` says for each batch from when up to when files count, for a ``scan_headers`` of any tree in that batch.
 ``spark.readStream.format("image_headers").load(root)`` is the stream of files that change (and ``spark.read``
 the same in one batch); options: ``since`` (seconds, the incremental scan's cutoff), ``compat_xisf_hash``. A file that
 can't be read is a row with an error.
@@ -97,8 +98,48 @@ class HeaderStreamReader(HeaderReader, DataSourceStreamReader):
         pass
 
 
+class Times(InputPartition):
+    def __init__(self, since: float, until: float) -> None:
+        self.since, self.until = since, until
+
+
+class TimesSource(DataSource):
+    """One row a batch; a batch that is run again has the same times, as they are the stream's offsets."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "scan_times"
+
+    def schema(self) -> str:
+        return "since double, until double"
+
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return TimesReader(self.options)
+
+
+class TimesReader(DataSourceStreamReader):
+    def __init__(self, options: dict) -> None:
+        self.since = float(options.get("since") or 0.0)
+
+    def initialOffset(self) -> dict:
+        return {"time": self.since}
+
+    def latestOffset(self) -> dict:
+        return {"time": time.time()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [Times(start["time"], end["time"])]
+
+    def read(self, partition: Times) -> Iterator[tuple]:
+        yield partition.since, partition.until
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(HeaderSource)
+    spark.dataSource.register(TimesSource)
 
 
 def estimated_count(spark: SparkSession, root: str) -> int:

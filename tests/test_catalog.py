@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import random
+import shutil
 import threading
 
 import pytest
@@ -192,6 +193,46 @@ def test_rollups_equal_recounting_after_any_changes(spark):
     assert [r[0] for r in rollup.starting_with(names, "object_name", "m").collect()] == ["M 31"]
 
 
+def test_summaries_follow_the_catalogue(tmp_path, spark):
+    """After additions, changes, compaction and removal of versions a summary equals the recount of its version, and reads no images."""
+    rng = random.Random(11)
+
+    def image(i, library):
+        return {"id": i, "library_id": library, "path": f"/{i}", "type": 1, "kind": 1, "filter_name": rng.choice(["Ha", "ha", "", None]), "object_name": rng.choice(["M 31", "m 31", "Élan", None]), "readout_mode": rng.choice(["Fast", None]), "exposure": rng.choice([0.1, 300.0, None]), "observation_timestamp_utc": dt.datetime(2024, 1, rng.randrange(1, 28), rng.randrange(24))}
+
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
+    assert catalog.summary("integration").count() == 0 and catalog.names().count() == 0
+    text = lambda df: sorted(map(str, df.collect()))
+
+    def check(version=None, libraries=None):
+        now = catalog.read("image_files", version, libraries)
+        assert text(catalog.summary("integration", version, libraries)) == text(rollup.summed(rollup.integration_rows(now)))
+        assert text(catalog.names(version, libraries)) == text(rollup.summed(rollup.name_rows(now)))
+        for column, part in (("object_name", "1"), ("filter_name", "%"), ("readout_mode", "fas")):
+            assert text(catalog.name_index(version, libraries).containing(column, part)) == text(NameIndex.of(now).containing(column, part))
+
+    first = catalog.write("image_files", images(spark, [image(i, i % 3 or None) for i in range(40)] + [{"id": 99, "library_id": 7, "path": "/bare"}]))
+    check(), check(libraries=[7]), check(libraries=[1, None])
+    catalog.add_images(images(spark, [image(100 + i, 1) for i in range(10)]), 1)
+    check()
+    version = catalog.version("image_files")
+    kept = catalog.read("image_files", version, [1]).where("id % 2 = 0").withColumn("object_name", F.lit("M 45"))
+    catalog.add_images(images(spark, [image(200, 1)]), 1, kept=kept, since=version)
+    check(), check(first), check(libraries=[1])
+    catalog.compact(1)
+    check()
+    plan = rollup.suggestions(catalog.names(), ["object_name"], "m")._jdf.queryExecution().executedPlan().toString()
+    assert "/catalog/names" in plan and "/catalog/image_files" not in plan
+    with pytest.raises(Conflict):
+        catalog.add_images(kept.limit(0), 1, kept=kept, since=first)
+    catalog.drop_before("image_files", 1)
+    check()
+    parts = {kind: {os.path.relpath(d, tmp_path / "catalog" / kind).split("/sky_zone")[0] for d in map(os.path.dirname, written(tmp_path / "catalog" / kind))} for kind in ("image_files", "integration", "names")}
+    assert parts["integration"] == parts["names"] == parts["image_files"]
+    shutil.move(tmp_path / "catalog/integration", tmp_path / "gone")  # batches of an older library have none
+    check()
+
+
 @pytest.fixture(scope="module")
 def names(spark, tmp_path_factory):
     rng = random.Random(8)

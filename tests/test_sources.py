@@ -179,14 +179,21 @@ def test_scan_ingest_and_versions(tmp_path, spark):
     assert scanned_at(libraries, 1, now).first()["last_scan"] == now
 
 
+def checkpoint_files(spark):
+    folder = (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")).removeprefix("file:")
+    return sorted(os.path.join(d, n) for d, _, names in os.walk(folder) for n in names if n.startswith("part-"))
+
+
 def test_stream_takes_new_files_once(tmp_path, spark):
     root, catalog = tmp_path / "lib", Catalog(spark, str(tmp_path / "catalog"))
     catalog.write("libraries", spark.createDataFrame([(1, None, None, "a", str(root), None)], LIBRARIES))
-    for n in ("a.fits", "b.fits"):
+    before = checkpoint_files(spark)
+    for n in ("a.fits", "p/q/r/b.fits"):
         put(root, n, fits_bytes([("OBJECT", f"'{n}'")]))
         query = ingest_stream(spark, catalog, 1, str(root), str(tmp_path / "checkpoint"), once=True)
         query.awaitTermination(120)
-    assert sorted(r["object_name"] for r in catalog.read("image_files").collect()) == ["a.fits", "b.fits"]
+    assert sorted(r["object_name"] for r in catalog.read("image_files").collect()) == ["a.fits", "p/q/r/b.fits"]
+    assert checkpoint_files(spark) == before  # a stream that runs for long leaves none
     assert catalog.read("libraries").first()["last_scan"] is not None
 
 
