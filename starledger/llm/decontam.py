@@ -8,8 +8,8 @@ weights over sum of greater ones). Windows are laid wherever the document has a
 that size, and candidates without a shingle there are left out; without one, the similarity is zero, so
 none is missed.
 
-Words are runs of letters and digits, lower-cased. Items are read in blocks of bounded number, each
-sent to the workers; documents are scanned where they are, without a shuffle. Windows are searched in
+Words are runs of letters and digits, lower-cased. Items are read in blocks of bounded number and size
+(an item above it is a block), each sent to the workers; documents are scanned where they are, without a shuffle. Windows are searched in
 runs of bounded number, so a very long text takes time by its length and memory for one text.
 
 An item of fewer words than a shingle has is one shingle of its own width, and a longer document has no
@@ -34,24 +34,35 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, checkpointed, fresh, slices
 from .hashing import NOT_ALNUM, shingle_hashes, word_hashes
 
-#: Items sent to the workers at once.
-ITEM_BLOCK = 100_000
+#: Items sent to the workers at once, and characters that they may have together.
+ITEM_BLOCK, ITEM_CHARS = 100_000, 1 << 25
 #: Pairs of windows and block values that are looked at in one step.
 STEP_PAIRS = 1 << 21
 #: Ids of contaminated documents that may be broadcast.
 BROADCAST_ROWS = 1 << 20
-_BITS = np.arange(64, dtype=np.uint64)
+#: Shingles whose bits are counted at once.
+STEP_SHINGLES = 1 << 16
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(pc.utf8_lower(column.cast(pa.large_string())), NOT_ALNUM)
 
 
+def _bits(shingles: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(shingles, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
 def window_fingerprints(shingles: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of every window of ``size`` shingles: a bit is one if more shingles have it than not."""
-    votes = ((shingles[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) * 2 - 1
-    sums = np.concatenate([np.zeros((1, 64), np.int32), votes.cumsum(axis=0, dtype=np.int32)])
-    return ((sums[size:] - sums[:-size] > 0).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
+    """SimHash of every window of ``size`` shingles: a bit is one if more shingles have it than not.
+
+    The first window is counted in parts, the others by what comes and goes, so memory follows the number of windows.
+    """
+    ones = np.zeros((1, 64), np.int32)
+    for start in range(0, size, STEP_SHINGLES):
+        ones += _bits(shingles[start : min(size, start + STEP_SHINGLES)]).sum(axis=0, dtype=np.int32)
+    moves = _bits(shingles[size:]).astype(np.int32) - _bits(shingles[: len(shingles) - size])
+    counts = np.concatenate([ones, moves]).cumsum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > size, axis=1, bitorder="little").view("<u8").ravel()
 
 
 class HammingIndex:
@@ -188,6 +199,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: flo
     found = None
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").sort("item_id", "text")
     block: list = []
+    held = 0
 
     def search(block: list) -> DataFrame:
         words, first = _words(pa.array([r["text"] for r in block], pa.large_string()))
@@ -212,10 +224,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: flo
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, HITS)
 
     for row in items.toLocalIterator():
-        block.append(row)
-        if len(block) == ITEM_BLOCK:
+        if block and (len(block) == ITEM_BLOCK or held + len(row["text"]) > ITEM_CHARS):
             found = search(block) if found is None else found.union(search(block))
-            block = []
+            block, held = [], 0
+        block.append(row)
+        held += len(row["text"])
     if block or found is None:
         found = search(block) if found is None else found.union(search(block))
     return found

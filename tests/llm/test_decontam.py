@@ -66,10 +66,26 @@ def test_item_blocks_and_empty_tables(spark, monkeypatch):
     whole = sorted(tuple(r) for r in decontam.contaminations(frame(spark, docs), bench).collect())
     monkeypatch.setattr(decontam, "ITEM_BLOCK", 7)
     assert sorted(tuple(r) for r in decontam.contaminations(frame(spark, docs), bench).collect()) == whole
+    monkeypatch.setattr(decontam, "ITEM_BLOCK", 100_000)
+    monkeypatch.setattr(decontam, "ITEM_CHARS", 500)
+    assert sorted(tuple(r) for r in decontam.contaminations(frame(spark, docs), bench).collect()) == whole
     assert decontam.contaminations(frame(spark, docs), bench.limit(0)).count() == 0
     assert decontam.contaminations(frame(spark, docs).limit(0), bench).count() == 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=30), st.data(), st.integers(1, 9))
+def test_fingerprints_by_their_definition(values, data, step):
+    size = data.draw(st.integers(1, len(values)))
+    windows = [values[i : i + size] for i in range(len(values) - size + 1)]
+    expected = [sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in w) > size) for w in windows]
+    before, decontam.STEP_SHINGLES = decontam.STEP_SHINGLES, step
+    try:
+        assert decontam.window_fingerprints(np.array(values, np.uint64), size).tolist() == expected
+    finally:
+        decontam.STEP_SHINGLES = before
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=20), st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=20), st.integers(0, 30), st.integers(0, 25))
 def test_index_finds_all_within_the_radius(prints, wanted, flips, radius):
