@@ -45,9 +45,18 @@ def read_file(path: str, compat_xisf_hash: bool = False) -> tuple[str | None, di
         return None, None, f"{type(e).__name__}: {e}"
 
 
+def moment(seconds: float) -> dt.datetime:
+    """A file's time, to the nearest microsecond."""
+    return dt.datetime.fromtimestamp(seconds, dt.UTC).replace(tzinfo=None)
+
+
+def micros(seconds: float) -> int:
+    """The same as a number; multiplying the seconds would be off by one at times."""
+    return (moment(seconds) - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+
+
 def scan_file(found: listing.Found, compat_xisf_hash: bool = False) -> tuple:
     """A row of the source."""
-    moment = lambda t: dt.datetime.fromtimestamp(t, dt.UTC).replace(tzinfo=None)
     digest, header, error = read_file(found.path, compat_xisf_hash)
     row = header and (header["width"], header["height"], header["file_extension"], [tuple(i[k] for k in ("keyword", "kind", "s", "b", "i", "d", "comment")) for i in header["items"]])
     return found.path, found.size, moment(found.modified), moment(found.created), digest, row, error
@@ -160,13 +169,13 @@ def scan_headers(spark: SparkSession, root: str, since: float | None = None, unt
             rows = []
             for path, size, modified, created in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 digest, header, error = read_file(path, compat_xisf_hash)
-                rows.append((path, size, round(modified * 1e6), round(created * 1e6), digest, header and json.dumps(header), error))
+                rows.append((path, size, micros(modified), micros(created), digest, header and json.dumps(header), error))
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], SCANNED.names)
 
     read = files.repartition(tasks, "path").mapInArrow(run, "path string, file_size long, modified long, created long, header_hash string, header string, error string")
-    moment = lambda c: F.expr(f"TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(CAST({c} AS DECIMAL(20, 0)) / 1000000 AS DECIMAL(18, 6)))")
-    return read.withColumns({"modified": moment("modified"), "created": moment("created"), "header": F.from_json("header", HEADER)})
+    timestamp = lambda c: F.expr(f"TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(CAST({c} AS DECIMAL(20, 0)) / 1000000 AS DECIMAL(18, 6)))")
+    return read.withColumns({"modified": timestamp("modified"), "created": timestamp("created"), "header": F.from_json("header", HEADER)})
 
 
 def read_bytes(df: DataFrame, content: str = "content", form: str = "fits") -> DataFrame:

@@ -1,6 +1,7 @@
 """Listing and reading trees in any store, and XISF headers as columns against the file reader."""
 
 import io
+import os
 import random
 import struct
 
@@ -62,8 +63,6 @@ def test_each_folder_is_listed_once_by_many_tasks(tmp_path, spark, monkeypatch):
 
 
 def test_times_bound_a_scan(tmp_path, spark):
-    import os
-
     path = put(tmp_path, "a.fits", b"x")
     created = os.stat(path).st_ctime
     os.utime(path, (created - 1000, created - 1000))
@@ -76,6 +75,8 @@ def test_scan_headers_equals_the_data_source(tmp_path, spark):
         put(tmp_path, f"a/{i}.fits", fits_bytes([("OBJECT", f"'M {i}'"), ("EXPOSURE", "1.5"), ("FLAG", "T"), ("GAIN", str(i))]))
         put(tmp_path, f"a/b/c/{i}.xisf", xisf_bytes([("OBJECT", f"M {i}", "c")]))
     put(tmp_path, "broken.fits", b"nothing")
+    for i in range(5):  # times between two microseconds
+        os.utime(tmp_path / f"a/{i}.fits", ns=(0, 1_795_600_000_123_456_500 + 250 * i - 500))
     headers.register(spark)
     for compat in (False, True):
         one = headers.scan_headers(spark, str(tmp_path), compat_xisf_hash=compat)
