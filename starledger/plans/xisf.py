@@ -22,14 +22,14 @@ def is_xisf(content: Column) -> Column:
 
 def header_length(content: Column) -> Column:
     """Bytes of the XML text behind the preamble, as far as the file has them: a signed little-endian number."""
-    byte = lambda i: F.conv(F.hex(F.substring(content, i, 1)), 16, 10).cast("bigint")
-    told = byte(9) + 256 * byte(10) + 65536 * byte(11) + 16777216 * byte(12)
+    digits = F.hex(F.substring(content, 9, 4))
+    told = F.conv(F.concat(*[F.substring(digits, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("bigint")
     return F.when(told >= 1 << 31, F.lit(0)).otherwise(F.least(told, F.octet_length(content) - PREAMBLE)).cast("int")
 
 
-def header_hash(content: Column, compat: bool = False) -> Column:
+def header_hash(content: Column, compat: bool = False, length: Column | None = None) -> Column:
     """SHA-1 of the XML text; ``compat``: over whole chunks of 8 KiB, the last of them as far as the file goes and then its header part again."""
-    length = header_length(content)
+    length = header_length(content) if length is None else length
     text = F.substr(content, F.lit(PREAMBLE + 1), length)
     if not compat:
         return F.sha1(text)
@@ -70,33 +70,51 @@ def _item(keyword: Column, value: Column, comment: Column) -> Column:
     return F.struct(F.coalesce(keyword, F.lit("")).alias("keyword"), value["kind"].alias("kind"), *[value[c].alias(c) for c in "sbid"], comment.cast("string").alias("comment"))
 
 
+def _text(content: Column, length: Column) -> Column:
+    """The XML text without what pads it; null if it isn't UTF-8."""
+    raw = F.try_validate_utf8(F.substr(content, F.lit(PREAMBLE + 1), length).cast("string"))
+    return F.rtrim(F.when(raw.contains("\0"), F.translate(raw, "\0", " ")).otherwise(raw))  # translating goes letter by letter
+
+
+def _image(text: Column, schema: str = _XML) -> Column:
+    """The first image of an XML text; null if that can't be read."""
+    return F.get(F.from_xml(text, schema.replace("_VALUE", "_TEXT"), _XML_OPTIONS)["Image"], F.lit(0))
+
+
 def xisf_header(content: Column) -> Column:
     """The header struct of the first image of a file; without items if its XML can't be read.
 
     Keywords come before properties, each in the order of the file.
     """
-    text = F.decode(F.substr(content, F.lit(PREAMBLE + 1), header_length(content)), "UTF-8")
-    xml = F.rtrim(F.translate(text, "\0", " "))
-    schema = _XML.replace("_VALUE", "_TEXT")
-    parsed = F.from_xml(xml, schema, _XML_OPTIONS)["Image"]
-    return F.transform(F.array(parsed), lambda images: _header_of(F.get(images, F.lit(0))))[0]  # so that the text is parsed once
+    return _header(_text(content, header_length(content)))
 
 
-def _header_of(image: Column) -> Column:
-    shape = F.split(image["_geometry"], ":")
-    side = lambda i: F.when(F.size(shape) == 3, parsed_int(F.get(shape, F.lit(i))))
+def _header(text: Column) -> Column:
+    return _bound(_image(text), _header_of)  # so that the text is parsed once
+
 
+def _shape_of(geometry: Column) -> list[Column]:
+    """Width and height."""
+    shape = F.split(geometry, ":")
+    return [F.when(F.size(shape) == 3, parsed_int(F.get(shape, F.lit(i)))) for i in (0, 1)]
+
+
+def _keyword_value(name: Column, raw: Column) -> Column:
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return F.when(empty(name).isin("COMMENT", "HISTORY"), _typed("string", s=F.lit(""))).otherwise(typed_value(empty(raw)))
+
+
+def _header_of(image: Column) -> Column:
     def keyword(e: Column) -> Column:
-        empty = lambda c: F.coalesce(c, F.lit(""))
-        value = F.when(empty(e["_name"]).isin("COMMENT", "HISTORY"), _typed("string", s=F.lit(""))).otherwise(typed_value(empty(e["_value"])))
-        return _bound(value, lambda v: _item(e["_name"], v, empty(e["_comment"])))
+        return _bound(_keyword_value(e["_name"], e["_value"]), lambda v: _item(e["_name"], v, F.coalesce(e["_comment"], F.lit(""))))
 
     def prop(e: Column) -> Column:
         return _bound(typed_property(e["_type"], e["_value"], e["_TEXT"]), lambda v: _item(e["_id"], v, F.lit(None)))
 
     none = F.array().cast(HEADER["items"].dataType)
     every = F.concat(*[F.coalesce(F.transform(image[c], f).cast(HEADER["items"].dataType), none) for c, f in (("FITSKeyword", keyword), ("Property", prop))])
-    return F.struct(side(0).alias("width"), side(1).alias("height"), F.lit(".xisf").alias("file_extension"), F.filter(every, lambda e: e["kind"].isNotNull()).alias("items"))
+    shape = _shape_of(image["_geometry"])
+    return F.struct(shape[0].alias("width"), shape[1].alias("height"), F.lit(".xisf").alias("file_extension"), F.filter(every, lambda e: e["kind"].isNotNull()).alias("items"))
 
 
 def _bound(value: Column, use) -> Column:
@@ -104,8 +122,44 @@ def _bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+# Lambdas over arrays aren't compiled, and an operator that has one evaluates all it does step by step, and each repeated part
+# again. So lengths, texts and images are columns of their own, and rows of items are typed after they are taken apart.
+
+
+def _named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _with_length(df: DataFrame, content: str) -> DataFrame:
+    """``df`` with _length, null where the file isn't XISF."""
+    c = F.col(content)
+    return df.withColumn("_length", F.when(is_xisf(c), header_length(c)))
+
+
 def read_xisf(df: DataFrame, content: str = "content", compat: bool = False) -> DataFrame:
     """``df`` with header_hash, header and error of a column of XISF files; other columns of these names are replaced."""
-    c = F.col(content)
-    good = F.coalesce(is_xisf(c), F.lit(False))
-    return df.withColumns({"header_hash": F.when(good, header_hash(c, compat)), "header": F.when(good, xisf_header(c)), "error": F.when(~good, F.lit("HeaderError: not an XISF file"))})
+    c, length = F.col(content), F.col("_length")
+    good = length.isNotNull()
+    hashed = _with_length(df, content).withColumns({"header_hash": F.when(good, header_hash(c, compat, length)), "error": F.when(~good, F.lit("HeaderError: not an XISF file")), "_text": _text(c, length)})
+    names = dict.fromkeys([*df.columns, "header_hash", "header", "error"])
+    return hashed.withColumn("header", F.when(good, _header(F.col("_text")))).select(*[_named(n) for n in names])
+
+
+def xisf_items(df: DataFrame, content: str = "content") -> DataFrame:
+    """The items of ``read_xisf`` as rows: the other columns of ``df``, position (from 0, rising, with gaps) and the item's columns.
+
+    Files that aren't XISF and those without items have no row.
+    """
+    kept = [_named(n) for n in df.columns if n != content]
+    texts = _with_length(df, content).select(*kept, _text(F.col(content), F.col("_length")).alias("_text"))
+    images = texts.select(*kept, _image(F.col("_text")).alias("_image"))
+    keywords, properties = (F.coalesce(F.col("_image")[n], F.array()) for n in ("FITSKeyword", "Property"))
+    # Outer: an inner one would parse each file for its filter too.
+    pairs = images.select(*kept, F.size(keywords).alias("_keywords"), F.posexplode_outer(F.arrays_zip(keywords.alias("keyword"), properties.alias("property"))).alias("_at", "_pair"))
+    k, p = F.col("_pair.keyword"), F.col("_pair.property")
+    typed = pairs.select(*kept, "_keywords", "_at", "_pair", F.when(k.isNotNull(), _keyword_value(k["_name"], k["_value"])).alias("_k"), F.when(p.isNotNull(), typed_property(p["_type"], p["_value"], p["_TEXT"])).alias("_p"))
+    items = F.array(
+        F.struct(F.col("_at").alias("position"), _item(k["_name"], F.col("_k"), F.coalesce(k["_comment"], F.lit(""))).alias("_item")),
+        F.struct((F.col("_keywords") + F.col("_at")).alias("position"), _item(p["_id"], F.col("_p"), F.lit(None)).alias("_item")),
+    )
+    return typed.select(*kept, F.inline(items)).where("_item.kind is not null").select(*kept, "position", "_item.*")

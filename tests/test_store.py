@@ -128,6 +128,31 @@ def test_xisf_columns_equal_the_file_reader(spark, compat):
         assert (r["header"]["width"], r["header"]["height"], [i.asDict() for i in r["header"]["items"]]) == (header["width"], header["height"], header["items"])
 
 
+ODD_XISF_FILES = [xisf_bytes([("A", "\xff", "")]).replace("\xff".encode(), b"\xff"), b"XISF0100" + struct.pack("<I", 200) + b"\0" * 4 + b'<xisf><Image geometry="1:2"><FITSKeyword/><Property/><FITSKeyword name="T" value="f">x</FITSKeyword></Image></xisf>' + b"\0" * 90]
+
+
+def test_xisf_rows_equal_the_headers(spark):
+    df = spark.createDataFrame([(i, x, "kept") for i, x in enumerate([*XISF_FILES, *ODD_XISF_FILES, None])], "id int, content binary, more string")
+    headers = {r["id"]: r for r in columns.read_xisf(df).collect()}
+    odd = headers[len(XISF_FILES)]  # not UTF-8: a header without items, as the file reader gives
+    assert odd["error"] is None and odd["header"]["items"] == [] == xisf.read_header(io.BytesIO(ODD_XISF_FILES[0]))[0]["items"]
+    rows = {}
+    for r in columns.xisf_items(df).orderBy("id", "position").collect():
+        assert r["more"] == "kept"
+        rows.setdefault(r["id"], []).append(tuple(r[c] for c in ("keyword", "kind", "s", "b", "i", "d", "comment")))
+    assert rows == {i: [tuple(x) for x in r["header"]["items"]] for i, r in headers.items() if r["header"] and r["header"]["items"]}
+
+
+@pytest.mark.parametrize("name", ["p3_p4_values"])
+def test_xisf_queries_are_compiled_and_spread(spark, sf_dir, name):
+    import __spark_entry__
+
+    df = __spark_entry__.queries()[name](spark, sf_dir)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in text and text.count("from_xml(") == 1
+    assert df.groupBy(F.spark_partition_id()).count().count() > spark.sparkContext.defaultParallelism
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.sampled_from(["T", "f", "'a''b'", "(1,2)", "( ", "'", "''", "1.", ".5", "+7", "1e5", "1d5", " 4 ", "NaN", "1f", "2147483648"]), st.text("0123456789.+-eEdD'()tfTF ,x", max_size=8)), min_size=1, max_size=20))
 def test_values_by_look_equal_the_file_reader(spark, raws):
