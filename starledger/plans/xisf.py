@@ -145,6 +145,16 @@ def read_xisf(df: DataFrame, content: str = "content", compat: bool = False) ->
     return hashed.withColumn("header", F.when(good, _header(F.col("_text")))).select(*[_named(n) for n in names])
 
 
+def xisf_shapes(df: DataFrame, content: str = "content") -> DataFrame:
+    """``df`` with header_hash, compat_hash, width, height and error, as ``read_xisf`` gives them, for readers that need no items; other columns of these names are replaced."""
+    c, length = F.col(content), F.col("_length")
+    geometry = _image(_text(c, length), "Image array<struct<_geometry: string>>")["_geometry"]
+    good = length.isNotNull()
+    read = _with_length(df, content).withColumns({"header_hash": F.when(good, header_hash(c, False, length)), "compat_hash": F.when(good, header_hash(c, True, length)), "error": F.when(~good, F.lit("HeaderError: not an XISF file")), "_geometry": geometry})
+    shape = _shape_of(F.col("_geometry"))
+    return read.withColumns({"width": shape[0], "height": shape[1]}).drop("_length", "_geometry")
+
+
 def xisf_items(df: DataFrame, content: str = "content") -> DataFrame:
     """The items of ``read_xisf`` as rows: the other columns of ``df``, position (from 0, rising, with gaps) and the item's columns.
 

@@ -131,19 +131,23 @@ def test_xisf_columns_equal_the_file_reader(spark, compat):
 ODD_XISF_FILES = [xisf_bytes([("A", "\xff", "")]).replace("\xff".encode(), b"\xff"), b"XISF0100" + struct.pack("<I", 200) + b"\0" * 4 + b'<xisf><Image geometry="1:2"><FITSKeyword/><Property/><FITSKeyword name="T" value="f">x</FITSKeyword></Image></xisf>' + b"\0" * 90]
 
 
-def test_xisf_rows_equal_the_headers(spark):
+def test_xisf_rows_and_shapes_equal_the_headers(spark):
     df = spark.createDataFrame([(i, x, "kept") for i, x in enumerate([*XISF_FILES, *ODD_XISF_FILES, None])], "id int, content binary, more string")
-    headers = {r["id"]: r for r in columns.read_xisf(df).collect()}
-    odd = headers[len(XISF_FILES)]  # not UTF-8: a header without items, as the file reader gives
+    headers = {compat: {r["id"]: r for r in columns.read_xisf(df, compat=compat).collect()} for compat in (False, True)}
+    odd = headers[False][len(XISF_FILES)]  # not UTF-8: a header without items, as the file reader gives
     assert odd["error"] is None and odd["header"]["items"] == [] == xisf.read_header(io.BytesIO(ODD_XISF_FILES[0]))[0]["items"]
     rows = {}
     for r in columns.xisf_items(df).orderBy("id", "position").collect():
         assert r["more"] == "kept"
         rows.setdefault(r["id"], []).append(tuple(r[c] for c in ("keyword", "kind", "s", "b", "i", "d", "comment")))
-    assert rows == {i: [tuple(x) for x in r["header"]["items"]] for i, r in headers.items() if r["header"] and r["header"]["items"]}
+    assert rows == {i: [tuple(x) for x in r["header"]["items"]] for i, r in headers[False].items() if r["header"] and r["header"]["items"]}
+    for r in columns.xisf_shapes(df).collect():
+        one = headers[False][r["id"]]
+        assert (r["header_hash"], r["compat_hash"], r["error"]) == (one["header_hash"], headers[True][r["id"]]["header_hash"], one["error"])
+        assert (r["width"], r["height"]) == ((one["header"]["width"], one["header"]["height"]) if one["header"] else (None, None))
 
 
-@pytest.mark.parametrize("name", ["p3_p4_values"])
+@pytest.mark.parametrize("name", ["p3_p4_values", "s2_h2_xisf_headers"])
 def test_xisf_queries_are_compiled_and_spread(spark, sf_dir, name):
     import __spark_entry__
 
