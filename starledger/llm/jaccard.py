@@ -20,11 +20,15 @@ exact on those sets:
    other balls are compared member by member, all at once, only where the triangle inequality of the
    Jaccard distance allows a link. So groups of near copies cost no pairs.
 
-5. Blocks of more than BLOCK_TOKENS tokens are thinned out before they reach one task. Their members are
+5. Blocks of more than BLOCK_TOKENS tokens, which grow as chance ties more documents by one token, are
+   first split by parts: each token falls into one of m parts by its hash, and two linked sets, that
+   differ in fewer tokens than either has parts of two tokens and more, have one of these in common
+   whole. So only classes that share all tokens of a part stay together (``part_keys``).
+6. Blocks that are still larger are thinned out before they reach one task. Their members are
    compared with a few leaders where they lie, the most central member among them; a member whose leader
    no member of another component is near to needs no further comparison, which empties groups of near
    copies. What is left of such a block is cut into chunks of half the bound, and every two chunks are
-   searched together.
+   searched together, each chunk with a few others in a round, so that a round's copies follow the input.
 
 No cap, sample or prefix of a text is used.
 """
@@ -46,7 +50,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpointed, released, slices
 from .components import connected_components
-from .hashing import WHITE, shingle_hashes, word_hashes
+from .hashing import WHITE, mix, shingle_hashes, word_hashes
 
 #: Similarity in hundredths.
 LINK = 80
@@ -56,6 +60,10 @@ BROADCAST_ROWS = 1 << 20
 FREQUENT = 8
 #: Tokens of a block that one task searches; leaders of a larger block in a round, and rounds.
 BLOCK_TOKENS, LEADERS, ROUNDS = 1 << 20, 8, 3
+#: Chunks after its own that a chunk is searched with in one round.
+ROUND_CHUNKS = 2
+#: Bits of a set's size from which on it is split in parts of tokens; single tokens stand for the parts of smaller sets.
+PART_BITS = 8
 #: Numbers that a heap merges at most; more are counted in one step.
 HEAP_NUMBERS = 1000
 #: Tokens that a task packs at once, and that a bucket of tokens has on average at most.
@@ -286,22 +294,36 @@ def _edge_rows(classes: DataFrame, take, frequent=None) -> DataFrame:
     """Rows (token, node, mark) of each class's first ``take(n)`` tokens.
 
     ``frequent``: a broadcast of ascending fingerprints, their counts and how many bits are cut from a
-    token; these come last in the order. Of several nodes of a batch that have a token, only the first
-    one's row goes on; the others are joined to it by rows of mark -1, pairs (token, node) of nodes.
+    token; these come last in the order.
     """
 
     def first_of(tokens: np.ndarray, n: int) -> np.ndarray:
-        if frequent is None or not len(frequent.value[0]):
-            return tokens[: take(n)]
-        known, counts, drop = frequent.value
-        cut = tokens >> np.uint64(drop)
-        at = np.minimum(np.searchsorted(known, cut), len(known) - 1)
-        return tokens[np.argsort(np.where(known[at] == cut, counts[at], 0), kind="stable")[: take(n)]]
+        return tokens[np.argsort(_frequency(tokens, frequent), kind="stable")[: take(n)]]
+
+    return _key_rows(classes, first_of)
+
+
+def _frequency(tokens: np.ndarray, frequent) -> np.ndarray:
+    """How often each token occurs, 0 where it isn't in the broadcast of frequent ones."""
+    if frequent is None or not len(frequent.value[0]):
+        return np.zeros(len(tokens), np.int64)
+    known, counts, drop = frequent.value
+    cut = tokens >> np.uint64(drop)
+    at = np.minimum(np.searchsorted(known, cut), len(known) - 1)
+    return np.where(known[at] == cut, counts[at], 0)
+
+
+def _key_rows(classes: DataFrame, keys_of) -> DataFrame:
+    """Rows (token, node, mark) of the keys, ``keys_of(tokens, n)``, of each class.
+
+    Of several nodes of a batch that have a key, only the first
+    one's row goes on; the others are joined to it by rows of mark -1, pairs (token, node) of nodes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column("node").to_numpy(zero_copy_only=False)
-            lists = [first_of(np.frombuffer(t, "<u8"), n) for t, n in zip(batch.column("tokens").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+            lists = [keys_of(np.frombuffer(t, "<u8"), n) for t, n in zip(batch.column("tokens").to_pylist(), batch.column("n").to_pylist(), strict=True)]
             token = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
             node = np.repeat(nodes, [len(x) for x in lists])
             order = np.argsort(token, kind="stable")
@@ -715,14 +737,124 @@ def _leader_round(members: DataFrame, number: int) -> tuple[DataFrame, DataFrame
     return checkpointed(edges), checkpointed(members.join(broadcast_if_small(done, done.count(), BROADCAST_ROWS), "node", "left_anti"))
 
 
-def _block_links(members: DataFrame) -> DataFrame:
-    """(node, root) of the linked nodes of all blocks; ``members``: block, node, n, tokens."""
+def part_level(n: int) -> int:
+    """By what parts a set of n tokens is compared with those of its size and smaller ones: the bits of n."""
+    return n.bit_length()
+
+
+def _levels(n: int) -> list[int]:
+    """The levels at which a set of n tokens may meet a partner: that of the larger of both."""
+    return list(range(part_level(n), part_level(100 * n // LINK) + 1))
+
+
+def most_differing(n: int, other: int) -> int:
+    """In how many tokens two linked sets of n and ``other`` tokens differ at most."""
+    return (n + other) * (100 - LINK) // (100 + LINK)
+
+
+def parts(tokens: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each part of a set at a level: its key, its number of tokens and where its tokens begin. Equal parts have equal keys.
+
+    A set of that level has 1.4 to 2.8 tokens for each part, and more parts than it can differ from a linked smaller set in.
+    Below PART_BITS each token is a part.
+    """
+    salt = mix(np.array([level], np.uint64))
+    if level < PART_BITS:
+        return mix(tokens ^ salt), np.ones(len(tokens), np.int64), np.arange(len(tokens))
+    m = -(-10 * (1 << level - 1) // 14)
+    at = (tokens >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)  # ascending, as tokens are
+    ends = np.searchsorted(at, np.arange(m + 1, dtype=np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens), dtype=np.uint64)])
+    return mix((sums[ends[1:]] - sums[ends[:-1]]) ^ mix(np.arange(m, dtype=np.uint64) + salt)), np.diff(ends), ends[:-1]
+
+
+def _strong(level: int) -> int:
+    """The tokens that a part has at least to count: a single one is too often had by chance."""
+    return 2 if level >= PART_BITS else 1
+
+
+def scant_keys(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Keys that also count wherever they are met, for a set with so few strong parts that a link may touch them all: those of all its parts, if need be of empty ones."""
+    level = part_level(n)
+    key, size, _ = parts(tokens, level)
+    differing = most_differing(n, n)
+    if not n or (size >= _strong(level)).sum() > differing:
+        return np.zeros(0, np.uint64)
+    return key[size > 0] if (size > 0).sum() > differing else key
+
+
+def part_keys(tokens: np.ndarray, n: int, frequent=None, scant: np.ndarray | None = None) -> np.ndarray:
+    """Keys of which linked sets have one in common, at the level of the larger one.
+
+    At each level these are the strong parts with the rarest tokens, one more than a link may touch: of
+    two linked sets' strong parts all but so many are equal, and the first ones of both under one order
+    meet. ``scant``: the ascending keys of ``scant_keys`` of all sets; null: all keys count.
+    """
+    out = []
+    for level in _levels(n):
+        key, size, start = parts(tokens, level)
+        if scant is None:
+            out.append(key)
+            continue
+        strong = size >= _strong(level)
+        often = np.minimum.reduceat(_frequency(tokens, frequent), start[size > 0])[strong[size > 0]] if len(tokens) else np.zeros(0, np.int64)
+        mine = key[strong]
+        out.append(mine[np.lexsort((mine, often))[: most_differing(n, 100 * n // LINK) + 1]])
+        if len(scant):
+            out.append(key[scant[np.minimum(np.searchsorted(scant, key), len(scant) - 1)] == key])
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def _split_by_parts(members: DataFrame, frequent=None) -> DataFrame:
+    """``members`` (block, node, n, tokens) with smaller blocks: those of classes tied by a part of their tokens. Who is tied to nobody is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [scant_keys(np.frombuffer(t, "<u8"), n) for t, n in zip(batch.column("tokens").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, np.uint64), *lists])).view(np.int64))], ["key"])
+
+    few = checkpointed(members.select("n", "tokens").mapInArrow(run, "key long").distinct())
+    scant = np.sort(few.toPandas()["key"].to_numpy(np.int64).view(np.uint64)) if few.count() <= BROADCAST_ROWS else None
+    sent = members.sparkSession.sparkContext.broadcast(scant)
+    edges = _token_edges(_key_rows(members, lambda tokens, n: part_keys(tokens, n, frequent, sent.value)))
+    tied = checkpointed(connected_components(edges))
+    # Edges between blocks are chance, so a block and a component name the new block.
+    return checkpointed(members.join(broadcast_if_small(tied, tied.count(), BROADCAST_ROWS), "node").select(F.xxhash64("block", "component").alias("block"), "node", "n", "tokens"))
+
+
+def _chunk_pairs(rest: DataFrame) -> Iterator[DataFrame]:
+    """Members (block, node, tokens) of blocks to search: every two chunks of each block of ``rest``, by rounds that hold each member a few times."""
+    chunks = checkpointed(rest.groupBy("block").agg(F.ceil(2 * F.sum("n") / BLOCK_TOKENS).cast("int").alias("chunks")))
+    whole = F.col("chunks") <= 2
+    cut = rest.join(broadcast_if_small(chunks, chunks.count(), BROADCAST_ROWS), "block").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    yield cut.where(whole).select("block", "node", "tokens")
+    steps = (chunks.agg(F.coalesce(F.max("chunks"), F.lit(0))).first()[0]) // 2
+    for first in range(1, steps + 1, ROUND_CHUNKS):
+        near = [F.pmod(F.col("own") + F.lit(sign * d), F.col("chunks")) for d in range(first, min(first + ROUND_CHUNKS, steps + 1)) for sign in (1, -1)]
+        reach = [F.lit(d) <= F.col("chunks") / 2 for d in range(first, min(first + ROUND_CHUNKS, steps + 1)) for _ in (1, -1)]
+        others = F.array_compact(F.array_distinct(F.array(*[F.when(r, x) for r, x in zip(reach, near, strict=True)])))
+        yield cut.where(~whole).withColumn("other", F.explode(others)).select(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", "tokens")
+
+
+def _larger(members: DataFrame) -> tuple[DataFrame, int]:
+    """(block) of the blocks of more than BLOCK_TOKENS tokens, and their number."""
     sizes = checkpointed(members.groupBy("block").agg(F.sum("n").alias("size")).where(F.col("size") > BLOCK_TOKENS).select("block"))
-    large = sizes.count()
+    return sizes, sizes.count()
+
+
+def _block_links(members: DataFrame, frequent=None) -> DataFrame:
+    """(node, root) of the linked nodes of all blocks; ``members``: block, node, n, tokens."""
+    sizes, large = _larger(members)
+    if not large:
+        return _search_blocks(members).groupBy("node").agg(F.min("root").alias("root"))
+    side = broadcast_if_small(sizes, large, BROADCAST_ROWS)
+    split = _split_by_parts(members.join(side, "block", "left_semi"), frequent)
+    members = members.join(side, "block", "left_anti").select("block", "node", "n", "tokens").unionByName(split)
+    sizes, large = _larger(split)
     if not large:
         return _search_blocks(members).groupBy("node").agg(F.min("root").alias("root"))
     side = broadcast_if_small(sizes, large, BROADCAST_ROWS)
-    rest = checkpointed(members.join(side, "block", "left_semi").select("block", "node", "n", "tokens"))
+    rest = checkpointed(split.join(side, "block", "left_semi").select("block", "node", "n", "tokens"))
     edges = members.sparkSession.createDataFrame([], "a long, b long")
     count = rest.count()
     for number in range(ROUNDS):
@@ -733,13 +865,12 @@ def _block_links(members: DataFrame) -> DataFrame:
         count = rest.count()
         if 10 * count > 9 * before or rest.groupBy("block").agg(F.sum("n").alias("size")).where(F.col("size") > BLOCK_TOKENS).isEmpty():
             break  # little is gained, or little is left
-    chunks = rest.groupBy("block").agg(F.ceil(2 * F.sum("n") / BLOCK_TOKENS).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    pairs = F.when(F.col("chunks") <= 2, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != own))
-    cut = rest.join(chunks, "block").withColumn("other", F.explode(pairs)).select(F.when(F.col("chunks") <= 2, F.col("block")).otherwise(F.xxhash64("block", F.least(own, "other"), F.greatest(own, "other"))).alias("block"), "node", "tokens")
-    found = _search_blocks(members.join(side, "block", "left_anti").select("block", "node", "tokens").unionByName(cut))
-    links = edges.union(found.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
-    return connected_components(links).select("node", F.col("component").alias("root"))
+    for number, some in enumerate(_chunk_pairs(rest)):
+        if not number:  # blocks that one task searches whole
+            some = members.join(side, "block", "left_anti").select("block", "node", "tokens").unionByName(some)
+        found = _search_blocks(some).where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        edges = edges.union(checkpointed(found.distinct()))
+    return connected_components(edges).select("node", F.col("component").alias("root"))
 
 
 def near_classes(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -767,10 +898,11 @@ def near_classes(docs: DataFrame, k: int = 5) -> DataFrame:
     occurrences = checkpointed(_occurrences(_token_packs(sets, total), total))
     covered = checkpointed(likely.join(_shared_counts(occurrences), "uid").where(F.col("shared") >= F.ceil(F.col("n") * LINK / 100)).select("node"))
     left = sets.join(broadcast_if_small(covered, count, BROADCAST_ROWS), "node", "left_semi")
-    edges = _token_edges(_edge_rows(left, lambda n: n - least_overlap(n) + 1, _frequent_tokens(occurrences, total)))
+    frequent = _frequent_tokens(occurrences, total)
+    edges = _token_edges(_edge_rows(left, lambda n: n - least_overlap(n) + 1, frequent))
     blocks = checkpointed(connected_components(edges).select("node", F.col("component").alias("block")))
     members = sets.join(broadcast_if_small(blocks, count, BROADCAST_ROWS), "node").select("block", "node", "n", "tokens")
-    roots = checkpointed(_block_links(members))
+    roots = checkpointed(_block_links(members, frequent))
     released(sets)
 
     return all_docs.select("doc_id", "text_key", "n", "node", "key").join(broadcast_if_small(roots, count, BROADCAST_ROWS), "node", "left").select("doc_id", "text_key", "n", F.when(F.col("key").isNotNull(), F.coalesce("root", "node")).alias("class"))

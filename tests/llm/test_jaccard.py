@@ -97,6 +97,57 @@ def test_large_blocks_are_split(spark, monkeypatch, bound, rounds):
     assert result(frame(spark, rows)) == brute(rows)
 
 
+def test_blocks_tied_by_chance_are_not_copied(spark, monkeypatch):
+    """Pairs of near copies, tied to other pairs by short passages: one block, of which every two chunks were searched together."""
+    rng, rows = random.Random(3), []
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passages = [[word() for _ in range(24)] for _ in range(150)]
+    for i in range(150):
+        words = [*passages[i], *(word() for _ in range(170)), *passages[i * 7 % 150], *passages[(i + 1) % 150]]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, word()]))]
+    searched, search = [], jaccard._search_blocks
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 2000)
+    monkeypatch.setattr(jaccard, "_search_blocks", lambda members: searched.append(members.count()) or search(members))
+    assert result(frame(spark, rows)) == brute(rows)
+    assert sum(searched) <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("chunks", [3, 4, 7])
+def test_rounds_bring_every_two_chunks_together(spark, monkeypatch, chunks):
+    rows = [(1, i, 1, b"") for i in range(50 * chunks)] + [(2, -1, 1, b""), (2, -2, 1, b"")]
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 100)
+    met, own = set(), {r[0]: r[1] for r in spark.createDataFrame([(r[1],) for r in rows], "node long").selectExpr("node", f"pmod(xxhash64(node), {chunks})").collect()}
+    for members in jaccard._chunk_pairs(spark.createDataFrame(rows, "block long, node long, n long, tokens binary")):
+        blocks, copies = {}, Counter()
+        for r in members.collect():
+            blocks.setdefault(r["block"], set()).add(r["node"])
+            copies[r["node"]] += 1
+        assert max(copies.values(), default=0) <= 2 * jaccard.ROUND_CHUNKS
+        met |= {(a, b) for nodes in blocks.values() for a in nodes for b in nodes}
+    assert all((a, b) in met for a in own for b in own if (a < 0) == (b < 0))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 600), st.integers(0, 2**32), st.sampled_from([1, 4, 8]))
+def test_linked_sets_have_a_part_in_common(n, seed, bits):
+    rng, was = np.random.default_rng(seed), jaccard.PART_BITS
+    one = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+    gone, more = rng.integers(0, n // 5 + 1), rng.integers(0, n // 4 + 1)
+    other = np.unique(np.concatenate([rng.permutation(one)[gone:], rng.integers(0, 1 << 64, more, dtype=np.uint64)]))
+    both = len(np.intersect1d(one, other))
+    if 100 * both < 80 * (len(one) + len(other) - both):
+        return
+    known = np.unique(rng.permutation(np.concatenate([one, other]))[: n // 3])
+    frequent = type("Sent", (), {"value": (known, rng.integers(8, 20, len(known)), 0)})
+    try:
+        jaccard.PART_BITS = bits  # below 8, sets without enough parts of two tokens are met
+        scant = np.unique(np.concatenate([jaccard.scant_keys(x, len(x)) for x in (one, other)]))
+        for a, b in ((frequent, scant), (None, None)):
+            assert len(np.intersect1d(jaccard.part_keys(one, len(one), a, b), jaccard.part_keys(other, len(other), a, b)))
+    finally:
+        jaccard.PART_BITS = was
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.tuples(st.lists(st.integers(0, 30), unique=True, min_size=1).map(sorted), st.integers(1, 5)), min_size=1, max_size=12), st.integers(1, 30))
 def test_divide_skip_counts(lists, least):
