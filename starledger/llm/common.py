@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,6 +55,46 @@ def released(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shuffles_removed(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``step(docs, ...)`` with the shuffle files of each of its jobs removed when the job ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    @wraps(step)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        conf = docs.sparkSession.conf
+        before = conf.get(key, None)
+        conf.set(key, "true")
+        try:
+            return step(docs, *args, **kwargs)
+        finally:
+            if before is None:
+                conf.unset(key)
+            else:
+                conf.set(key, before)
+
+    return run
+
+
+#: Numbers that one row of bits covers, and rows of bits (4 kB each) that may be broadcast.
+BITS, BROADCAST_BITS = 1 << 15, 1 << 11
+
+
+def rows_of_numbers(df: DataFrame, numbers: DataFrame, number: F.Column) -> DataFrame:
+    """The rows of ``df`` whose ``number`` (a long, from 0 on) is in the only column of ``numbers``.
+
+    The numbers are sent to all workers as bits, if they lie in a bounded number of runs of BITS, so no row of ``df`` is shuffled.
+    """
+    of, bits, value = fresh(df, "_of", "_bits", "_value")
+    numbers = numbers.toDF(value)
+    run, at = lambda x: F.shiftright(x, 15), lambda x: x.bitwiseAND(BITS - 1)
+    placed = numbers.withColumn(of, run(F.col(value))).repartition(of)  # else each task would send all runs' bits
+    sent = checkpointed(placed.groupBy(of).agg(F.bitmap_construct_agg(at(F.col(value))).alias(bits)))
+    if sent.count() > BROADCAST_BITS:
+        return df.join(numbers, number == F.col(value), "left_semi")
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(at(number), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return df.join(F.broadcast(sent), (run(number) == F.col(of)) & (F.getbit(byte, at(number).bitwiseAND(7).cast("int")) == 1), "left_semi")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed, released, slices
+from .common import broadcast_if_small, checkpointed, released, rows_of_numbers, shuffles_removed, slices
 from .components import connected_components
 from .hashing import WHITE, mix, shingle_hashes, word_hashes
 
@@ -873,14 +873,20 @@ def _block_links(members: DataFrame, frequent=None) -> DataFrame:
     return connected_components(edges).select("node", F.col("component").alias("root"))
 
 
+#: Ids are looked up by so many bits of their hash before they are joined.
+ID_BITS = 26
+
+
+@shuffles_removed
 def near_classes(docs: DataFrame, k: int = 5) -> DataFrame:
     """Per row of ``docs``: doc_id, text_key (xxhash64 of the text), n, and class, which linked rows share; null without shingles."""
     read = checkpointed(sketches(docs, k))
-    first = checkpointed(read.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "uid")).getField("uid").alias("uid")).select("uid"))
-    classes = read.join(broadcast_if_small(first, first.count(), BROADCAST_ROWS), "uid", "left_semi")
-    total = classes.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // 6
-    shared = _shared_counts(_occurrences(_token_packs(classes, total, _from_high_bytes), total))
-    likely = checkpointed(classes.select("uid", "node", "doc_id", "n").join(shared, "uid").where(F.col("shared") >= F.floor(F.ceil(F.col("n") * LINK / 100) / 10) + 1).select("uid", "node", "doc_id", "n"))
+    # Equal sets show equally many tokens. Only the classes' tokens go on, and they are shuffled packed.
+    first = checkpointed(read.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "uid")).getField("uid").alias("uid"), F.max(F.octet_length("tokens")).alias("size")).select("uid", "size"))
+    total = first.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // 6
+    shown = rows_of_numbers(read.select("uid", "tokens"), first.select("uid"), F.col("uid"))
+    shared = _shared_counts(_occurrences(_token_packs(shown, total, _from_high_bytes), total))
+    likely = checkpointed(read.select("uid", "node", "doc_id", "n").join(shared, "uid").where(F.col("shared") >= F.floor(F.ceil(F.col("n") * LINK / 100) / 10) + 1).select("uid", "node", "doc_id", "n"))
     all_docs = checkpointed(read.select("doc_id", "text_key", "n", "node", "key"))
     released(read)  # nothing from here on reads the tokens shown
     count, total = likely.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -893,7 +899,11 @@ def near_classes(docs: DataFrame, k: int = 5) -> DataFrame:
 
     # A class is fetched by the id of one of its rows, by a null one only where it has no other.
     wanted = likely.select(F.col("doc_id").alias("_wanted")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(wanted, count, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if count > BROADCAST_ROWS:  # only the texts of these ids, and a few more, are shuffled
+        bit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1 << ID_BITS))
+        texts = rows_of_numbers(texts, wanted.select(F.pmod(F.xxhash64(F.coalesce("_wanted", F.lit(0))), F.lit(1 << ID_BITS))), bit)
+    texts = texts.join(broadcast_if_small(wanted, count, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
     sets = checkpointed(texts.select("text").mapInArrow(whole_sets, "node long, n long, tokens binary").join(broadcast_if_small(likely.select("node", "uid"), count, BROADCAST_ROWS), "node"))
     occurrences = checkpointed(_occurrences(_token_packs(sets, total), total))
     covered = checkpointed(likely.join(_shared_counts(occurrences), "uid").where(F.col("shared") >= F.ceil(F.col("n") * LINK / 100)).select("node"))

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from starledger.llm import jaccard
+from starledger.llm import common, jaccard
 from starledger.llm.components import connected_components
 from starledger.llm.hashing import shingle_hashes, word_hashes
 
@@ -148,6 +148,31 @@ def test_linked_sets_have_a_part_in_common(n, seed, bits):
         jaccard.PART_BITS = was
 
 
+@pytest.mark.parametrize("most", [1 << 11, 0])
+def test_rows_are_looked_up_by_bits(spark, monkeypatch, most):
+    """Numbers at the edges of bytes and runs, and of several partitions; joined where there are too many runs."""
+    monkeypatch.setattr(common, "BROADCAST_BITS", most)
+    edges = [0, 1, 7, 8, 32767, 32768, 65535, 65536, (1 << 33) + 5, (5 << 33) + 40000]
+    rows = spark.createDataFrame([(n, "x") for n in [*range(100, 140), *edges, 7]], "uid long, _of string")
+    chosen = [*range(100, 140, 3), *edges[::2], 99]
+    found = common.rows_of_numbers(rows, spark.createDataFrame([(n,) for n in chosen], "uid long"), rows["uid"])
+    assert found.columns == ["uid", "_of"]
+    assert sorted(r[0] for r in found.collect()) == sorted([*set(chosen) - {99}, 7])
+
+
+def test_many_classes_shuffle_no_whole_tokens(spark, monkeypatch):
+    """Where classes are too many to be sent by id, they are sent as bits; jobs leave no shuffle files."""
+    key, plans, packs = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], jaccard._token_packs
+    before = spark.conf.get(key)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "_token_packs", lambda classes, *rest: plans.append((classes._jdf.queryExecution().executedPlan().toString(), spark.conf.get(key))) or packs(classes, *rest))
+    rows = documents(4)
+    assert result(frame(spark, rows)) == brute(rows)
+    plan, cleaned = plans[0]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert cleaned == "true" and spark.conf.get(key) == before
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.tuples(st.lists(st.integers(0, 30), unique=True, min_size=1).map(sorted), st.integers(1, 5)), min_size=1, max_size=12), st.integers(1, 30))
 def test_divide_skip_counts(lists, least):
